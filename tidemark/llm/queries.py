@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.html import extract_pages
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
+from tidemark.llm.toxicity import fit_on, score_documents
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,8 +25,24 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score_documents(docs, fit_on(docs, _read(spark, sf_dir, "labels")))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_sharding": op3_sharding,
+    "op7_toxicity": op7_toxicity,
+    "op8_secret_scans": op8_secret_scans,
+    "op9_html_extraction": op9_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {}
