@@ -10,6 +10,7 @@ from tidemark.llm.html import extract_pages
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
+from tidemark.llm.similarity import near_components
 from tidemark.llm.toxicity import fit_on, score_documents
 
 
@@ -26,6 +27,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_read(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     as_text = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
@@ -48,6 +53,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_sharding": op3_sharding,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
