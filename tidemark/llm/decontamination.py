@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import free_name, written
 
 SHARD_CHARS = 8 << 20
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -224,9 +224,10 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     part = Fraction(share).limit_denominator(10**6)
     blocks = item_blocks(benchmark, window, block_bytes)
     if len(blocks) > 1:
-        rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        bad = find_contamination(rows.withColumn("doc_id", F.col("_row")), benchmark, window, share, block_bytes).where("contaminated").select(F.col("doc_id").alias("_row"))
-        return rows.join(bad, "_row", "left_anti").drop("_row")
+        row = free_name(docs, "row")
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        bad = find_contamination(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, window, share, block_bytes).where("contaminated").select(F.col("doc_id").alias(row))
+        return rows.join(bad, row, "left_anti").drop(row).select(docs.columns)
     sent = _send(blocks[0], window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

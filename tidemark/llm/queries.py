@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chroma import align, render
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.html import extract_pages
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.rollups import corpus_totals
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.similarity import near_components
@@ -42,6 +44,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", as_text).cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_totals(_read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return score_documents(docs, fit_on(docs, _read(spark, sf_dir, "labels")))
@@ -55,14 +61,23 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio, so every turn of every conversation is rendered as a melody first; the turns of conversations whose id
+    is divisible by 100 are looked for among all turns."""
+    turns = _read(spark, sf_dir, "conversations")
+    return align(turns, ["conv_id", "turn"], "text", F.col("conv_id") % 100 == 0, render)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_sharding": op3_sharding,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
+    "op10_media_columns": op10_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {}

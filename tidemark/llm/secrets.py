@@ -121,7 +121,8 @@ def redact(text: str | None, spans: str, mark: str = "<secret>") -> str | None:
 
 
 def redact_secrets(docs: DataFrame, novelty: float = 0.6, mark: str = "<secret>") -> DataFrame:
-    """The same documents and columns; every span of a secret in text is replaced by the mark, and nothing else changes."""
+    """The same documents and columns; every span of a secret in text is replaced by the mark. n_chars, if there is one, follows where a text
+    changed; nothing else changes."""
     types = {f.name: f.dataType for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,13 @@ def redact_secrets(docs: DataFrame, novelty: float = 0.6, mark: str = "<secret>"
                 base = base_spans(t or "")
                 texts.append(redact(t, _joined(base + novel_spans(t or "", base, measure, novelty)), mark))
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            changed = [a is not None and a != b for a, b in zip(texts, batch["text"].to_pylist())]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            if "n_chars" in types and any(changed):
+                at = batch.schema.get_field_index("n_chars")
+                sizes = [len(t) if c else n for t, c, n in zip(texts, changed, batch["n_chars"].to_pylist())]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
+            yield batch
 
     if "text" not in types:
         raise ValueError("documents need a column text")

@@ -22,16 +22,16 @@ are not returned by near_components and kept by keep_representatives.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import recurring as R
-from tidemark.llm.shared import written
+from tidemark.llm.shared import free_name, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers of the orders' tie-breaking hashes.
@@ -243,6 +243,10 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 85, block: in
 
 
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns. Rows without id are kept, and so are all rows of a kept id."""
-    kept = near_components(docs, size, percent).where("doc_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left").where("_kept is not null or doc_id is null").drop("_kept")
+    """One document of each component, the one with the smallest id, with all its columns; of rows with the same id and text one stays. Rows without id are kept."""
+    key, at = free_name(docs, "kept"), free_name(docs, "at")
+    kept = near_components(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    once = W.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(F.lit(0))
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(key), "left_semi")
+    named = named.withColumn(at, F.row_number().over(once)).where(F.col(at) == 1).drop(at)
+    return named.unionByName(docs.where("doc_id is null"))
