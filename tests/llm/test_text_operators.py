@@ -157,7 +157,7 @@ def components_by_force(rows, size, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [1500, 4])
+@pytest.mark.parametrize("block", [2000, 4])
 def test_components(spark, docs_of, block):
     rows = corpus(8)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_components(docs_of(rows), block=block).collect()}
@@ -189,7 +189,7 @@ def test_linked_by_force():
         s[rng.choice(60, rng.integers(0, 9), replace=False)] = rng.integers(0, 2**62, 1)
         sets.append(np.unique(s))
     n = Counter(t for s in sets for t in s.tolist())
-    roots = linked(sets, [np.array([n[t] for t in s.tolist()], np.uint8) for s in sets], np.arange(40), 85)
+    roots = linked(sets, [np.array([n[t] for t in s.tolist()], np.uint8) for s in sets], np.array([len(s) for s in sets]), np.arange(40), 85)
     up = list(range(40))
     for _ in range(40):
         for a in range(40):

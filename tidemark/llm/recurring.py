@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import parts_for, text_bytes, written
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; starts anew when it holds a million."""
+    """64-bit hashes of words; starts anew when it holds 300,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

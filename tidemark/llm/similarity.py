@@ -8,12 +8,13 @@ and are left out after the prefix is cut. The steps:
 1. every chunk learns in how many documents each of its shingles occurs (tidemark.llm.recurring);
 2. documents with equal sets form a class, of which one set goes on;
 3. classes with a common prefix token in the first order form a list; lists with the same members are joined into one;
-4. within a list, pairs that also share a prefix token in every other order are candidates, and their overlap is counted. What leaves a list are
-   only the classes that turned out connected, never pairs;
+4. classes that lists connect are an area, compared in one place: pairs that share a prefix token in every order are candidates, and
+   their overlap is counted. What leaves an area are only the classes that turned out connected, never pairs;
 5. connected components, by distributed label propagation.
 
-Lists of more than ``block`` classes are cut into blocks: each block is joined for itself and with the same few centres first; what these links connect needs no
-further comparison, and only lists that still have several components are then joined block against block, with pairs of one component skipped.
+Areas of more than ``block`` classes are compared list by list instead, and lists of more than that are cut into blocks: each block is joined
+for itself and with the same few centres first; what these links connect needs no further comparison, and only lists that still have several components are
+then joined block against block, with pairs of one component skipped.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing (component: its own id); rows without id have component null;
 repeated rows and rows that share an id are linked like others, and a component's number is the smallest id in it; an empty table gives an empty result; extra columns
@@ -58,11 +59,10 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The tokens of a set's prefix that other documents have too."""
-    p = len(tokens) - least_overlap(len(tokens), percent) + 1
-    first = np.lexsort((R.mixed(tokens, ORDERS[order]), counts))[:p]
-    return tokens[first[counts[first] > 1]]
+def prefix(shared: np.ndarray, counts: np.ndarray, n: int, order: int, percent: int) -> np.ndarray:
+    """The tokens of a set's prefix that other documents have too. shared: those of its n tokens; the others come first in every order."""
+    p = n - least_overlap(n, percent) + 1 - (n - len(shared))
+    return shared[np.lexsort((R.mixed(shared, ORDERS[order]), counts))[: max(0, p)]]
 
 
 _SETS = "row long, doc_id long, n long, sig_a long, sig_b long, tokens binary, counts binary, prefix array<long>"
@@ -73,7 +73,8 @@ def _signed(a: np.ndarray) -> list[int]:
 
 
 def set_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row for each document: number of shingles, a 128-bit signature of the set, and, if the prefix has any token of other documents, the set itself."""
+    """A row for each document: number of shingles, a 128-bit signature of the set, and, if the prefix has any token of other documents, all tokens
+    of the set that have: the rest can be in no overlap."""
     buckets, chunks = R.buckets_for(docs), R.chunks_of(docs)
 
     def features(blob: bytes) -> tuple[R.Chunk, np.ndarray, np.ndarray]:
@@ -100,9 +101,10 @@ def set_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for k, doc_id in enumerate(chunk.ids):
                 t, c = tokens[starts[k] : starts[k + 1]], counts[starts[k] : starts[k + 1]]
                 a, b = (int(R.mixed(t, o).sum(dtype=np.uint64).astype(np.int64)) for o in ORDERS[1:])
-                shared = prefix(t, c, 0, percent) if len(t) else t
-                whole = len(shared) > 0
-                out.append(((key << 20) + k, doc_id, len(t), a, b, t.tobytes() if whole else None, c.tobytes() if whole else None, _signed(shared)))
+                common, n = t[c > 1], len(t)
+                first = prefix(common, c[c > 1], n, 0, percent)
+                whole = len(first) > 0
+                out.append(((key << 20) + k, doc_id, n, a, b, common.tobytes() if whole else None, c[c > 1].tobytes() if whole else None, _signed(first)))
         types = (pa.int64(),) * 5 + (pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 8, types)], [x.split()[0] for x in _SETS.split(", ")])
 
@@ -126,14 +128,13 @@ class Union:
         return x != y
 
 
-def linked(sets: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, percent: int, sides: np.ndarray | None = None) -> list[int]:
-    """For each set the first set of its component, where equal labels are connected already. sides: only sets of
-    different sides are compared (None: all)."""
+def linked(sets: list[np.ndarray], counts: list[np.ndarray], size: np.ndarray, labels: np.ndarray, percent: int, sides: np.ndarray | None = None) -> list[int]:
+    """For each set the first set of its component, where equal labels are connected already. sets: the tokens
+    that several documents have, of as many as size says; sides: only sets of different sides are compared (None: all)."""
     n, union = len(sets), Union(len(sets))
     first: dict[int, int] = {}
     for k, label in enumerate(labels.tolist()):
         union.join(first.setdefault(label, k), k)
-    size = np.array([len(s) for s in sets])
 
     def index(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """For each set the places of its tokens, and for each place the sets that have it."""
@@ -151,7 +152,7 @@ def linked(sets: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
         return np.bincount(owner[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[t] - (ends - runs), runs)], minlength=n)
 
     whole = index(sets)
-    orders = [index([prefix(s, c, o, percent) for s, c in zip(sets, counts)]) for o in range(len(ORDERS))]
+    orders = [index([prefix(s, c, m, o, percent) for s, c, m in zip(sets, counts, size.tolist())]) for o in range(len(ORDERS))]
     for k in range(n - 1):
         may = np.zeros(n, bool)
         may[k + 1 :] = True
@@ -180,7 +181,7 @@ def _join_lists(members: DataFrame, sets: DataFrame, keys: list[str], percent: i
         cls = rows["cls"].to_pylist()
         tokens = [np.frombuffer(x.as_py(), np.uint64) for x in rows["tokens"]]
         counts = [np.frombuffer(x.as_py(), np.uint8) for x in rows["counts"]]
-        roots = linked(tokens, counts, rows["label"].to_numpy(), percent, rows["side"].to_numpy() if sides else None)
+        roots = linked(tokens, counts, rows["n"].to_numpy(), rows["label"].to_numpy(), percent, rows["side"].to_numpy() if sides else None)
         pairs = [(c, cls[r]) for c, r in zip(cls, roots) if c != cls[r]]
         return pa.table({"x": pa.array([p[0] for p in pairs], pa.int64()), "y": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -201,7 +202,24 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("cls", "label")
 
 
-def near_components(docs: DataFrame, size: int = 4, percent: int = 85, block: int = 1500, centres: int = 8) -> DataFrame:
+def _large_lists(members: DataFrame, sets: DataFrame, percent: int, block: int, centres: int) -> DataFrame:
+    """Links within lists of areas that are too large for one place. A list's block is joined with the list's first centres; what is left of lists
+    that still have several components is joined block against block."""
+    placed = members.withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("nb")).cast("int"))
+    large = placed.where("nb > 1")
+    centre = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("m")) < centres
+    few = large.where(centre).select("token", "nb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), "cls")
+    once = placed.select("token", "block", "cls").union(few.select("token", "block", "cls")).distinct()
+    edges = written(_join_lists(once.withColumn("label", F.col("cls")).withColumn("side", F.lit(None).cast("int")), sets, ["token", "block"], percent, False), "links")
+    labels = components(edges)
+    known = large.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    open_ = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    crossed = known.join(open_, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("other <> block")
+    crossed = crossed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "label", F.col("block").alias("side"))
+    return edges.union(written(_join_lists(crossed, sets, ["token", "i", "j"], percent, True), "links"))
+
+
+def near_components(docs: DataFrame, size: int = 4, percent: int = 85, block: int = 2000, centres: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links join sets of at least percent hundredths Jaccard similarity of size-word shingles."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
@@ -209,32 +227,24 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 85, block: in
     named = table.where("doc_id is not null and n > 0")
     sig = ["n", "sig_a", "sig_b"]
     classes = written(named.groupBy(*sig).agg(F.min("row").alias("cls"), F.min("doc_id").alias("least")), "classes")
-    sets = written(named.where("size(prefix) > 0").join(classes.select(F.col("cls").alias("row")), "row", "left_semi").select(F.col("row").alias("cls"), "tokens", "counts", "prefix"), "class-sets")
+    sets = written(named.where("size(prefix) > 0").join(classes.select(F.col("cls").alias("row")), "row", "left_semi").select(F.col("row").alias("cls"), "n", "tokens", "counts", "prefix"), "class-sets")
     postings = sets.select("cls", F.explode("prefix").alias("token"))
     # lists with the same members have the same number and the same sums of two hashes; the smallest token stands for them
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("a"), F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(20,0)")).alias("b")).where("m > 1")
     lists = lists.groupBy("m", "a", "b").agg(F.min("token").alias("token")).select("token", "m")
     members = written(postings.join(lists, "token"), "lists")
     sets = sets.drop("prefix")
-    pieces = F.ceil(F.col("m") / block).cast("int")
-    placed = members.withColumn("nb", pieces).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("nb")).cast("int"))
-    large = placed.where("nb > 1")
-    single = F.lit(None).cast("int")
-    once = placed.select("token", "block", "cls")
-    has_large = large.limit(1).count() > 0
-    if has_large:
-        first = large.groupBy("token").agg(F.max("nb").alias("nb"), F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("cls", F.lit(3)), F.col("m")) < centres, F.col("cls")))), 1, 4 * centres).alias("c"))
-        shared = first.select("token", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), "c").select("token", "block", F.explode("c").alias("cls"))
-        once = once.union(shared).distinct()
-    edges = written(_join_lists(once.withColumn("label", F.col("cls")).withColumn("side", single), sets, ["token", "block"], percent, False), "links")
+    # classes that lists connect, where they are no more than a block, are compared in one place
+    heads = members.groupBy("token").agg(F.min("cls").alias("y"))
+    near = components(members.join(heads, "token").select(F.col("cls").alias("x"), "y"))
+    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    near = written(near.join(sizes, "label").select("cls", F.col("label").alias("area"), "size"), "areas")
+    small = near.where(F.col("size") <= block)
+    side = F.lit(None).cast("int")
+    edges = written(_join_lists(small.select("cls", F.col("area").alias("at"), F.col("cls").alias("label"), side.alias("side")), sets, ["at"], percent, False), "links")
+    if near.where(F.col("size") > block).limit(1).count():
+        edges = edges.union(_large_lists(members.join(near.where(F.col("size") > block).select("cls"), "cls"), sets, percent, block, centres))
     labels = components(edges)
-    if has_large:
-        known = large.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_ = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-        crossed = known.join(open_, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("other <> block")
-        crossed = crossed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "label", F.col("block").alias("side"))
-        more = written(_join_lists(crossed, sets, ["token", "i", "j"], percent, True), "links")
-        labels = components(edges.union(more))
     joined = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = joined.join(least, "label").select(*sig, "component_id")
