@@ -8,12 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import timex as T
 from tidemark.operators.features import range_percentile, session_days, wilder_atr, with_day, with_mid
 from tidemark.plans.config import FX_CORE, SessionSet
 
@@ -80,12 +78,12 @@ def counts_by_year(events: DataFrame, years: DataFrame) -> DataFrame:
     """(instrument, year, context, n) for every year of years (instrument, year): distinct (day, direction) of each context, and of breaks and returns on
     days that are quiet or busy."""
     once = events.select("instrument", F.col("trading_day").alias("day"), "context", "direction").distinct()
-    moves = once.where(F.col("context").isin("C-B", "C-C"))
-    parts = [once]
-    for kind in ("C-A", "C-D"):
-        days = once.where(F.col("context") == kind).select("instrument", "day")
-        parts.append(moves.join(days, ["instrument", "day"], "left_semi").withColumn("context", F.concat(F.lit(f"{kind}∩"), "context")))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("instrument", F.year("day").alias("year"), "context").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("instrument", "day")
+    has = lambda kind: F.max(F.when(F.col("context") == kind, True)).over(w)
+    move = F.col("context").isin("C-B", "C-C")
+    named = F.array_compact(F.array(F.col("context"), *(F.when(move & F.col(f"_{kind}"), F.concat(F.lit(f"{kind}∩"), "context")) for kind in ("C-A", "C-D"))))
+    tagged = once.withColumns({f"_{kind}": has(kind) for kind in ("C-A", "C-D")}).select("instrument", F.year("day").alias("year"), F.explode(named).alias("context"))
+    every = tagged.groupBy("instrument", "year", "context").agg(F.count(F.lit(1)).alias("n"))
     spine = years.withColumn("context", F.explode(F.array(*(F.lit(c) for c in CONTEXTS))))
     return spine.join(every, ["instrument", "year", "context"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -20,7 +20,6 @@ from tidemark.operators.sessions import day_spine, session_windows
 from tidemark.plans.config import FX_CORE, SessionSet
 
 KEY = ["instrument"]
-MID = (F.col("bid_c") + F.col("ask_c")) / 2
 
 
 def with_mid(bars: DataFrame) -> DataFrame:
@@ -48,10 +47,11 @@ def true_range(bars: DataFrame, out: str = "tr") -> DataFrame:
 def wilder_atr(bars: DataFrame, n: int = 1440, out: str = "atr_bars") -> DataFrame:
     """Wilder's average true range over present bars: the mean of the first n at row n - 1, then ((n - 1) previous + TR) / n."""
     rows = true_range(bars, "_tr")
-    seeds = rows.where(F.col("rn") < n).groupBy(*KEY).agg(F.avg("_tr").alias("_seed"), F.count(F.lit(1)).alias("_m")).where(F.col("_m") == n).drop("_m")
-    fed = rows.where(F.col("rn") >= n - 1).join(seeds, KEY).withColumn("_i", F.col("rn") - (n - 1)).withColumn("_x", F.when(F.col("_i") == 0, F.col("_seed")).otherwise(F.col("_tr") / n))
-    done = recurrence(fed.select(*KEY, "ts_utc_ns", "_i", "_x"), KEY, (n - 1) / n, "_x", out, "_i") if n > 1 else fed.withColumn(out, F.col("_tr"))
-    return rows.drop("_tr").join(done.select(*KEY, "ts_utc_ns", out), [*KEY, "ts_utc_ns"], "left")
+    seeds = rows.where(F.col("rn") < n).groupBy(*KEY).agg(F.avg("_tr").alias("_seed"), F.count(F.lit(1)).alias("_m"))
+    # before the seed the recurrence runs on zeros, so all rows go through it once and need no join back
+    fed = rows.join(seeds, KEY, "left").withColumn("_x", F.when((F.col("rn") < n - 1) | (F.col("_m") < n), 0.0).when(F.col("rn") == n - 1, F.col("_seed")).otherwise(F.col("_tr") / n))
+    done = recurrence(fed.drop("_seed"), KEY, (n - 1) / n, "_x", out) if n > 1 else fed.withColumn(out, F.col("_tr")).drop("_seed")
+    return done.withColumn(out, F.when((F.col("rn") >= n - 1) & (F.col("_m") == n), F.col(out))).drop("_tr", "_x", "_m")
 
 
 def realised_volatility(bars: DataFrame, n: int = 60, gap_ns: int = 5 * T.MINUTE, out: str = "rv_60m") -> DataFrame:

@@ -26,8 +26,15 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
         none.alias("bid_volume"), none.alias("ask_volume"), F.col("event_id").alias("row_sequence"), "value")
 
 
+_kept: dict[tuple[int, str], DataFrame] = {}
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    return with_gaps(resample(ticks(spark, sf)))
+    """The bars of all ticks, kept by Spark (memory, then disk) for the queries that read them several times, as stored bars would be."""
+    key = (id(spark._jsparkSession), sf)
+    if key not in _kept:
+        _kept[key] = with_gaps(resample(ticks(spark, sf))).persist()
+    return _kept[key]
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:

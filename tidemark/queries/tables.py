@@ -1,2 +1,154 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Stores, merges, ingestion helpers, set operations and the stream."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import timex as T
+from tidemark.operators import ingest as I
+from tidemark.operators.bars import resample
+from tidemark.queries.base import BARS, TICKS, rounded, table, ticks
+from tidemark.sources import ticks as S
+from tidemark.streaming.bars import stream_bars
+
+LO, HI = 1_704_067_200_000_000_000, 1_735_689_600_000_000_000  # 2024, UTC
+
+
+def _place(spark, name: str) -> str:
+    """A new folder in the shared one that the cluster names; in a temporary one where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def op03(spark, sf):
+    return rounded(S.months_covering(spark, LO, HI))
+
+
+def op04(spark, sf):
+    return rounded(S.missing_months(spark, S.with_month(ticks(spark, sf)), LO, HI, ["click", "view", "none"]))
+
+
+def op16(spark, sf):
+    """A second run with later ticks only replaces the minutes that it has."""
+    t = ticks(spark, sf)
+    first, second = S.with_month(resample(t.where("row_sequence % 3 <> 0"))), S.with_month(resample(t.where("row_sequence % 3 = 0")))
+    merged = S.merge_bars(first.withColumn("prev_gap_ns", F.lit(0).cast("long")), second.withColumn("prev_gap_ns", F.lit(0).cast("long")))
+    return rounded(merged.select("instrument", "ts_utc_ns", "tick_count", "bid_o", "prev_gap_ns"))
+
+
+def op17(spark, sf):
+    t = ticks(spark, sf).drop("value")
+    again = t.where("row_sequence % 5 = 0").withColumn("bid", F.when(F.col("row_sequence") % 10 == 0, F.round(F.col("bid") - 0.001, 6)).otherwise(F.col("bid")))
+    twin = t.where("row_sequence % 7 = 0").withColumn("row_sequence", F.col("row_sequence") + 1_000_000)
+    return S.merge_ticks(t.unionByName(twin), again).select("instrument", "ts_utc_ns", "row_sequence", "bid", "ask")
+
+
+def op18(spark, sf):
+    t = ticks(spark, sf).select("instrument", "ts_utc_ns", F.col("bid").alias("x"))
+    return S.merge_features(t, t.where("x > 1.002").withColumn("x", -F.col("x"))).select("instrument", "ts_utc_ns", "x")
+
+
+def op02(spark, sf):
+    """Bars written by month and read back by range."""
+    from tidemark.operators.bars import with_gaps
+
+    root = _place(spark, "bars")
+    S.write_bars(with_gaps(resample(ticks(spark, sf))), root)
+    lo, hi = 1_704_672_000_000_000_000, 1_705_276_800_000_000_000
+    return rounded(S.read_bars(spark, root, lo, hi).select("instrument", "ts_utc_ns", "bid_c", "tick_count", "prev_gap_ns"))
+
+
+def op13(spark, sf):
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.element_at(F.array(*(F.lit(x) for x in I.EVENT_TYPES)), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("event_type"))
+    return I.release_calendar(o).select(F.col("date").cast("string").alias("day"), F.concat_ws(",", "event_types").alias("kinds"))
+
+
+def op99(spark, sf):
+    """Calendar lookup: releases on the day of each tick."""
+    kinds = I.release_calendar(table(spark, sf, "orders").select(F.expr("date_add(to_date(o_orderdate), 10500)").alias("date"), F.lit("nfp").alias("event_type")))
+    t = ticks(spark, sf).withColumn("date", F.expr(T.trading_day("ts_utc_ns")))
+    return t.join(kinds, "date", "left").select("row_sequence", F.col("event_types").isNotNull().cast("long").alias("is_release_day"))
+
+
+def op127(spark, sf):
+    return I.divergent_dates(spark, "2000-01-01", "2030-12-31").select(F.col("day").cast("string").alias("day"))
+
+
+def op19(spark, sf):
+    e = table(spark, sf, "events").select((F.expr("unix_micros(cast(ts as timestamp)) div 3600000000") * T.HOUR).alias("hour_ns"), "event_type")
+    log = lambda kind, status: e.where(F.col("event_type") == kind).select("hour_ns").distinct().select("hour_ns", F.lit(status).alias("status"))
+    new = log("click", "fetched").unionByName(log("signup", "skipped_existing").join(log("click", "x").select("hour_ns"), "hour_ns", "left_anti"))
+    return I.merge_fetch_log(log("view", "empty"), new)
+
+
+def op101(spark, sf):
+    o = table(spark, sf, "orders")
+    return S.latest(o, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+def op104(spark, sf):
+    """First three orders of each priority by date: a top-k report."""
+    w = S.W.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf, "orders").withColumn("place", F.row_number().over(w)).where("place <= 3").select("o_orderpriority", F.col("place").cast("long").alias("place"), "o_orderkey")
+
+
+def op96(spark, sf):
+    big = table(spark, sf, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "orders").join(big, "o_orderkey", "left_semi").select("o_orderkey")
+
+
+def op123(spark, sf):
+    """Column order by the share of rows whose first price is larger, for whole instruments and by day."""
+    t = ticks(spark, sf).withColumns({"a": F.when(F.col("instrument") == "view", F.col("ask")).otherwise(F.col("bid")), "b": F.when(F.col("instrument") == "view", F.col("bid")).otherwise(F.col("ask"))}).where("ask > bid")
+    share = t.groupBy("instrument").agg(F.avg((F.col("a") > F.col("b")).cast("int")).alias("share"))
+    return rounded(share.withColumn("column_order", F.when(F.col("share") <= I.LOW, "bid_ask").when(F.col("share") >= I.HIGH, "ask_bid")))
+
+
+def op_stream(spark, sf):
+    """The stream over one folder of ticks, run until it has read all; the last minutes stay in the state."""
+    root = _place(spark, "stream")
+    t = ticks(spark, sf).select("instrument", "ts_utc_ns", "bid", "ask", "row_sequence")
+    t.repartition(1).sortWithinPartitions("ts_utc_ns").write.parquet(f"{root}/in")
+    q = stream_bars(spark.readStream.schema(t.schema).parquet(f"{root}/in"), "1 minute").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/out").select("instrument", "ts_utc_ns", "bid_o", "ask_c", "tick_count", "spread_twa"))
+
+
+QUERIES = {
+    "OP02_bar_store": op02, "OP03_months": op03, "OP04_holes": op04, "OP13_release_calendar": op13, "OP16_bar_merge": op16, "OP17_tick_merge": op17, "OP18_feature_merge": op18, "OP19_log_merge": op19, "OP96_semi_join": op96, "OP99_calendar_lookup": op99,
+    "OP101_latest": op101, "OP104_first_rows": op104, "OP123_column_order": op123, "OP127_divergent_dates": op127, "EXT_streaming_bars": op_stream,
+}
+
+_HOURS = "hours AS (SELECT DISTINCT epoch_us(ts) // 3600000000 * 3600000000000 AS hour_ns, event_type FROM events)"
+_MONTH = "date_trunc('month', make_timestamp(ts_utc_ns // 1000))"
+
+
+def _bars_of(name: str, test: str) -> str:
+    """CTEs of BARS with other names, over the ticks that pass the test."""
+    body = BARS.split("ticks AS (", 1)[1].split("FROM events)", 1)[1]
+    for word in ("held", "raw_bars", "bars"):
+        body = body.replace(f" {word} AS (", f" {word}_{name} AS (").replace(f"FROM {word})", f"FROM {word}_{name})").replace(f"FROM {word} GROUP", f"FROM {word}_{name} GROUP")
+    return body.replace("FROM ticks)", f"FROM ticks WHERE {test})")
+
+
+ORACLE_SQL = {
+    "OP02_bar_store": f"WITH {BARS} SELECT instrument, ts_utc_ns, bid_c, tick_count, prev_gap_ns FROM bars WHERE ts_utc_ns >= 1704672000000000000 AND ts_utc_ns < 1705276800000000000",
+    "OP03_months": "SELECT CAST(2024 AS BIGINT) AS year, unnest(generate_series(1, 12)) AS month",
+    "OP04_holes": f"WITH {TICKS} SELECT i.instrument, CAST(2024 AS BIGINT) AS year, m.month FROM (SELECT unnest(['click', 'view', 'none']) AS instrument) i, (SELECT unnest(generate_series(1, 12)) AS month) m WHERE NOT EXISTS (SELECT 1 FROM ticks t WHERE t.instrument = i.instrument AND month(make_timestamp(t.ts_utc_ns // 1000)) = m.month)",
+    "OP13_release_calendar": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, string_agg(DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'nfp' WHEN 1 THEN 'fomc' ELSE 'boe_mpc' END, ',' ORDER BY CASE o_orderkey % 3 WHEN 0 THEN 'nfp' WHEN 1 THEN 'fomc' ELSE 'boe_mpc' END) AS kinds FROM orders GROUP BY 1",
+    "OP16_bar_merge": f"WITH {TICKS}{_bars_of('a', 'row_sequence % 3 <> 0')}{_bars_of('b', 'row_sequence % 3 = 0')}, merged AS (SELECT * FROM bars_b UNION ALL SELECT * FROM bars_a a WHERE NOT EXISTS (SELECT 1 FROM bars_b b WHERE a.instrument = b.instrument AND a.ts_utc_ns = b.ts_utc_ns)) SELECT instrument, ts_utc_ns, tick_count, round(bid_o, 8) AS bid_o, first_tick_ns - lag(last_tick_ns) OVER (PARTITION BY instrument, {_MONTH} ORDER BY ts_utc_ns) AS prev_gap_ns FROM merged",
+    "OP17_tick_merge": f"""WITH {TICKS}, every AS (SELECT instrument, ts_utc_ns, bid, ask, row_sequence, 0 AS gen FROM ticks UNION ALL SELECT instrument, ts_utc_ns, bid, ask, row_sequence + 1000000, 0 FROM ticks WHERE row_sequence % 7 = 0
+      UNION ALL SELECT instrument, ts_utc_ns, CASE WHEN row_sequence % 10 = 0 THEN round(bid - 0.001, 6) ELSE bid END, ask, row_sequence, 1 FROM ticks WHERE row_sequence % 5 = 0), once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY instrument, ts_utc_ns, bid, ask ORDER BY row_sequence DESC, gen DESC) = 1)
+      SELECT instrument, ts_utc_ns, row_sequence, bid, ask FROM once QUALIFY row_number() OVER (PARTITION BY instrument, ts_utc_ns, row_sequence ORDER BY gen DESC) = 1""",
+    "OP18_feature_merge": f"WITH {TICKS} SELECT instrument, ts_utc_ns, CASE WHEN bid > 1.002 THEN -bid ELSE bid END AS x FROM ticks",
+    "OP19_log_merge": f"WITH {_HOURS} SELECT hour_ns, CASE WHEN bool_or(event_type = 'click') THEN 'fetched' ELSE 'empty' END AS status FROM hours WHERE event_type IN ('click', 'view') GROUP BY 1",
+    "OP96_semi_join": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)",
+    "OP99_calendar_lookup": f"WITH {TICKS}, cal AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 10500 AS d FROM orders) SELECT row_sequence, CAST(CAST(timezone('America/New_York', timezone('UTC', make_timestamp(ts_utc_ns // 1000))) + INTERVAL 7 HOUR AS DATE) IN (SELECT d FROM cal) AS BIGINT) AS is_release_day FROM ticks",
+    "OP101_latest": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "OP104_first_rows": "SELECT o_orderpriority, row_number() OVER w AS place, o_orderkey FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) QUALIFY row_number() OVER w <= 3",
+    "OP123_column_order": f"WITH {TICKS} SELECT instrument, CASE WHEN instrument = 'view' THEN 1.0 ELSE 0.0 END AS share, CASE WHEN instrument = 'view' THEN 'ask_bid' ELSE 'bid_ask' END AS column_order FROM ticks WHERE ask > bid GROUP BY 1",
+    "OP127_divergent_dates": "SELECT CAST(d AS VARCHAR) AS day FROM (SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE timezone('America/New_York', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) - timezone('Europe/London', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) <> INTERVAL 5 HOUR",
+}
