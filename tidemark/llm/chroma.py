@@ -84,7 +84,7 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
             a, b = area(0, w, y, low), area(0, w, y + low, low)
         else:
             a, b = area(0, half, y, low) + area(half, half, y + low, low), area(half, half, y, low) + area(0, half, y + low, low)
-        value = np.log((1e-3 + a) / (1e-3 + b))
+        value = np.round(np.log((1e-3 + a) / (1e-3 + b)), 9)  # equal areas of the integral image differ in their last bits
         level = (value > -0.7).astype(np.uint32) + (value > 0) + (value > 0.7)
         out = out << np.uint32(2) | (level ^ level >> np.uint32(1)).astype(np.uint32)  # Gray code: neighbouring levels differ by one bit
     return out

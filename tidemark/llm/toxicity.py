@@ -6,7 +6,7 @@ softmax of the words' own class scores: a plain mean would drown one insult amon
 vectors, softmax weights and bias are trained together, by Adam on minibatches.
 
 Fitting uses a bounded, documented sample of the labelled rows: the ``per_class`` rows of each label with the smallest hash of their id, among texts
-of at most ``fit_chars`` characters. Scoring covers every whole text.
+of at most ``fit_chars`` characters; of equal texts one. Scoring covers every whole text.
 
 Defined results: a null or empty text has no words and gets the bias alone; rows without id or label are not used to fit; of
 several labels of one id the largest counts; repeated rows give a row each; an empty table an empty result; without any
@@ -113,9 +113,10 @@ def attend(scores: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, np.add.reduceat(a * scores, start)
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None, dim: int = 8, epochs: int = 10, batch: int = 128, typos: float = 0.3, rate: float = 0.03, decay: float = 2e-3, seed: int = 7, subwords: Subwords | None = None) -> Model:
+def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None, dim: int = 8, epochs: int = 12, batch: int = 128, typos: float = 0.3, trim: float = 0.9, rate: float = 0.03, decay: float = 0.01, seed: int = 7, subwords: Subwords | None = None) -> Model:
     """weights: of each text, such that together they stand for all labelled rows. typos: share of the words, of either class,
-    that each epoch sees misspelt, so that no word is known by its whole form alone."""
+    that each epoch sees misspelt, so that no word is known by its whole form alone. trim: in the second half, texts that the model
+    is that sure to be labelled wrong are passed over, or it would learn them by heart."""
     sub, rng, letters = subwords or Subwords(), np.random.default_rng(seed), random.Random(seed)
     model = Model(rng.normal(0, 0.1, (sub.buckets, dim)), rng.normal(0, 0.5, (dim, 2)), np.zeros(2), sub)
     bags = [words_of(t) for t in texts]
@@ -143,6 +144,8 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None,
             of = np.repeat(np.arange(len(docs)), np.diff(np.append(start, len(ids))))
             p = 1 / (1 + np.exp(-(z + model.offset())))
             dz = weights[docs] * (p - labels[docs]) / len(docs)
+            if epoch >= epochs // 2:
+                dz[np.abs(p - labels[docs]) > trim] = 0
             ds = np.bincount(ids, dz[of] * a * (1 + score - z[of]), len(seen))  # the weights depend on the scores too
             du = word.T @ ds
             dword = ds[:, None] * u / size[:, None]
@@ -208,10 +211,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = 2500, fit_chars:
     toxic = {r["doc_id"]: r["toxic"] for r in picked}
     chosen = docs.sparkSession.createDataFrame([(i,) for i in toxic], "doc_id long")  # at most 2 * per_class ids
     rows = docs.select("doc_id", "text").where(F.length("text") <= fit_chars).join(F.broadcast(chosen), "doc_id").toArrow().to_pydict()
-    seen, texts, ids = set(), [], []
+    seen, copies, texts, ids = set(), set(), [], []
     for i, t in sorted(zip(rows["doc_id"], rows["text"])):
-        if i not in seen:
+        if i not in seen and t not in copies:  # copies of one text would make its rare words weigh like common ones
             seen.add(i)
+            copies.add(t)
             texts.append(t)
             ids.append(i)
     y = np.array([toxic[i] for i in ids], float)
