@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark import queries as engine
@@ -23,7 +24,7 @@ def duck():
 
 def rows_of(df):
     df = df[sorted(df.columns)].astype(object)
-    plain = lambda x: None if x is None or x != x else float(x) if isinstance(x, (int, float)) else str(x)
+    plain = lambda x: None if pd.isna(x) else float(x) if isinstance(x, (int, float)) else str(x)
     return list(df.columns), sorted(str([plain(x) for x in r]) for r in df.values.tolist())
 
 

@@ -167,11 +167,11 @@ ORACLE_SQL = {
       SELECT 'o' AS instrument, CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS n_bars, (e - s) // 3600000000000 AS hours FROM edges LEFT JOIN counts USING (day) WHERE e - s <> 86400000000000 AND s >= (SELECT min(ts_utc_ns) FROM bars) AND e <= (SELECT max(ts_utc_ns) + 60000000000 FROM bars)""",
     "OP62_bars_per_day": f"WITH {BARS}, {WINDOWS}, {_DAYS} SELECT instrument, CAST(day AS VARCHAR) AS day, n_bars, CAST(contained AS BIGINT) AS contained FROM per_day",
     "OP63_bucket_median": f"WITH {BARS}, {_BUCKET} SELECT instrument, weekday, hour, round(median_spread, 8) AS median_spread, n FROM medians",
-    "OP75_findings_by_check": f"""WITH {FAULTY}, {_MOVES}, clean AS (SELECT * EXCLUDE (value) FROM ticks) SELECT 'E-01' AS check_id, 'ERROR' AS severity, count(*) AS n FROM faulty WHERE ask < bid
+    "OP75_findings_by_check": f"""WITH {FAULTY}, {_MOVES}, every AS (SELECT 'E-01' AS check_id, 'ERROR' AS severity, count(*) AS n FROM faulty WHERE ask < bid
       UNION ALL SELECT 'E-03', 'ERROR', count(*) FROM ({_REVERSED}) UNION ALL SELECT 'W-01', 'WARNING', count(*) FROM ({_REPEATED}) UNION ALL SELECT 'W-02', 'WARNING', count(*) FROM sds WHERE abs(move) > 10 * sd HAVING count(*) > 0
       UNION ALL SELECT 'W-03', 'WARNING', count(*) FROM faulty WHERE {_WEEKEND} UNION ALL SELECT 'W-07', 'WARNING', count(*) FROM faulty WHERE ask = bid UNION ALL SELECT 'I-02', 'INFO', count(DISTINCT (instrument, m)) FROM faulty
       UNION ALL SELECT * FROM (WITH {BARS.split('ticks AS', 1)[0]}{BARS}, {WINDOWS}, {_DAYS}, {_BUCKET} SELECT 'W-05', 'WARNING', count(*) FROM weekdays WHERE n_bars < {THIN} * baseline HAVING count(*) > 0 UNION ALL SELECT 'I-04', 'INFO', count(*) FROM weekdays WHERE baseline IS NULL
-      UNION ALL SELECT 'I-03', 'INFO', count(*) FROM medians WHERE n < {LEAST} HAVING count(*) > 0 UNION ALL SELECT 'I-01', 'INFO', 0 UNION ALL SELECT 'W-04', 'WARNING', count(*) FROM bucketed JOIN medians USING (instrument, weekday, hour) WHERE n >= {LEAST} AND spread_twa > 20.0 * median_spread HAVING count(*) > 0)""",
+      UNION ALL SELECT 'I-03', 'INFO', count(*) FROM medians WHERE n < {LEAST} HAVING count(*) > 0 UNION ALL SELECT 'I-01', 'INFO', 0 UNION ALL SELECT 'W-04', 'WARNING', count(*) FROM bucketed JOIN medians USING (instrument, weekday, hour) WHERE n >= {LEAST} AND spread_twa > 20.0 * median_spread HAVING count(*) > 0)) SELECT * FROM every WHERE n > 0 OR check_id = 'I-01'""",
     "OP89_trailing_stdev": f"WITH {TICKS} SELECT instrument, row_sequence, round(CASE WHEN count(*) OVER w = {REACH} THEN stddev_pop((bid + ask) / 2) OVER w END, 6) AS sd FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY row_sequence ROWS BETWEEN {REACH} PRECEDING AND 1 PRECEDING)",
     "OP90_trailing_median": f"WITH {BARS}, {WINDOWS}, {_DAYS} SELECT instrument, CAST(day AS VARCHAR) AS day, n_bars, round(baseline, 8) AS baseline FROM weekdays",
 }
