@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import market, quality, research, tables
+from tidemark.queries import market, quality, research, spec, tables
 
-MODULES = (market, quality, research, tables)
+MODULES = (market, quality, research, spec, tables)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -38,7 +38,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes))
 
 
 NS = "epoch_us({}) * 1000"

@@ -173,8 +173,8 @@ ORACLE_SQL = {
     "OP36_hour_of_week": f"WITH {TICKS} SELECT isodow({local('ts_utc_ns', 'Europe/London')}) AS weekday, hour({local('ts_utc_ns', 'Europe/London')}) AS hour, year(make_timestamp(ts_utc_ns // 1000)) AS year, count(*) AS n FROM ticks GROUP BY ALL",
     "OP38_session_windows": f"WITH {BARS}, {WINDOWS} SELECT instrument, {TEXT_DAY} AS day, session, start_ns, end_ns, CAST(partial AS BIGINT) AS partial FROM windows",
     "OP41_membership": f"WITH {BARS}, {WINDOWS} SELECT b.instrument, b.ts_utc_ns, coalesce(string_agg(w.session, ',' ORDER BY w.session), '') AS sessions FROM bars b LEFT JOIN windows w ON w.instrument = b.instrument AND w.day = {day_of('b.ts_utc_ns')} AND b.ts_utc_ns >= w.start_ns AND b.ts_utc_ns < w.end_ns GROUP BY ALL",
-    "OP44_mid_and_spread": f"WITH {BARS} SELECT instrument, ts_utc_ns, round(mid, 8) AS mid, round(ask_c - bid_c, 8) AS spread FROM bars",
-    "OP46_log_return": f"WITH {BARS} SELECT instrument, ts_utc_ns, round(ln(mid) - lag(ln(mid)) OVER (PARTITION BY instrument ORDER BY rn), 8) AS ret FROM bars",
+    "OP44_mid_and_spread": f"WITH {BARS} SELECT instrument, ts_utc_ns, round(mid, 8) AS mid, round(ask_c - bid_c, 8) + 0.0 AS spread FROM bars",
+    "OP46_log_return": f"WITH {BARS} SELECT instrument, ts_utc_ns, round(ln(mid) - lag(ln(mid)) OVER (PARTITION BY instrument ORDER BY rn), 8) + 0.0 AS ret FROM bars",
     "OP47_true_range": f"WITH {BARS} SELECT instrument, ts_utc_ns, round(greatest(bid_h - bid_l, abs(bid_h - lag(bid_c) OVER o), abs(bid_l - lag(bid_c) OVER o)), 8) AS tr FROM bars WINDOW o AS (PARTITION BY instrument ORDER BY rn)",
     "OP61_session_extremes": f"WITH {BARS}, {WINDOWS} SELECT instrument, {TEXT_DAY} AS day, session, round(high, 8) AS high, round(low, 8) AS low, round(range, 8) AS range, n_bars, CAST(observed AS BIGINT) AS observed FROM days",
     "OP76_null_counts": f"WITH {BARS}, {atr_sql(ATR)}, {_RV} SELECT 'atr_bars' AS feature, count(*) - count(atr_bars) AS n_null FROM atr UNION ALL SELECT 'rv_60m', count(*) - count(rv) FROM rv",

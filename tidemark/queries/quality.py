@@ -151,7 +151,7 @@ ORACLE_SQL = {
     "OP108_non_positive_price": f"WITH {TICKS} SELECT instrument, row_sequence FROM ticks WHERE value <= 0 OR ask <= 0",
     "OP109_reversal": f"WITH {FAULTY} {_REVERSED}",
     "OP110_duplicate": f"WITH {FAULTY} {_REPEATED}",
-    "OP111_jump": f"WITH {FAULTY}, {_MOVES} SELECT instrument, row_sequence, round(move, 6) AS move FROM sds WHERE abs(move) > {TIMES} * sd",
+    "OP111_jump": f"WITH {FAULTY}, {_MOVES} SELECT instrument, row_sequence, round(move, 6) + 0.0 AS move FROM sds WHERE abs(move) > {TIMES} * sd",
     "OP112_weekend_activity": f"WITH {TICKS} SELECT instrument, row_sequence FROM ticks WHERE {_WEEKEND}",
     "OP113_zero_volume": f"WITH {TICKS} SELECT DISTINCT instrument, strftime(make_timestamp(ts_utc_ns // 1000), '%Y-%m') AS month_key FROM ticks",
     "OP114_missing_hours": f"""WITH {_HOURS}, every AS (SELECT unnest(generate_series(min(hour_ns), max(hour_ns), 3600000000000)) AS hour_ns FROM hours), open_hours AS (SELECT hour_ns, year(make_timestamp(hour_ns // 1000)) AS year FROM every WHERE NOT {weekend('hour_ns')}), joined AS (
