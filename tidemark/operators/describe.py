@@ -77,7 +77,7 @@ def r5_intervals(bars: DataFrame, resamples: int = 500, window: int = 60) -> Dat
 def session_ratios(bars: DataFrame, atr_n: int = 1440, sessions: SessionSet = FX_CORE, names: tuple[str, ...] = R1_SESSIONS) -> DataFrame:
     """(instrument, day, session, range, atr, ratio) of days that are over and have bars in the session; days without a finite ratio are left out."""
     days = session_days(bars, sessions, list(names))
-    with_atr = anchored(days, wilder_atr(bars, atr_n), "atr_bars", "atr").where("n_bars > 0 and observed")
+    with_atr = anchored(days, wilder_atr(bars, atr_n), "atr_bars", "atr", list(names), sessions).where("n_bars > 0 and observed")
     return with_atr.withColumn("ratio", F.try_divide("range", F.nullif("atr", F.lit(0.0)))).where("ratio is not null").select("instrument", "day", "session", "range", "atr", "ratio")
 
 
@@ -122,16 +122,19 @@ def r2_days(bars: DataFrame, atr_n: int = 1440, pct_n: int = 60, sessions: Sessi
     """(instrument, day, pct, ratio, bucket): the morning's percentile, London's range in ATRs, and the percentile's bucket over all days."""
     ratios = session_ratios(bars, atr_n, sessions, ("london",)).select("instrument", "day", "ratio")
     pct = range_percentile(session_days(bars, sessions, ["pre_london"]), pct_n).where("pct is not null").select("instrument", "day", "pct")
-    return quintiles(ratios.join(pct, ["instrument", "day"]), "pct", ["instrument"])
+    # one row for each instrument and day: dealt out once, so that both readers of the rows share the exchange
+    return quintiles(ratios.join(pct, ["instrument", "day"]).repartition("instrument"), "pct", ["instrument"])
 
 
 def r2_buckets(days: DataFrame) -> DataFrame:
     """(instrument, year (null: pooled), bucket, n, pct_min, pct_max, quartiles): all five buckets, empty ones too."""
     each = days.withColumn("year", F.explode(F.array(F.lit(None).cast("int"), F.year("day"))))
-    stats = each.groupBy("instrument", "year", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("pct").alias("pct_min"), F.max("pct").alias("pct_max"), *_quartiles("ratio", "ratio"))
-    spine = each.select("instrument", "year").distinct().withColumn("bucket", F.explode(F.array(*(F.lit(b) for b in range(BUCKETS)))))
-    same = (spine["instrument"] == stats["instrument"]) & spine["year"].eqNullSafe(stats["year"]) & (spine["bucket"] == stats["bucket"])
-    return spine.join(stats, same, "left").select(spine["instrument"], spine["year"], spine["bucket"], F.coalesce("n", F.lit(0)).alias("n"), "pct_min", "pct_max", "q1_ratio", "median_ratio", "q3_ratio")
+    cells = []
+    for k in range(BUCKETS):
+        of = lambda c, k=k: F.when(F.col("bucket") == k, F.col(c))
+        q = F.percentile(of("ratio"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        cells.append(F.struct(F.lit(k).alias("bucket"), F.count(of("ratio")).alias("n"), F.min(of("pct")).alias("pct_min"), F.max(of("pct")).alias("pct_max"), F.get(q, 0).alias("q1_ratio"), F.get(q, 1).alias("median_ratio"), F.get(q, 2).alias("q3_ratio")))
+    return each.groupBy("instrument", "year").agg(F.array(*cells).alias("c")).select("instrument", "year", F.explode("c").alias("c")).select("instrument", "year", "c.*")
 
 
 def r2_intervals(days: DataFrame, resamples: int = 2000) -> DataFrame:

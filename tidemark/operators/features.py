@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
 from tidemark.operators.sequence import numbered, recurrence, trailing
-from tidemark.operators.sessions import day_spine, session_windows
+from tidemark.operators.sessions import bounds, flagged
 from tidemark.plans.config import FX_CORE, SessionSet
 
 KEY = ["instrument"]
@@ -45,13 +45,16 @@ def true_range(bars: DataFrame, out: str = "tr") -> DataFrame:
 
 
 def wilder_atr(bars: DataFrame, n: int = 1440, out: str = "atr_bars") -> DataFrame:
-    """Wilder's average true range over present bars: the mean of the first n at row n - 1, then ((n - 1) previous + TR) / n."""
-    rows = true_range(bars, "_tr")
-    seeds = rows.where(F.col("rn") < n).groupBy(*KEY).agg(F.avg("_tr").alias("_seed"), F.count(F.lit(1)).alias("_m"))
-    # before the seed the recurrence runs on zeros, so all rows go through it once and need no join back
-    fed = rows.join(seeds, KEY, "left").withColumn("_x", F.when((F.col("rn") < n - 1) | (F.col("_m") < n), 0.0).when(F.col("rn") == n - 1, F.col("_seed")).otherwise(F.col("_tr") / n))
-    done = recurrence(fed.drop("_seed"), KEY, (n - 1) / n, "_x", out) if n > 1 else fed.withColumn(out, F.col("_tr")).drop("_seed")
-    return done.withColumn(out, F.when((F.col("rn") >= n - 1) & (F.col("_m") == n), F.col(out))).drop("_tr", "_x", "_m")
+    """Wilder's average true range over present bars: the mean of the first n at row n - 1, then ((n - 1) previous + TR) / n.
+
+    The seed needs no pass of its own: the first n inputs are weighted up by what the recurrence will have taken off them at row n - 1.
+    """
+    rows, a = true_range(bars, "_tr"), (n - 1) / n
+    if n == 1:
+        return rows.withColumnRenamed("_tr", out)
+    weight = F.when(F.col("rn") < n, F.pow(F.lit(a), F.col("rn") - (n - 1))).otherwise(1.0)
+    done = recurrence(rows.withColumn("_x", F.col("_tr") / n * weight), KEY, a, "_x", out)
+    return done.withColumn(out, F.when(F.col("rn") >= n - 1, F.col(out))).drop("_tr", "_x")
 
 
 def realised_volatility(bars: DataFrame, n: int = 60, gap_ns: int = 5 * T.MINUTE, out: str = "rv_60m") -> DataFrame:
@@ -78,11 +81,16 @@ def trailing_range(bars: DataFrame, n: int = 60, out: str = "range_60m") -> Data
 def session_days(bars: DataFrame, sessions: SessionSet = FX_CORE, names: list[str] | None = None) -> DataFrame:
     """(instrument, day, session, start_ns, end_ns, partial, high, low, range, n_bars, observed) for every day and session; without bars in the
     window the values are null. observed: the instrument has a bar at or after the window's end."""
-    windows = session_windows(day_spine(bars), sessions, names)
-    inside = with_day(with_mid(bars)).select("instrument", "day", "ts_utc_ns", "mid").join(windows.select("instrument", "day", "session", "start_ns", "end_ns"), ["instrument", "day"]).where("ts_utc_ns >= start_ns and ts_utc_ns < end_ns")
-    stats = inside.groupBy("instrument", "day", "session").agg(F.max("mid").alias("high"), F.min("mid").alias("low"), F.count(F.lit(1)).alias("n_bars"))
-    last = bars.groupBy("instrument").agg(F.max("ts_utc_ns").alias("_last"))
-    full = windows.join(stats, ["instrument", "day", "session"], "left").join(last, "instrument")
+    picked = [x for x in sessions.sessions if names is None or x.name in names]
+    edges = {x.name: bounds(x, sessions) for x in picked}
+    inside = {n: F.expr(f"ts_utc_ns >= {lo} and ts_utc_ns < {hi}") for n, (lo, hi) in edges.items()}
+    # one aggregation by day for all sessions: the windows are expressions of the day
+    stats = [f.alias(f"_{n}_{c}") for n, i in inside.items() for c, f in (("high", F.max(F.when(i, F.col("mid")))), ("low", F.min(F.when(i, F.col("mid")))), ("n_bars", F.count_if(i)))]
+    by_day = with_day(with_mid(bars)).groupBy("instrument", "day").agg(*stats, F.min("ts_utc_ns").alias("_lo"), F.max("ts_utc_ns").alias("_hi"))
+    span = by_day.groupBy("instrument").agg(F.min("day").alias("_from"), F.max("day").alias("_to"), F.max("_hi").alias("_last"))
+    spine = span.select("instrument", "_last", F.explode(F.sequence("_from", "_to")).alias("day")).join(by_day, ["instrument", "day"], "left")
+    parts = F.array(*(F.struct(F.lit(n).alias("session"), F.expr(lo).alias("start_ns"), F.expr(hi).alias("end_ns"), *(F.col(f"_{n}_{c}").alias(c) for c in ("high", "low", "n_bars"))) for n, (lo, hi) in edges.items()))
+    full = flagged(spine.select("instrument", "day", "_last", F.explode(parts).alias("w")).select("instrument", "day", "_last", "w.*"))
     return full.withColumn("range", F.col("high") - F.col("low")).withColumn("n_bars", F.coalesce("n_bars", F.lit(0))).withColumn("observed", F.col("_last") >= F.col("end_ns")).drop("_last", "empty")
 
 
@@ -109,16 +117,17 @@ def visible(bars: DataFrame, days: DataFrame, columns: list[tuple[str, str, str]
     return joined.withColumns(seen).drop(*(f"_end_{s}" for s in names), *(["day"] if "day" not in bars.columns else []))
 
 
-def anchored(days: DataFrame, rows: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Adds to each day and session the value of a bar column at the first bar at or after the window's end, of that day or a later one; null for days
-    without bars in the window. Works by day: the first bar after the end on the day itself, else the first bar of the next day that has any."""
-    out = out or column
-    own = with_day(rows).select("instrument", "day", "ts_utc_ns", column)
-    after = own.join(days.select("instrument", "day", "session", "end_ns"), ["instrument", "day"]).where("ts_utc_ns >= end_ns").groupBy("instrument", "day", "session").agg(F.min_by(F.struct(column), "ts_utc_ns").alias("_own"))
-    first = own.groupBy("instrument", "day").agg(F.min_by(F.struct(column), "ts_utc_ns").alias("_first"))
+def anchored(days: DataFrame, rows: DataFrame, column: str, out: str, names: list[str], sessions: SessionSet = FX_CORE) -> DataFrame:
+    """Adds to each day and session (of names) the value of a bar column at the first bar at or after the window's end, of that day or a later one; null
+    for days without bars in the window. Works by day, in one aggregation: the first bar after each end on the day itself, else the first bar of the next
+    day that has any."""
+    pick = lambda when: F.min_by(F.struct(column), F.when(when, F.col("ts_utc_ns")))
+    ends = [pick(F.expr(f"ts_utc_ns >= {bounds(sessions[n], sessions)[1]}")).alias(f"_{n}") for n in names]
+    by_day = with_day(rows).groupBy("instrument", "day").agg(F.min_by(F.struct(column), "ts_utc_ns").alias("_first"), *ends)
     later = W.partitionBy("instrument", "session").orderBy("day").rowsBetween(1, W.unboundedFollowing)
-    full = days.join(after, ["instrument", "day", "session"], "left").join(first, ["instrument", "day"], "left").withColumn("_next", F.first("_first", True).over(later))
-    return full.withColumn(out, F.when(F.col("n_bars") > 0, F.coalesce("_own", "_next")[column])).drop("_own", "_first", "_next")
+    full = days.join(by_day, ["instrument", "day"], "left").withColumn("_next", F.first("_first", True).over(later))
+    own = F.coalesce(*(F.when(F.col("session") == n, F.col(f"_{n}")) for n in names))
+    return full.withColumn(out, F.when(F.col("n_bars") > 0, F.coalesce(own, F.col("_next"))[column])).drop("_first", "_next", *(f"_{n}" for n in names))
 
 
 class FeatureError(ValueError):

@@ -20,9 +20,10 @@ def days_between(spark, start: str, end: str) -> DataFrame:
     return spark.sql(f"select explode(sequence(date'{start}', date'{end}')) as day")
 
 
-def _bounds(s: Session, of: SessionSet) -> tuple[str, str]:
+def bounds(s: Session, of: SessionSet) -> tuple[str, str]:
+    """Start and end of a session as expressions of the column day: no join is needed to know whether a bar is inside."""
     if s.parents:
-        parents = [_bounds(of[p], of) for p in s.parents]
+        parents = [bounds(of[p], of) for p in s.parents]
         start = f"greatest({', '.join(a for a, _ in parents)})"
         return start, f"greatest({start}, least({', '.join(b for _, b in parents)}))"
     return T.at_local("day", s.start, s.zone), T.at_local("day", s.end, s.zone)
@@ -37,10 +38,13 @@ def session_windows(days: DataFrame, sessions: SessionSet = FX_CORE, names: list
     picked = [s for s in sessions.sessions if names is None or s.name in names]
     if names and {s.name for s in picked} != set(names):
         raise ConfigError(f"unknown sessions among {names}")
-    parts = F.array(*(F.struct(F.lit(s.name).alias("session"), F.expr(a).alias("start_ns"), F.expr(b).alias("end_ns")) for s in picked for a, b in [_bounds(s, sessions)]))
-    wide = days.withColumn("w", F.explode(parts)).select(*days.columns, "w.*")
+    parts = F.array(*(F.struct(F.lit(s.name).alias("session"), F.expr(a).alias("start_ns"), F.expr(b).alias("end_ns")) for s in picked for a, b in [bounds(s, sessions)]))
+    return flagged(days.withColumn("w", F.explode(parts)).select(*days.columns, "w.*"))
+
+
+def flagged(windows: DataFrame) -> DataFrame:
     gap = " or ".join(T.weekend_gap(x) for x in ("start_ns", "(end_ns - 1)", "(start_ns + (end_ns - start_ns) div 2)"))
-    return wide.withColumn("empty", F.col("start_ns") >= F.col("end_ns")).withColumn("partial", F.expr(f"not empty and ({gap})"))
+    return windows.withColumn("empty", F.col("start_ns") >= F.col("end_ns")).withColumn("partial", F.expr(f"not empty and ({gap})"))
 
 
 def membership(rows: DataFrame, windows: DataFrame, ts: str = "ts_utc_ns", id_cols: list[str] | None = None) -> DataFrame:

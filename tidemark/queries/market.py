@@ -114,8 +114,8 @@ def op85b(spark, sf):
 
 def op86(spark, sf):
     b = bars(spark, sf)
-    days = X.session_days(b, names=["pre_london", "london", "new_york"])
-    return _day(rounded(X.anchored(days, X.wilder_atr(b, ATR), "atr_bars", "atr").select("instrument", "day", "session", "atr")))
+    names = ["pre_london", "london", "new_york"]
+    return _day(rounded(X.anchored(X.session_days(b, names=names), X.wilder_atr(b, ATR), "atr_bars", "atr", names).select("instrument", "day", "session", "atr")))
 
 
 def op95(spark, sf):
