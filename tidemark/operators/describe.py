@@ -120,10 +120,12 @@ def quintiles(rows: DataFrame, value: str, keys: list[str], out: str = "bucket")
 
 def r2_days(bars: DataFrame, atr_n: int = 1440, pct_n: int = 60, sessions: SessionSet = FX_CORE) -> DataFrame:
     """(instrument, day, pct, ratio, bucket): the morning's percentile, London's range in ATRs, and the percentile's bucket over all days."""
-    ratios = session_ratios(bars, atr_n, sessions, ("london",)).select("instrument", "day", "ratio")
-    pct = range_percentile(session_days(bars, sessions, ["pre_london"]), pct_n).where("pct is not null").select("instrument", "day", "pct")
+    days = range_percentile(session_days(bars, sessions, ["pre_london", "london"]), pct_n)
+    known = anchored(days, wilder_atr(bars, atr_n), "atr_bars", "atr", ["london"], sessions).where("n_bars > 0 and observed")
+    ratio = F.when(F.col("session") == "london", F.try_divide("range", F.nullif("atr", F.lit(0.0))))
+    both = known.groupBy("instrument", "day").agg(F.max(ratio).alias("ratio"), F.max(F.when(F.col("session") == "pre_london", F.col("pct"))).alias("pct")).where("ratio is not null and pct is not null")
     # one row for each instrument and day: dealt out once, so that both readers of the rows share the exchange
-    return quintiles(ratios.join(pct, ["instrument", "day"]).repartition("instrument"), "pct", ["instrument"])
+    return quintiles(both.repartition("instrument"), "pct", ["instrument"])
 
 
 def r2_buckets(days: DataFrame) -> DataFrame:

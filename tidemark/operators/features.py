@@ -96,11 +96,11 @@ def session_days(bars: DataFrame, sessions: SessionSet = FX_CORE, names: list[st
 
 def range_percentile(days: DataFrame, n: int = 60) -> DataFrame:
     """Adds pct: the share of the n eligible days before whose range is smaller; null with fewer. Eligible: bars of its own, and over."""
-    eligible = days.where("n_bars > 0 and observed")
-    w = W.partitionBy("instrument", "session").orderBy("day")
-    ranked = eligible.withColumn("_before", F.collect_list("range").over(w.rowsBetween(-n, -1)))
-    pct = F.when(F.size("_before") == n, F.size(F.filter("_before", lambda x: x < F.col("range"))) / F.lit(n))
-    return days.join(ranked.select("instrument", "day", "session", pct.alias("pct")), ["instrument", "day", "session"], "left")
+    eligible = (F.col("n_bars") > 0) & F.col("observed")
+    w = W.partitionBy("instrument", "session", "_eligible").orderBy("day")
+    ranked = days.withColumn("_eligible", eligible).withColumn("_before", F.collect_list("range").over(w.rowsBetween(-n, -1)))
+    pct = F.when(F.col("_eligible") & (F.size("_before") == n), F.size(F.filter("_before", lambda x: x < F.col("range"))) / F.lit(n))
+    return ranked.withColumn("pct", pct).drop("_eligible", "_before")
 
 
 def visible(bars: DataFrame, days: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
@@ -194,7 +194,7 @@ def compute(names: list[str], bars: DataFrame, sessions: SessionSet = FX_CORE, p
         days = session_days(bars, sessions, sorted({f.day_value[0] for f in daily}))
         for f in daily:
             if f.day_value[1] == "pct":
-                days = days.join(range_percentile(days.where(F.col("session") == f.day_value[0]), given[f.name]["n"]).select("instrument", "day", "session", "pct"), ["instrument", "day", "session"], "left")
+                days = range_percentile(days, given[f.name]["n"])
         rows = visible(rows, days, [(*f.day_value, f.name) for f in daily])
     for f in order:
         if not f.day_value:
