@@ -119,6 +119,21 @@ def test_main_text(frame):
     assert main_text(PAGE % (frame % BODY)) == WANT
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div id=s><h1>T</h1><section><p>Para one, long enough to count, really.</p></section><section><p>Short.</p></section></div><div><ul><li><a>Link one</a></ul></div>", "T\nPara one, long enough to count, really.\nShort."),
+        ("<article><header><h1>T</h1><p>By X</p></header><p>Text, text.</p><footer>f</footer></article>", "T\nText, text."),
+        ("<div class=post><p>Short body, yes.</p><p>Second.</p></div><div class=discussion>" + "<p>Very, long, comment.</p>" * 30 + "</div>", "Short body, yes.\nSecond."),
+        ("<main><article><h1>A</h1><p>Body one, and more.</p></article><article class=teaser><p>Other</p></article></main>", "A\nBody one, and more."),
+        ('<article class="commentary"><p title="a>b">x<!-- <p>no</p> -->y<p data-x=\'>\'>z &amp;amp; &lt;b&gt;</article>', "xy\nz &amp; <b>"),
+        ("<article><table><tr><td>a<td>b</table><pre> x\n y</pre><dl><dt>t<dd>d</dl>tail<noscript><p>n</p></noscript></article>", "a\nb\nx y\nt\nd\ntail"),
+    ],
+)
+def test_containers(page, want):
+    assert main_text(f"<html><body>{page}</body></html>") == want
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE % f"<article>{BODY}</article>"), (2, None, None), (3, "u", ""), (4, "u", "<html><nav><a>x</a></nav></html>"), (None, "u", "just text, no markup"), (5, "u", "<p>cut <b>of"), (5, "u", "<p>cut <b>of"), (6, "u", "<div" + " x" * 50), (7, "u", "<p>" + "<div>" * 3000 + "deep")]
     got = {(r["page_id"]): (r["text"], r["n_chars"]) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

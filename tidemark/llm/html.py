@@ -4,7 +4,7 @@ A page becomes a tree of elements. Every paragraph (a block with text of its own
 commas to its ancestors, less with each level, and discounted by the share of its text that is in links. The container
 with most points is taken, up to the ``article`` or ``main`` that holds it, and those of its siblings which read like text
 are kept beside it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out wherever they are, by element, role or class.
+are left out wherever they are, by element, role or class; of the header of an article itself the headings stay.
 
 Defined results: a null or empty page, and one without text, has the empty text; null ids and urls are kept; repeated rows give a row
 each; an empty table an empty result; extra columns are not returned. A line break element is white space within its block.
@@ -26,7 +26,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe button select textarea input label dialog menu svg canvas object embed head title".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-LEFT_OUT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices comment comments commentlist disqus respond replies sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager skip".split())
+LEFT_OUT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices comment comments commentlist disqus discussion feedback guestbook reactions reply replies respond responses sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager skip".split())
+#: Beginnings of such names; a commentary is an article.
+LEFT_OUT_STARTS = re.compile(r"(?!commentar)(comment|readercomment|usercomment|advert|cookie|sidebar|newsletter|breadcrumb|navbar|sponsor)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends when one of the second kind starts, unless one of the third is between.
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dd": (frozenset(["dd", "dt"]), frozenset(["dl"])), "dt": (frozenset(["dd", "dt"]), frozenset(["dl"])),
@@ -40,14 +43,18 @@ _NAME = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "tag", "parent", "out", "points", "length", "linked")
+    __slots__ = ("children", "tag", "parent", "out", "points", "length", "linked", "names")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, names: str = ""):
+        self.tag, self.parent, self.out, self.names = tag, parent, out, names
         self.children: list[Node | str] = []
         self.points, self.length, self.linked = 0.0, 0, 0
 
 
+def _class_of(rest: str) -> str:
+    return next((" ".join(sorted("".join(v).lower().split())) for n, *v in _ATTR.findall(rest) if n.lower() == "class"), "") if "=" in rest else ""
+
+
 def _is_left_out(tag: str, rest: str) -> bool:
     if tag in LEFT_OUT:
         return True
@@ -55,7 +62,7 @@ def _is_left_out(tag: str, rest: str) -> bool:
         return False
     for name, *values in _ATTR.findall(rest):
         value, name = html.unescape("".join(values)).lower(), name.lower()
-        if name == "role" and value.strip() in LEFT_OUT_ROLES or name in ("class", "id") and not LEFT_OUT_NAMES.isdisjoint(_NAME.split(value)):
+        if name == "role" and value.strip() in LEFT_OUT_ROLES or name in ("class", "id") and any(x in LEFT_OUT_NAMES or LEFT_OUT_STARTS.match(x) for x in _NAME.split(value)):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -90,7 +97,12 @@ def parse(page: str) -> Node:
             open_ = _close(open_, frozenset(["p"]), frozenset(["table", "td", "th", "button", "caption"]))
         if tag in IMPLIED:
             open_ = _close(open_, *IMPLIED[tag])
-        node = Node(tag, open_, _is_left_out(tag, m["rest"]))
+        out = _is_left_out(tag, m["rest"])
+        if tag == "header" and any(x.tag in ("article", "main") and not x.out for x in _up(open_)):
+            out = False  # an article's own header: its headings are the article's, see below
+        elif open_.tag == "header" and tag not in HEADINGS and tag != "hgroup":
+            out = True
+        node = Node(tag, open_, out, _class_of(m["rest"]))
         open_.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
@@ -190,25 +202,25 @@ def main_blocks(page: str) -> list[str]:
     if not containers:
         return []
     best = max(containers, key=lambda x: x.points)
-    for x in _up(best.parent):
-        if x.tag in ("article", "main"):
-            best = x
-            break
+    if best.tag not in ("article", "main"):
+        best = next((x for x in _up(best.parent) if x.tag in ("article", "main")), best)
     parent = best.parent
     if parent is None or best.tag in ("article", "main", "body"):
         return blocks(best)
     out = []
     for x in parent.children:
-        if x is best or isinstance(x, Node) and not x.out and _reads_like_text(x, best.points):
+        if x is best or isinstance(x, Node) and not x.out and _reads_like_text(x, best):
             out += blocks(x)
     return out
 
 
-def _reads_like_text(x: Node, most: float) -> bool:
+def _reads_like_text(x: Node, best: Node) -> bool:
+    """Headings, paragraphs and lists beside the best container, further containers of its kind, and others with a fifth of its points."""
     density = x.linked / x.length if x.length else 1.0
-    if x.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figure", "table", "ul", "ol", "dl"):
-        return density < 0.5
-    return x.points >= max(3.0, most * 0.2) and density < 0.5
+    if density >= 0.5:
+        return False
+    kind = (x.tag, x.names) == (best.tag, best.names)
+    return kind or x.tag in HEADINGS or x.tag in ("p", "blockquote", "pre", "figure", "table", "ul", "ol", "dl") or x.points >= max(3.0, best.points * 0.2)
 
 
 def main_text(page: str | None) -> str:
