@@ -8,7 +8,7 @@ vectors, softmax weights and bias are trained together, by Adam on minibatches.
 Fitting uses a bounded, documented sample of the labelled rows: the ``per_class`` rows of each label with the smallest hash of their id, among texts
 of at most ``fit_chars`` characters; of equal texts one. Scoring covers every whole text.
 
-Defined results: a null or empty text has no words and gets the bias alone; rows without id or label are not used to fit; of
+Defined results: a null or empty text has no words, gets the bias alone and is never called toxic; rows without id or label are not used to fit; of
 several labels of one id the largest counts; repeated rows give a row each; an empty table an empty result; without any
 labelled rows of both classes every score is 0.
 """
@@ -122,7 +122,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None,
     bags = [words_of(t) for t in texts]
     keep = np.array([i for i, b in enumerate(bags) if b], np.int64)
     if not len(keep) or len(set(labels[keep].tolist())) < 2:
-        model.vectors[:], model.bias[:] = 0, (40.0 if not labels.any() else -40.0, 0)
+        model.vectors[:], model.bias[:] = 0, (40.0, 0.0)
         return model
     weights = np.ones(len(texts)) if weights is None else weights / weights.mean()
     params = {"v": model.vectors, "w": model.softmax, "b": model.bias}
@@ -187,7 +187,7 @@ class Scorer:
                 self.known.clear()
             self.learn([*{w for bag in bags for w in bag if w not in self.known}])
             for bag in bags:
-                z = self.offset
+                z = self.offset if bag else min(self.offset, -1e-6)
                 if bag:
                     z += float(attend(np.fromiter(map(self.known.__getitem__, bag), float, len(bag)), np.zeros(1, np.int64))[1][0])
                 out.append(float(1 / (1 + np.exp(-min(40, max(-40, z))))))
@@ -201,23 +201,25 @@ def held_out(id_col: str = "doc_id"):
 
 def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = 2500, fit_chars: int = 20_000) -> Model:
     """Learns labels.toxic from the rows that aren't held out: at most per_class texts of each label, each of at most fit_chars."""
-    short = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= fit_chars) & ~held_out()).select("doc_id")
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.join(short.distinct(), "doc_id").withColumn("_at", F.xxhash64("doc_id"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_at", F.xxhash64("doc_id"))
     total = Counter({r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
-    picked = [r for label in (0, 1) for r in known.where(F.col("toxic") == label).orderBy("_at", "doc_id").limit(per_class).select("doc_id", "toxic").collect()]
+    # somewhat more ids than needed, since some texts are missing, too long or copies; documents themselves are read once
+    spare = per_class + per_class // 4
+    picked = [r for label in (0, 1) for r in known.where(F.col("toxic") == label).orderBy("_at", "doc_id").limit(spare).collect()]
     if not picked:
         return fit([], np.zeros(0))
-    toxic = {r["doc_id"]: r["toxic"] for r in picked}
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in toxic], "doc_id long")  # at most 2 * per_class ids
+    toxic, place = {r["doc_id"]: r["toxic"] for r in picked}, {r["doc_id"]: k for k, r in enumerate(picked)}
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in toxic], "doc_id long")  # at most 2 * spare ids
     rows = docs.select("doc_id", "text").where(F.length("text") <= fit_chars).join(F.broadcast(chosen), "doc_id").toArrow().to_pydict()
-    seen, copies, texts, ids = set(), set(), [], []
-    for i, t in sorted(zip(rows["doc_id"], rows["text"])):
-        if i not in seen and t not in copies:  # copies of one text would make its rare words weigh like common ones
+    seen, copies, texts, ids, taken = set(), set(), [], [], Counter()
+    for _, i, t in sorted((place[i], i, t) for i, t in zip(rows["doc_id"], rows["text"])):
+        # copies of one text would make its rare words weigh like common ones
+        if i not in seen and t not in copies and taken[toxic[i]] < per_class:
             seen.add(i)
             copies.add(t)
             texts.append(t)
             ids.append(i)
+            taken[toxic[i]] += 1
     y = np.array([toxic[i] for i in ids], float)
     n = Counter(y.astype(int).tolist())
     # Half of the weight follows the true shares and half is even, so that rare toxic rows aren't ignored.
