@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import parts_for, text_bytes, written
 
-CHUNK_BYTES = 2 << 20
+#: Of a corpus of up to 1 GB: text of a chunk; fingerprints of a bucket, if every byte of text made half a byte of them.
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -74,7 +75,25 @@ def open_chunk(blob: bytes) -> Chunk:
     return Chunk([None if e else i for e, i in zip(empty.tolist(), ids.tolist())], texts)
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
+@dataclass
+class Layout:
+    """Sizes of chunks and number of buckets.
+
+    A chunk sends a row to each bucket. Were both of a fixed size, the rows would grow with the square of the corpus; so from 1 GB on both
+    grow with its square root, up to 32 times: the number of fingerprints in a row stays above fifty from megabytes to a hundred terabytes.
+    """
+
+    chunk_bytes: int
+    buckets: int
+
+    @staticmethod
+    def of(docs: DataFrame) -> Layout:
+        n = text_bytes(docs)
+        grown = min(32.0, max(1.0, (n / 2**30) ** 0.5))
+        return Layout(int(CHUNK_BYTES * grown), parts_for(docs.sparkSession, n / 2, int(BUCKET_BYTES * grown)))
+
+
+def chunks_of(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, blob) of all documents (doc_id, text), written; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +104,7 @@ def chunks_of(docs: DataFrame) -> DataFrame:
                 ids.append(i)
                 texts.append(b)
                 n += len(b) + 16
-                if n >= CHUNK_BYTES:
+                if n >= chunk_bytes:
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int64()), "blob": pa.array([pack_chunk(ids, texts)], pa.binary())})
                     ids, texts, n, at = [], [], 0, at + 1
         if ids:
@@ -167,9 +186,3 @@ def answer_array(rows: pa.Table, sent: Sent) -> np.ndarray:
     for b, blob in zip(rows["bucket"].to_pylist(), rows["answer"]):
         out[sent.start[b] : sent.start[b + 1]] = unsqueeze(blob.as_py(), np.uint8)
     return out
-
-
-def buckets_for(docs: DataFrame) -> int:
-    """So many that a bucket has about 16 MB of fingerprints, if every byte of text made half a byte of them."""
-    n = text_bytes(docs)
-    return parts_for(docs.sparkSession, n / 2, 8 << 20)

@@ -75,7 +75,8 @@ def _signed(a: np.ndarray) -> list[int]:
 def set_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """A row for each document: number of shingles, a 128-bit signature of the set, and, if the prefix has any token of other documents, all tokens
     of the set that have: the rest can be in no overlap."""
-    buckets, chunks = R.buckets_for(docs), R.chunks_of(docs)
+    layout = R.Layout.of(docs)
+    buckets, chunks = layout.buckets, R.chunks_of(docs, layout.chunk_bytes)
 
     def features(blob: bytes) -> tuple[R.Chunk, np.ndarray, np.ndarray]:
         chunk = R.open_chunk(blob)

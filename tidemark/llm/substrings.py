@@ -95,7 +95,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, with_text
     """(doc_id, n_words, n_removed, kept_sha256, kept_text, removed): removed has start and end of each maximal repeat, in words."""
     if not 1 <= block <= (window + 1) // 2:
         raise ValueError("window must be at least 2 * block - 1: otherwise a repeat can miss every reference block")
-    buckets, chunks = R.buckets_for(docs), R.chunks_of(docs)
+    layout = R.Layout.of(docs)
+    buckets, chunks = layout.buckets, R.chunks_of(docs, layout.chunk_bytes)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = R.WordHashes()
