@@ -24,6 +24,8 @@ from tidemark.llm.shared import parts_for, text_bytes, written
 
 #: Of a corpus of up to 1 GB: text of a chunk; fingerprints of a bucket, if every byte of text made half a byte of them.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: A chunk's number is its partition and its place in it, a document's that and its place in the chunk: 25 bits are left for partitions.
+SEQUENCE_BITS, ROW_BITS = 18, 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -97,16 +99,18 @@ def chunks_of(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, blob) of all documents (doc_id, text), written; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, n, at = [], [], 0, (TaskContext.get().partitionId() << 32)
+        ids, texts, n, at = [], [], 0, (TaskContext.get().partitionId() << SEQUENCE_BITS)
         for batch in batches:
             for i, t in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 b = (t.as_py() or "").encode()
                 ids.append(i)
                 texts.append(b)
                 n += len(b) + 16
-                if n >= chunk_bytes:
+                if n >= chunk_bytes or len(ids) == 1 << ROW_BITS:
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int64()), "blob": pa.array([pack_chunk(ids, texts)], pa.binary())})
                     ids, texts, n, at = [], [], 0, at + 1
+                    if not at % (1 << SEQUENCE_BITS):
+                        raise ValueError("more chunks in a partition than their numbers have room for: read documents in smaller partitions")
         if ids:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int64()), "blob": pa.array([pack_chunk(ids, texts)], pa.binary())})
 

@@ -105,7 +105,7 @@ def set_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 common, n = t[c > 1], len(t)
                 first = prefix(common, c[c > 1], n, 0, percent)
                 whole = len(first) > 0
-                out.append(((key << 20) + k, doc_id, n, a, b, common.tobytes() if whole else None, c[c > 1].tobytes() if whole else None, _signed(first)))
+                out.append(((key << R.ROW_BITS) + k, doc_id, n, a, b, common.tobytes() if whole else None, c[c > 1].tobytes() if whole else None, _signed(first)))
         types = (pa.int64(),) * 5 + (pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 8, types)], [x.split()[0] for x in _SETS.split(", ")])
 
