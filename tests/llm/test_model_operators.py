@@ -189,6 +189,41 @@ def test_audio(spark):
     assert len(m) == 1 and m[0]["class"] == got[1]["class"] and abs(m[0]["offset"] - 30) <= 1 and got[200]["matches"] is None and got[3]["matches"] is None
 
 
+def edited(rng, words, every, fresh):
+    at = set(range(every // 2, len(words), every))
+    return [rng.choice(fresh) if k in at else w for k, w in enumerate(words)]
+
+
+def test_audio_recall_by_force(spark):
+    """Near copies with a word in fifteen, ten, seven or five replaced, against brute force over all offsets."""
+    rng = random.Random(11)
+    fresh = [f"w{k}" for k in range(5000)]
+    texts, copies = {}, {}
+    for every in (15, 10, 7, 5):
+        for k in range(50):
+            words, i = [rng.choice(fresh) for _ in range(60)], 1000 * every + 2 * k
+            texts[i], texts[i + 1] = " ".join(words), " ".join(edited(rng, words, every, fresh))
+            copies[i + 1] = i
+    prints = {i: chroma.fingerprint(np.frombuffer(chroma.render(t), "<i2").astype(float)) for i, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
+    rows = chroma.align(df, ["id"], "text", F.col("id") % 2 == 1, chroma.render, block_numbers=3000).collect()
+    by_class, got = {r["class"]: r["id"] for r in rows}, {r["id"]: r["matches"] or [] for r in rows}
+    meets = lambda n, e, i, j: n >= 0.25 * min(len(prints[i]), len(prints[j])) and e <= 0.3 * 32 * n
+    for i, found in got.items():
+        for m in found:
+            n, e = chroma.bit_errors(prints[i], prints[by_class[m["class"]]], m["offset"])
+            assert i in copies and (n, e) == (m["overlap"], m["errors"]) and meets(n, e, i, by_class[m["class"]])
+    for every in (15, 10, 7, 5):
+        due, met = 0, 0
+        for i, j in copies.items():
+            a, b = prints[i], prints[j]
+            by_force = [(2 * e - 32 * n, abs(o), o) for o in range(1 - len(b), len(a)) for n, e in [chroma.bit_errors(a, b, o)] if meets(n, e, i, j)]
+            if i // 1000 == every and by_force:
+                due += 1
+                met += any(by_class[m["class"]] == j and m["offset"] == min(by_force)[2] for m in got[i])
+        assert due >= 45 and met >= 0.9 * due, (every, due, met)
+
+
 def test_fingerprint_by_force():
     samples = np.frombuffer(chroma.render(prose(random.Random(4), 60)), "<i2").astype(float)
     frames, prints = chroma.chroma(samples), chroma.fingerprint(samples)

@@ -2,8 +2,9 @@
 
 Audio (16-bit mono samples) becomes frames of energy by pitch class. Filters that compare rectangles of frames and pitch classes, by
 an integral image, give two bits each; sixteen of them are one packed 32-bit number for each frame. Recordings with equal numbers form a
-class. Two classes are compared if they share two consecutive numbers: the histogram of the offsets at which they do gives the alignment,
-and the share of differing bits over the whole overlap at that offset decides.
+class. Two classes are compared at every offset at which a number of one is within two bits of a number of the other: numbers of the
+queries are looked up with each of their bits flipped, and so are those of the classes. The share of differing bits over the whole overlap
+decides, and the offset with most equal bits gives the alignment. Queries go to the tasks in blocks, so that neither numbers nor pairs are shuffled.
 
 Defined results: null, empty or too short audio has no fingerprint, is in no class and aligns with nothing; silence has a fingerprint like any other; a
 null id is kept and never a query; repeated rows are recordings of one class; an empty table gives an empty result; extra columns are not returned.
@@ -124,17 +125,140 @@ def fingerprints(table: DataFrame, keys: list[str], column: str, read: Callable[
     return table.select(*keys, column).mapInArrow(run, f"{schema}, n_frames long, prints binary")
 
 
-def _pairs_of(prints: DataFrame, owner: str) -> DataFrame:
-    """(owner, key, at): every two consecutive numbers with their place."""
+#: A number as it is, and with each of its bits flipped.
+_FLIPS = np.concatenate([np.zeros(1, np.uint32), np.uint32(1) << np.arange(32, dtype=np.uint32)])
+_FILTER_BITS = 27
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place within the row) of every item, for rows of so many items."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _pieces(counts: np.ndarray, most: int = 1 << 21) -> Iterator[slice]:
+    """Runs of rows that have about most items together; a larger row is alone."""
+    ends, at = np.cumsum(counts), 0
+    while at < len(counts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+class Probes:
+    """The numbers of a block of queries, found by any number that differs in two bits or fewer."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.numbers = np.concatenate(prints)
+        self.size = np.array([len(p) for p in prints], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.distinct, where = np.unique(self.numbers, return_inverse=True)
+        self.places = np.argsort(where, kind="stable")
+        self.count = np.bincount(where, minlength=len(self.distinct))
+        self.first = np.cumsum(self.count) - self.count
+        self.of, self.at = _spread(self.size)
+        keys = (self.distinct[:, None] ^ _FLIPS).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.number = keys[order], (order // len(_FLIPS)).astype(np.int32)
+        seen = np.zeros(1 << _FILTER_BITS, bool)
+        seen[self._slot(self.keys)] = True
+        self.seen = np.packbits(seen, bitorder="little")
+
+    @staticmethod
+    def _slot(v: np.ndarray) -> np.ndarray:
+        return v * np.uint32(0x9E3779B1) >> np.uint32(32 - _FILTER_BITS)
+
+    def near(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in distinct, place in self.distinct) of every two numbers that differ in two bits or fewer."""
+        found = [np.zeros(0, np.int64)]
+        for flip in _FLIPS:
+            v = distinct ^ flip
+            slot = self._slot(v)
+            at = np.flatnonzero(self.seen[slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8) & np.uint8(1))
+            low = np.searchsorted(self.keys, v[at])
+            row, k = _spread(np.searchsorted(self.keys, v[at], "right") - low)
+            found.append(at[row] * len(self.distinct) + self.number[low[row] + k])
+        both = np.unique(np.concatenate(found))
+        return both // len(self.distinct), both % len(self.distinct)
+
+    def hits(self, prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, recording, offset) at which a number of each is near the other's, once each."""
+        numbers, size = np.concatenate(prints), np.array([len(p) for p in prints], np.int64)
+        of, at = _spread(size)
+        distinct, where = np.unique(numbers, return_inverse=True)
+        places, count = np.argsort(where, kind="stable"), np.bincount(where, minlength=len(distinct))
+        first = np.cumsum(count) - count
+        mine, asked = self.near(distinct)
+        longest = int(max(size.max(), self.size.max()))
+        found = [np.zeros(0, np.int64)]
+        for part in _pieces(count[mine]):
+            row, k = _spread(count[mine[part]])
+            y, u = places[first[mine[part]][row] + k], asked[part][row]
+            for some in _pieces(self.count[u]):
+                row, k = _spread(self.count[u[some]])
+                x, z = self.places[self.first[u[some]][row] + k], y[some][row]
+                found.append(np.unique((self.of[x] * len(prints) + of[z]) * (2 * longest) + self.at[x] - at[z] + longest))
+        code = np.unique(np.concatenate(found))
+        both, offset = code // (2 * longest), code % (2 * longest) - longest
+        return both // len(prints), both % len(prints), offset
+
+    def aligned(self, prints: list[np.ndarray], same: Callable[[np.ndarray, np.ndarray], np.ndarray], most_errors: float, least_overlap: float) -> tuple[np.ndarray, ...]:
+        """(query, recording, offset, overlap, errors) of the pairs that meet the limits, each at its offset with most equal bits."""
+        q, c, offset = self.hits(prints)
+        numbers, size = np.concatenate(prints), np.array([len(p) for p in prints], np.int64)
+        begin = np.cumsum(size) - size
+        start = np.maximum(0, offset)
+        overlap = np.minimum(self.size[q], size[c] + offset) - start
+        keep = (overlap >= least_overlap * np.minimum(self.size[q], size[c])) & ~same(q, c)
+        q, c, offset, start, overlap = q[keep], c[keep], offset[keep], start[keep], overlap[keep]
+        errors = np.zeros(len(q), np.int64)
+        for part in _pieces(overlap):
+            row, k = _spread(overlap[part])
+            x = (self.begin[q[part]] + start[part])[row] + k
+            y = (begin[c[part]] + start[part] - offset[part])[row] + k
+            errors[part] = np.add.reduceat(np.bitwise_count(self.numbers[x] ^ numbers[y]).astype(np.int64), np.cumsum(overlap[part]) - overlap[part])
+        good = np.flatnonzero(errors <= most_errors * 32 * overlap)
+        order = good[np.lexsort((offset[good], np.abs(offset[good]), 2 * errors[good] - 32 * overlap[good], c[good], q[good]))]
+        best = np.ones(len(order), bool)
+        best[1:] = (np.diff(q[order]) != 0) | (np.diff(c[order]) != 0)
+        return tuple(a[order[best]] for a in (q, c, offset, overlap, errors))
+
+
+MATCHES = "query long, class long, offset long, overlap long, errors long"
+
+
+def _matches(reps: DataFrame, asked: list[tuple[int, bytes]], most_errors: float, least_overlap: float) -> DataFrame:
+    """MATCHES of a block of queries (class, squeezed prints) among all classes, as a written table."""
+    sent = reps.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, probes = np.array([i for i, _ in sent.value], np.int64), None
         for batch in batches:
-            for who, blob in zip(batch[owner].to_pylist(), batch["prints"]):
-                a = unsqueeze(blob.as_py(), np.uint32).astype(np.int64)
-                if len(a) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a) - 1, who), pa.int64()), pa.array(a[:-1] << 32 | a[1:]), pa.array(np.arange(len(a) - 1), pa.int64())], [owner, "key", "at"])
+            if not batch.num_rows:
+                continue
+            probes = probes or Probes([unsqueeze(b, np.uint32) for _, b in sent.value])
+            classes, prints = np.array(batch["class"].to_pylist(), np.int64), [unsqueeze(b.as_py(), np.uint32) for b in batch["prints"]]
+            for part in _pieces(np.array([len(p) for p in prints]), 1 << 19):
+                own = classes[part]
+                q, c, *rest = probes.aligned(prints[part], lambda q, c, own=own: ids[q] == own[c], most_errors, least_overlap)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in (ids[q], own[c], *rest)], ["query", "class", "offset", "overlap", "errors"])
+
+    out = written(reps.select("class", "prints").mapInArrow(run, MATCHES), "matches")
+    sent.unpersist()
+    return out
+
 
-    return prints.select(owner, "prints").mapInArrow(run, f"{owner} long, key long, at long")
+def _blocks(reps: DataFrame, numbers: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The queries' (class, squeezed prints), in blocks of about so many numbers; the driver holds one block at a time."""
+    block, n = [], 0
+    for r in reps.where("asked").select("class", "prints", "n_frames").toLocalIterator():
+        block.append((r["class"], bytes(r["prints"])))
+        n += r["n_frames"]
+        if n >= numbers:
+            yield block
+            block, n = [], 0
+    if block:
+        yield block
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -145,28 +269,18 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return end - start, int(np.bitwise_count(a[start:end] ^ b[start - offset : end - offset]).sum())
 
 
-def align(table: DataFrame, keys: list[str], column: str, query: Column, read: Callable[[object], bytes | None] | None = None, most_errors: float = 0.3, least_overlap: float = 0.25) -> DataFrame:
+def align(table: DataFrame, keys: list[str], column: str, query: Column, read: Callable[[object], bytes | None] | None = None, most_errors: float = 0.3, least_overlap: float = 0.25, block_numbers: int = 1 << 18) -> DataFrame:
     """One row for each recording: keys, n_frames, class (the row number of its first recording), is_query, and for queries the classes that align:
-    (class, offset in frames, overlap, bit_errors), where at most most_errors of the bits differ over at least least_overlap of the shorter one."""
+    (class, offset in frames, overlap, bit_errors), where at most most_errors of the bits differ over at least least_overlap of the shorter one.
+    block_numbers: so many numbers of queries are looked for at a time."""
     rows = written(fingerprints(table, keys, column, read).withColumn("row", F.monotonically_increasing_id()).withColumn("is_query", F.lit(False)), "prints")
     rows = rows.withColumn("is_query", F.coalesce(query, F.lit(False)))
     heard = rows.where("prints is not null").withColumn("hash", F.sha2("prints", 256))
     classes = written(heard.groupBy("hash").agg(F.min("row").alias("class"), F.max("is_query").alias("asked")), "classes")
-    reps = written(rows.select(F.col("row").alias("class"), "prints").join(classes.select("class", "asked"), "class"), "class-prints")
-    index = _pairs_of(reps, "class")
-    asked = _pairs_of(reps.where("asked").withColumnRenamed("class", "query"), "query").withColumnRenamed("at", "query_at")
-    hits = asked.join(index, "key").where("query <> class").groupBy("query", "class", (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
-    best = hits.groupBy("query", "class").agg(F.max_by("offset", F.struct("n", -F.abs("offset"), "offset")).alias("offset"))
-    both = best.join(reps.select(F.col("class").alias("query"), F.col("prints").alias("a")), "query").join(reps.select("class", F.col("prints").alias("b")), "class")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [(unsqueeze(x.as_py(), np.uint32), unsqueeze(y.as_py(), np.uint32)) for x, y in zip(batch["a"], batch["b"])]
-            got = [(*bit_errors(x, y, o), min(len(x), len(y))) for (x, y), o in zip(pairs, batch["offset"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["query"], batch["class"], batch["offset"], *(pa.array([g[k] for g in got], pa.int64()) for k in range(3))], ["query", "class", "offset", "overlap", "errors", "shorter"])
-
-    pairs = both.select("query", "class", "offset", "a", "b").mapInArrow(measure, "query long, class long, offset long, overlap long, errors long, shorter long")
-    good = pairs.where((F.col("errors") <= most_errors * 32 * F.col("overlap")) & (F.col("overlap") >= least_overlap * F.col("shorter")))
+    reps = written(rows.select(F.col("row").alias("class"), "n_frames", "prints").join(classes.select("class", "asked"), "class"), "class-prints")
+    good = rows.sparkSession.createDataFrame([], MATCHES)
+    for asked in _blocks(reps, block_numbers):
+        good = good.unionAll(_matches(reps, asked, most_errors, least_overlap))
     found = good.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("class", "offset", "overlap", "errors"))).alias("matches"))
     with_class = rows.withColumn("hash", F.sha2("prints", 256)).join(classes.select("hash", "class"), "hash", "left")
     asked_class = F.when(F.col("is_query"), F.col("class"))
