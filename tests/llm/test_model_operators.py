@@ -13,10 +13,12 @@ from tests.llm.test_text_operators import components_by_force, contamination_by_
 from tidemark.llm import chroma
 from tidemark.llm.html import extract_pages, main_text
 from tidemark.llm.packing import byte_bpe
+from tidemark.llm.queries import QUERIES
 from tidemark.llm.rollups import DELTA, Rollup, corpus_totals
 from tidemark.llm.secrets import Novelty, redact, redact_secrets, scan_secrets
 from tidemark.llm.toxicity import fit_on, keep_clean, misspelt, score_documents
 
+TURNS = "conv_id long, turn long, role string, text string"
 INSULTS = ["wretchling", "grumblefool", "snotgoblin", "dimwitted", "blockhead"]
 
 
@@ -224,6 +226,19 @@ def test_audio_recall_by_force(spark):
         assert due >= 45 and met >= 0.9 * due, (every, due, met)
 
 
+def test_short_turns(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [prose(rng, n) for n in range(1, 24)]
+    assert all(len(chroma.fingerprint(np.frombuffer(chroma.render_turn(t), "<i2").astype(float))) >= 2 for t in texts) and chroma.render_turn(" ") == chroma.render_turn(None) == b""
+    rows = [(conv, 0, "user", t) for conv, t in enumerate([*texts, *texts, "one", "one one", "", None], 100)]
+    spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in QUERIES["op10_media_columns"](spark, str(tmp_path)).collect()}
+    n = len(texts)
+    assert all(got[100 + k]["class"] == got[100 + n + k]["class"] is not None for k in range(n))
+    one, two, empty, null = (got[100 + 2 * n + k]["class"] for k in range(4))
+    assert one is not None and two is not None and one != two and empty is None and null is None
+
+
 def test_fingerprint_by_force():
     samples = np.frombuffer(chroma.render(prose(random.Random(4), 60)), "<i2").astype(float)
     frames, prints = chroma.chroma(samples), chroma.fingerprint(samples)

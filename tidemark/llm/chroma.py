@@ -27,6 +27,7 @@ RATE, FRAME, HOP = 4000, 512, 128
 LOW_HZ, HIGH_HZ, REFERENCE_HZ = 200.0, 1900.0, 440.0
 WIDTH = 16  # frames that a number looks at
 NOTE = 128  # samples of a note in rendered text
+ROUND = -(-(FRAME + WIDTH * HOP) // NOTE)  # notes that make two numbers
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -98,6 +99,13 @@ def render(text: str | None) -> bytes:
     return _NOTES[notes].tobytes()
 
 
+def render_turn(text: str | None) -> bytes:
+    """The same, but a text of too few words for two numbers is repeated, with a rest of one note after each time, until it has them."""
+    words = len((text or "").encode().split())
+    once = render(text)
+    return once if not 0 < words < ROUND else (once + bytes(2 * NOTE)) * -(-ROUND // (words + 1))
+
+
 def _notes() -> np.ndarray:
     t = np.arange(NOTE) / RATE
     hz = REFERENCE_HZ / 2 * 2 ** (np.arange(36)[:, None] / 12)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chroma import align, render
+from tidemark.llm.chroma import align, render_turn
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.html import extract_pages
 from tidemark.llm.packing import pack_documents
@@ -62,10 +62,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table holds audio, so every turn of every conversation is rendered as a melody first; the turns of conversations whose id
-    is divisible by 100 are looked for among all turns."""
+    """No table holds audio, so every turn of every conversation is rendered as a melody first (one of few words is repeated); the turns of
+    conversations whose id is divisible by 100 are looked for among all turns."""
     turns = _read(spark, sf_dir, "conversations")
-    return align(turns, ["conv_id", "turn"], "text", F.col("conv_id") % 100 == 0, render)
+    return align(turns, ["conv_id", "turn"], "text", F.col("conv_id") % 100 == 0, render_turn)
 
 
 QUERIES = {
