@@ -3,7 +3,8 @@
 The patterns give the base spans. Beside them, each string of 16 characters or more that follows a sensitive word within 48
 characters is a candidate: it is measured by how many bytes it adds to the compressed surroundings, with a compressor primed by a
 dictionary of code and identifiers. Names, paths and ordinary code are in the surroundings or the dictionary and add few bytes; a random string
-adds about as many as it has. Those above ``novelty`` bytes a character, of letters and digits mixed, are reported as kind ``novel``.
+adds about as many as it has. Those above ``novelty`` bytes a character are reported as kind ``novel``, to their ends however long, with the lines
+right below them that are nothing but such a string too (key blocks): one span for a block.
 
 Defined results: a null text counts as empty and has no spans; null ids and repeated rows give a row each; an empty table an empty result;
 extra columns are not returned. Offsets are code points of the whole text.
@@ -13,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -37,7 +39,9 @@ CODE = (
 )
 _ANY = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 _STRING = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
-_REACH, _BEFORE, _AFTER = 48, 256, 128
+_BREAK = re.compile(r"""["',;+\\ \t]*(?:\r?\n|\\r\\n|\\n)[ \t>*#"']*""")
+_LINE = re.compile(r"""[A-Za-z0-9+/_=~.-]+(?=[ \t]*(?:["',;+\\<\r\n]|\Z))""")
+_REACH, _BEFORE, _AFTER, _LEAST = 48, 256, 128, 16
 
 
 class Novelty:
@@ -62,21 +66,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def lines_below(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The string from start to end and the lines right below it that are a string each. A line too short to be measured is the last one, and
+    only of lines that are equally long or that a line of dashes closes."""
+    lines, width, even = [(start, end)], end - start, False
+    while (gap := _BREAK.match(text, lines[-1][1])) and (line := _LINE.match(text, gap.end())) and not line[0].startswith("-----"):
+        s, e = line.span()
+        if e - s < _LEAST:
+            closed = (after := _BREAK.match(text, e)) and text.startswith("-----", after.end())
+            return [*lines, (s, e)] if even and e - s < width or closed else lines
+        width, even = e - s, e - s == width
+        lines.append((s, e))
+    return lines
+
+
+def block_end(text: str, start: int, end: int, measure: Novelty, novelty: float) -> int:
+    """Where the incompressible lines from this string on end; start if there are none. The lines are measured in the surroundings
+    of them all: next to each other they would make one another cheaper."""
+    lines = lines_below(text, start, end)
+    before, after = text[max(0, start - _BEFORE) : start], text[lines[-1][1] : lines[-1][1] + _AFTER]
+    done = start
+    for s, e in lines:
+        if e - s >= _LEAST and measure(before, text[s:e], after) < novelty:
+            break
+        done = e
+    return done
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], measure: Novelty, novelty: float) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(k in low for k in SENSITIVE):
         return []
+    strings = [m.span() for m in _STRING.finditer(text)]
+    ends = [e for _, e in strings]
     found, taken, covered = [], 0, sorted((s, e) for s, _, e in base)
     for word in _ANY.finditer(text):
-        for m in _STRING.finditer(text, max(word.end(), taken), word.end() + _REACH + 4096):
-            s, e = m.span()
+        k = bisect_right(ends, max(word.end(), taken))
+        while k < len(strings):
+            s, e = max(strings[k][0], word.end(), taken), ends[k]
             if s > word.end() + _REACH:
                 break
-            taken = e
-            string = m[0]
-            mixed = any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
-            if mixed and not any(a < e and s < b for a, b in covered) and measure(text[max(0, s - _BEFORE) : s], string, text[e : e + _AFTER]) >= novelty:
-                found.append((s, 3, e))
+            k += 1
+            if e - s < _LEAST:
+                continue
+            taken = max(e, end := block_end(text, s, e, measure, novelty))
+            if end > s:
+                # what a base span holds wholly has been found already
+                if not any(a <= s and taken <= b for a, b in covered):
+                    found.append((s, 3, taken))
+                k = bisect_right(ends, taken)
     return found
 
 
