@@ -16,7 +16,7 @@ from tidemark.llm.packing import byte_bpe
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.rollups import DELTA, Rollup, corpus_totals
 from tidemark.llm.secrets import Novelty, base_spans, novel_spans, redact, redact_secrets, scan_secrets
-from tidemark.llm.toxicity import fit_on, keep_clean, misspelt, score_documents
+from tidemark.llm.toxicity import fit_on, keep_clean, misspelt, score_documents, words_of
 
 TURNS = "conv_id long, turn long, role string, text string"
 INSULTS = ["wretchling", "grumblefool", "snotgoblin", "dimwitted", "blockhead"]
@@ -65,6 +65,23 @@ def test_misspellings_and_long_texts(spark, fitted, docs_of):
     assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(k or -1 for k in [*(k for k, p in got.items() if not p)])
 
 
+def test_long_runs(spark, fitted, docs_of):
+    """An insult far behind the 64th character of a run is seen; so are all characters of a run."""
+    _, _, model = fitted
+    rng, clean, bad = random.Random(13), [], []
+    for k, insult in enumerate(INSULTS):
+        for j, glue in enumerate([".", "-", "_", "/", ""]):
+            a, b = prose(rng, 40).split(), prose(rng, 20).split()
+            clean.append((100 + 10 * k + j, glue.join(a + b)))
+            bad.append((200 + 10 * k + j, glue.join([*a, insult, *b])))
+    got = {r["doc_id"]: r["predicted"] for r in score_documents(docs_of(clean + bad), model).collect()}
+    assert sum(got[i] for i, _ in bad) >= 23 and sum(got[i] for i, _ in clean) <= 2
+    for n in (1, 64, 65, 71, 72, 73, 79, 80, 81, 1000):
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        assert set("".join(words_of(run))) == set(run) and all(any(run[k : k + 8] in w for w in words_of(run)) for k in range(max(1, n - 8)))
+    assert words_of("under_score a.b-c") == ["a.b-c", "under_score"]
+
+
 def test_nothing_to_learn(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = docs_of([(1, "a b"), (2, None)])

@@ -1,6 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of its character n-grams, so that a misspelling shares most of its vector with the word that is meant. A
+A word is the mean of the vectors of its character n-grams, so that a misspelling shares most of its vector with the word that is meant. Runs
+of more than 64 characters without white space are split at inner punctuation, and what is still longer into overlapping pieces. A
 document is an average of its distinct words' vectors, which goes into a softmax over two classes. The weights of the average are themselves a
 softmax of the words' own class scores: a plain mean would drown one insult among a thousand harmless words. N-gram
 vectors, softmax weights and bias are trained together, by Adam on minibatches.
@@ -28,7 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_INNER = re.compile(r"[\W_]+")
 _CACHE = 400_000
+LONGEST, PIECE = 64, 16
+
+
+def parts(run: str) -> Iterator[str]:
+    """The words of a longer run: between punctuation, and of still longer ones every piece of PIECE characters that begins at half a piece."""
+    for w in _INNER.split(run):
+        if len(w) <= LONGEST:
+            yield w
+        else:
+            yield from (w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2))
 
 
 def words_of(text: str) -> list[str]:
@@ -36,6 +48,9 @@ def words_of(text: str) -> list[str]:
     raw = set(text.lower().split())
     plain = {w for w in raw if w.isalnum()}
     plain.update(_EDGES.sub("", w) for w in raw - plain)
+    for run in [w for w in plain if len(w) > LONGEST]:
+        plain.remove(run)
+        plain.update(parts(run))
     plain.discard("")
     return sorted(plain)
 
@@ -50,7 +65,7 @@ class Subwords:
 
     def bags(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, word) of every n-gram of bytes of <word>, all words at once, and the number of each word's."""
-        marked = [f"<{w[:64]}>".encode() for w in words]  # longer runs are no words; their first 64 characters stand for them
+        marked = [f"<{w}>".encode() for w in words]
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         of = np.repeat(np.arange(len(marked)), sizes)
         b = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
