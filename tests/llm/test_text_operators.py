@@ -10,7 +10,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pytest
 
-from tidemark.llm.decontamination import find_contamination, keep_uncontaminated
+from tidemark.llm.decontamination import find_contamination, item_blocks, keep_uncontaminated
 from tidemark.llm.packing import byte_bpe, fullest, pack_documents
 from tidemark.llm.sharding import minimax_capacity, minimax_cuts, shard_documents
 from tidemark.llm.similarity import keep_representatives, linked, near_components
@@ -118,7 +118,8 @@ def test_minimax():
         z = np.array([rng.randint(1, 30) for _ in range(n)])
         best = min(max(int(z[a:b].sum()) for a, b in zip((0, *c), (*c, n))) for c in combinations_with_replacement(range(n + 1), k - 1))
         cuts = [0, *minimax_cuts(z, k), n]
-        assert minimax_capacity(z, k) == best == max(int(z[a:b].sum()) for a, b in zip(cuts, cuts[1:])) or max(int(z[a:b].sum()) for a, b in zip(cuts, cuts[1:])) <= best
+        assert minimax_capacity(z, k) == best
+        assert cuts == sorted(cuts) and max(int(z[a:b].sum()) for a, b in zip(cuts, cuts[1:])) == best
 
 
 def test_shards(spark, docs_of):
@@ -133,6 +134,15 @@ def test_shards(spark, docs_of):
         by_text.setdefault(texts[r["doc_id"]] or "", set()).add(r["shard"])
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(len(s) == 1 for s in by_text.values())
+    # no partition of the groups, in their order, into five runs has a smaller largest shard
+    groups = {}
+    for t in texts.values():
+        key = hashlib.md5((t or "").encode()).hexdigest()
+        groups[key] = groups.get(key, 0) + sum(sizes[i] for i, u in rows if (u or "") == (t or "")) if key not in groups else groups[key]
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) == minimax_capacity(np.array([groups[k] for k in sorted(groups)]), 5)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert shard_documents(docs_of([]), 5).count() == 0
 
@@ -221,6 +231,21 @@ def contamination_by_force(rows, items, window=13):
     return out
 
 
+def test_an_item_with_two_texts_counts_once_in_any_number_of_blocks(spark, docs_of):
+    rng = random.Random(8)
+    items = [(5, prose(rng, 20)), (5, prose(rng, 30)), *((k, prose(rng, 25)) for k in range(10, 30))]
+    docs, bench = docs_of([(1, f"{items[0][1]} x {items[1][1]}"), (2, f"{items[7][1]} {items[0][1]} {items[12][1]}")]), spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for block_bytes in (1 << 20, 2000, 500, 1):
+        rows = find_contamination(docs, bench, block_bytes=block_bytes).collect()
+        got[block_bytes] = sorted(tuple(r) for r in rows)
+    assert all(x == got[1 << 20] for x in got.values()) and [r[3] for r in got[1]] == [[5], sorted([5, items[7][0], items[12][0]])]
+    assert got[1][0][6] == [30]  # the longer text's match
+    blocks = item_blocks(bench, 2000)
+    assert len(blocks) > 1 and sorted(i for b in blocks for (i, _) in b.collect()) == sorted(i for i, _ in items)
+    assert all(sum(len(t.encode()) + 64 for _, t in b.collect()) <= 2000 for b in blocks)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 400])
 def test_contamination(spark, docs_of, block_bytes):
     rng = random.Random(6)
@@ -230,7 +255,7 @@ def test_contamination(spark, docs_of, block_bytes):
         item = rng.choice(items[:12])[1].split()
         cut = item[rng.randrange(max(1, len(item) // 3)) :]
         rows.append((k, " ".join([prose(rng, rng.randint(0, 60)), ", ".join(cut).upper() if k % 3 else "-".join(cut), prose(rng, rng.randint(0, 300)), "short, one" if k % 7 == 0 else ""])))
-    rows += [(90, None), (91, ""), (92, items[3][1]), (93, " ".join(items[4][1].split() * 3))]
+    rows += [(90, None), (91, ""), (92, items[3][1]), (93, " ".join(items[4][1].split() * 3)), (94, f"{items[16][1]} and {prose(rng, 5)} {items[17][1]}"), (95, items[17][1]), (96, f"{prose(rng, 200_000)} {items[16][1]}")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = contamination_by_force(rows, items)
     docs = docs_of(rows)

@@ -2,19 +2,21 @@
 
 Documents are taken in shards of about ``SHARD_CHARS`` characters. A shard's suffix array is sparse: it sorts the suffixes (by their first
 ``window`` words) that could match at all, namely those whose first two words stand together in some benchmark item and that go on with words of
-the benchmark for as long as the shortest window. Every suffix of every benchmark item is looked up in it by binary search, which gives all
-places of the item's windows; windows that follow each other on one diagonal are one longer verbatim match.
+the benchmark for as long as the shortest window. Every suffix of a benchmark item that is a window long (or the whole of a shorter item) is looked up in
+it by binary search, which gives all places of the item's windows; windows that follow each other on one diagonal are one longer verbatim match. Shorter
+suffixes are no contamination by themselves and are not looked up.
 
-Benchmark items are sent to the executors in blocks of at most ``block_bytes``; with more than one block each takes a pass of its
-own over the documents, and the hits are merged by row.
+Benchmark items are sent to the executors in blocks of at most ``block_bytes``, cut by sums over cells of a hash of the id, so that a block is larger only if
+one id's texts are; with more than one block each takes a pass of its own over the documents, and the hits are merged by row. All texts of an id are in one block.
 
 Words are runs of ASCII letters and digits and of all other characters beyond ASCII, with A-Z made lower case. A window is
 ``window`` consecutive words of an item, or the whole of an item that has fewer. A document is contaminated if any word is inside an
 occurrence of a window and these are at least ``share`` of its words.
 
 Defined results: a null or empty text has no words and is never contaminated; items without id or without words are not looked for, and items of
-one id count once; repeated rows give a row each; an empty table gives an empty result, an empty benchmark no hits; extra columns are
-not returned by find_contamination and kept by keep_uncontaminated.
+one id count once, with the longest match of any of their texts (of equally long ones: of the first text in order, then the one that starts earliest relative to
+the item); repeated rows give a row each; documents of any length are taken whole, in a shard of their own if need be; an empty table gives an empty
+result, an empty benchmark no hits; extra columns are not returned by find_contamination and kept by keep_uncontaminated, whatever their names.
 """
 
 from __future__ import annotations
@@ -164,12 +166,22 @@ def shards(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts of at most block_bytes of text (or of one item), each small enough to be sent whole."""
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark in parts of at most block_bytes of text (or of one cell of ids), each small enough to be sent whole."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 64), F.lit(0)).alias("n")).first()["n"]
-    n = 2 * total // block_bytes + 1 if total > block_bytes else 1
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
+    size = F.octet_length("text").cast("long") + 64
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    if total <= block_bytes:
+        return [items]
+    # sixteen cells a block on average; the driver holds a number for each of at most 2 ** 20
+    cells = min(1 << 20, 1 << (16 * total // block_bytes).bit_length())
+    cell = F.pmod(F.xxhash64("item_id"), F.lit(cells))
+    starts, held = [0], 0
+    for r in sorted(items.groupBy(cell.alias("cell")).agg(F.sum(size).alias("n")).collect()):
+        if held and held + r["n"] > block_bytes:
+            starts, held = [*starts, r["cell"]], 0
+        held += r["n"]
+    return [items.where((cell >= a) & (cell < b)) for a, b in zip(starts, [*starts[1:], cells])]
 
 
 def _send(items: DataFrame, window: int):
@@ -183,7 +195,7 @@ _FOUND = "n_words long, n_hit long, item_ids array<long>, match_starts array<lon
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float | Fraction = Fraction(1, 20), block_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, n_words, n_hit, item_ids, match_starts, item_starts, match_words, contaminated) of every document: the items
     that have an occurring window, with the longest verbatim match of each."""
-    blocks, part = item_blocks(benchmark, window, block_bytes), Fraction(share).limit_denominator(10**6)
+    blocks, part = item_blocks(benchmark, block_bytes), Fraction(share).limit_denominator(10**6)
     if len(blocks) == 1:
         found = _pass(docs.select("doc_id", "text"), blocks[0], window).drop("runs")
     else:
@@ -194,7 +206,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
             every = one if every is None else every.unionByName(one)
         pairs = F.array_sort(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda k: F.array(F.get("runs", k), F.get("runs", k + 1)))).alias("p")))
         every = every.withColumn("runs", F.when(F.size("runs") > 0, F.col("runs")).otherwise(F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))))
-        merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), pairs.alias("pairs"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "match_starts", "item_starts", "match_words")))
+        # an item is in one block only, so its longest match is known there
+        lists = ("item_ids", "match_starts", "item_starts", "match_words")
+        matches = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*lists))))
+        merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), pairs.alias("pairs"), matches.alias("matches"))
+        merged = merged.select("*", *(F.col("matches").getField(c).alias(c) for c in lists))
         n_hit = F.aggregate("pairs", F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), lambda a, p: F.array(F.get(a, 0) + F.greatest(F.lit(0).cast("long"), F.get(p, 1) - F.greatest(F.get(p, 0), F.get(a, 1))), F.greatest(F.get(a, 1), F.get(p, 1))))
         found = merged.withColumn("n_hit", F.get(n_hit, 0)).select("doc_id", *(x.split()[0] for x in _FOUND.split(", ")))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * part.denominator >= F.col("n_words") * part.numerator))
@@ -222,7 +238,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     With several blocks the words hit are counted together, by a row number.
     """
     part = Fraction(share).limit_denominator(10**6)
-    blocks = item_blocks(benchmark, window, block_bytes)
+    blocks = item_blocks(benchmark, block_bytes)
     if len(blocks) > 1:
         row = free_name(docs, "row")
         rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
