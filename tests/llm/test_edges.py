@@ -26,7 +26,7 @@ def folders(spark, tmp_path_factory):
         rows += [tuple(None if j == c else x for j, x in enumerate(rows[c])) for c in range(len(kinds))] + [(None,) * len(kinds)] * 2 + rows[:3]
         df = spark.createDataFrame(rows, schema)
         df.limit(0).write.parquet(f"{root}/empty/{name}.parquet")
-        df.withColumns({c: F.lit("x") for c in ("size", "rank", "row", "chunk", "n", "label", "at", "kept", "piece", "blob")}).write.parquet(f"{root}/nulls/{name}.parquet")
+        df.withColumns({c: F.lit("x") for c in ("size", "rank", "row", "chunk", "n", "label", "at", "kept", "piece", "blob", "number", "_cut", "_within", "held_out", "score", "class", "query", "prints", "is_query", "n_words", "kind", "cls", "token", "start", "length")}).write.parquet(f"{root}/nulls/{name}.parquet")
     return root, {name: len(TABLES[name].split(", ")) + 25 for name in TABLES}
 
 
@@ -37,7 +37,8 @@ def test_empty_tables(spark, folders, name):
 
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_nulls_and_repeated_rows(spark, folders, name):
-    n = ALL[name](spark, f"{folders[0]}/nulls").count()
+    out = ALL[name](spark, f"{folders[0]}/nulls")
+    n = out.where("kind = 'recording'").count() if name.startswith("op10_") else out.count()
     table = {"op9": "pages", "op10": "conversations"}.get(name.split("_")[0], "documents")
     if name in ("pipeline", "op6_token_counts"):
         assert n > 0

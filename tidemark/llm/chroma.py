@@ -1,19 +1,23 @@
 """Chroma audio fingerprints for media columns: find recordings that hold the same audio, and how they align.
 
 Audio (16-bit mono samples) becomes frames of energy by pitch class. Filters that compare rectangles of frames and pitch classes, by
-an integral image, give two bits each; sixteen of them are one packed 32-bit number for each frame. Recordings with equal numbers form a
-class. Two classes are compared at every offset at which a number of one is within two bits of a number of the other: numbers of the
+an integral image, give two bits each; sixteen of them are one packed 32-bit number for each frame. Frames and image are made for many recordings at once; energies are
+whole numbers, so that a fingerprint doesn't depend on what stands beside it. Recordings with equal fingerprints form a
+class, named by the digest of the fingerprint. Two classes are compared at every offset at which a number of one is within two bits of a number of the other: numbers of the
 queries are looked up with each of their bits flipped, and so are those of the classes. The share of differing bits over the whole overlap
 decides, and the offset with most equal bits gives the alignment. Queries go to the tasks in blocks, so that neither numbers nor pairs are shuffled.
 
 Defined results: null, empty or too short audio has no fingerprint, is in no class and aligns with nothing; silence has a fingerprint like any other; a
-null id is kept and never a query; repeated rows are recordings of one class; an empty table gives an empty result; extra columns are not returned.
+null id is kept and never a query; repeated rows are recordings of one class; recordings of any length are taken whole; of offsets with equally many equal bits the one nearest to 0
+counts, then the smaller; an empty table gives an empty result; extra columns are not returned.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.recurring import squeeze, unsqueeze
-from tidemark.llm.shared import written
+from tidemark.llm.shared import scratch_path, written
 
 RATE, FRAME, HOP = 4000, 512, 128
 LOW_HZ, HIGH_HZ, REFERENCE_HZ = 200.0, 1900.0, 440.0
 WIDTH = 16  # frames that a number looks at
 NOTE = 128  # samples of a note in rendered text
+SCALE = 1 << 20  # what the energies of a frame add up to
 ROUND = -(-(FRAME + WIDTH * HOP) // NOTE)  # notes that make two numbers
 
 
@@ -38,18 +43,22 @@ def _filters() -> list[tuple[int, int, int, int]]:
 FILTERS = _filters()
 
 
-def chroma(samples: np.ndarray) -> np.ndarray:
-    """Energy by pitch class of every frame, each frame scaled to a sum of 1 (silence: all equal)."""
-    n = (len(samples) - FRAME) // HOP + 1
-    if n < 1:
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n]
-    out = np.empty((n, 12))
-    for at in range(0, n, 4096):
-        energy = np.abs(np.fft.rfft(frames[at : at + 4096] * np.hanning(FRAME))) ** 2
-        out[at : at + 4096] = energy @ _FOLD
-    total = out.sum(axis=1, keepdims=True)
-    return np.where(total > 1e-9, out / np.maximum(total, 1e-9), 1 / 12)
+def frame_starts(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the frames of recordings of these sizes, laid end to end, start, and how many each has."""
+    frames = np.array([max(0, (n - FRAME) // HOP + 1) for n in sizes], np.int64)
+    row, k = _spread(frames)
+    return (np.cumsum([0, *sizes[:-1]]))[row] + k * HOP if len(row) else np.zeros(0, np.int64), frames
+
+
+def chroma(samples: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Energy by pitch class of the frames that start there, each frame scaled to about SCALE and rounded (silence: all equal)."""
+    out = np.empty((len(starts), 12), np.int64)
+    for at in range(0, len(starts), 4096):
+        frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[starts[at : at + 4096]]
+        energy = (np.abs(np.fft.rfft(frames * _HANN)) ** 2) @ _FOLD
+        total = energy.sum(axis=1, keepdims=True)
+        out[at : at + 4096] = np.rint(np.where(total > 1e-9, energy / np.maximum(total, 1e-9), 1 / 12) * SCALE)
+    return out
 
 
 def _fold() -> np.ndarray:
@@ -61,23 +70,23 @@ def _fold() -> np.ndarray:
     return fold
 
 
-_FOLD = _fold()
+_FOLD, _HANN = _fold(), np.hanning(FRAME)
 
 
-def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """A packed number for each frame that has WIDTH - 1 frames after it."""
-    frames = chroma(samples)
-    n = len(frames) - WIDTH + 1
-    if n < 1:
-        return np.zeros(0, np.uint32)
-    image = np.zeros((len(frames) + 1, 13))
+def fingerprints_of(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """For each recording a packed number for each frame that has WIDTH - 1 frames after it."""
+    starts, sizes = frame_starts([len(r) for r in recordings])
+    frames = chroma(np.concatenate(recordings) if recordings else np.zeros(0), starts)
+    image = np.zeros((len(frames) + 1, 13), np.int64)
     image[1:, 1:] = frames.cumsum(0).cumsum(1)
-    at = np.arange(n)
+    numbers = np.maximum(0, sizes - WIDTH + 1)
+    row, k = _spread(numbers)
+    at = (np.cumsum(sizes) - sizes)[row] + k
 
     def area(x: int, w: int, y: int, h: int) -> np.ndarray:
         return image[at + x + w, y + h] - image[at + x, y + h] - image[at + x + w, y] + image[at + x, y]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros(len(at), np.uint32)
     for kind, y, h, w in FILTERS:
         half, low = w // 2, h // 2
         if kind == 0:
@@ -86,10 +95,14 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
             a, b = area(0, w, y, low), area(0, w, y + low, low)
         else:
             a, b = area(0, half, y, low) + area(half, half, y + low, low), area(half, half, y, low) + area(0, half, y + low, low)
-        value = np.round(np.log((1e-3 + a) / (1e-3 + b)), 9)  # equal areas of the integral image differ in their last bits
-        level = (value > -0.7).astype(np.uint32) + (value > 0) + (value > 0.7)
+        value = np.log((SCALE + 1000 * a) / (SCALE + 1000 * b))
+        level = (value > -0.7).astype(np.uint32) + (a > b) + (value > 0.7)
         out = out << np.uint32(2) | (level ^ level >> np.uint32(1)).astype(np.uint32)  # Gray code: neighbouring levels differ by one bit
-    return out
+    return np.split(out, np.cumsum(numbers)[:-1])
+
+
+def fingerprint(samples: np.ndarray) -> np.ndarray:
+    return fingerprints_of([samples])[0]
 
 
 def render(text: str | None) -> bytes:
@@ -116,21 +129,21 @@ _NOTES = _notes()
 
 
 def fingerprints(table: DataFrame, keys: list[str], column: str, read: Callable[[object], bytes | None] | None = None) -> DataFrame:
-    """(keys, n_frames, prints): read gives the samples of a value of the column; None: the column holds them."""
+    """(keys, n_frames, prints, class): read gives the samples of a value of the column; None: the column holds them."""
     fields = {f.name: f.dataType.simpleString() for f in table.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, blobs = [], []
-            for value in batch[column]:
-                raw = (read(value.as_py()) if read else value.as_py()) or b""
-                prints = fingerprint(np.frombuffer(raw[: len(raw) & ~1], "<i2").astype(float))
-                sizes.append(len(prints) + WIDTH - 1 if len(prints) else 0)
-                blobs.append(squeeze(prints) if len(prints) else None)
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], [*keys, "n_frames", "prints"])
+            sounds = [(read(value.as_py()) if read else value.as_py()) or b"" for value in batch[column]]
+            prints: list[np.ndarray] = []
+            for part in _pieces(np.array([len(x) for x in sounds], np.int64), 1 << 22):
+                prints += fingerprints_of([np.frombuffer(x[: len(x) & ~1], "<i2").astype(float) for x in sounds[part]])
+            columns = [(len(p) + WIDTH - 1, squeeze(p), hashlib.sha256(p.tobytes()).hexdigest()) if len(p) else (0, None, None) for p in prints]
+            made = [pa.array([c[k] for c in columns], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *made], [*keys, "n_frames", "prints", "class"])
 
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keys)
-    return table.select(*keys, column).mapInArrow(run, f"{schema}, n_frames long, prints binary")
+    return table.select(*keys, column).mapInArrow(run, f"{schema}, n_frames long, prints binary, class string")
 
 
 #: A number as it is, and with each of its bits flipped.
@@ -232,31 +245,30 @@ class Probes:
         return tuple(a[order[best]] for a in (q, c, offset, overlap, errors))
 
 
-MATCHES = "query long, class long, offset long, overlap long, errors long"
+MATCHES = "class string, other string, offset long, overlap long, bit_errors long"
 
 
-def _matches(reps: DataFrame, asked: list[tuple[int, bytes]], most_errors: float, least_overlap: float) -> DataFrame:
-    """MATCHES of a block of queries (class, squeezed prints) among all classes, as a written table."""
+def _matches(reps: DataFrame, asked: list[tuple[str, bytes]], most_errors: float, least_overlap: float, path: str) -> None:
+    """Writes the MATCHES of a block of queries (class, squeezed prints) among all classes."""
     sent = reps.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, probes = np.array([i for i, _ in sent.value], np.int64), None
+        ids, probes = np.array([i for i, _ in sent.value], object), None
         for batch in batches:
             if not batch.num_rows:
                 continue
             probes = probes or Probes([unsqueeze(b, np.uint32) for _, b in sent.value])
-            classes, prints = np.array(batch["class"].to_pylist(), np.int64), [unsqueeze(b.as_py(), np.uint32) for b in batch["prints"]]
+            classes, prints = np.array(batch["class"].to_pylist(), object), [unsqueeze(b.as_py(), np.uint32) for b in batch["prints"]]
             for part in _pieces(np.array([len(p) for p in prints]), 1 << 19):
                 own = classes[part]
                 q, c, *rest = probes.aligned(prints[part], lambda q, c, own=own: ids[q] == own[c], most_errors, least_overlap)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in (ids[q], own[c], *rest)], ["query", "class", "offset", "overlap", "errors"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.string()), pa.array(own[c], pa.string()), *(pa.array(a, pa.int64()) for a in rest)], [x.split()[0] for x in MATCHES.split(", ")])
 
-    out = written(reps.select("class", "prints").mapInArrow(run, MATCHES), "matches")
+    reps.select("class", "prints").mapInArrow(run, MATCHES).write.parquet(path)
     sent.unpersist()
-    return out
 
 
-def _blocks(reps: DataFrame, numbers: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(reps: DataFrame, numbers: int) -> Iterator[list[tuple[str, bytes]]]:
     """The queries' (class, squeezed prints), in blocks of about so many numbers; the driver holds one block at a time."""
     block, n = [], 0
     for r in reps.where("asked").select("class", "prints", "n_frames").toLocalIterator():
@@ -277,19 +289,21 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return end - start, int(np.bitwise_count(a[start:end] ^ b[start - offset : end - offset]).sum())
 
 
-def align(table: DataFrame, keys: list[str], column: str, query: Column, read: Callable[[object], bytes | None] | None = None, most_errors: float = 0.3, least_overlap: float = 0.25, block_numbers: int = 1 << 18) -> DataFrame:
-    """One row for each recording: keys, n_frames, class (the row number of its first recording), is_query, and for queries the classes that align:
-    (class, offset in frames, overlap, bit_errors), where at most most_errors of the bits differ over at least least_overlap of the shorter one.
+class Alignment(NamedTuple):
+    recordings: DataFrame  # keys, n_frames, class, is_query: a row for each recording
+    matches: DataFrame  # MATCHES: a row for each two classes that align, the first one a query's
+
+
+def align(table: DataFrame, keys: list[str], column: str, query: Column, read: Callable[[object], bytes | None] | None = None, most_errors: float = 0.3, least_overlap: float = 0.25, block_numbers: int = 1 << 18) -> Alignment:
+    """Which class each recording is of, and the classes that align with those of queries: other moved by offset frames agrees with class in all but bit_errors bits
+    over overlap numbers, where at most most_errors of the bits differ over at least least_overlap of the shorter one. No row is made for two recordings: a class stands for its copies.
     block_numbers: so many numbers of queries are looked for at a time."""
-    rows = written(fingerprints(table, keys, column, read).withColumn("row", F.monotonically_increasing_id()).withColumn("is_query", F.lit(False)), "prints")
-    rows = rows.withColumn("is_query", F.coalesce(query, F.lit(False)))
-    heard = rows.where("prints is not null").withColumn("hash", F.sha2("prints", 256))
-    classes = written(heard.groupBy("hash").agg(F.min("row").alias("class"), F.max("is_query").alias("asked")), "classes")
-    reps = written(rows.select(F.col("row").alias("class"), "n_frames", "prints").join(classes.select("class", "asked"), "class"), "class-prints")
-    good = rows.sparkSession.createDataFrame([], MATCHES)
-    for asked in _blocks(reps, block_numbers):
-        good = good.unionAll(_matches(reps, asked, most_errors, least_overlap))
-    found = good.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("class", "offset", "overlap", "errors"))).alias("matches"))
-    with_class = rows.withColumn("hash", F.sha2("prints", 256)).join(classes.select("hash", "class"), "hash", "left")
-    asked_class = F.when(F.col("is_query"), F.col("class"))
-    return with_class.withColumn("query", asked_class).join(found, "query", "left").select(*keys, "n_frames", "row", "class", "is_query", "matches")
+    spark = table.sparkSession
+    rows = written(fingerprints(table, keys, column, read), "prints").withColumn("is_query", F.coalesce(query, F.lit(False)))
+    heard = rows.where("class is not null")
+    reps = written(heard.groupBy("class").agg(F.first("prints").alias("prints"), F.first("n_frames").alias("n_frames"), F.max("is_query").alias("asked")), "class-prints")
+    path, matches = scratch_path(spark, "matches"), spark.createDataFrame([], MATCHES)
+    for k, asked in enumerate(_blocks(reps, block_numbers)):
+        _matches(reps, asked, most_errors, least_overlap, f"{path}/block={k}")
+        matches = spark.read.schema(MATCHES).parquet(f"{path}/block=*")
+    return Alignment(rows.select(*keys, "n_frames", "class", "is_query"), matches)

@@ -63,9 +63,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds audio, so every turn of every conversation is rendered as a melody first (one of few words is repeated); the turns of
-    conversations whose id is divisible by 100 are looked for among all turns."""
-    turns = _read(spark, sf_dir, "conversations")
-    return align(turns, ["conv_id", "turn"], "text", F.col("conv_id") % 100 == 0, render_turn)
+    conversations whose id is divisible by 100 are looked for among all turns. A row for each turn, with its class, and one for each two classes that align."""
+    recordings, matches = align(_read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", F.col("conv_id") % 100 == 0, render_turn)
+    return recordings.withColumn("kind", F.lit("recording")).unionByName(matches.withColumn("kind", F.lit("match")), allowMissingColumns=True)
 
 
 QUERIES = {
