@@ -19,7 +19,7 @@ from tidemark.llm.packing import byte_bpe
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.rollups import DELTA, Rollup, corpus_totals
 from tidemark.llm.secrets import Novelty, base_spans, novel_spans, redact, redact_secrets, scan_secrets
-from tidemark.llm.toxicity import fit_on, keep_clean, misspelt, score_documents, words_of
+from tidemark.llm.toxicity import Scorer, fit, fit_on, keep_clean, misspelt, score_documents, words_of
 
 TURNS = "conv_id long, turn long, role string, text string"
 INSULTS = ["wretchling", "grumblefool", "snotgoblin", "dimwitted", "blockhead"]
@@ -85,6 +85,43 @@ def test_long_runs(spark, fitted, docs_of):
     assert words_of("under_score a.b-c") == ["a.b-c", "under_score"]
 
 
+def test_scores_by_force():
+    """Scores and the plain mean against sums over n-grams of one word after the other."""
+    rows, labels = labelled(120, 4)
+    texts, y = [t for _, t in rows], np.array([v for _, v in labels], float)
+    for plain in (False, True):
+        model = fit(texts, y, epochs=2, plain=plain)
+        scorer = Scorer(model.direction(), model.offset(), model.subwords, plain)
+        for text in [*texts[:20], "one", "", "Straße (ok) " * 3]:
+            scores = []
+            for w in {x.lower().strip(".,()") for x in text.split()}:
+                b, rows_ = f"<{w}>".encode(), [zlib.crc32(f"<{w}>".encode()) % model.subwords.buckets]
+                for n in (3, 4, 5):
+                    for i in range(len(b) - n + 1):
+                        h = 0
+                        for x in b[i : i + n]:
+                            h = (h * 0x01000193 + x + 1) % 2**32
+                        h = h * 0x9E3779B1 % 2**32
+                        rows_.append((h ^ h >> 15) % model.subwords.buckets)
+                scores.append(np.mean([model.vectors[r] @ (model.softmax[:, 1] - model.softmax[:, 0]) for r in rows_]))
+            weights = np.ones(len(scores)) if plain else np.exp(scores)
+            z = min(0, model.offset()) if not scores else model.offset() + float((weights * scores).sum() / weights.sum())
+            assert scorer.many([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_plain_mean_finds_less(spark, fitted):
+    docs, truth, _ = fitted
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = [i for i in rows if zlib.crc32(str(i).encode()) % 5]
+    held = [i for i in rows if not zlib.crc32(str(i).encode()) % 5]
+    found = {}
+    for plain in (False, True):
+        model = fit([rows[i] for i in known], np.array([truth[i] for i in known], float), plain=plain)
+        scores = Scorer(model.direction(), model.offset(), model.subwords, plain).many([rows[i] for i in held])
+        found[plain] = sum(s >= 0.5 and truth[i] for i, s in zip(held, scores))
+    assert found[False] > 1.2 * found[True]
+
+
 def test_nothing_to_learn(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = docs_of([(1, "a b"), (2, None)])
