@@ -317,7 +317,7 @@ def test_audio_recall_by_force(spark):
     by_class, got = {r["class"]: r["id"] for r in recordings.collect()}, {}
     for m in matches.collect():
         got.setdefault(by_class[m["class"]], []).append(m)
-    meets = lambda n, e, i, j: n >= 0.25 * min(len(prints[i]), len(prints[j])) and e <= 0.3 * 32 * n
+    meets = lambda n, e, i, j: n >= 0.25 * min(len(prints[i]), len(prints[j])) and e * (n + 16) <= 0.35 * 32 * n * n
     for i, found in got.items():
         for m in found:
             n, e = chroma.bit_errors(prints[i], prints[by_class[m["other"]]], m["offset"])
@@ -369,7 +369,7 @@ def test_recall_under_noise_gain_shift_and_cut(spark):
     found = {(a, b) for m in matches.collect() for a in ids[m["class"]] for b in ids[m["other"]]} | {(a, b) for same in ids.values() for a in same for b in same if a != b}
 
     def meets(i, k):
-        return any(n >= 0.25 * min(len(prints[i]), len(prints[k])) and e <= 0.3 * 32 * n for o in range(1 - len(prints[k]), len(prints[i])) for n, e in [chroma.bit_errors(prints[i], prints[k], o)])
+        return any(n >= 0.25 * min(len(prints[i]), len(prints[k])) and e * (n + 16) <= 0.35 * 32 * n * n for o in range(1 - len(prints[k]), len(prints[i])) for n, e in [chroma.bit_errors(prints[i], prints[k], o)])
 
     for j, name in enumerate(changes):
         due = [(i, k) for i, k in pairs.items() if i // 1000 == j + 1 and meets(i, k)]

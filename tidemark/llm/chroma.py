@@ -5,7 +5,8 @@ an integral image, give two bits each; sixteen of them are one packed 32-bit num
 whole numbers, so that a fingerprint doesn't depend on what stands beside it. Recordings with equal fingerprints form a
 class, named by the digest of the fingerprint. Two classes are compared at every offset at which a number of one is within two bits of a number of the other: numbers of the
 queries are looked up with each of their bits flipped, and so are those of the classes. The share of differing bits over the whole overlap
-decides, and the offset with most equal bits gives the alignment. Queries go to the tasks in blocks, so that neither numbers nor pairs are shuffled.
+decides: at most ``most_errors`` over a long one, and less the shorter it is, since a few numbers agree by chance. Of the offsets where it does, the one with most equal bits gives
+the alignment. Queries go to the tasks in blocks, so that neither numbers nor pairs are shuffled.
 
 Defined results: null, empty or too short audio has no fingerprint, is in no class and aligns with nothing; silence has a fingerprint like any other; a
 null id is kept and never a query; repeated rows are recordings of one class; recordings of any length are taken whole; of offsets with equally many equal bits the one nearest to 0
@@ -166,6 +167,11 @@ def _pieces(counts: np.ndarray, most: int = 1 << 21) -> Iterator[slice]:
         at = stop
 
 
+def allowed_errors(overlap: np.ndarray | int, most_errors: float) -> np.ndarray | float:
+    """In how many of their bits so many numbers may differ: the share grows from nearly none to most_errors, half of it at WIDTH numbers."""
+    return most_errors * 32 * overlap * overlap / (overlap + WIDTH)
+
+
 class Probes:
     """The numbers of a block of queries, found by any number that differs in two bits or fewer."""
 
@@ -238,7 +244,7 @@ class Probes:
             x = (self.begin[q[part]] + start[part])[row] + k
             y = (begin[c[part]] + start[part] - offset[part])[row] + k
             errors[part] = np.add.reduceat(np.bitwise_count(self.numbers[x] ^ numbers[y]).astype(np.int64), np.cumsum(overlap[part]) - overlap[part])
-        good = np.flatnonzero(errors <= most_errors * 32 * overlap)
+        good = np.flatnonzero(errors <= allowed_errors(overlap, most_errors))
         order = good[np.lexsort((offset[good], np.abs(offset[good]), 2 * errors[good] - 32 * overlap[good], c[good], q[good]))]
         best = np.ones(len(order), bool)
         best[1:] = (np.diff(q[order]) != 0) | (np.diff(c[order]) != 0)
@@ -294,9 +300,9 @@ class Alignment(NamedTuple):
     matches: DataFrame  # MATCHES: a row for each two classes that align, the first one a query's
 
 
-def align(table: DataFrame, keys: list[str], column: str, query: Column, read: Callable[[object], bytes | None] | None = None, most_errors: float = 0.3, least_overlap: float = 0.25, block_numbers: int = 1 << 18) -> Alignment:
+def align(table: DataFrame, keys: list[str], column: str, query: Column, read: Callable[[object], bytes | None] | None = None, most_errors: float = 0.35, least_overlap: float = 0.25, block_numbers: int = 1 << 18) -> Alignment:
     """Which class each recording is of, and the classes that align with those of queries: other moved by offset frames agrees with class in all but bit_errors bits
-    over overlap numbers, where at most most_errors of the bits differ over at least least_overlap of the shorter one. No row is made for two recordings: a class stands for its copies.
+    over overlap numbers: no more than allowed_errors, and at least least_overlap of the shorter one. No row is made for two recordings: a class stands for its copies.
     block_numbers: so many numbers of queries are looked for at a time."""
     spark = table.sparkSession
     rows = written(fingerprints(table, keys, column, read), "prints").withColumn("is_query", F.coalesce(query, F.lit(False)))
