@@ -8,7 +8,8 @@ combinations as there are lengths, however many pieces there are. Pieces are the
 number says which combination, which copy of it and which place a piece takes.
 
 Defined results: a null or empty text is its end mark alone (one piece of length 1); null ids are kept; repeated rows are packed
-each; an empty table gives an empty result; extra columns are not returned.
+each; texts of any length are tokenized whole; pieces of one length are told apart by id, piece and ids alone, and which of equal ones comes first changes nothing; of
+combinations that fill a sequence equally the one of longer pieces is taken; an empty table gives an empty result; extra columns are not returned.
 """
 
 from __future__ import annotations

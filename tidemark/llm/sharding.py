@@ -5,7 +5,8 @@ groups that agree in these bits are one atomic cell, so that there are at most 2
 default, 16 MB on the driver) whatever the size of the corpus. The smallest shard capacity that holds all cells in order
 is found by binary search, with a greedy check on prefix sums, and the cuts are made under that capacity.
 
-Defined results: a null text counts as empty; null ids are kept; repeated rows are rows like any other; an empty table
+Defined results: a null text counts as empty; null ids are kept; repeated rows are rows like any other; texts of any length count whole, and one larger than a shard's share
+makes that shard larger; rows of equal id and text may take each other's slot; cuts that are equally near to a share go behind; an empty table
 gives an empty result; extra columns of the input are not returned.
 """
 

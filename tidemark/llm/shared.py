@@ -17,11 +17,14 @@ TARGET_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where that is unset (local runs)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own where that is unset, in local runs only: on a cluster
+    each executor would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         own = spark.sparkContext.getCheckpointDir()
         if own is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             place = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, place, True)
             spark.sparkContext.setCheckpointDir(place)
@@ -58,6 +61,14 @@ def drop_scratch() -> None:
             continue
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no later step reads."""
+    fs, at = hadoop_path(spark, path)
+    fs.delete(at, True)
+    if (spark, path) in _written:
+        _written.remove((spark, path))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: lineage ends there, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)

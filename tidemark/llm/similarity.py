@@ -17,7 +17,8 @@ for itself and with the same few centres first; what these links connect needs n
 then joined block against block, with pairs of one component skipped.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing (component: its own id); rows without id have component null;
-repeated rows and rows that share an id are linked like others, and a component's number is the smallest id in it; an empty table gives an empty result; extra columns
+repeated rows and rows that share an id are linked like others, and a component's number is the smallest id in it; texts of any length are taken whole, in a chunk of their own if need be;
+tokens that tie in an order are put by their hash; an empty table gives an empty result; extra columns
 are not returned by near_components and kept by keep_representatives.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import recurring as R
-from tidemark.llm.shared import free_name, written
+from tidemark.llm.shared import discard, free_name, scratch_path, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers of the orders' tie-breaking hashes.
@@ -190,17 +191,27 @@ def _join_lists(members: DataFrame, sets: DataFrame, keys: list[str], percent: i
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, label): the smallest node that each node of the edges (x, y) reaches. Labels spread over edges and jump to their label's label until nothing changes."""
-    both = written(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct(), "edges")
-    labels = written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "cls"), "labels")
+    """(cls, label): the smallest node that each node of the edges (x, y) reaches. Labels spread over edges and jump to their label's label until nothing changes.
+    Tables of earlier rounds are deleted."""
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, "labels")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    both, edge_path = kept(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct())
+    labels, path = kept(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "cls"))
     while True:
         near = both.join(labels.select(F.col("cls").alias("y"), F.col("label").alias("l")), "y").groupBy(F.col("x").alias("cls")).agg(F.min("l").alias("l"))
         spread = labels.join(near, "cls").select("cls", F.least("label", "l").alias("new"), F.col("label").alias("old"))
         jump = spread.select(F.col("cls").alias("new"), F.col("new").alias("over"))
-        step = written(spread.join(jump, "new", "left").select("cls", F.least("new", F.coalesce("over", "new")).alias("label"), "old"), "labels")
+        step, step_path = kept(spread.join(jump, "new", "left").select("cls", F.least("new", F.coalesce("over", "new")).alias("label"), "old"))
+        discard(spark, path)
+        labels, path = step.select("cls", "label"), step_path
         if not step.where("label <> old").limit(1).count():
-            return step.select("cls", "label")
-        labels = step.select("cls", "label")
+            discard(spark, edge_path)
+            return labels
 
 
 def _large_lists(members: DataFrame, sets: DataFrame, percent: int, block: int, centres: int) -> DataFrame:

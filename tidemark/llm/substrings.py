@@ -10,7 +10,7 @@ place share. Of the windows around anchors every chunk sends the earliest place
 place exists elsewhere. So a passage of a third of all documents is one entry for each chunk.
 
 Words are runs of anything but ASCII white space, unchanged. Defined results: a null or empty text has no words; a null id comes after all others; rows that share
-an id are places of one document and are compared by their start alone, so that a repeated row is not its own copy; an empty table gives an empty
+an id are places of one document and are compared by their start alone, so that a repeated row is not its own copy; texts of any length are taken whole, in a chunk of their own if need be; an empty table gives an empty
 result; extra columns are not returned.
 """
 
