@@ -1,8 +1,11 @@
 """From raw documents to packed training sequences: five stages, each on all that the one before has kept.
 
 Every stage but the last returns the columns of documents. Toxic documents go, one document of each group of near duplicates stays (five-word
-shingles, similarity 0.8 or more), documents contaminated by benchmark items go, secrets are replaced in the text (n_chars follows), and what
-is left is packed. Rows without an id are no duplicates of anything and stay; a null text is empty.
+shingles, similarity 0.8 or more), documents contaminated by benchmark items go, secrets are replaced in the text (n_chars follows), and what is left is packed.
+
+Defined results, of every stage: rows without an id are no duplicates of anything and stay; a null text is empty and stays (packed as its end mark alone); of repeated rows one
+stays; texts of any length are judged and kept whole; an empty table gives an empty one, with all columns; further columns of documents, whatever their names, are kept
+up to packing, which returns its own. Missing labels leave all documents, an empty benchmark too.
 """
 
 from __future__ import annotations
