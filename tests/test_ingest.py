@@ -154,7 +154,8 @@ def test_canonical():
         with pytest.raises(C.HashingError):
             C.canonical_json(bad)
     assert C.new_ulid(1) < C.new_ulid(2) and len(C.new_ulid()) == 26
-    assert C.sequential_id("H", ["H-0001", "H-0007"]) == "H-0008"
+    assert C.sequential_id("H", ["H-001", "H-0007"]) == "H-008" and C.sequential_id("H", []) == "H-001" and C.sequential_id("H", ["H-999"]) == "H-1000"
+    assert C.new_id("RUN")[:4] == "RUN-" and len(C.new_id("RUN")) == 30
 
 
 def test_logs_and_reports(spark, tmp_path):

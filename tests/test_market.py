@@ -162,10 +162,38 @@ def test_registry():
 
 def test_findings(spark):
     t = ticks_of(spark, [(M0, 1.0, 1.1), (M0, 1.0, 1.1), (M0 + SEC, 1.0, 0.9), (M0, 1.0, 1.0), (M0 + 2 * SEC, -1.0, 1.0)])
-    found = {r["check_id"]: r for r in Q.tick_findings(t).collect()}
+    samples = Q.tick_samples(t)
+    found = {r["check_id"]: r for r in Q.findings(samples).collect()}
+    first = {r["check_id"]: r["sample"] for r in Q.first_samples(samples, 10).collect()}
     assert {k: r["count"] for k, r in found.items()} == {"E-01": 1, "E-02": 1, "E-03": 1, "W-01": 1, "W-07": 1, "I-02": 1}
-    assert found["E-01"]["sample"] == ["2024-01-08T10:00:01.000000Z"] and found["I-02"]["sample"] == ["2024-01"]
-    assert not Q.sealable(Q.tick_findings(t)) and Q.sealable(Q.tick_findings(t.limit(1)))
+    assert first["E-01"] == ["2024-01-08T10:00:01.000000Z"] and first["I-02"] == ["2024-01"]
+    assert not Q.sealable(Q.findings(samples)) and Q.sealable(Q.findings(Q.tick_samples(t.limit(1))))
+
+
+def test_all_samples_are_kept(spark, tmp_path):
+    """A report shows ten of a finding's samples, what is stored beside it has all."""
+    from tidemark import report
+
+    t = ticks_of(spark, [(M0 + k * SEC, 1.0, 0.9 if k % 2 else 1.1) for k in range(60)])
+    samples = Q.tick_samples(t)
+    report.quality_report(tmp_path / "q.md", samples, "test")
+    stored = spark.read.parquet(str(tmp_path / "q.samples.parquet")).where("check_id = 'E-01'")
+    assert stored.count() == stored.select("sample").distinct().count() == 30
+    line = next(x for x in (tmp_path / "q.md").read_text().splitlines() if "E-01" in x)
+    assert line.count("2024-01-08T") == 10 and "| 30 |" in line
+    assert spark.read.parquet(str(tmp_path / "q.parquet")).where("check_id = 'E-01'").first()["count"] == 30
+
+
+def test_trailing_deviation_of_any_reach(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(1.2, 1e-4, 400)
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "k long, x double")
+    w = Q.W.partitionBy(F.lit(0)).orderBy("k")
+    got = {r["k"]: r["sd"] for r in df.select("k", Q.trailing_sd("x", w, 50).alias("sd")).collect()}
+    assert all((got[k] is None) == (k < 50) for k in range(400))
+    assert all(got[k] == pytest.approx(float(np.std(v[k - 50 : k])), rel=1e-4) for k in range(50, 400))
 
 
 def test_weekend_margin(spark):
@@ -213,7 +241,7 @@ def test_small_groups_have_no_interval(spark):
 def test_box(spark):
     df = spark.createDataFrame([("k", float(v)) for v in [*range(1, 10), 100]], "key string, v double")
     r = D.box_stats(df, ["key"], "v").first()
-    assert (r["low"], r["high"], r["outliers"], r["n_outliers"]) == (1.0, 9.0, [100.0], 1)
+    assert (r["low"], r["high"], r["n_outliers"]) == (1.0, 9.0, 1) and [x["v"] for x in D.outliers(df, ["key"], "v").collect()] == [100.0]
 
 
 @pytest.mark.parametrize(("values", "widened", "want"), [([120] * 12, False, E.PROCEED), ([150] * 10 + [10] * 3, False, E.UNSTABLE), ([60] * 12, True, E.WIDEN), ([5] * 12, False, E.WIDEN), ([5] * 12, True, E.FALLBACK), ([500] * 11, False, E.INSUFFICIENT)])

@@ -9,6 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 
 from tidemark import report
+from tidemark.functions import timex as T
 from tidemark.functions.timex import HOUR, utc_ns
 from tidemark.operators import describe as D
 from tidemark.operators import events as E
@@ -89,9 +90,9 @@ def run(args: argparse.Namespace) -> int:
         S.write_bars(with_gaps(resample(t)), roots["bars_1m"])
         print(f"{bars().count()} bars, {len(holes)} months missing")
     elif args.command == "validate":
-        found = Q.run_checks(ticks(), bars()).persist()
-        report.quality_report(f"{args.out}/quality.md", found, f"{args.instrument} {args.start} to {args.end}")
-        if not Q.sealable(found):
+        samples = Q.check_samples(ticks(), bars()).persist()
+        report.quality_report(f"{args.out}/quality.md", samples, f"{args.instrument} {args.start} to {args.end}")
+        if not Q.sealable(Q.findings(samples)):
             return 3
     elif args.command == "features":
         made = X.compute(args.name, bars())
@@ -101,7 +102,7 @@ def run(args: argparse.Namespace) -> int:
         b = bars().persist()
         if args.report == "R5":
             cells = D.r5_by_hour(b).orderBy("instrument", "weekday", "hour")
-            report.write_report(f"{args.out}/r5.md", "Spread and range by hour of the week", [("By hour", report.cells(cells.collect(), cells.columns, ["median_spread", "median_range", "ratio"])), ("By year", report.grid(D.r5_by_year(b).collect(), ["instrument", "year", "n", "median_spread"]))], D.r5_intervals(b))
+            report.write_report(f"{args.out}/r5.md", "Spread and range by hour of the week", [("By hour", report.cells(cells.collect(), cells.columns, ["median_spread", "median_range", "ratio"])), ("By year", report.grid(D.r5_by_year(b).collect(), ["instrument", "year", "n", "median_spread"]))], D.r5_intervals(b).unionByName(D.r5_year_intervals(b), allowMissingColumns=True))
         elif args.report == "R1":
             ratios = D.session_ratios(b).persist()
             m = D.r1_marginals(ratios).orderBy("instrument", "session", "grouping", "key")
@@ -120,7 +121,7 @@ def run(args: argparse.Namespace) -> int:
         counts = E.counts_by_year(events, months.select("instrument", "year").distinct())
         decision = E.gate(counts, admissible, bool(args.widen)).first()
         settings = {k: v for k, v in vars(p).items()}
-        report.record_widening(f"{args.out}/lineage.json", {"decision": decision["decision"], "settings": settings, "widened_from": args.widen, "at": report.now()})
+        report.record_widening(f"{args.out}/lineage.json", {"decision": decision["decision"], "settings": settings, "widened_from": args.widen, "at": report.now(), "tzdata": T.tzdata_versions(spark)})
         report.gate_report(f"{args.out}/gate.md", decision, counts, E.eligible_days(b, p).groupBy("instrument").count(), events.drop("detail"), settings, args.widen)
         print(decision["decision"])
         if decision["decision"] not in (E.PROCEED, E.UNSTABLE):

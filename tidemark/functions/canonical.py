@@ -9,7 +9,9 @@ import secrets
 import time
 from pathlib import Path
 
+# The alphabet of ULIDs, and how many digits numbered ids have at least.
 _CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+ID_DIGITS = 3
 
 
 class HashingError(ValueError):
@@ -56,8 +58,13 @@ def new_ulid(at_ms: int | None = None) -> str:
     return "".join(_CROCKFORD[value >> 5 * k & 31] for k in range(25, -1, -1))
 
 
-def sequential_id(prefix: str, taken: list[str], width: int = 4) -> str:
-    """The next of prefix-0001, prefix-0002, ...; ids of another form are refused."""
+def new_id(prefix: str) -> str:
+    """prefix-ULID: ids of one prefix sort by the time they were made."""
+    return f"{prefix}-{new_ulid()}"
+
+
+def sequential_id(prefix: str, taken: list[str], width: int = ID_DIGITS) -> str:
+    """The next of prefix-001, prefix-002, ...; ids of another form are refused."""
     numbers = []
     for x in taken:
         head, _, tail = x.rpartition("-")

@@ -6,10 +6,13 @@ zone data; none is written here.
 
 from __future__ import annotations
 
+import importlib.metadata
+import zoneinfo
 from datetime import UTC, datetime, timedelta, timezone
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NEW_YORK, LONDON, TOKYO = "America/New_York", "Europe/London", "Asia/Tokyo"
@@ -142,6 +145,40 @@ def resolve_local(df: DataFrame, wall_ns: str, zone: str, out: str, policy: str
     return df.withColumn(out, F.when(w.isNotNull(), value))
 
 
+def _fitting(wall_ns: str, zone: str, first_year: int, last_year: int) -> Column:
+    """How many instants a wall-clock time has."""
+    table = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(o * 10**9).alias("o")) for s, e, o in transitions(zone, first_year, last_year)))
+    w = F.col(wall_ns)
+    return F.size(F.filter(table, lambda x: (w - x["o"] >= x["s"]) & (w - x["o"] < x["e"])))
+
+
+def is_ambiguous(wall_ns: str, zone: str, first_year: int = 1990, last_year: int = 2040) -> Column:
+    """Whether a wall-clock time occurs twice."""
+    return _fitting(wall_ns, zone, first_year, last_year) > 1
+
+
+def is_nonexistent(wall_ns: str, zone: str, first_year: int = 1990, last_year: int = 2040) -> Column:
+    """Whether a clock change skips a wall-clock time."""
+    return _fitting(wall_ns, zone, first_year, last_year) == 0
+
+
+def tzdata_versions(spark: SparkSession | None = None) -> dict[str, str]:
+    """The versions of the zone data in use, for lineage entries: Python's, and the JVM's, which decides in plans."""
+    found = {"python": "unknown"}
+    try:
+        found["python"] = importlib.metadata.version("tzdata")
+    except importlib.metadata.PackageNotFoundError:
+        for folder in zoneinfo.TZPATH:
+            head = Path(folder, "tzdata.zi")
+            if head.exists():
+                with head.open(encoding="ascii") as f:
+                    found["python"] = f.readline().removeprefix("# version").strip() or "unknown"
+                break
+    if spark is not None:
+        found["jvm"] = str(spark._jvm.java.time.zone.ZoneRulesProvider.getVersions("UTC").lastKey())
+    return found
+
+
 def local_to_ns(wall_time: datetime, zone: str, policy: str = "later") -> int:
     """The same for one naive time, on the driver."""
     if wall_time.tzinfo is not None:

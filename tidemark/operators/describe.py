@@ -74,6 +74,12 @@ def r5_intervals(bars: DataFrame, resamples: int = 500, window: int = 60) -> Dat
     return spread.unionByName(grouped_bootstrap(rows, keys, "range_60m", seed + 10_000, resamples).withColumn("series", F.lit("range_60m")))
 
 
+def r5_year_intervals(bars: DataFrame, resamples: int = 500) -> DataFrame:
+    """Spread medians by year with bootstrap intervals, in the columns of r5_intervals; a year draws from a stream of its own."""
+    rows = bars.where("spread_twa is not null").withColumn("year", F.expr(T.utc_year("ts_utc_ns")))
+    return grouped_bootstrap(rows, ["instrument", "year"], "spread_twa", F.lit(20260913 + 20_000) + F.col("year"), resamples).withColumn("series", F.lit("spread"))
+
+
 def session_ratios(bars: DataFrame, atr_n: int = 1440, sessions: SessionSet = FX_CORE, names: tuple[str, ...] = R1_SESSIONS) -> DataFrame:
     """(instrument, day, session, range, atr, ratio) of days that are over and have bars in the session; days without a finite ratio are left out."""
     days = session_days(bars, sessions, list(names))
@@ -104,18 +110,20 @@ def r1_intervals(ratios: DataFrame, resamples: int = 2000) -> DataFrame:
 
 def quintiles(rows: DataFrame, value: str, keys: list[str], out: str = "bucket") -> DataFrame:
     """Buckets 0 to 4 in ascending order that never part equal values: a bucket is full once it has a fifth of the rows, and the last takes the rest.
-    The fold runs over distinct values with their counts, which must be few (percentiles of n days have n + 1)."""
+    The fold runs over distinct values with their counts, which must be few (percentiles of n days have n + 1), and keeps the last value of each full bucket only."""
+    rows = rows.where(F.col(value).isNotNull())
     counts = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_l"), F.sum("_c").alias("_n"))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<v:double,b:int>>").alias("o"))
+    zero = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<double>").alias("o"))
 
     def step(a, x):
-        close = (a["b"] < BUCKETS - 1) & (a["c"] > 0) & (a["c"] >= F.col("_n") / BUCKETS)
-        b = F.when(close, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), (F.when(close, 0).otherwise(a["c"]) + x["_c"]).cast("long").alias("c"), F.concat(a["o"], F.array(F.struct(x["_v"].cast("double").alias("v"), b.alias("b")))).alias("o"))
+        c = a["c"] + x["_c"]
+        full = (F.size(a["o"]) < BUCKETS - 1) & (c >= F.col("_n") / BUCKETS)
+        return F.struct(F.when(full, 0).otherwise(c).cast("long").alias("c"), F.when(full, F.concat(a["o"], F.array(x["_v"].cast("double")))).otherwise(a["o"]).alias("o"))
 
-    named = listed.select(*keys, F.explode(F.aggregate("_l", zero, step)["o"]).alias("_o")).select(*keys, F.col("_o.v").alias(value), F.col("_o.b").alias(out))
-    return rows.join(named, [*keys, value])
+    ends = listed.select(*keys, F.aggregate("_l", zero, step)["o"].alias("_ends"))
+    bucket = F.size(F.filter("_ends", lambda e: F.col(value) > e))
+    return rows.join(ends, keys).withColumn(out, bucket).drop("_ends")
 
 
 def r2_days(bars: DataFrame, atr_n: int = 1440, pct_n: int = 60, sessions: SessionSet = FX_CORE) -> DataFrame:
@@ -145,10 +153,20 @@ def r2_intervals(days: DataFrame, resamples: int = 2000) -> DataFrame:
     return grouped_bootstrap(rows, ["instrument", "year", "bucket"], "ratio", seed, resamples)
 
 
-def box_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, q1, median, q3, low, high, n_outliers, outliers): whiskers end at the last points within 1.5 quartile ranges."""
+def _quartered(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds q1, median, q3, and whether a value lies within 1.5 quartile ranges of the box."""
     q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")).withColumn("_d", 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col(value)
-    inside = (v >= F.col("q1") - F.col("_d")) & (v <= F.col("q3") + F.col("_d"))
-    return rows.join(q, keys).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"), F.count_if(~inside).alias("n_outliers"), F.array_sort(F.collect_list(F.when(~inside, v))).alias("outliers"))
+    return rows.join(q, keys).withColumn("_inside", (v >= F.col("q1") - F.col("_d")) & (v <= F.col("q3") + F.col("_d"))).drop("_d")
+
+
+def box_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, q1, median, q3, low, high, n_outliers): whiskers end at the last points within 1.5 quartile ranges."""
+    inside, v = F.col("_inside"), F.col(value)
+    return _quartered(rows, keys, value).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"), F.count_if(~inside).alias("n_outliers"))
+
+
+def outliers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value): a row for each point beyond the whiskers."""
+    return _quartered(rows, keys, value).where("not _inside").select(*keys, value)

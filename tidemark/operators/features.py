@@ -130,6 +130,15 @@ def anchored(days: DataFrame, rows: DataFrame, column: str, out: str, names: lis
     return full.withColumn(out, F.when(F.col("n_bars") > 0, F.coalesce(own, F.col("_next"))[column])).drop("_first", "_next", *(f"_{n}" for n in names))
 
 
+def first_at_or_after(left: DataFrame, at: str, right: DataFrame, when: str, keys: list[str], out: str) -> DataFrame:
+    """As-of forward: adds the first time of right (column when) that is no earlier than left's, within keys; null if there is none. One sort of both by time,
+    without a range join; a left row comes before a right row of the same time."""
+    names = left.columns
+    rows = left.withColumns({"_at": F.col(at), "_right": F.lit(0)}).unionByName(right.select(*keys, F.col(when).alias("_at"), F.lit(1).alias("_right")), allowMissingColumns=True)
+    w = W.partitionBy(*keys).orderBy("_at", "_right").rowsBetween(1, W.unboundedFollowing)
+    return rows.withColumn(out, F.first(F.when(F.col("_right") == 1, F.col("_at")), True).over(w)).where("_right = 0").select(*names, out)
+
+
 class FeatureError(ValueError):
     """A feature that is unknown, defined twice or depends on itself."""
 

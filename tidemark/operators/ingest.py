@@ -19,9 +19,10 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import timex as T
 from tidemark.functions.timex import DAY, HOUR, LONDON, NEW_YORK, local_to_ns, transitions
 from tidemark.sources.ticks import TICKS, IntegrityError
 
@@ -94,6 +95,12 @@ def column_order(a: np.ndarray, b: np.ndarray) -> str | None:
     return "bid_ask" if share <= LOW else "ask_bid" if share >= HIGH else None
 
 
+def column_orders(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, n, share, column_order) by the share of rows in which the first price is larger; a null order in between."""
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(a) > F.col(b)).cast("int")).alias("share"))
+    return g.withColumn("column_order", F.when(F.col("share") <= LOW, "bid_ask").when(F.col("share") >= HIGH, "ask_bid"))
+
+
 def swapped_rows(a: np.ndarray, b: np.ndarray, days: np.ndarray) -> tuple[np.ndarray, str]:
     """For each row whether its columns are ask and bid, and how that was told: for the file, or else by day with one change over a weekend."""
     whole = column_order(a, b)
@@ -229,9 +236,10 @@ def parse_month(text: str, year: int, month: int) -> tuple[pd.DataFrame, dict[st
     return ticks, {"column_order": order, "stamp_clock": clock or "either", "evidence": evidence}
 
 
-def read_month_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Ticks of all month files below the paths, one task for each file at most; a file that can't be read without guessing fails the job."""
+HOW = "instrument string, year int, month int, n_rows long, column_order string, stamp_clock string, evidence string"
 
+
+def _months(files: DataFrame, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -240,18 +248,36 @@ def read_month_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     raise IntegrityError(f"{path}: no month in the name")
                 year, month = int(m["year"]), int(m["month"])
                 try:
-                    ticks, _ = parse_month(bytes(content).decode("ascii"), year, month)
+                    ticks, how = parse_month(bytes(content).decode("ascii"), year, month)
                 except (IntegrityError, UnicodeDecodeError) as e:
                     raise IntegrityError(f"{path}: {e}") from e
-                yield ticks.assign(instrument=m["instrument"], year=year, month=month).astype({"bid_volume": float, "ask_volume": float})
+                yield make(ticks, how, m["instrument"], year, month)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "DAT_ASCII_*_T_*.csv").load(paths)
-    return files.select("path", "content").mapInPandas(run, TICKS + ", instrument string, year int, month int")
+def month_ticks(files: DataFrame) -> DataFrame:
+    """Ticks of month files (path, content binary), one task for each file at most; a file that can't be read without guessing fails the job."""
+    return _months(files, TICKS + ", instrument string, year int, month int", lambda ticks, how, instrument, year, month: ticks.assign(instrument=instrument, year=year, month=month).astype({"bid_volume": float, "ask_volume": float}))
+
+
+def month_readings(files: DataFrame) -> DataFrame:
+    """How each month file was read: HOW."""
+    return _months(files, HOW, lambda ticks, how, instrument, year, month: pd.DataFrame([{"instrument": instrument, "year": year, "month": month, "n_rows": len(ticks), **how}]))
+
+
+def read_month_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Ticks of all month files below the paths."""
+    return month_ticks(spark.read.format("binaryFile").option("pathGlobFilter", "DAT_ASCII_*_T_*.csv").load(paths))
 
 
 def gap_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, n_gaps) of the status texts beside month files."""
-    lines = spark.read.text(paths, pathGlobFilter="DAT_ASCII_*.txt").withColumn("path", F.input_file_name())
+    return count_gaps(spark.read.text(paths, pathGlobFilter="DAT_ASCII_*.txt").withColumn("path", F.input_file_name()))
+
+
+def count_gaps(lines: DataFrame) -> DataFrame:
+    """(path, n_gaps) of lines (path, value)."""
     return lines.groupBy("path").agg(F.sum(F.regexp_count("value", F.lit(GAP_LINE))).cast("long").alias("n_gaps"))
 
 
@@ -312,26 +338,42 @@ def parse_hour(blob: bytes, hour_ns: int, point: float = 1e-5) -> pd.DataFrame:
 _HOUR_PATH = re.compile(r"(?P<instrument>[A-Z]{6})/(?P<year>\d{4})/(?P<month>\d{2})/(?P<day>\d{2})/(?P<hour>\d{2})h_ticks\.bi5$")
 
 
-def read_hours(spark: SparkSession, root: str, point: float = 1e-5) -> DataFrame:
-    """(instrument, ticks..., error): ticks of all hour files; a file that can't be read is one row with an error."""
+def hour_ticks(files: DataFrame, point: float = 1e-5) -> DataFrame:
+    """(instrument, ticks..., error) of hour files (path, content binary); a file that can't be read is one row with an error and its hour."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                m = _HOUR_PATH.search(path)
+                m, hour_ns = _HOUR_PATH.search(path), None
                 try:
                     if not m:
                         raise IntegrityError("no hour in the path")
                     at = datetime(int(m["year"]), int(m["month"]), int(m["day"]), int(m["hour"]))
-                    yield parse_hour(bytes(content), int((at - datetime(1970, 1, 1)).total_seconds()) * 10**9, point).assign(instrument=m["instrument"], error=None)
+                    hour_ns = int((at - datetime(1970, 1, 1)).total_seconds()) * 10**9
+                    yield parse_hour(bytes(content), hour_ns, point).assign(instrument=m["instrument"], error=None)
                 except (IntegrityError, ValueError) as e:
-                    yield pd.DataFrame([{"instrument": m["instrument"] if m else None, "error": f"{path}: {e}"}]).reindex(columns=[f.split()[0] for f in (TICKS + ", instrument string, error string").split(", ")])
+                    yield pd.DataFrame([{"instrument": m["instrument"] if m else None, "ts_utc_ns": hour_ns, "error": f"{path}: {e}"}]).reindex(columns=[f.split()[0] for f in (TICKS + ", instrument string, error string").split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bi5").option("recursiveFileLookup", "true").load(root)
     return files.select("path", "content").mapInPandas(run, TICKS + ", instrument string, error string")
 
 
-def hour_url(instrument: str, hour: datetime, base: str = "https://datafeed.dukascopy.com/datafeed") -> str:
+def read_hours(spark: SparkSession, root: str, point: float = 1e-5) -> DataFrame:
+    """Ticks and errors of all hour files below a folder."""
+    return hour_ticks(spark.read.format("binaryFile").option("pathGlobFilter", "*.bi5").option("recursiveFileLookup", "true").load(root), point)
+
+
+HOUR_BASE = "https://datafeed.dukascopy.com/datafeed"
+
+
+def hour_addresses(hours: DataFrame, root: str, base: str = HOUR_BASE) -> DataFrame:
+    """Adds url and path of (instrument, hour_ns); months count from 0 in the address, and only there."""
+    at = T.instant("hour_ns")
+    parts = [F.expr(f"year({at})"), F.expr(f"month({at})"), F.expr(f"day({at})"), F.expr(f"hour({at})")]
+    name = "%s/%s/%04d/%02d/%02d/%02dh_ticks.bi5"
+    return hours.withColumns({"url": F.format_string(name, F.lit(base), "instrument", parts[0], parts[1] - 1, *parts[2:]), "path": F.format_string(name, F.lit(root.rstrip("/")), "instrument", *parts)})
+
+
+def hour_url(instrument: str, hour: datetime, base: str = HOUR_BASE) -> str:
     """Months count from 0 in the address, and only there."""
     _aligned(hour)
     return f"{base}/{instrument}/{hour.year:04d}/{hour.month - 1:02d}/{hour.day:02d}/{hour.hour:02d}h_ticks.bi5"
@@ -360,6 +402,15 @@ def fetch_status(code: int, size: int, attempt: int, retry_after: str | None = N
     return "failed", 2.0 ** (attempt - 1)
 
 
+def fetch_outcome(code: str = "code", size: str = "size", attempt: str = "attempt", retry_after: str = "retry_after") -> Column:
+    """fetch_status of columns: a struct (status, wait_s)."""
+    c, k = F.col(code), F.col(attempt)
+    asked = F.when(F.trim(retry_after).rlike("^[0-9]+$"), F.trim(retry_after).cast("double"))
+    status = F.when(c == 200, F.when(F.col(size) > 0, "fetched").otherwise("empty")).when(c == 404, "empty").when(c == 429, "rate_limited").otherwise("failed")
+    wait = F.when(c == 429, F.coalesce(asked, F.least(F.lit(900.0), 60.0 * F.pow(F.lit(2.0), k - 1)))).when(~c.isin(200, 404), F.pow(F.lit(2.0), k - 1))
+    return F.struct(status.alias("status"), wait.alias("wait_s"))
+
+
 CALENDAR = "date date, event_type string, source_note string"
 EVENT_TYPES = ("nfp", "fomc", "boe_mpc")  # fixed values
 

@@ -1,4 +1,8 @@
-"""The data-quality battery. Every check gives findings (check_id, check_name, severity, year, count, detail, sample) of one shape."""
+"""The data-quality battery. Every check gives samples, a row for each bad tick, bar, day or bucket, and findings count them.
+
+A sample is (instrument, check_id, check_name, severity, year, ts_utc_ns, detail, sample). Findings (FINDINGS) are one aggregation of the samples, which are
+stored whole beside them: what a report shows of them is cut there. All checks of ticks are flags over one window by month batch.
+"""
 
 from __future__ import annotations
 
@@ -12,22 +16,42 @@ from tidemark.functions import timex as T
 from tidemark.operators.features import with_day
 from tidemark.operators.sessions import day_spine
 
-FINDINGS = "instrument string, check_id string, check_name string, severity string, year int, count long, detail string, sample array<string>"
+FINDINGS = "instrument string, check_id string, check_name string, severity string, year int, count long, detail string"
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
-FEW = 10
 
 
 def _iso(ns: str) -> Column:
     return F.expr(f"date_format({T.instant(ns)}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")")
 
 
-def findings(bad: DataFrame, check_id: str, name: str, severity: str, detail: str, ts: str = "ts_utc_ns", sample: Column | None = None) -> DataFrame:
-    """One finding for each instrument and year that has bad rows; the sample is its first few, found without gathering all."""
-    rows = bad.select("instrument", F.expr(T.utc_year(ts)).alias("year"), F.col(ts).alias("_ts"), (sample if sample is not None else _iso(ts)).alias("_s"))
-    w = W.partitionBy("instrument", "year").orderBy("_ts", "_s")
-    first = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= FEW).groupBy("instrument", "year").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_s"))), lambda x: x["_s"]).alias("sample"))
-    counts = rows.groupBy("instrument", "year").agg(F.count(F.lit(1)).alias("count"))
-    return counts.join(first, ["instrument", "year"]).select("instrument", F.lit(check_id).alias("check_id"), F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), "year", "count", F.lit(detail).alias("detail"), "sample")
+# The checks, with their names and severities.
+CHECKS = {
+    "E-01": ("negative spread", ERROR), "E-02": ("non-positive price", ERROR), "E-03": ("timestamp reversal", ERROR), "E-04": ("missing hours above threshold", ERROR), "E-05": ("malformed blob", ERROR), "E-06": ("log and store disagree", ERROR),
+    "W-01": ("duplicate tick", WARNING), "W-02": ("price jump", WARNING), "W-03": ("weekend activity", WARNING), "W-04": ("extreme spread", WARNING), "W-05": ("thin day", WARNING), "W-06": ("missing hours below threshold", WARNING), "W-07": ("zero spread", WARNING),
+    "I-01": ("clock-change days", INFO), "I-02": ("no volume", INFO), "I-03": ("skipped buckets", INFO), "I-04": ("days without baseline", INFO),
+}
+
+
+def _of_check(check: Column, part: int) -> Column:
+    """The name (0) or severity (1) of a check."""
+    return F.create_map(*(F.lit(x) for k, v in CHECKS.items() for x in (k, v[part])))[check]
+
+
+def _sampled(rows: DataFrame, check: Column, detail: Column, sample: Column | None = None, ts: str = "ts_utc_ns", yearly: bool = True) -> DataFrame:
+    year = F.expr(T.utc_year(ts)) if yearly else F.lit(None).cast("int")
+    return rows.select("instrument", check.alias("check_id"), _of_check(check, 0).alias("check_name"), _of_check(check, 1).alias("severity"), year.alias("year"), F.col(ts).alias("ts_utc_ns"), detail.alias("detail"), (sample if sample is not None else _iso(ts)).alias("sample"))
+
+
+def findings(samples: DataFrame) -> DataFrame:
+    """FINDINGS: how many samples each check has by instrument and year (null for checks that go by no year)."""
+    return samples.groupBy("instrument", "check_id", "check_name", "severity", "year").agg(F.count("sample").alias("count"), F.first("detail").alias("detail")).select([f.split()[0] for f in FINDINGS.split(", ")])
+
+
+def first_samples(samples: DataFrame, few: int) -> DataFrame:
+    """(instrument, check_id, year, sample array): the first few samples of each finding, for a report."""
+    w = W.partitionBy("instrument", "check_id", "year").orderBy("ts_utc_ns", "sample")
+    kept = samples.where("sample is not null").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= few)
+    return kept.groupBy("instrument", "check_id", "year").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "sample"))), lambda x: x["sample"]).alias("sample"))
 
 
 def negative_spread(ticks: DataFrame) -> DataFrame:
@@ -57,13 +81,25 @@ def duplicates(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("_p", F.lag(F.struct("ts_utc_ns", "bid", "ask")).over(_file_order(ticks))).where("_p = struct(ts_utc_ns, bid, ask)").drop("_p")
 
 
+def trailing_sd(value: str, w: object, reach: int) -> Column:
+    """Population deviation of the reach values before a row, null until there are as many. From running sums, so that it costs the same for any reach."""
+    end = lambda f, k: F.lag(f.over(w.rowsBetween(W.unboundedPreceding, 0)), k).over(w)
+    x = F.col(value)
+    parts = [F.coalesce(end(f, 1), F.lit(0)) - F.coalesce(end(f, reach + 1), F.lit(0)) for f in (F.count(x), F.sum(x), F.sum(x * x))]
+    n, total, squares = parts
+    return F.when(n == reach, F.sqrt(F.greatest(squares / reach - (total / reach) * (total / reach), F.lit(0.0))))
+
+
+def _moves(ticks: DataFrame, reach: int) -> DataFrame:
+    """Adds move, of the mid in file order within a month's batch, and the deviation of the reach moves before it."""
+    w = _file_order(ticks)
+    moved = ticks.withColumn("_mid", (F.col("bid") + F.col("ask")) / 2).withColumn("move", F.col("_mid") - F.lag("_mid").over(w))
+    return moved.withColumn("_sd", trailing_sd("move", w, reach)).drop("_mid")
+
+
 def jumps(ticks: DataFrame, reach: int = 1000, times: float = 10.0) -> DataFrame:
     """Moves of the mid larger than so many standard deviations of the reach moves before it, within a month's batch."""
-    w = _file_order(ticks)
-    moved = ticks.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).withColumn("move", F.col("mid") - F.lag("mid").over(w))
-    before = w.rowsBetween(-reach, -1)
-    sd = moved.withColumn("_sd", F.when(F.count("move").over(before) == reach, F.stddev_pop("move").over(before)))
-    return sd.where(F.abs("move") > times * F.col("_sd")).drop("mid", "_sd")
+    return _moves(ticks, reach).where(F.abs("move") > times * F.col("_sd")).drop("_sd")
 
 
 def weekend_activity(ticks: DataFrame, margin_ns: int = 5 * T.MINUTE) -> DataFrame:
@@ -127,42 +163,53 @@ def clock_change_days(bars: DataFrame) -> DataFrame:
     return bars_per_day(bars).where(f"contained and end_ns - start_ns <> {T.DAY}")
 
 
-def tick_findings(ticks: DataFrame, reach: int = 1000) -> DataFrame:
-    checks = [
-        findings(negative_spread(ticks), "E-01", "negative spread", ERROR, "ask below bid"),
-        findings(non_positive_price(ticks), "E-02", "non-positive price", ERROR, "bid or ask not above 0"),
-        findings(reversals(ticks), "E-03", "timestamp reversal", ERROR, "earlier than the row before"),
-        findings(duplicates(ticks), "W-01", "duplicate tick", WARNING, "equal to the row before"),
-        findings(jumps(ticks, reach), "W-02", "price jump", WARNING, f"mid moved more than 10 standard deviations of the {reach} moves before"),
-        findings(weekend_activity(ticks), "W-03", "weekend activity", WARNING, "inside the weekend gap by 5 minutes at least"),
-        findings(zero_spread(ticks), "W-07", "zero spread", WARNING, "ask equals bid"),
-        findings(zero_volume_batches(ticks), "I-02", "no volume", INFO, "months without any volume", sample=F.col("month_key")),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+def tick_samples(ticks: DataFrame, reach: int = 1000, times: float = 10.0, margin_ns: int = 5 * T.MINUTE) -> DataFrame:
+    """Samples of all checks of ticks: one window by month batch for all of them, and one aggregation for the volumes."""
+    rows = _moves(ticks, reach).withColumn("_p", F.lag(F.struct("ts_utc_ns", "bid", "ask")).over(_file_order(ticks)))
+    gap = " and ".join(T.weekend_gap(f"(ts_utc_ns + {d})") for d in (0, margin_ns, -margin_ns))
+    flags = {
+        "E-01": (F.col("ask") - F.col("bid") < 0, "ask below bid"), "E-02": (F.expr("bid <= 0 or ask <= 0"), "bid or ask not above 0"), "E-03": (F.col("ts_utc_ns") < F.col("_p.ts_utc_ns"), "earlier than the row before"),
+        "W-01": (F.col("_p") == F.struct("ts_utc_ns", "bid", "ask"), "equal to the row before"), "W-02": (F.abs("move") > times * F.col("_sd"), f"mid moved more than {times:g} standard deviations of the {reach} moves before"),
+        "W-03": (F.expr(gap), "inside the weekend gap by 5 minutes at least"), "W-07": (F.col("ask") == F.col("bid"), "ask equals bid"),
+    }
+    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(k).alias("check"), F.lit(detail).alias("detail"))) for k, (test, detail) in flags.items())))
+    each = rows.withColumn("_f", F.explode(found))
+    silent = _sampled(zero_volume_batches(ticks), F.lit("I-02"), F.lit("months without any volume"), F.col("month_key"))
+    return _sampled(each, F.col("_f.check"), F.col("_f.detail")).unionByName(silent)
 
 
-def bar_findings(bars: DataFrame, least: int = 100, threshold: float = 0.60, reach: int = 20) -> DataFrame:
+def bar_samples(bars: DataFrame, least: int = 100, threshold: float = 0.60, reach: int = 20, times: float = 20.0) -> DataFrame:
+    """Samples of all checks of bars. I-01 has a row without a sample for each instrument, so that it is found with a count of 0 too."""
     at_day = lambda df: df.withColumn("ts_utc_ns", F.col("end_ns") - 1)
-    skipped = skipped_buckets(bars, least).withColumn("_s", F.format_string("weekday %d hour %02d: %d bars", "weekday", "hour", "n"))
+    day = F.col("day").cast("string")
+    bucket = F.format_string("weekday %d hour %02d: %d bars", "weekday", "hour", "n")
+    none = F.lit(None).cast("long")
     changes = clock_change_days(bars)
-    leaks = changes.groupBy("instrument").agg(F.sum(F.when(F.col("n_bars") > 0, 1).otherwise(0)).cast("long").alias("count"), F.count(F.lit(1)).alias("days"), F.array_sort(F.collect_list(F.when(F.col("n_bars") > 0, F.col("day").cast("string")))).alias("sample"))
-    every = bars.select("instrument").distinct().join(leaks, "instrument", "left")
-    i01 = every.select("instrument", F.lit("I-01").alias("check_id"), F.lit("clock-change days").alias("check_name"), F.lit(INFO).alias("severity"), F.lit(None).cast("int").alias("year"), F.coalesce("count", F.lit(0)).alias("count"), F.format_string("%d trading days not of 24 hours, which must have no bars", F.coalesce("days", F.lit(0))).alias("detail"), F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
-    i03 = skipped.groupBy("instrument").agg(F.count(F.lit(1)).alias("count"), F.slice(F.array_sort(F.collect_list("_s")), 1, FEW).alias("sample"))
-    i03 = i03.select("instrument", F.lit("I-03").alias("check_id"), F.lit("skipped buckets").alias("check_name"), F.lit(INFO).alias("severity"), F.lit(None).cast("int").alias("year"), "count", F.lit(f"buckets of fewer than {least} bars").alias("detail"), "sample")
-    checks = [
-        findings(extreme_spreads(bars, least=least), "W-04", "extreme spread", WARNING, "more than 20 medians of the weekday and hour"),
-        findings(at_day(thin_days(bars, threshold, reach)), "W-05", "thin day", WARNING, f"fewer bars than {threshold:g} of the median of the {reach} weekdays before", sample=F.col("day").cast("string")),
-        findings(at_day(unmeasured_days(bars, reach)), "I-04", "days without baseline", INFO, f"the first {reach} weekdays", sample=F.col("day").cast("string")),
-        i01, i03,
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    leaks = at_day(changes.where("n_bars > 0").unionByName(bars.select("instrument").distinct(), allowMissingColumns=True))
+    parts = [
+        _sampled(extreme_spreads(bars, times, least), F.lit("W-04"), F.lit(f"more than {times:g} medians of the weekday and hour")),
+        _sampled(at_day(thin_days(bars, threshold, reach)), F.lit("W-05"), F.lit(f"fewer bars than {threshold:g} of the median of the {reach} weekdays before"), day),
+        _sampled(at_day(unmeasured_days(bars, reach)), F.lit("I-04"), F.lit(f"the first {reach} weekdays"), day),
+        _sampled(leaks, F.lit("I-01"), F.lit("trading days not of 24 hours, which must have no bars"), day, yearly=False),
+        _sampled(skipped_buckets(bars, least).withColumn("ts_utc_ns", none), F.lit("I-03"), F.lit(f"buckets of fewer than {least} bars"), bucket, yearly=False),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def check_samples(ticks: DataFrame, bars: DataFrame, least: int = 100, threshold: float = 0.60, reach: int = 20, jump_reach: int = 1000) -> DataFrame:
+    """All samples of all checks of ticks and bars."""
+    return tick_samples(ticks, jump_reach).unionByName(bar_samples(bars, least, threshold, reach))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Findings by severity, check and year."""
+    rank = F.when(F.col("severity") == ERROR, 0).when(F.col("severity") == WARNING, 1).otherwise(2)
+    return found.orderBy(rank, "check_id", "instrument", F.col("year").asc_nulls_first())
 
 
 def run_checks(ticks: DataFrame, bars: DataFrame, least: int = 100, threshold: float = 0.60, reach: int = 20, jump_reach: int = 1000) -> DataFrame:
     """All findings, ordered by severity, check and year."""
-    rank = F.when(F.col("severity") == ERROR, 0).when(F.col("severity") == WARNING, 1).otherwise(2)
-    return tick_findings(ticks, jump_reach).unionByName(bar_findings(bars, least, threshold, reach)).orderBy(rank, "check_id", "instrument", F.col("year").asc_nulls_first())
+    return ordered(findings(check_samples(ticks, bars, least, threshold, reach, jump_reach)))
 
 
 def severities(found: DataFrame) -> DataFrame:
@@ -187,3 +234,22 @@ def log_disagreements(log: DataFrame, blobs: DataFrame) -> DataFrame:
     both = log.select("hour_ns", "status").join(blobs.select("hour_ns", F.lit(True).alias("there")), "hour_ns", "full_outer")
     reason = F.when(F.col("status").isin("fetched", "empty") & F.col("there").isNull(), "logged but not stored").when(F.col("there") & (F.col("status").isNull() | ~F.col("status").isin("fetched", "empty", "skipped_existing")), "stored but not logged")
     return both.withColumn("reason", reason).where("reason is not null").select("hour_ns", "reason")
+
+
+def store_samples(hours: DataFrame, blobs: DataFrame, log: DataFrame, read: DataFrame, instrument: str, most: float = 0.005) -> DataFrame:
+    """Samples of the checks of stored hours: missing ones (E-04 or W-06), malformed blobs (E-05) and disagreements of log and store (E-06). read: what
+    ingest.hour_ticks made of the blobs."""
+    lost = missing_hours(hours, blobs, most).select("year", "check_id")
+    gone = hours.where(f"not {T.weekend_gap('hour_ns')}").join(blobs.select("hour_ns"), "hour_ns", "left_anti").withColumn("year", F.expr(T.utc_year("hour_ns"))).join(lost, "year")
+    named = lambda df: df.withColumn("instrument", F.lit(instrument))
+    off = log_disagreements(log, blobs)
+    return reduce(DataFrame.unionByName, [
+        _sampled(named(gone), F.col("check_id"), F.lit(f"hours outside the weekend without a blob, against a threshold of {most:g}"), ts="hour_ns"),
+        malformed_samples(read),
+        _sampled(named(off), F.lit("E-06"), F.col("reason"), F.concat(_iso("hour_ns"), F.lit(" "), F.col("reason")), ts="hour_ns", yearly=False).withColumn("detail", F.lit("the log and the store disagree")),
+    ])
+
+
+def malformed_samples(read: DataFrame) -> DataFrame:
+    """E-05: the rows with an error of what ingest.hour_ticks made of blobs."""
+    return _sampled(read.where("error is not null"), F.lit("E-05"), F.lit("blobs that can't be read: no LZMA stream, or no whole number of records"), F.col("error"), yearly=False)

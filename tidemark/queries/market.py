@@ -9,7 +9,8 @@ from tidemark.operators import features as X
 from tidemark.operators.bars import resample, resample_report, with_gaps
 from tidemark.operators.sequence import numbered, trailing
 from tidemark.operators.sessions import day_spine, days_between, membership, session_windows
-from tidemark.queries.base import BARS, TICKS, WINDOWS, atr_sql, bars, day_of, local, rounded, ticks, weekend
+from tidemark.queries.base import BARS, TICKS, WINDOWS, atr_sql, bars, day_of, local, place, rounded, ticks, weekend
+from tidemark.sources import ticks as S
 
 # 2024-01-08 and 2024-01-15, 00:00 UTC
 LO, HI = 1_704_672_000_000_000_000, 1_705_276_800_000_000_000
@@ -23,7 +24,10 @@ def _day(df):
 
 
 def op01(spark, sf):
-    return ticks(spark, sf).where(f"ts_utc_ns >= {LO} and ts_utc_ns < {HI}").select("instrument", "ts_utc_ns", "bid", "ask", "row_sequence")
+    """Ticks written by instrument and month, and a range of them read back."""
+    root = place(spark, "ticks")
+    S.write_ticks(ticks(spark, sf).drop("value"), root)
+    return S.read_ticks(spark, root, LO, HI).select("instrument", "ts_utc_ns", "bid", "ask", "row_sequence")
 
 
 def op57(spark, sf):
@@ -65,8 +69,8 @@ def op38(spark, sf):
 
 def op41(spark, sf):
     b = bars(spark, sf)
-    days = days_between(spark, "2023-12-30", "2024-02-05")
-    return membership(b.select("instrument", "ts_utc_ns"), session_windows(days)).select("instrument", "ts_utc_ns", F.concat_ws(",", "sessions").alias("sessions"))
+    first, last = b.agg(F.min("ts_utc_ns"), F.max("ts_utc_ns")).select(*(F.expr(f"cast(date_add({T.trading_day(c)}, {d}) as string)") for c, d in (("`min(ts_utc_ns)`", -1), ("`max(ts_utc_ns)`", 1)))).first()
+    return membership(b.select("instrument", "ts_utc_ns"), session_windows(days_between(spark, first, last))).select("instrument", "ts_utc_ns", F.concat_ws(",", "sessions").alias("sessions"))
 
 
 def op44(spark, sf):
@@ -86,11 +90,12 @@ def op61(spark, sf):
 
 
 def op79(spark, sf):
-    return rounded(X.wilder_atr(bars(spark, sf), ATR).select("instrument", "ts_utc_ns", "atr_bars"))
+    return rounded(X.wilder_atr(bars(spark, sf)).select("instrument", "ts_utc_ns", "atr_bars"))
 
 
 def op80(spark, sf):
-    return rounded(X.realised_volatility(bars(spark, sf), RV, RV_GAP).select("instrument", "ts_utc_ns", "rv_60m"))
+    """Bars are minutes apart here, so gaps of up to an hour pass."""
+    return rounded(X.realised_volatility(bars(spark, sf), gap_ns=RV_GAP).select("instrument", "ts_utc_ns", "rv_60m"))
 
 
 def op81(spark, sf):
@@ -104,8 +109,10 @@ def op82(spark, sf):
 
 
 def op85(spark, sf):
-    days = X.range_percentile(X.session_days(bars(spark, sf), names=["pre_london"]), PCT)
-    return _day(rounded(days.select("instrument", "day", "pct")))
+    """Of 60 days, so on days of lineitem: a return flag is an instrument, the day's prices are its range; every 11th day has no bars."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("instrument"), F.to_date("l_shipdate").alias("day")).agg((F.max("l_extendedprice") - F.min("l_extendedprice")).alias("range"), F.count(F.lit(1)).alias("n"))
+    days = li.select("instrument", "day", F.lit("pre_london").alias("session"), "range", F.when(F.expr("unix_date(day) % 11 = 0"), 0).otherwise(F.col("n")).alias("n_bars"), F.lit(True).alias("observed"))
+    return _day(rounded(X.range_percentile(days).select("instrument", "day", "pct")))
 
 
 def op85b(spark, sf):
@@ -121,9 +128,7 @@ def op86(spark, sf):
 def op95(spark, sf):
     """As-of: each customer's order and the first later one at least 30 days on."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", F.expr("unix_micros(cast(o_orderdate as timestamp)) * 1000").alias("at"))
-    rows = o.select("o_custkey", "at", F.lit(1).alias("is_order"), "o_orderkey").unionByName(o.select("o_custkey", (F.col("at") + 30 * T.DAY).alias("at"), F.lit(0).alias("is_order"), "o_orderkey"))
-    w = X.W.partitionBy("o_custkey").orderBy("at", "is_order").rowsBetween(1, X.W.unboundedFollowing)
-    found = rows.withColumn("next_at", F.first(F.when(F.col("is_order") == 1, F.col("at")), True).over(w)).where("is_order = 0")
+    found = X.first_at_or_after(o.withColumn("from", F.col("at") + 30 * T.DAY), "from", o, "at", ["o_custkey"], "next_at")
     return found.select("o_orderkey", "next_at")
 
 
@@ -155,9 +160,13 @@ PCT_SQL = f"""eligible AS (SELECT *, row_number() OVER (PARTITION BY instrument
     FROM eligible a LEFT JOIN eligible b ON a.instrument = b.instrument AND b.k BETWEEN a.k - {PCT} AND a.k - 1 GROUP BY a.instrument, a.day, a.k)"""
 ANCHOR_SQL = """anchored AS (SELECT d.instrument, d.day, d.session, d.end_ns, d.n_bars, d.observed, d.range, CASE WHEN d.n_bars > 0 THEN a.atr_bars END AS atr
     FROM (SELECT * FROM days WHERE session IN ('pre_london', 'london', 'new_york')) d ASOF LEFT JOIN atr a ON d.instrument = a.instrument AND d.end_ns <= a.ts_utc_ns)"""
-_RV = f"""rets AS (SELECT *, ln(mid) - lag(ln(mid)) OVER (PARTITION BY instrument ORDER BY rn) AS ret FROM bars), rv AS (
-  SELECT instrument, ts_utc_ns, CASE WHEN rn >= {RV} AND NOT coalesce(max(prev_gap_ns) OVER w, 0) > {RV_GAP} THEN sqrt(sum(ret * ret) OVER w) END AS rv
-  FROM rets WINDOW w AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN {RV - 1} PRECEDING AND CURRENT ROW))"""
+def _rv(n: int) -> str:
+    return f"""rets AS (SELECT *, ln(mid) - lag(ln(mid)) OVER (PARTITION BY instrument ORDER BY rn) AS ret FROM bars), rv AS (
+  SELECT instrument, ts_utc_ns, CASE WHEN rn >= {n} AND NOT coalesce(max(prev_gap_ns) OVER w, 0) > {RV_GAP} THEN sqrt(sum(ret * ret) OVER w) END AS rv
+  FROM rets WINDOW w AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))"""
+
+
+_RV = _rv(RV)
 _NY = "'America/New_York'"
 ORACLE_SQL = {
     "OP01_tick_scan": f"WITH {TICKS} SELECT instrument, ts_utc_ns, bid, ask, row_sequence FROM ticks WHERE ts_utc_ns >= {LO} AND ts_utc_ns < {HI}",
@@ -178,12 +187,13 @@ ORACLE_SQL = {
     "OP47_true_range": f"WITH {BARS} SELECT instrument, ts_utc_ns, round(greatest(bid_h - bid_l, abs(bid_h - lag(bid_c) OVER o), abs(bid_l - lag(bid_c) OVER o)), 8) AS tr FROM bars WINDOW o AS (PARTITION BY instrument ORDER BY rn)",
     "OP61_session_extremes": f"WITH {BARS}, {WINDOWS} SELECT instrument, {TEXT_DAY} AS day, session, round(high, 8) AS high, round(low, 8) AS low, round(range, 8) AS range, n_bars, CAST(observed AS BIGINT) AS observed FROM days",
     "OP76_null_counts": f"WITH {BARS}, {atr_sql(ATR)}, {_RV} SELECT 'atr_bars' AS feature, count(*) - count(atr_bars) AS n_null FROM atr UNION ALL SELECT 'rv_60m', count(*) - count(rv) FROM rv",
-    "OP79_wilder_atr": f"WITH {BARS}, {atr_sql(ATR)} SELECT instrument, ts_utc_ns, round(atr_bars, 8) AS atr_bars FROM atr",
-    "OP80_realised_volatility": f"WITH {BARS}, {_RV} SELECT instrument, ts_utc_ns, round(rv, 8) AS rv_60m FROM rv",
+    "OP79_wilder_atr": f"WITH {BARS}, {atr_sql(1440)} SELECT instrument, ts_utc_ns, round(atr_bars, 8) AS atr_bars FROM atr",
+    "OP80_realised_volatility": f"WITH {BARS}, {_rv(60)} SELECT instrument, ts_utc_ns, round(rv, 8) AS rv_60m FROM rv",
     "OP81_trailing_range": f"WITH {BARS} SELECT instrument, ts_utc_ns, CASE WHEN rn >= 59 THEN round(max(mid) OVER w - min(mid) OVER w, 8) END AS range_60m FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
     "OP82_session_mask": f"WITH {BARS}, {WINDOWS}, " + ", ".join(_mask(s, v, n).format(days="days") for s, v, n in (("pre_london", "high", "ph"), ("pre_london", "low", "pl"), ("london", "range", "lr"), ("new_york", "range", "nr")))
     + " SELECT instrument, ts_utc_ns, round(ph.v, 8) AS pre_london_high, round(pl.v, 8) AS pre_london_low, round(lr.v, 8) AS london_range, round(nr.v, 8) AS new_york_range FROM ph JOIN pl USING (instrument, ts_utc_ns) JOIN lr USING (instrument, ts_utc_ns) JOIN nr USING (instrument, ts_utc_ns)",
-    "OP85_range_percentile": f"WITH {BARS}, {WINDOWS}, {PCT_SQL} SELECT d.instrument, CAST(d.day AS VARCHAR) AS day, round(p.pct, 8) AS pct FROM days d LEFT JOIN pct p USING (instrument, day) WHERE d.session = 'pre_london'",
+    "OP85_range_percentile": """WITH d AS (SELECT l_returnflag AS instrument, CAST(l_shipdate AS DATE) AS day, max(l_extendedprice) - min(l_extendedprice) AS range FROM lineitem GROUP BY ALL), e AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM d WHERE (day - DATE '1970-01-01') % 11 <> 0),
+      p AS (SELECT a.instrument, a.day, CASE WHEN a.k > 60 THEN count(*) FILTER (b.range < a.range) / 60.0 END AS pct FROM e a LEFT JOIN e b ON a.instrument = b.instrument AND b.k BETWEEN a.k - 60 AND a.k - 1 GROUP BY a.instrument, a.day, a.k) SELECT d.instrument, CAST(d.day AS VARCHAR) AS day, round(pct, 8) AS pct FROM d LEFT JOIN p USING (instrument, day)""",
     "OP85_visible_percentile": f"WITH {BARS}, {WINDOWS}, {PCT_SQL}, ranked AS (SELECT d.instrument, d.day, d.session, d.end_ns, p.pct FROM days d LEFT JOIN pct p USING (instrument, day) WHERE d.session = 'pre_london'), {_mask('pre_london', 'pct', 'pp').format(days='ranked')} SELECT instrument, ts_utc_ns, round(v, 8) AS pre_london_range_pct FROM pp",
     "OP86_anchored_value": f"WITH {BARS}, {WINDOWS}, {atr_sql(ATR)}, {ANCHOR_SQL} SELECT instrument, CAST(day AS VARCHAR) AS day, session, round(atr, 8) AS atr FROM anchored",
     "OP88_consecutive_difference": f"WITH {TICKS} SELECT row_sequence, row_number() OVER o - 1 AS rn, ts_utc_ns - lag(ts_utc_ns) OVER o AS gap FROM ticks WINDOW o AS (PARTITION BY instrument ORDER BY row_sequence)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import timex as T
 from tidemark.operators import describe as D
 from tidemark.operators import events as E
 from tidemark.queries.base import BARS, WINDOWS, atr_sql, bars, local, rounded, table
@@ -45,15 +46,15 @@ def op67y(spark, sf):
 
 
 def op70(spark, sf):
-    return rounded(D.grouped_bootstrap(daily(spark, sf).withColumn("weekday", F.weekday("day")), ["instrument", "weekday"], "ratio", F.lit(20260914) + F.col("weekday"), 500))
+    return rounded(D.grouped_bootstrap(daily(spark, sf).withColumn("weekday", F.weekday("day")), ["instrument", "weekday"], "ratio", F.lit(20260914) + F.col("weekday")))
 
 
 def op71(spark, sf):
-    return rounded(D.r5_intervals(bars(spark, sf), 200))
+    return rounded(D.r5_intervals(bars(spark, sf)).unionByName(D.r5_year_intervals(bars(spark, sf)), allowMissingColumns=True))
 
 
 def op72(spark, sf):
-    return rounded(D.box_stats(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice").drop("outliers"), 6)
+    return rounded(D.box_stats(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice"), 6)
 
 
 def op87(spark, sf):
@@ -80,7 +81,7 @@ def op138(spark, sf):
 
 
 def _years(spark, sf):
-    return bars(spark, sf).select("instrument", F.lit(2024).alias("year")).distinct()
+    return bars(spark, sf).select("instrument", F.expr(T.utc_year("ts_utc_ns")).alias("year")).distinct()
 
 
 def op73(spark, sf):
@@ -99,15 +100,15 @@ def op139(spark, sf):
 
 
 def _gate_input(spark, sf):
-    """Orders by priority, year and status stand for counts of contexts."""
-    o = table(spark, sf, "orders").where("o_orderdate < date'2001-01-01'")
+    """Orders by priority, half-year (for a year) and status stand for counts of contexts."""
+    o = table(spark, sf, "orders")
     kind = F.element_at(F.create_map(F.lit("O"), F.lit("C-A∩C-B"), F.lit("F"), F.lit("C-A∩C-C"), F.lit("P"), F.lit("C-D∩C-B")), F.col("o_orderstatus"))
-    return o.groupBy(F.col("o_orderpriority").alias("instrument"), F.year("o_orderdate").alias("year"), kind.alias("context")).agg(F.count(F.lit(1)).alias("n"))
+    return o.groupBy(F.col("o_orderpriority").alias("instrument"), (2 * F.year("o_orderdate") + (F.month("o_orderdate") > 6).cast("int")).alias("year"), kind.alias("context")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def op140(spark, sf):
     c = _gate_input(spark, sf)
-    return rounded(E.gate(c, c.select("instrument", "year").distinct().withColumn("admissible", F.lit(True)), min_years=6))
+    return rounded(E.gate(c, c.select("instrument", "year").distinct().withColumn("admissible", F.lit(True))))
 
 
 QUERIES = {
@@ -164,15 +165,15 @@ ORACLE_SQL = {
     "OP72_box_stats": """WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1), v AS (
       SELECT q.*, o_totalprice AS x, o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM orders JOIN q USING (o_orderpriority))
       SELECT o_orderpriority, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(x) FILTER (inside) AS low, max(x) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS n_outliers FROM v GROUP BY ALL""",
-    "OP73_context_counts": f"WITH {_EVENTS}, once AS (SELECT DISTINCT instrument, context, day, direction FROM found), tagged AS (SELECT * FROM once UNION ALL {_BOTH.replace('AS context', 'AS context', 1)}), spine8 AS (SELECT DISTINCT instrument, unnest(['C-A','C-B','C-C','C-D','C-A∩C-B','C-A∩C-C','C-D∩C-B','C-D∩C-C']) AS context FROM bars) SELECT s.instrument, 2024 AS year, s.context, count(t.day) AS n FROM spine8 s LEFT JOIN (SELECT instrument, context, day FROM tagged WHERE year(day) = 2024) t USING (instrument, context) GROUP BY ALL",
+    "OP73_context_counts": f"WITH {_EVENTS}, once AS (SELECT DISTINCT instrument, context, day, direction FROM found), tagged AS (SELECT * FROM once UNION ALL {_BOTH.replace('AS context', 'AS context', 1)}), spine8 AS (SELECT DISTINCT instrument, year(make_timestamp(ts_utc_ns // 1000)) AS year, unnest(['C-A','C-B','C-C','C-D','C-A∩C-B','C-A∩C-C','C-D∩C-B','C-D∩C-C']) AS context FROM bars) SELECT s.instrument, s.year, s.context, count(t.day) AS n FROM spine8 s LEFT JOIN (SELECT instrument, context, day, year(day) AS year FROM tagged) t USING (instrument, context, year) GROUP BY ALL",
     "OP74_weekdays_by_year": "SELECT year(d) AS year, count(*) FILTER (isodow(d) <= 5) AS n FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d) GROUP BY 1",
     "OP87_quintiles": f"WITH RECURSIVE {_fold('lineitem', 'l_quantity', 'l_returnflag')} SELECT l_returnflag, f.b AS bucket, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem JOIN folded f USING (l_returnflag) WHERE f.v = l_quantity GROUP BY ALL",
     "OP134_morning_days": f"WITH {_MORNING} SELECT instrument, CAST(day AS VARCHAR) AS day, round(high, 8) AS high, round(low, 8) AS low, round(pct, 8) AS pct, CAST(excluded AS BIGINT) AS excluded FROM mornings",
     "OP135_events": f"WITH {_EVENTS} SELECT instrument, context, CAST(day AS VARCHAR) AS day, direction, ts_utc_ns FROM found",
     "OP138_eligible_days": f"WITH {_MORNING} SELECT instrument, CAST(day AS VARCHAR) AS day FROM mornings m WHERE pct IS NOT NULL AND high IS NOT NULL AND EXISTS (SELECT 1 FROM full_rows r WHERE r.instrument = m.instrument AND r.day = m.day AND r.atr_bars IS NOT NULL)",
     "OP139_admissible_years": "SELECT o_orderpriority AS instrument, year(o_orderdate) AS year, round(count(DISTINCT month(o_orderdate)) / 12, 8) AS months_ratio, CAST(count(*) FILTER (o_orderkey % 12001 = 0) AS BIGINT) AS errors, CAST(count(DISTINCT month(o_orderdate)) / 12 >= 0.95 AND count(*) FILTER (o_orderkey % 12001 = 0) = 0 AS BIGINT) AS admissible FROM orders GROUP BY 1, 2",
-    "OP140_gate": """WITH c AS (SELECT o_orderpriority AS instrument, year(o_orderdate) AS year, CASE o_orderstatus WHEN 'O' THEN 'C-A∩C-B' WHEN 'F' THEN 'C-A∩C-C' ELSE 'C-D∩C-B' END AS context, count(*) AS n FROM orders WHERE o_orderdate < DATE '2001-01-01' GROUP BY ALL),
+    "OP140_gate": """WITH c AS (SELECT o_orderpriority AS instrument, year(o_orderdate) * 2 + CAST(month(o_orderdate) > 6 AS INT) AS year, CASE o_orderstatus WHEN 'O' THEN 'C-A∩C-B' WHEN 'F' THEN 'C-A∩C-C' ELSE 'C-D∩C-B' END AS context, count(*) AS n FROM orders GROUP BY ALL),
       per AS (SELECT instrument, context, count(*) AS n_years, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.1) AS p10 FROM c GROUP BY ALL), w AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY median, context) = 1)
-      SELECT instrument, n_years, CASE WHEN n_years >= 6 THEN context END AS narrowest, CASE WHEN n_years >= 6 THEN round(median, 8) END AS median, CASE WHEN n_years >= 6 THEN round(p10, 8) END AS p10,
-      CASE WHEN n_years < 6 THEN 'INSUFFICIENT_DATA' WHEN median >= 100 AND p10 >= 60 THEN 'PROCEED_GBPUSD' WHEN median >= 100 THEN 'PROCEED_GBPUSD_WITH_INSTABILITY_WARNING' ELSE 'WIDEN_CONTEXT' END AS decision FROM w""",
+      SELECT instrument, n_years, CASE WHEN n_years >= 12 THEN context END AS narrowest, CASE WHEN n_years >= 12 THEN round(median, 8) END AS median, CASE WHEN n_years >= 12 THEN round(p10, 8) END AS p10,
+      CASE WHEN n_years < 12 THEN 'INSUFFICIENT_DATA' WHEN median >= 100 AND p10 >= 60 THEN 'PROCEED_GBPUSD' WHEN median >= 100 THEN 'PROCEED_GBPUSD_WITH_INSTABILITY_WARNING' ELSE 'WIDEN_CONTEXT' END AS decision FROM w""",
 }

@@ -57,14 +57,14 @@ def r6(spark, sf):
 
 
 def _orders(spark, sf):
-    """Every 50th tick places an order from its own instant on, for two days, near the price of its time."""
-    t = ticks(spark, sf).where("row_sequence % 50 = 0")
-    k = F.expr("row_sequence div 50 % 6")
+    """Every tick places an order from its own instant on, for six hours, near the price of its time."""
+    t = ticks(spark, sf)
+    k = F.expr("row_sequence % 6")
     kind = F.when(k < 2, "market").when(k < 4, "stop").otherwise("limit")
-    side = F.when(F.expr("row_sequence div 50 % 2 = 0"), "buy").otherwise("sell")
+    side = F.when(F.expr("row_sequence % 2 = 0"), "buy").otherwise("sell")
     away = F.when(side == "buy", 0.0005).otherwise(-0.0005)
     level = F.round(F.when(kind == "limit", F.col("bid") - away).otherwise(F.col("bid") + away), 6)
-    return t.select(F.col("row_sequence").cast("string").alias("order_id"), "instrument", kind.alias("kind"), side.alias("side"), level.alias("level"), F.col("ts_utc_ns").alias("from_ns"), (F.col("ts_utc_ns") + 2 * T.DAY).alias("until_ns"), F.when(kind == "limit", 0.0).otherwise(0.00001).alias("slip"))
+    return t.select(F.col("row_sequence").cast("string").alias("order_id"), "instrument", kind.alias("kind"), side.alias("side"), level.alias("level"), F.col("ts_utc_ns").alias("from_ns"), (F.col("ts_utc_ns") + 6 * T.HOUR).alias("until_ns"), F.when(kind == "limit", 0.0).otherwise(0.00001).alias("slip"))
 
 
 def fills(spark, sf):
@@ -109,8 +109,8 @@ _LO4, _HI4 = _wilson("n", "of_n")
 _LOW, _HIW = _wilson("wins", "n")
 _LONDON_HOUR = f"hour({local('ts_utc_ns', 'Europe/London')})"
 _SLOT = "datediff('day', b.day, a.day) BETWEEN 1 AND 28"
-_ORDERS = """orders_x AS (SELECT CAST(row_sequence AS VARCHAR) AS order_id, instrument, CASE WHEN row_sequence // 50 % 6 < 2 THEN 'market' WHEN row_sequence // 50 % 6 < 4 THEN 'stop' ELSE 'limit' END AS kind,
-  CASE WHEN row_sequence // 50 % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, bid AS b0, ts_utc_ns AS from_ns, ts_utc_ns + 172800000000000 AS until_ns FROM ticks WHERE row_sequence % 50 = 0), placed AS (
+_ORDERS = """orders_x AS (SELECT CAST(row_sequence AS VARCHAR) AS order_id, instrument, CASE WHEN row_sequence % 6 < 2 THEN 'market' WHEN row_sequence % 6 < 4 THEN 'stop' ELSE 'limit' END AS kind,
+  CASE WHEN row_sequence % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, bid AS b0, ts_utc_ns AS from_ns, ts_utc_ns + 21600000000000 AS until_ns FROM ticks), placed AS (
   SELECT *, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS s, CASE WHEN kind = 'limit' THEN 0.0 ELSE 0.00001 END AS slip, round(CASE WHEN kind = 'limit' THEN b0 - CASE WHEN side = 'buy' THEN 0.0005 ELSE -0.0005 END ELSE b0 + CASE WHEN side = 'buy' THEN 0.0005 ELSE -0.0005 END END, 6) AS level FROM orders_x), seen AS (
   SELECT p.order_id, p.kind, p.s, p.slip, p.level, t.ts_utc_ns, t.row_sequence, CASE WHEN p.side = 'buy' THEN t.ask ELSE t.bid END AS price FROM placed p JOIN ticks t ON t.instrument = p.instrument AND t.ts_utc_ns >= p.from_ns AND t.ts_utc_ns < p.until_ns), hit AS (
   SELECT *, CASE kind WHEN 'market' THEN price WHEN 'stop' THEN CASE WHEN s = 1 THEN greatest(level, price) ELSE least(level, price) END ELSE CASE WHEN s = 1 THEN least(level, price) ELSE greatest(level, price) END END + s * slip AS fill

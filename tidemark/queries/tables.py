@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
 from tidemark.operators import ingest as I
 from tidemark.operators.bars import resample
-from tidemark.queries.base import BARS, TICKS, rounded, table, ticks
+from tidemark.queries.base import BARS, TICKS, day_of, place, rounded, table, ticks
 from tidemark.sources import ticks as S
-from tidemark.streaming.bars import stream_bars
+from tidemark.streaming.bars import bounded_bars
 
 LO, HI = 1_704_067_200_000_000_000, 1_735_689_600_000_000_000  # 2024, UTC
 
 
-def _place(spark, name: str) -> str:
-    """A new folder in the shared one that the cluster names; in a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def op03(spark, sf):
     return rounded(S.months_covering(spark, LO, HI))
 
@@ -55,7 +46,7 @@ def op02(spark, sf):
     """Bars written by month and read back by range."""
     from tidemark.operators.bars import with_gaps
 
-    root = _place(spark, "bars")
+    root = place(spark, "bars")
     S.write_bars(with_gaps(resample(ticks(spark, sf))), root)
     lo, hi = 1_704_672_000_000_000_000, 1_705_276_800_000_000_000
     return rounded(S.read_bars(spark, root, lo, hi).select("instrument", "ts_utc_ns", "bid_c", "tick_count", "prev_gap_ns"))
@@ -91,30 +82,29 @@ def op101(spark, sf):
 
 def op104(spark, sf):
     """First three orders of each priority by date: a top-k report."""
-    w = S.W.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf, "orders").withColumn("place", F.row_number().over(w)).where("place <= 3").select("o_orderpriority", F.col("place").cast("long").alias("place"), "o_orderkey")
+    return rounded(S.first_rows(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderdate", "o_orderkey"], 3, "place").select("o_orderpriority", "place", "o_orderkey"))
 
 
 def op96(spark, sf):
-    big = table(spark, sf, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").join(big, "o_orderkey", "left_semi").select("o_orderkey")
+    """Bars of the days on which a tick of their instrument was far from the mean: a semi-join by day."""
+    t = ticks(spark, sf).withColumn("day", F.expr(T.trading_day("ts_utc_ns")))
+    far = t.where("value >= 130").select("instrument", "day")
+    return S.rows_of(t, far, ["instrument", "day"]).select("row_sequence")
 
 
 def op123(spark, sf):
-    """Column order by the share of rows whose first price is larger, for whole instruments and by day."""
-    t = ticks(spark, sf).withColumns({"a": F.when(F.col("instrument") == "view", F.col("ask")).otherwise(F.col("bid")), "b": F.when(F.col("instrument") == "view", F.col("bid")).otherwise(F.col("ask"))}).where("ask > bid")
-    share = t.groupBy("instrument").agg(F.avg((F.col("a") > F.col("b")).cast("int")).alias("share"))
-    return rounded(share.withColumn("column_order", F.when(F.col("share") <= I.LOW, "bid_ask").when(F.col("share") >= I.HIGH, "ask_bid")))
+    """Column order by the share of rows whose first price is larger, for whole instruments: one has its columns the other way round."""
+    view = F.col("instrument") == "view"
+    t = ticks(spark, sf).where("ask > bid").select("instrument", F.when(view, F.col("ask")).otherwise(F.col("bid")).alias("a"), F.when(view, F.col("bid")).otherwise(F.col("ask")).alias("b"))
+    return rounded(I.column_orders(t, ["instrument"], "a", "b"))
 
 
 def op_stream(spark, sf):
-    """The stream over one folder of ticks, run until it has read all; the last minutes stay in the state."""
-    root = _place(spark, "stream")
+    """The stream over a folder of ticks, run until it has read all and given out its last minute."""
+    root = place(spark, "stream")
     t = ticks(spark, sf).select("instrument", "ts_utc_ns", "bid", "ask", "row_sequence")
-    t.repartition(1).sortWithinPartitions("ts_utc_ns").write.parquet(f"{root}/in")
-    q = stream_bars(spark.readStream.schema(t.schema).parquet(f"{root}/in"), "1 minute").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rounded(spark.read.parquet(f"{root}/out").select("instrument", "ts_utc_ns", "bid_o", "ask_c", "tick_count", "spread_twa"))
+    t.write.parquet(f"{root}/in")
+    return rounded(bounded_bars(spark, f"{root}/in", t.schema, f"{root}/out", f"{root}/state").select("instrument", "ts_utc_ns", "bid_o", "ask_c", "tick_count", "spread_twa"))
 
 
 QUERIES = {
@@ -145,10 +135,11 @@ ORACLE_SQL = {
       SELECT instrument, ts_utc_ns, row_sequence, bid, ask FROM once QUALIFY row_number() OVER (PARTITION BY instrument, ts_utc_ns, row_sequence ORDER BY gen DESC) = 1""",
     "OP18_feature_merge": f"WITH {TICKS} SELECT instrument, ts_utc_ns, CASE WHEN bid > 1.002 THEN -bid ELSE bid END AS x FROM ticks",
     "OP19_log_merge": f"WITH {_HOURS} SELECT hour_ns, CASE WHEN bool_or(event_type = 'click') THEN 'fetched' ELSE 'empty' END AS status FROM hours WHERE event_type IN ('click', 'view') GROUP BY 1",
-    "OP96_semi_join": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)",
+    "EXT_streaming_bars": f"WITH {BARS} SELECT instrument, ts_utc_ns, round(bid_o, 8) AS bid_o, round(ask_c, 8) AS ask_c, tick_count, round(spread_twa, 8) AS spread_twa FROM bars",
+    "OP96_semi_join": f"WITH {TICKS}, d AS (SELECT *, {day_of('ts_utc_ns')} AS day FROM ticks) SELECT row_sequence FROM d WHERE (instrument, day) IN (SELECT (instrument, day) FROM d WHERE value >= 130)",
     "OP99_calendar_lookup": f"WITH {TICKS}, cal AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 10500 AS d FROM orders) SELECT row_sequence, CAST(CAST(timezone('America/New_York', timezone('UTC', make_timestamp(ts_utc_ns // 1000))) + INTERVAL 7 HOUR AS DATE) IN (SELECT d FROM cal) AS BIGINT) AS is_release_day FROM ticks",
     "OP101_latest": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "OP104_first_rows": "SELECT o_orderpriority, row_number() OVER w AS place, o_orderkey FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) QUALIFY row_number() OVER w <= 3",
-    "OP123_column_order": f"WITH {TICKS} SELECT instrument, CASE WHEN instrument = 'view' THEN 1.0 ELSE 0.0 END AS share, CASE WHEN instrument = 'view' THEN 'ask_bid' ELSE 'bid_ask' END AS column_order FROM ticks WHERE ask > bid GROUP BY 1",
+    "OP123_column_order": f"WITH {TICKS}, t AS (SELECT instrument, CASE WHEN instrument = 'view' THEN ask ELSE bid END AS a, CASE WHEN instrument = 'view' THEN bid ELSE ask END AS b FROM ticks WHERE ask > bid), s AS (SELECT instrument, avg(CAST(a > b AS INT)) AS share, count(*) AS n FROM t GROUP BY 1) SELECT instrument, n, share, CASE WHEN share <= 0.01 THEN 'bid_ask' WHEN share >= 0.99 THEN 'ask_bid' END AS column_order FROM s",
     "OP127_divergent_dates": "SELECT CAST(d AS VARCHAR) AS day FROM (SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE timezone('America/New_York', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) - timezone('Europe/London', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) <> INTERVAL 5 HOUR",
 }

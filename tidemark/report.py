@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row
 
 from tidemark.functions.canonical import canonical_json, sha256_file
 from tidemark.operators.describe import MARKED, SUPPRESSED
+from tidemark.operators.quality import findings, first_samples, ordered
 
 SCHEMA_VERSION = 1
 
@@ -82,13 +83,15 @@ def write_report(path: str | Path, title: str, sections: list[tuple[str, str]],
     return put(path, text)
 
 
-def quality_report(path: str | Path, found: DataFrame, label: str, shown: int = 10) -> Path:
-    """Findings by severity; at most so many samples each, all of them in the sidecar."""
+def quality_report(path: str | Path, samples: DataFrame, label: str, shown: int = 10) -> Path:
+    """Findings by severity, with at most so many samples each. Beside the report: all findings, and all samples, a row for each."""
+    found = ordered(findings(samples))
     rows = found.collect()  # a few for each check, instrument and year
-    errors = sum(r["severity"] == "ERROR" and r["count"] > 0 for r in rows)
-    brief = [Row(**(r.asDict() | {"sample": r["sample"][:shown]})) for r in rows]
+    first = {(r["instrument"], r["check_id"], r["year"]): r["sample"] for r in first_samples(samples, shown).collect()}
+    brief = [Row(**(r.asDict() | {"sample": first.get((r["instrument"], r["check_id"], r["year"]), [])})) for r in rows]
     tally = {s: sum(r["severity"] == s and r["count"] > 0 for r in rows) for s in ("ERROR", "WARNING", "INFO")}
-    sections = [("Outcome", f"{'not ' if errors else ''}sealable; " + ", ".join(f"{n} {s}" for s, n in tally.items())), ("Findings", grid(brief, ["check_id", "check_name", "severity", "instrument", "year", "count", "detail", "sample"]) if brief else "none")]
+    sections = [("Outcome", f"{'not ' if tally['ERROR'] else ''}sealable; " + ", ".join(f"{n} {s}" for s, n in tally.items())), ("Findings", grid(brief, ["check_id", "check_name", "severity", "instrument", "year", "count", "detail", "sample"]) if brief else "none")]
+    samples.write.mode("overwrite").option("compression", "zstd").parquet(str(Path(path).with_suffix(".samples.parquet")))
     return write_report(path, f"Data quality, {label}", sections, found)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,6 +103,16 @@ def merge_ticks(existing: DataFrame, new: DataFrame) -> DataFrame:
     return latest(once, ["instrument", "ts_utc_ns", "row_sequence"], F.desc("_gen"), F.desc("bid"), F.desc("ask")).drop("_gen")
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: list[str], few: int, out: str) -> DataFrame:
+    """The first few rows of each key, numbered from 1."""
+    return rows.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= few)
+
+
+def rows_of(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are wanted, each once however often its keys are."""
+    return rows.join(wanted.select(*keys), keys, "left_semi")
+
+
 def merge_features(existing: DataFrame, new: DataFrame) -> DataFrame:
     both = existing.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
     return latest(both, ["instrument", "ts_utc_ns"], F.desc("_gen")).drop("_gen")
@@ -113,7 +125,7 @@ def upsert(new: DataFrame, root: str, schema: str, merge) -> None:
     new = with_month(new).select(*[f.split()[0] for f in schema.split(", ")], "instrument", "year", "month")
     touched = new.select("instrument", "year", "month").distinct()
     old = scan(spark, root, schema).join(touched, ["instrument", "year", "month"], "left_semi")
-    aside = f"{root.rstrip('/')}.staging"
+    aside = f"{root.rstrip('/')}.staging-{uuid.uuid4().hex}"
     ordered = merge(old, new).repartition("instrument", "year", "month").sortWithinPartitions("instrument", "year", "month", "ts_utc_ns")
     ordered.write.mode("overwrite").options(**ZSTD).partitionBy("instrument", "year", "month").parquet(aside)
     staged = spark.read.schema(f"{schema}, {PARTITIONS}").parquet(aside).repartition("instrument", "year", "month").sortWithinPartitions("instrument", "year", "month", "ts_utc_ns")

@@ -6,7 +6,7 @@ time-weighted spread needs the order of a minute's ticks, so its few ticks are g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
@@ -37,3 +37,22 @@ def stream_counts(ticks: DataFrame, late: str = "10 minutes", width: str = "1 ho
     w = F.window("at", width, slide) if slide else F.window("at", width)
     timed = ticks.withColumn("at", F.expr(T.instant("ts_utc_ns"))).withWatermark("at", late)
     return timed.groupBy("instrument", w.alias("w")).agg(F.count(F.lit(1)).alias("n_ticks"), F.count_if(F.col("ask") == F.col("bid")).alias("n_zero_spread")).select("instrument", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_ticks", "n_zero_spread")
+
+
+def bounded_bars(spark: SparkSession, source: str, schema: object, out: str, state: str, late: str = "10 minutes") -> DataFrame:
+    """Bars of all ticks below a folder, as a stream that ends: it reads what is there, then one tick far ahead of all, whose instrument is null, moves the watermark past the last minute."""
+    ticks = lambda: spark.readStream.schema(schema).option("latestFirst", "false").parquet(f"{source}*")
+
+    def run() -> None:
+        writer = stream_bars(ticks(), late).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    last = spark.read.schema(schema).parquet(source).agg(F.max("ts_utc_ns")).first()[0]
+    if last is None:
+        return spark.read.schema(stream_bars(spark.createDataFrame([], schema)).schema).parquet(out)
+    for k in (1, 2):  # a watermark counts from the batch after
+        row = {"instrument": None, "ts_utc_ns": last + k * T.DAY, "row_sequence": -k}
+        spark.createDataFrame([tuple(row.get(f.name) for f in schema.fields)], schema).write.parquet(f"{source.rstrip('/')}-end{k}")
+        run()
+    return spark.read.parquet(out).where("instrument is not null")
