@@ -79,12 +79,11 @@ def fetch_range(root: str | Path, instrument: str, start_ns: int, end_ns: int, r
     in a row (in the order in which they were answered) that ended in 429 the range stops with an error; what was fetched stays."""
     if start_ns % HOUR or end_ns % HOUR or start_ns >= end_ns:
         raise ValueError("a range begins and ends on whole hours, and begins first")
-    pace, lock, stop, refused = Pace(gap, sleep=sleep), threading.Lock(), threading.Event(), 0
+    pace, lock, stop, refused = Pace(gap, sleep=sleep), threading.Lock(), threading.Event(), [0, 0]  # in a row now, and in a row when it was enough
     hours = range(start_ns, end_ns, HOUR)
     todo, done = iter(hours), {}
 
     def work() -> None:
-        nonlocal refused
         while not stop.is_set():
             with lock:
                 hour_ns = next(todo, None)
@@ -100,15 +99,16 @@ def fetch_range(root: str | Path, instrument: str, start_ns: int, end_ns: int, r
                 if got.status == "skipped_existing":
                     continue
                 log(got)
-                refused = refused + 1 if got.status == "rate_limited" else 0
-                if refused >= most_refused:
+                refused[0] = refused[0] + 1 if got.status == "rate_limited" else 0
+                if refused[0] >= most_refused:
+                    refused[1] = refused[0]
                     stop.set()
 
     with ThreadPoolExecutor(max(1, threads)) as pool:
         for job in [pool.submit(work) for _ in range(max(1, threads))]:
             job.result()
-    if refused >= most_refused:
-        raise IntegrityError(f"{refused} hours in a row were refused with 429: try again later, with a longer gap between requests")
+    if refused[1]:
+        raise IntegrityError(f"{refused[1]} hours in a row were refused with 429: try again later, with a longer gap between requests")
     if lost := [h for h in hours if h not in done]:
         raise IntegrityError(f"{len(lost)} of {len(hours)} hours have no result, first {moment(lost[0])}")
     return [done[h] for h in hours]

@@ -115,6 +115,12 @@ def break_state(rows: DataFrame, level: str, buffer_atr: float = 0.1, window: in
     return trailing(first.drop("_beyond"), KEY, window, make)
 
 
+def reentry_state(rows: DataFrame, level: str, buffer_atr: float = 0.1, window: int = 60, above: bool = True) -> DataFrame:
+    """(rows' columns, reentry_state): whether a break of window bars before has been taken back since; null on bars that far from no break, and on the
+    last bars before a window is over, so that nothing is known before it can be."""
+    return break_state(rows, level, buffer_atr, window, above).drop("broke").withColumnRenamed("reentered", "reentry_state")
+
+
 def wilson(hits: str, n: str) -> tuple[Column, Column]:
     """The 95 % score interval of a proportion."""
     p, m = F.col(hits) / F.col(n), F.col(n)
