@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
-from tidemark.operators.features import anchored, range_percentile, session_days, trailing_range, wilder_atr
+from tidemark.operators.features import range_percentile, session_days, trailing_range, wilder_atr
 from tidemark.plans.config import FX_CORE, SessionSet
 
 R1_SESSIONS = ("pre_london", "london", "new_york")
@@ -82,8 +82,7 @@ def r5_year_intervals(bars: DataFrame, resamples: int = 500) -> DataFrame:
 
 def session_ratios(bars: DataFrame, atr_n: int = 1440, sessions: SessionSet = FX_CORE, names: tuple[str, ...] = R1_SESSIONS) -> DataFrame:
     """(instrument, day, session, range, atr, ratio) of days that are over and have bars in the session; days without a finite ratio are left out."""
-    days = session_days(bars, sessions, list(names))
-    with_atr = anchored(days, wilder_atr(bars, atr_n), "atr_bars", "atr", list(names), sessions).where("n_bars > 0 and observed")
+    with_atr = session_days(wilder_atr(bars, atr_n), sessions, list(names), ("atr_bars", "atr")).where("n_bars > 0 and observed")
     return with_atr.withColumn("ratio", F.try_divide("range", F.nullif("atr", F.lit(0.0)))).where("ratio is not null").select("instrument", "day", "session", "range", "atr", "ratio")
 
 
@@ -128,8 +127,8 @@ def quintiles(rows: DataFrame, value: str, keys: list[str], out: str = "bucket")
 
 def r2_days(bars: DataFrame, atr_n: int = 1440, pct_n: int = 60, sessions: SessionSet = FX_CORE) -> DataFrame:
     """(instrument, day, pct, ratio, bucket): the morning's percentile, London's range in ATRs, and the percentile's bucket over all days."""
-    days = range_percentile(session_days(bars, sessions, ["pre_london", "london"]), pct_n)
-    known = anchored(days, wilder_atr(bars, atr_n), "atr_bars", "atr", ["london"], sessions).where("n_bars > 0 and observed")
+    days = session_days(wilder_atr(bars, atr_n), sessions, ["pre_london", "london"], ("atr_bars", "atr"))
+    known = range_percentile(days, pct_n).where("n_bars > 0 and observed")
     ratio = F.when(F.col("session") == "london", F.try_divide("range", F.nullif("atr", F.lit(0.0))))
     both = known.groupBy("instrument", "day").agg(F.max(ratio).alias("ratio"), F.max(F.when(F.col("session") == "pre_london", F.col("pct"))).alias("pct")).where("ratio is not null and pct is not null")
     # one row for each instrument and day: dealt out once, so that both readers of the rows share the exchange

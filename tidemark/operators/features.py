@@ -7,15 +7,16 @@ of one day, and is made visible once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
-from tidemark.operators.sequence import numbered, recurrence, trailing
+from tidemark.operators.sequence import SPAN, carry, numbered, trailing
 from tidemark.operators.sessions import bounds, flagged
 from tidemark.plans.config import FX_CORE, SessionSet
 
@@ -44,17 +45,31 @@ def true_range(bars: DataFrame, out: str = "tr") -> DataFrame:
     return trailing(_rows(bars), KEY, 1, lambda w: {out: F.greatest(F.col("bid_h") - F.col("bid_l"), F.abs(F.col("bid_h") - F.lag("bid_c").over(w)), F.abs(F.col("bid_l") - F.lag("bid_c").over(w)))})
 
 
-def wilder_atr(bars: DataFrame, n: int = 1440, out: str = "atr_bars") -> DataFrame:
-    """Wilder's average true range over present bars: the mean of the first n at row n - 1, then ((n - 1) previous + TR) / n.
+def wilder_atr(bars: DataFrame, n: int = 1440, out: str = "atr_bars", width_ns: int = T.MINUTE) -> DataFrame:
+    """Wilder's average true range over present bars: the mean of the first n at row n - 1, then ((n - 1) previous + TR) / n. Adds rn too.
 
-    The seed needs no pass of its own: the first n inputs are weighted up by what the recurrence will have taken off them at row n - 1.
+    The seed needs no pass of its own: the first n inputs are weighted up by what the recurrence will have taken off them at row n - 1. Series are cut into spans of
+    time, short enough for the running sum of x / a**k to stay far from overflow; one row for each span carries its count and last close to the next, and one
+    the recurrence, so bars are shuffled once. width_ns: the least time between two bars.
     """
-    rows, a = true_range(bars, "_tr"), (n - 1) / n
     if n == 1:
-        return rows.withColumnRenamed("_tr", out)
+        return true_range(bars, out)
+    a = (n - 1) / n
+    span = min(SPAN, max(1, int(280 / -math.log(a))) * width_ns)
+    cut = bars.drop("rn").withColumn("_span", F.expr(f"ts_utc_ns - pmod(ts_utc_ns, {span})"))
+    spans = W.partitionBy(*KEY).orderBy("_span")
+    ends = cut.groupBy(*KEY, "_span").agg(F.count(F.lit(1)).alias("_n"), F.max_by("bid_c", "ts_utc_ns").alias("_last"))
+    before = ends.select(*KEY, "_span", F.coalesce(F.sum("_n").over(spans.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lag("_last").over(spans).alias("_close"))
+    w = W.partitionBy(*KEY, "_span").orderBy("ts_utc_ns")
+    rows = cut.join(before, [*KEY, "_span"]).withColumns({"_k": F.row_number().over(w) - 1, "_prev": F.coalesce(F.lag("bid_c").over(w), F.col("_close"))})
+    rows = rows.withColumn("rn", F.col("_before") + F.col("_k"))
+    tr = F.greatest(F.col("bid_h") - F.col("bid_l"), F.abs(F.col("bid_h") - F.col("_prev")), F.abs(F.col("bid_l") - F.col("_prev")))
     weight = F.when(F.col("rn") < n, F.pow(F.lit(a), F.col("rn") - (n - 1))).otherwise(1.0)
-    done = recurrence(rows.withColumn("_x", F.col("_tr") / n * weight), KEY, a, "_x", out)
-    return done.withColumn(out, F.when(F.col("rn") >= n - 1, F.col(out))).drop("_tr", "_x")
+    local = rows.withColumn("_x", tr / n * weight).withColumn("_local", F.pow(F.lit(a), F.col("_k")) * F.sum(F.col("_x") * F.pow(F.lit(a), -F.col("_k"))).over(w))
+    local = local.drop("_before", "_close", "_prev", "_x")
+    carried = carry(local.groupBy(*KEY, "_span").agg(F.max_by("_local", "_k").alias("_end"), F.count(F.lit(1)).alias("_len")), KEY, "_span", a)
+    value = F.col("_local") + F.col("_carry") * F.pow(F.lit(a), F.col("_k") + 1)
+    return local.join(carried, [*KEY, "_span"]).withColumn(out, F.when(F.col("rn") >= n - 1, value)).drop("_span", "_k", "_local", "_carry")
 
 
 def realised_volatility(bars: DataFrame, n: int = 60, gap_ns: int = 5 * T.MINUTE, out: str = "rv_60m") -> DataFrame:
@@ -78,20 +93,41 @@ def trailing_range(bars: DataFrame, n: int = 60, out: str = "range_60m") -> Data
     return trailing(_rows(with_mid(bars)), KEY, n, make)
 
 
-def session_days(bars: DataFrame, sessions: SessionSet = FX_CORE, names: list[str] | None = None) -> DataFrame:
+def _first_value(column: str, when: Column | None = None) -> Column:
+    """An aggregate: a double column's value in the first bar (of those that pass); NaN if it is null there, null if there is no bar. A struct would tell the two apart as well, but
+    is nothing that a hash aggregation can hold."""
+    at = F.col("ts_utc_ns") if when is None else F.when(when, F.col("ts_utc_ns"))
+    return F.min_by(F.coalesce(F.col(column), F.lit(float("nan"))), at)
+
+
+def _known(value: Column) -> Column:
+    return F.when(~F.isnan(value), value)
+
+
+def session_days(bars: DataFrame, sessions: SessionSet = FX_CORE, names: list[str] | None = None, anchor: tuple[str, str] | None = None) -> DataFrame:
     """(instrument, day, session, start_ns, end_ns, partial, high, low, range, n_bars, observed) for every day and session; without bars in the
-    window the values are null. observed: the instrument has a bar at or after the window's end."""
+    window the values are null. observed: the instrument has a bar at or after the window's end. anchor, (column of the bars, new name): adds what anchored does, in
+    the same aggregation."""
     picked = [x for x in sessions.sessions if names is None or x.name in names]
     edges = {x.name: bounds(x, sessions) for x in picked}
     inside = {n: F.expr(f"ts_utc_ns >= {lo} and ts_utc_ns < {hi}") for n, (lo, hi) in edges.items()}
     # one aggregation by day for all sessions: the windows are expressions of the day
     stats = [f.alias(f"_{n}_{c}") for n, i in inside.items() for c, f in (("high", F.max(F.when(i, F.col("mid")))), ("low", F.min(F.when(i, F.col("mid")))), ("n_bars", F.count_if(i)))]
-    by_day = with_day(with_mid(bars)).groupBy("instrument", "day").agg(*stats, F.min("ts_utc_ns").alias("_lo"), F.max("ts_utc_ns").alias("_hi"))
-    span = by_day.groupBy("instrument").agg(F.min("day").alias("_from"), F.max("day").alias("_to"), F.max("_hi").alias("_last"))
-    spine = span.select("instrument", "_last", F.explode(F.sequence("_from", "_to")).alias("day")).join(by_day, ["instrument", "day"], "left")
-    parts = F.array(*(F.struct(F.lit(n).alias("session"), F.expr(lo).alias("start_ns"), F.expr(hi).alias("end_ns"), *(F.col(f"_{n}_{c}").alias(c) for c in ("high", "low", "n_bars"))) for n, (lo, hi) in edges.items()))
-    full = flagged(spine.select("instrument", "day", "_last", F.explode(parts).alias("w")).select("instrument", "day", "_last", "w.*"))
-    return full.withColumn("range", F.col("high") - F.col("low")).withColumn("n_bars", F.coalesce("n_bars", F.lit(0))).withColumn("observed", F.col("_last") >= F.col("end_ns")).drop("_last", "empty")
+    extra = [] if anchor is None else [_first_value(anchor[0]).alias("_first"), *(_first_value(anchor[0], F.expr(f"ts_utc_ns >= {hi}")).alias(f"_{n}_at") for n, (_, hi) in edges.items())]
+    by_day = with_day(with_mid(bars)).groupBy("instrument", "day").agg(*stats, *extra, F.min("ts_utc_ns").alias("_lo"), F.max("ts_utc_ns").alias("_hi"))
+    # each day also stands for the days without bars until the next one, whose statistics are null
+    w = W.partitionBy("instrument")
+    filled = by_day.withColumns({"_last": F.max("_hi").over(w), "_next": F.lead("day").over(w.orderBy("day"))}).withColumn("_day", F.explode(F.expr("sequence(day, coalesce(date_sub(_next, 1), day))")))
+    own = [c for c in by_day.columns if c not in ("instrument", "day")]
+    spine = filled.select("instrument", "_last", F.col("_day").alias("day"), *(F.when(F.col("_day") == F.col("day"), F.col(c)).alias(c) for c in own))
+    parts = F.array(*(F.struct(F.lit(n).alias("session"), F.expr(lo).alias("start_ns"), F.expr(hi).alias("end_ns"), *(F.col(f"_{n}_{c}").alias(c) for c in ("high", "low", "n_bars", *(["at"] if anchor else [])))) for n, (lo, hi) in edges.items()))
+    kept = ["instrument", "day", "_last", *(["_first"] if anchor else [])]
+    full = flagged(spine.select(*kept, F.explode(parts).alias("w")).select(*kept, "w.*"))
+    full = full.withColumn("range", F.col("high") - F.col("low")).withColumn("n_bars", F.coalesce("n_bars", F.lit(0))).withColumn("observed", F.col("_last") >= F.col("end_ns"))
+    if anchor:
+        later = W.partitionBy("instrument", "session").orderBy("day").rowsBetween(1, W.unboundedFollowing)
+        full = full.withColumn(anchor[1], F.when(F.col("n_bars") > 0, _known(F.coalesce("at", F.first("_first", True).over(later))))).drop("_first", "at")
+    return full.drop("_last", "empty")
 
 
 def range_percentile(days: DataFrame, n: int = 60) -> DataFrame:
@@ -121,13 +157,12 @@ def anchored(days: DataFrame, rows: DataFrame, column: str, out: str, names: lis
     """Adds to each day and session (of names) the value of a bar column at the first bar at or after the window's end, of that day or a later one; null
     for days without bars in the window. Works by day, in one aggregation: the first bar after each end on the day itself, else the first bar of the next
     day that has any."""
-    pick = lambda when: F.min_by(F.struct(column), F.when(when, F.col("ts_utc_ns")))
-    ends = [pick(F.expr(f"ts_utc_ns >= {bounds(sessions[n], sessions)[1]}")).alias(f"_{n}") for n in names]
-    by_day = with_day(rows).groupBy("instrument", "day").agg(F.min_by(F.struct(column), "ts_utc_ns").alias("_first"), *ends)
+    ends = [_first_value(column, F.expr(f"ts_utc_ns >= {bounds(sessions[n], sessions)[1]}")).alias(f"_{n}") for n in names]
+    by_day = with_day(rows).groupBy("instrument", "day").agg(_first_value(column).alias("_first"), *ends)
     later = W.partitionBy("instrument", "session").orderBy("day").rowsBetween(1, W.unboundedFollowing)
     full = days.join(by_day, ["instrument", "day"], "left").withColumn("_next", F.first("_first", True).over(later))
     own = F.coalesce(*(F.when(F.col("session") == n, F.col(f"_{n}")) for n in names))
-    return full.withColumn(out, F.when(F.col("n_bars") > 0, F.coalesce(own, F.col("_next"))[column])).drop("_first", "_next", *(f"_{n}" for n in names))
+    return full.withColumn(out, F.when(F.col("n_bars") > 0, _known(F.coalesce(own, F.col("_next"))))).drop("_first", "_next", *(f"_{n}" for n in names))
 
 
 def first_at_or_after(left: DataFrame, at: str, right: DataFrame, when: str, keys: list[str], out: str) -> DataFrame:

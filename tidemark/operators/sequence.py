@@ -36,6 +36,20 @@ def trailing(rows: DataFrame, keys: list[str], reach: int, make: Callable[[objec
     return wide.withColumns(make(w)).where(F.col("_block") == F.floor(F.col("rn") / size)).drop("_block")
 
 
+def carry(ends: DataFrame, keys: list[str], order: str, decay: float) -> DataFrame:
+    """(keys, order, _carry): y before each block of a recurrence, from a row for each block with _end, its own last value, and _len, its rows."""
+    types = {f.name: f.dataType.simpleString() for f in ends.schema.fields}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, value, out = pdf.sort_values(order), 0.0, []
+        for end, n in zip(pdf["_end"], pdf["_len"]):
+            out.append(value)
+            value = end + decay**n * value
+        return pdf.assign(_carry=out)[[*keys, order, "_carry"]]
+
+    return ends.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, order]) + ", _carry double")
+
+
 def recurrence(rows: DataFrame, keys: list[str], decay: float, x: str, out: str, number: str = "rn", block: int = BLOCK) -> DataFrame:
     """y[i] = decay * y[i-1] + x[i], with y before the first row 0. rows: with a number from 0 for each key.
 
@@ -49,14 +63,5 @@ def recurrence(rows: DataFrame, keys: list[str], decay: float, x: str, out: str,
     w = W.partitionBy(*keys, "_block").orderBy("_k")
     local = placed.withColumn("_local", F.pow(F.lit(decay), F.col("_k")) * F.sum(F.col(x) * F.pow(F.lit(decay), -F.col("_k"))).over(w))
     ends = local.groupBy(*keys, "_block").agg(F.max_by("_local", "_k").alias("_end"), F.count(F.lit(1)).alias("_len"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, value, out_ = pdf.sort_values("_block"), 0.0, []
-        for end, n in zip(pdf["_end"], pdf["_len"]):
-            out_.append(value)
-            value = end + decay**n * value
-        return pdf.assign(_carry=out_)[[*keys, "_block", "_carry"]]
-
-    carried = ends.groupBy(*keys).applyInPandas(carry, ", ".join(f"{k} {types[k]}" for k in keys) + ", _block long, _carry double")
+    carried = carry(ends, keys, "_block", decay)
     return local.join(carried, [*keys, "_block"]).withColumn(out, F.col("_local") + F.col("_carry") * F.pow(F.lit(decay), F.col("_k") + 1)).drop("_block", "_k", "_local", "_carry")
