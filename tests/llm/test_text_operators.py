@@ -12,6 +12,7 @@ import pytest
 
 from tidemark.llm.decontamination import find_contamination, item_blocks, keep_uncontaminated
 from tidemark.llm.packing import byte_bpe, fullest, pack_documents
+from tidemark.llm.recurring import Layout
 from tidemark.llm.sharding import minimax_capacity, minimax_cuts, shard_documents
 from tidemark.llm.similarity import keep_representatives, linked, near_components
 from tidemark.llm.substrings import remove_repeats
@@ -59,6 +60,34 @@ def test_repeats(spark, docs_of):
     assert got == repeats_by_force(rows)
 
 
+SLABS = [Layout(3000, 7, 3, 2), Layout(3000, 8, 8, 3), Layout(500, 5, 2, 1)]
+
+
+@pytest.mark.parametrize("layout", SLABS)
+def test_repeats_by_groups_and_slabs(spark, docs_of, layout):
+    rows = corpus(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in remove_repeats(docs_of(rows), layout=layout).collect()}
+    assert got == repeats_by_force(rows)
+
+
+@pytest.mark.parametrize("layout", SLABS)
+def test_components_by_groups_and_slabs(spark, docs_of, layout):
+    rows = corpus(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_components(docs_of(rows), layout=layout).collect()}
+    assert got == components_by_force(rows, 4, 85)
+
+
+def test_rows_of_the_exchanges():
+    """In proportion up to 1 TB; a hundredfold corpus then has no more than its power of 1.5 as many rows, and tasks stay as large."""
+    gb, tb = 2**30, 2**40
+    rows = {n: Layout.sized(n, 200).rows(n) for n in (gb, 16 * gb, tb, 10 * tb, 100 * tb)}
+    assert rows[gb] <= 110_000 and rows[tb] <= 1100 * max(rows[gb], 32_768 * 2) and rows[100 * tb] <= 3_000_000_000 and rows[100 * tb] <= 1.2 * 1000 * rows[tb]
+    assert not Layout.sized(tb // 2).slabs and Layout.sized(100 * tb).slabs
+    for n in (10 * tb, 100 * tb):
+        x = Layout.sized(n)
+        assert x.chunk_bytes <= 64 << 20 and (n / x.chunk_bytes / x.slabs) * x.width * (x.chunk_bytes / 2 / x.buckets) <= 40 << 20
+
+
 def test_repeats_null_ids_and_repeated_rows(spark, docs_of):
     text = prose(random.Random(1), 50)
     got = remove_repeats(docs_of([(7, text), (7, text), (None, text)])).collect()

@@ -41,6 +41,14 @@ ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint6
 _EXACT = 200  # counts beyond are known to a factor of two only, which is still one order for all sets
 
 
+def count_byte(n: np.ndarray) -> np.ndarray:
+    return np.where(n <= _EXACT, n, np.minimum(255, _EXACT + np.log2(np.maximum(n, 1)))).astype(np.uint8)
+
+
+def byte_count(b: np.ndarray) -> np.ndarray:
+    return np.where(b <= _EXACT, b, np.exp2(np.maximum(b.astype(float) - _EXACT, 0)))
+
+
 def shingle_sets(texts: list[bytes], size: int, known: R.WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, one after the other, and where each text's begin."""
     sets, starts = [], [0]
@@ -73,11 +81,11 @@ def _signed(a: np.ndarray) -> list[int]:
     return a.view(np.int64).tolist()
 
 
-def set_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def set_table(docs: DataFrame, size: int, percent: int, layout: R.Layout | None = None) -> DataFrame:
     """A row for each document: number of shingles, a 128-bit signature of the set, and, if the prefix has any token of other documents, all tokens
     of the set that have: the rest can be in no overlap."""
-    layout = R.Layout.of(docs)
-    buckets, chunks = layout.buckets, R.chunks_of(docs, layout.chunk_bytes)
+    layout = layout or R.Layout.of(docs)
+    chunks = R.chunks_of(docs, layout.chunk_bytes)
 
     def features(blob: bytes) -> tuple[R.Chunk, np.ndarray, np.ndarray]:
         chunk = R.open_chunk(blob)
@@ -87,19 +95,18 @@ def set_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for batch in batches:
             for key, blob in zip(batch["chunk"].to_pylist(), batch["blob"]):
                 _, tokens, _ = features(blob.as_py())
-                sent, n, _ = R.distinct(tokens, buckets)
-                yield R.send(key, sent, np.minimum(n, 255))
+                sent, n, _ = R.distinct(tokens, layout)
+                yield from R.send(key, sent, count_byte(n))
 
     def count(which: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-        total = np.bincount(which, n, size)
-        return np.where(total <= _EXACT, total, np.minimum(255, _EXACT + np.log2(np.maximum(total, 1)))).astype(np.uint8)
+        return count_byte(np.bincount(which, byte_count(n), size))
 
     def sets(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for key, blob in zip(left["chunk"].to_pylist(), left["blob"]):
             chunk, tokens, starts = features(blob.as_py())
-            sent, _, back = R.distinct(tokens, buckets)
-            counts = R.answer_array(right, sent)[back]
+            sent, _, back = R.distinct(tokens, layout)
+            counts = R.answer_array(right, sent.keys)[back]
             for k, doc_id in enumerate(chunk.ids):
                 t, c = tokens[starts[k] : starts[k + 1]], counts[starts[k] : starts[k + 1]]
                 a, b = (int(R.mixed(t, o).sum(dtype=np.uint64).astype(np.int64)) for o in ORDERS[1:])
@@ -110,7 +117,7 @@ def set_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
         types = (pa.int64(),) * 5 + (pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 8, types)], [x.split()[0] for x in _SETS.split(", ")])
 
-    told = R.answers(chunks.mapInArrow(emit, R.SENT), count)
+    told = R.answers(chunks.mapInArrow(emit, R.SENT), count, count, layout)
     return written(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(sets, _SETS), "sets")
 
 
@@ -231,11 +238,11 @@ def _large_lists(members: DataFrame, sets: DataFrame, percent: int, block: int,
     return edges.union(written(_join_lists(crossed, sets, ["token", "i", "j"], percent, True), "links"))
 
 
-def near_components(docs: DataFrame, size: int = 4, percent: int = 85, block: int = 2000, centres: int = 8) -> DataFrame:
+def near_components(docs: DataFrame, size: int = 4, percent: int = 85, block: int = 2000, centres: int = 8, layout: R.Layout | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links join sets of at least percent hundredths Jaccard similarity of size-word shingles."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
-    table = set_table(docs, size, percent)
+    table = set_table(docs, size, percent, layout)
     named = table.where("doc_id is not null and n > 0")
     sig = ["n", "sig_a", "sig_b"]
     classes = written(named.groupBy(*sig).agg(F.min("row").alias("cls"), F.min("doc_id").alias("least")), "classes")
