@@ -28,10 +28,16 @@ def resample(ticks: DataFrame, width_ns: int = T.MINUTE) -> DataFrame:
 
 
 def with_gaps(bars: DataFrame, continuous: bool = False) -> DataFrame:
-    """prev_gap_ns: from the previous bar's last tick to the first. Stored months begin with null; continuous goes on across months."""
+    """prev_gap_ns: from the previous bar's last tick to the first. Stored months begin with null; continuous goes on across months, whose last ticks are carried
+    over by a table of one row a month."""
     if not continuous:
         return month_gaps(with_month(bars))
-    return with_month(bars).withColumn("prev_gap_ns", F.col("first_tick_ns") - F.lag("last_tick_ns").over(W.partitionBy("instrument").orderBy("ts_utc_ns")))
+    month = ["instrument", "year", "month"]
+    rows = with_month(bars)
+    ends = rows.groupBy(*month).agg(F.max("last_tick_ns").alias("_end"))
+    before = ends.select(*month, F.lag("_end").over(W.partitionBy("instrument").orderBy("year", "month")).alias("_before"))
+    own = F.lag("last_tick_ns").over(W.partitionBy(*month).orderBy("ts_utc_ns"))
+    return rows.join(before, month).withColumn("prev_gap_ns", F.col("first_tick_ns") - F.coalesce(own, F.col("_before"))).drop("_before")
 
 
 def resample_report(ticks: DataFrame, bars: DataFrame, start_ns: int, end_ns: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
 from tidemark.operators.bars import resample, with_gaps
+from tidemark.sources import ticks as S
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,15 +32,18 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
         none.alias("bid_volume"), none.alias("ask_volume"), F.col("event_id").alias("row_sequence"), "value")
 
 
-_kept: dict[tuple[int, str], DataFrame] = {}
+_stored: dict[tuple[str, str], str] = {}
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    """The bars of all ticks, kept by Spark (memory, then disk) for the queries that read them several times, as stored bars would be."""
-    key = (id(spark._jsparkSession), sf)
-    if key not in _kept:
-        _kept[key] = with_gaps(resample(ticks(spark, sf))).persist()
-    return _kept[key]
+    """The bars of all ticks, from a table that the first query of a session that needs them writes, as the engine stores them."""
+    key = (spark.sparkContext.applicationId, sf)
+    at = spark._jvm.org.apache.hadoop.fs.Path(_stored.get(key, "/nowhere"))
+    if key not in _stored or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        root = place(spark, "bars")
+        S.write_bars(with_gaps(resample(ticks(spark, sf))), root)
+        _stored[key] = root
+    return S.scan(spark, _stored[key], S.BARS)
 
 
 def place(spark: SparkSession, name: str) -> str:

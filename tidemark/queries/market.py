@@ -31,7 +31,7 @@ def op01(spark, sf):
 
 
 def op57(spark, sf):
-    b = bars(spark, sf)
+    b = with_gaps(resample(ticks(spark, sf)))
     return rounded(b.select(*[c.strip().split(" AS ")[-1] for c in BAR_COLUMNS.replace("round(", "").replace(", 8)", "").split(",")]))
 
 

@@ -53,6 +53,16 @@ def op71(spark, sf):
     return rounded(D.r5_intervals(bars(spark, sf)).unionByName(D.r5_year_intervals(bars(spark, sf)), allowMissingColumns=True))
 
 
+def op71r1(spark, sf):
+    """Intervals of the session ranges, by year and weekday."""
+    return rounded(D.r1_intervals(D.session_ratios(bars(spark, sf), ATR)))
+
+
+def op71r2(spark, sf):
+    """Intervals of London's range by the morning's bucket."""
+    return rounded(D.r2_intervals(D.r2_days(bars(spark, sf), ATR, PCT)))
+
+
 def op72(spark, sf):
     return rounded(D.box_stats(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice"), 6)
 
@@ -112,7 +122,7 @@ def op140(spark, sf):
 
 
 QUERIES = {
-    "OP64_hour_of_week_report": op64, "OP65_spread_by_year": op65, "OP66_session_ranges": op66, "OP66_ranges_by_year": op66y, "OP67_quiet_mornings": op67, "OP67_buckets_by_year": op67y, "OP70_bootstrap": op70, "OP71_seeded_intervals": op71,
+    "OP64_hour_of_week_report": op64, "OP65_spread_by_year": op65, "OP66_session_ranges": op66, "OP66_ranges_by_year": op66y, "OP67_quiet_mornings": op67, "OP67_buckets_by_year": op67y, "OP70_bootstrap": op70, "OP71_seeded_intervals": op71, "OP71_session_intervals": op71r1, "OP71_morning_intervals": op71r2,
     "OP72_box_stats": op72, "OP73_context_counts": op73, "OP74_weekdays_by_year": op74, "OP87_quintiles": op87, "OP134_morning_days": op134, "OP135_events": op135, "OP138_eligible_days": op138, "OP139_admissible_years": op139, "OP140_gate": op140,
 }
 
