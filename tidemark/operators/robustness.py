@@ -61,7 +61,8 @@ def pessimistic(trades: DataFrame) -> DataFrame:
 
 def _uniform(seed: int, *keys: str) -> Column:
     """A number in [0, 1) that the seed and the keys decide, whatever the partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / float(1 << 52)
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def envelope(actual: DataFrame, replications: DataFrame) -> DataFrame:

@@ -139,6 +139,12 @@ _OPEN = """o AS (SELECT instrument || ':' || ts_utc_ns AS trade_id, instrument,
 _YEARS = f"{_T}, y AS (SELECT run, year(day) AS year, count(*) AS n, avg(r) AS e, sum(r) AS total FROM t GROUP BY ALL), z AS (SELECT *, CASE WHEN sum(total) OVER (PARTITION BY run) > 0 THEN total / sum(total) OVER (PARTITION BY run) END AS share FROM y)"
 
 
+_DRAW = "(('0x' || substr(md5('20260915:' || i.i || ':' || trade_id), 1, 13))::BIGINT / 4503599627370496.0)"
+_TIMES = "(SELECT unnest(generate_series(1, 200)) AS i) i"
+_BAND = """q AS (SELECT run, quantile_cont(e, 0.025) AS lo, quantile_cont(e, 0.975) AS hi FROM d GROUP BY run), o AS (SELECT run, avg(r) AS e FROM t GROUP BY run)
+      SELECT run, round(o.e, 6) + 0.0 AS expectancy_r, round(lo, 6) + 0.0 AS low, round(hi, 6) + 0.0 AS high, CAST(o.e < lo OR o.e > hi AS BIGINT) AS outside FROM o JOIN q USING (run)"""
+
+
 def _spread(c: str, name: str) -> str:
     return f"round(quantile_cont({c}, 0.5), 8) AS median_{name}, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 8) + 0.0 AS iqr_{name}"
 
@@ -150,6 +156,9 @@ ORACLE_SQL = {
     "SPEC_RT5_surface": f"WITH {_T} SELECT run, CASE WHEN trade_id % 2 = 0 THEN 'buffer' ELSE 'length' END AS parameter, [-0.2, -0.1, 0.0, 0.1, 0.2][trade_id % 5 + 1]::DOUBLE AS value, count(*) AS n, round(avg(r), 6) + 0.0 AS expectancy_r FROM t GROUP BY ALL",
     "SPEC_RT7_without_best": f"WITH {_T}, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY r DESC, trade_id) AS k, count(*) OVER (PARTITION BY run) AS n FROM t) SELECT run, s.s AS share, count(*) AS n, round(avg(r), 6) + 0.0 AS expectancy_r FROM k, (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS s) s WHERE k.k > ceil(round(k.n * s.s, 9)) GROUP BY ALL",
     "SPEC_RT8_pessimistic": f"WITH {_T}, g AS (SELECT run, avg(CAST(trade_id % 9 = 0 AS INT)) AS a, avg(r) AS e, avg(CASE WHEN trade_id % 9 = 0 THEN least(r, -1.0) ELSE r END) AS p FROM t GROUP BY run) SELECT run, round(a, 6) AS ambiguous, round(e, 6) + 0.0 AS expectancy_r, round(p, 6) + 0.0 AS pessimistic_r, CAST(e - p < 0.2 * abs(e) AS BIGINT) AS passed FROM g",
+    "SPEC_RT9_placebo": f"""WITH {_T}, d AS (SELECT run, i.i, avg(CASE WHEN {_DRAW} < 0.5 THEN r ELSE -r - 0.1 END) AS e FROM t, {_TIMES} GROUP BY ALL), {_BAND}""",
+    "SPEC_RT10_random_timing": f"""WITH {_T}, s AS (SELECT run, day, trade_id % 2 AS side, row_number() OVER w - 1 AS slot, r FROM t WINDOW w AS (PARTITION BY run, day, trade_id % 2 ORDER BY trade_id)), n AS (SELECT run, day, side, count(*) AS n FROM s GROUP BY ALL),
+      x AS (SELECT t.run, t.day, n.side, i.i, CAST(floor({_DRAW} * n.n) AS BIGINT) AS slot FROM t JOIN n ON n.run = t.run AND n.day = t.day AND n.side = t.trade_id % 2, {_TIMES}), d AS (SELECT run, i, avg(r) AS e FROM x JOIN s USING (run, day, side, slot) GROUP BY ALL), {_BAND}""",
     "SPEC_RT11_regimes": f"WITH {_T}, d AS (SELECT CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS v FROM lineitem GROUP BY 1), c AS (SELECT quantile_cont(v, 1 / 3) AS a, quantile_cont(v, 2 / 3) AS b FROM d) SELECT run, CAST(v > a AS BIGINT) + CAST(v > b AS BIGINT) AS regime, count(*) AS n, round(avg(r), 6) + 0.0 AS expectancy_r FROM t JOIN d USING (day), c GROUP BY ALL",
     "SPEC_RT12_digest": f"WITH {_T} SELECT run, count(*) AS n, sha256(string_agg(sha256(trade_id || '|' || day || '|' || CASE WHEN trade_id % 2 = 0 THEN 'buy' ELSE 'sell' END), '' ORDER BY trade_id)) AS result_sha256 FROM t GROUP BY run",
     "SPEC_reconciliation": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'strategy' WHEN o_orderkey % 13 = 0 OR o_orderkey % 7 = 0 THEN 'behavioural' WHEN abs(round(1 + (o_orderkey % 5 - 2) / 15, 6) - 1) > 0.1 THEN 'risk' WHEN o_orderkey % 17 > 13 THEN 'execution' WHEN o_orderkey % 19 = 0 THEN 'risk'
