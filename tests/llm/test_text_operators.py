@@ -10,6 +10,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pytest
 
+from tidemark.llm import similarity
 from tidemark.llm.decontamination import find_contamination, item_blocks, keep_uncontaminated
 from tidemark.llm.packing import byte_bpe, fullest, pack_documents
 from tidemark.llm.recurring import Layout
@@ -219,6 +220,27 @@ def test_representatives_keep_columns(spark, docs_of):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars, chains and pairs, with keys that are dealt into parts."""
+    monkeypatch.setattr(similarity, "HUB_ROWS", 3)
+    rng, edges = random.Random(3), []
+    edges += [(1000, k) for k in range(300)] + [(k, k + 1) for k in range(2000, 2040)] + [(3000 + k, 4000 + k) for k in range(50)] + [(299, 5000), (5000, 5001)]
+    rng.shuffle(edges)
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = {r["cls"]: r["label"] for r in similarity.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    assert got == {x: find(x) for x in up}
+    assert similarity.components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
 def test_linked_by_force():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**62, 60).astype(np.uint64)

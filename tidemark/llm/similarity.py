@@ -197,6 +197,21 @@ def _join_lists(members: DataFrame, sets: DataFrame, keys: list[str], percent: i
     return members.join(sets, "cls").groupBy(*keys).applyInArrow(run, "x long, y long")
 
 
+#: A key with more rows than so many, and than its share of them, is dealt into parts; there are at most HUBS such keys, whatever the table.
+HUB_ROWS, HUBS, PARTS = 1000, 1 << 16, 64
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, n_left: int, by: str) -> DataFrame:
+    """left and right joined on a key that is unique in right and may have most rows of left: the rows of such keys are dealt by another column into
+    parts, each of which gets a copy of right's row. left, of n_left rows, is read twice and should be a written table."""
+    # at most HUBS rows: each has more than a HUBS-th of left
+    hubs = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(HUB_ROWS, n_left // HUBS)).select(key, F.lit(True).alias("_hub"))
+    part = F.when(F.col("_hub"), F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(0)
+    copies = F.explode(F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = left.join(F.broadcast(hubs), key, "left").withColumn("_part", part.cast("int")).drop("_hub")
+    return dealt.join(right.join(F.broadcast(hubs), key, "left").withColumn("_part", copies).drop("_hub"), [key, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cls, label): the smallest node that each node of the edges (x, y) reaches. Labels spread over edges and jump to their label's label until nothing changes.
     Tables of earlier rounds are deleted."""
@@ -209,12 +224,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     both, edge_path = kept(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct())
     labels, path = kept(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "cls"))
+    n_edges, n_nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels.select(F.col("cls").alias("y"), F.col("label").alias("l")), "y").groupBy(F.col("x").alias("cls")).agg(F.min("l").alias("l"))
-        spread = labels.join(near, "cls").select("cls", F.least("label", "l").alias("new"), F.col("label").alias("old"))
+        near = dealt_join(both, labels.select(F.col("cls").alias("y"), F.col("label").alias("l")), "y", n_edges, "x").groupBy(F.col("x").alias("cls")).agg(F.min("l").alias("l"))
+        spread, spread_path = kept(labels.join(near, "cls").select("cls", F.least("label", "l").alias("new"), F.col("label").alias("old")))
+        # every label is itself a node, so it has a label of its own
         jump = spread.select(F.col("cls").alias("new"), F.col("new").alias("over"))
-        step, step_path = kept(spread.join(jump, "new", "left").select("cls", F.least("new", F.coalesce("over", "new")).alias("label"), "old"))
+        step, step_path = kept(dealt_join(spread, jump, "new", n_nodes, "cls").select("cls", F.least("new", "over").alias("label"), "old"))
         discard(spark, path)
+        discard(spark, spread_path)
         labels, path = step.select("cls", "label"), step_path
         if not step.where("label <> old").limit(1).count():
             discard(spark, edge_path)
