@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
-_CACHE = 400_000
+_CACHE = 200_000
 LONGEST, PIECE = 64, 16
 
 
@@ -219,8 +219,8 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             flat, owner, size = self.subwords.bags(part)
             self.known.update(zip(part, (np.bincount(owner, self.direction[flat], len(part)) / size).tolist()))
 
@@ -228,7 +228,7 @@ class Scorer:
         out, at = [], 0
         while at < len(texts):
             bags, n = [], 0
-            while at < len(texts) and n < 200_000:  # so many words at a time
+            while at < len(texts) and n < 100_000:  # so many words at a time
                 bags.append(words_of(texts[at] or ""))
                 n, at = n + len(bags[-1]), at + 1
             if len(self.known) + n > _CACHE:
