@@ -38,8 +38,9 @@ def op17(spark, sf):
 
 
 def op18(spark, sf):
-    t = ticks(spark, sf).select("instrument", "ts_utc_ns", F.col("bid").alias("x"))
-    return S.merge_features(t, t.where("x > 1.002").withColumn("x", -F.col("x"))).select("instrument", "ts_utc_ns", "x")
+    """Features of ticks, of which several may have one instant: each is a row of its own."""
+    t = ticks(spark, sf).select("instrument", "ts_utc_ns", "row_sequence", F.col("bid").alias("x"))
+    return S.merge_features(t, t.where("x > 1.002").withColumn("x", -F.col("x")), ("instrument", "ts_utc_ns", "row_sequence")).select("instrument", "ts_utc_ns", "x")
 
 
 def op02(spark, sf):

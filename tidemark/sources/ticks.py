@@ -113,9 +113,10 @@ def rows_of(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(wanted.select(*keys), keys, "left_semi")
 
 
-def merge_features(existing: DataFrame, new: DataFrame) -> DataFrame:
+def merge_features(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("instrument", "ts_utc_ns")) -> DataFrame:
+    """The new run's rows win. keys tell rows apart: features of bars have one row for each instant, those of ticks need row_sequence too."""
     both = existing.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
-    return latest(both, ["instrument", "ts_utc_ns"], F.desc("_gen")).drop("_gen")
+    return latest(both, [*keys], F.desc("_gen")).drop("_gen")
 
 
 def upsert(new: DataFrame, root: str, schema: str, merge) -> None:
