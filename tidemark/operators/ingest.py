@@ -1,8 +1,8 @@
 """Month files of quote ticks (headerless CSV, binary hours) to UTC ticks.
 
 A month's file is the unit: which column is the bid, and which daylight-saving calendar its stamps follow, is read from the file as a whole, and the
-hour that an autumn change repeats is told apart by file position alone. So one task takes one file (Spark's binaryFile keeps it whole) and its
-work is arrays; a month has about a million rows.
+hour that an autumn change repeats is told apart by file position alone. A month has about a million rows, so one task may take one file (Spark's
+binaryFile keeps it whole) and its work is arrays. Files that are larger come in pieces, and what is read from a file as a whole is put together from its pieces.
 
 Stamps follow New York's clock (us_dst), or a clock of New York's winter and summer hours that changes when London does, at 00:00 UTC of the Monday after (eu_dst).
 """
@@ -10,15 +10,22 @@ Stamps follow New York's clock (us_dst), or a clock of New York's winter and sum
 from __future__ import annotations
 
 import lzma
+import pickle
 import re
 import zipfile
+from calendar import monthrange
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta, timezone
 from pathlib import Path
+from typing import NamedTuple
 from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +45,55 @@ WEEKEND_NS, MOST_WEEKENDS = 40 * HOUR, 6
 NEAR_NS = 300 * 10**9
 FEW_INSIDE = 10
 MILLISECOND = 10**6
+FAR = 2**62
+
+
+class LineError(IntegrityError):
+    """Of a line, counted from 0."""
+
+    def __init__(self, line: int, what: str):
+        super().__init__(what)
+        self.line = line
+
+
+class Day(NamedTuple):
+    """Of lines of one day: how many there are, in how many the first price is larger; the first line in which it is, and in which the second is."""
+
+    day: int
+    n: int
+    more: int
+    first_more: int | None
+    first_less: int | None
+
+
+@dataclass
+class Stamps:
+    """What consecutive stamps tell of their clock. back: steps down, and the first one's line and ends; wide: steps of weekend length, and the ends of
+    as many as a month may have and one more; inside, below, below_last, above_first: those in the hour that eu_dst skips in spring, and those around its end."""
+
+    n: int
+    first: int
+    last: int
+    back: int = 0
+    back_at: int = 0
+    back_from: int = 0
+    back_to: int = 0
+    wide: int = 0
+    wides: list[tuple[int, int]] = field(default_factory=list)
+    inside: int = 0
+    below: int = 0
+    below_last: int = -FAR
+    above_first: int = FAR
+    days: list[int] = field(default_factory=list)
+
+
+class Summary(NamedTuple):
+    """Of some consecutive lines: their days and stamps, blank lines at the end, and the first line that is no tick."""
+
+    days: list[Day] = []
+    stamps: Stamps | None = None
+    blank: int = 0
+    wrong: tuple[int, str] | None = None
 
 
 def _offset(day: date, zone: str) -> int:
@@ -91,8 +147,11 @@ def column_order(a: np.ndarray, b: np.ndarray) -> str | None:
     """bid_ask or ask_bid by the share of rows in which the first is larger; None in between."""
     if not len(a):
         raise IntegrityError("no rows")
-    share = float((a > b).mean())
-    return "bid_ask" if share <= LOW else "ask_bid" if share >= HIGH else None
+    return _order_of(int((a > b).sum()), len(a))
+
+
+def _order_of(more: int, n: int) -> str | None:
+    return "bid_ask" if more / n <= LOW else "ask_bid" if more / n >= HIGH else None
 
 
 def column_orders(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -101,46 +160,71 @@ def column_orders(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame
     return g.withColumn("column_order", F.when(F.col("share") <= LOW, "bid_ask").when(F.col("share") >= HIGH, "ask_bid"))
 
 
-def swapped_rows(a: np.ndarray, b: np.ndarray, days: np.ndarray) -> tuple[np.ndarray, str]:
-    """For each row whether its columns are ask and bid, and how that was told: for the file, or else by day with one change over a weekend."""
-    whole = column_order(a, b)
+def swapped_days(days: list[Day]) -> tuple[list[int], str]:
+    """The days whose columns are ask and bid, and how that was told: for the file, or else by day with one change over a weekend."""
+    whole = _order_of(sum(d.more for d in days), sum(d.n for d in days))
     if whole:
-        return np.full(len(a), whole == "ask_bid"), f"whole file: {whole}"
-    uniq, start = np.unique(days, return_index=True)
-    orders = [column_order(a[days == d], b[days == d]) for d in uniq]
+        return [d.day for d in days] if whole == "ask_bid" else [], f"whole file: {whole}"
+    orders = [_order_of(d.more, d.n) for d in days]
     if None in orders:
-        raise IntegrityError(f"{_date(int(uniq[orders.index(None)]) * DAY)}: column order is inconsistent within the day")
-    changes = [k for k in range(1, len(uniq)) if orders[k] != orders[k - 1]]
+        raise IntegrityError(f"{_date(days[orders.index(None)].day * DAY)}: column order is inconsistent within the day")
+    changes = [k for k in range(1, len(days)) if orders[k] != orders[k - 1]]
     if len(changes) != 1:
         raise IntegrityError(f"column order changes {len(changes)} times within the month")
-    before, after = (_date(int(uniq[changes[0] + j]) * DAY) for j in (-1, 0))
+    before, after = (_date(days[changes[0] + j].day * DAY) for j in (-1, 0))
     if not (before.weekday() == 4 and after.weekday() in (5, 6, 0) and (after - before).days <= 3):
         raise IntegrityError(f"column order changes between {before} and {after}, which is no weekend")
-    swap = {d: o == "ask_bid" for d, o in zip(uniq.tolist(), orders)}
-    return np.array([swap[d] for d in days.tolist()]), f"by day, changing over the weekend of {before}"
+    return [d.day for d, o in zip(days, orders) if o == "ask_bid"], f"by day, changing over the weekend of {before}"
 
 
 def stamp_clock(stamps: np.ndarray, year: int, month: int) -> tuple[str | None, str]:
     """us_dst or eu_dst, and the evidence; None if the file has no tick on a date on which they differ."""
-    seen: dict[str, list[str]] = {"us_dst": [], "eu_dst": []}
+    return _clock(_stamps(stamps, year, month), year, month)
+
+
+def _stamps(stamps: np.ndarray, year: int, month: int) -> Stamps:
     steps = np.diff(stamps)
-    back = np.flatnonzero(steps < 0)
+    back, wide = np.flatnonzero(steps < 0), np.flatnonzero(steps >= WEEKEND_NS)
+    s = Stamps(len(stamps), int(stamps[0]), int(stamps[-1]), len(back), days=np.unique(stamps // DAY).tolist())
+    if len(back):
+        s.back_at, s.back_from, s.back_to = int(back[0]), int(stamps[back[0]]), int(stamps[back[0] + 1])
+    s.wide, s.wides = len(wide), [(int(stamps[k]), int(stamps[k + 1])) for k in wide[: MOST_WEEKENDS + 1].tolist()]
+    for kind, before, after in switch_stamps(year, month):
+        if kind == "spring":
+            below = stamps < after
+            s.inside = int(((stamps > before + NEAR_NS) & (stamps < after - NEAR_NS)).sum())
+            s.below, s.below_last, s.above_first = int(below.sum()), int(stamps[below].max(initial=-FAR)), int(stamps[~below].min(initial=FAR))
+    return s
+
+
+def _joined(s: Stamps, t: Stamps) -> Stamps:
+    """Of the stamps of s and, after them, those of t."""
+    step = (s.last, t.first)
+    downs = [x for x in ((s.back_at, s.back_from, s.back_to) if s.back else None, (s.n - 1, *step) if t.first < s.last else None, (s.n + t.back_at, t.back_from, t.back_to) if t.back else None) if x]
+    far = t.first - s.last >= WEEKEND_NS
+    out = Stamps(s.n + t.n, s.first, t.last, s.back + t.back + (t.first < s.last), *(downs[0] if downs else ()))
+    out.wide, out.wides = s.wide + far + t.wide, [*s.wides, *([step] if far else []), *t.wides][: MOST_WEEKENDS + 1]
+    out.inside, out.below, out.below_last, out.above_first = s.inside + t.inside, s.below + t.below, max(s.below_last, t.below_last), min(s.above_first, t.above_first)
+    out.days = sorted({*s.days, *t.days})
+    return out
+
+
+def _clock(s: Stamps, year: int, month: int) -> tuple[str | None, str]:
+    seen: dict[str, list[str]] = {"us_dst": [], "eu_dst": []}
     for kind, before, after in switch_stamps(year, month):
         low, high = sorted((before, after))
-        if len(stamps) < 2 or not (stamps[0] < low and stamps[-1] > high):
+        if s.n < 2 or not (s.first < low and s.last > high):
             continue
         if kind == "spring":
-            inside = int(((stamps > low + NEAR_NS) & (stamps < high - NEAR_NS)).sum())
-            seen["us_dst" if inside >= FEW_INSIDE else "eu_dst"].append(f"{inside} ticks in the hour that eu_dst skips")
-        elif not len(back):
+            seen["us_dst" if s.inside >= FEW_INSIDE else "eu_dst"].append(f"{s.inside} ticks in the hour that eu_dst skips")
+        elif not s.back:
             seen["us_dst"].append("no step back at the autumn change of eu_dst")
-        elif len(back) == 1 and _near_step(stamps, int(back[0]), before, after):
+        elif s.back == 1 and _near_step(s.back_from, s.back_to, before, after):
             seen["eu_dst"].append("the step back of the autumn change")
-    weekends = np.flatnonzero(steps >= WEEKEND_NS)
-    if len(weekends) > MOST_WEEKENDS:
-        raise IntegrityError(f"{len(weekends)} gaps of weekend length in one month")
-    for k in weekends.tolist():
-        for ns, weekday, hours in ((int(stamps[k]), 4, {16: "us_dst", 15: "eu_dst"}), (int(stamps[k + 1]), 6, {17: "us_dst", 16: "eu_dst"})):
+    if s.wide > MOST_WEEKENDS:
+        raise IntegrityError(f"{s.wide} gaps of weekend length in one month")
+    for friday, sunday in s.wides:
+        for ns, weekday, hours in ((friday, 4, {16: "us_dst", 15: "eu_dst"}), (sunday, 6, {17: "us_dst", 16: "eu_dst"})):
             day = _date(ns)
             changing = weekday == 6 and _offset(day, LONDON) != _offset(day - timedelta(days=1), LONDON)
             if day.weekday() == weekday and divergent(day) and not changing and (clock := hours.get(ns % DAY // HOUR)):
@@ -150,44 +234,59 @@ def stamp_clock(stamps: np.ndarray, year: int, month: int) -> tuple[str | None,
         raise IntegrityError(f"stamps of two clocks in one file: {seen}")
     if found:
         return found[0], "; ".join(seen[found[0]])
-    differing = [d for d in np.unique(stamps // DAY).tolist() if divergent(_date(d * DAY))]
+    differing = [d for d in s.days if divergent(_date(d * DAY))]
     if differing:
         raise IntegrityError(f"{len(differing)} dates on which the clocks differ, and nothing that tells them apart")
     return None, "no tick on a date on which the clocks differ"
 
 
-def _near_step(stamps: np.ndarray, k: int, before: int, after: int) -> bool:
-    return abs(int(stamps[k]) - before) <= NEAR_NS and abs(int(stamps[k + 1]) - after) <= NEAR_NS
+def _near_step(a: int, b: int, before: int, after: int) -> bool:
+    return abs(a - before) <= NEAR_NS and abs(b - after) <= NEAR_NS
 
 
 def check_order(stamps: np.ndarray, clock: str | None, year: int, month: int) -> None:
     """Stamps ascend, but for the one step back of an eu_dst autumn."""
-    back = np.flatnonzero(np.diff(stamps) < 0)
-    autumn = [s for s in switch_stamps(year, month) if s[0] == "autumn"]
-    if len(back) and not (clock == "eu_dst" and len(back) == 1 and autumn and _near_step(stamps, int(back[0]), *autumn[0][1:])):
-        raise IntegrityError(f"stamps step back {len(back)} times, first at line {int(back[0]) + 2}")
+    _check_order(_stamps(stamps, year, month), clock, year, month)
+
+
+def _check_order(s: Stamps, clock: str | None, year: int, month: int) -> None:
+    autumn = [x for x in switch_stamps(year, month) if x[0] == "autumn"]
+    if s.back and not (clock == "eu_dst" and s.back == 1 and autumn and _near_step(s.back_from, s.back_to, *autumn[0][1:])):
+        raise IntegrityError(f"stamps step back {s.back} times, first at line {s.back_at + 2}")
 
 
 def to_utc(stamps: np.ndarray, clock: str | None, year: int, month: int) -> np.ndarray:
     """UTC of wall-clock stamps in file order."""
-    if clock == "eu_dst":
-        offset = np.full(len(stamps), eu_offset(date(year, month, 1)))
-        for kind, before, after in switch_stamps(year, month):
-            new = (-4 if kind == "spring" else -5) * HOUR
-            low, high = sorted((before, after))
-            if stamps[-1] <= low:
-                continue
-            if stamps[0] >= high:
-                offset[:] = new
-                continue
-            back = np.flatnonzero(np.diff(stamps) < 0)
-            if kind == "autumn" and len(back) != 1:
-                raise IntegrityError(f"an autumn file of eu_dst steps back once, this one {len(back)} times")
-            at = int(np.searchsorted(stamps, after)) if kind == "spring" else int(back[0]) + 1
-            if not _near_step(stamps, at - 1, before, after):
-                raise IntegrityError(f"the {kind} change is not where the clock's rule puts it")
-            offset[at:] = new
-        return stamps - offset
+    return _utc(stamps, 0, _offsets(_stamps(stamps, year, month), clock, year, month))
+
+
+def _offsets(s: Stamps, clock: str | None, year: int, month: int) -> list[tuple[int, int]]:
+    """(line, offset from it on) of an eu_dst file; none of others, whose offsets follow from the stamps."""
+    if clock != "eu_dst":
+        return []
+    out = [(0, eu_offset(date(year, month, 1)))]
+    for kind, before, after in switch_stamps(year, month):
+        new = (-4 if kind == "spring" else -5) * HOUR
+        low, high = sorted((before, after))
+        if s.last <= low:
+            continue
+        if s.first >= high:
+            out = [(0, new)]
+            continue
+        if kind == "autumn" and s.back != 1:
+            raise IntegrityError(f"an autumn file of eu_dst steps back once, this one {s.back} times")
+        at, *step = (s.below, s.below_last, s.above_first) if kind == "spring" else (s.back_at + 1, s.back_from, s.back_to)
+        if not _near_step(*step, before, after):
+            raise IntegrityError(f"the {kind} change is not where the clock's rule puts it")
+        out.append((at, new))
+    return out
+
+
+def _utc(stamps: np.ndarray, line: int, offsets: list[tuple[int, int]]) -> np.ndarray:
+    """Of consecutive stamps from a line of their file on."""
+    if offsets:
+        at, ns = np.array(offsets, "int64").T
+        return stamps - ns[np.searchsorted(at, line + np.arange(len(stamps)), "right") - 1]
     days = stamps // DAY
     out = np.empty_like(stamps)
     for d in np.unique(days).tolist():
@@ -205,64 +304,192 @@ def transitions_on(day: date) -> list[int]:
     return [s for s, _, _ in transitions(NEW_YORK, day.year, day.year)[1:] if _date(s) == day]
 
 
-def parse_month(text: str, year: int, month: int) -> tuple[pd.DataFrame, dict[str, str]]:
-    """Ticks of one month's file and how it was read. Any line that is not a tick of that month fails, with its number."""
-    lines = text.split("\n")
+def _parse(content: bytes, year: int, month: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Stamps and both prices of consecutive lines, and how many blank ones follow. A line that is not a tick of that month fails, with its number."""
+    if found := _parse_plain(content, year, month):
+        return *found, 0
+    lines = content.decode().removesuffix("\n").split("\n")
+    n = len(lines)
     while lines and not lines[-1].strip():
         lines.pop()
     if not lines:
-        raise IntegrityError("the file is empty")
+        none = np.zeros(0)
+        return none.astype("int64"), none, none, n
     raw = pd.Series(lines).str.rstrip("\r").str.split(",", expand=True)
     if raw.shape[1] != 4 or raw.isna().any(axis=None):
-        bad = int(np.flatnonzero(raw.isna().any(axis=1).to_numpy() | (raw.shape[1] != 4))[0])
-        raise IntegrityError(f"line {bad + 1}: four fields are needed")
+        raise LineError(int(np.flatnonzero(np.array([x.count(",") != 3 for x in lines]))[0]), "four fields are needed")
     fits = raw[0].str.fullmatch(STAMP).to_numpy(bool)
     prices = [pd.to_numeric(raw[k], errors="coerce").to_numpy(float) for k in (1, 2)]
     when = pd.to_datetime(raw[0].where(fits), format="%Y%m%d %H%M%S%f", errors="coerce")
     wrong = ~fits | when.isna().to_numpy() | ~np.isfinite(prices[0]) | ~np.isfinite(prices[1])
     if wrong.any():
-        raise IntegrityError(f"line {int(np.flatnonzero(wrong)[0]) + 1}: not a tick: {lines[int(np.flatnonzero(wrong)[0])]!r}")
+        raise LineError(k := int(np.flatnonzero(wrong)[0]), f"not a tick: {lines[k]!r}")
     outside = ((when.dt.year != year) | (when.dt.month != month)).to_numpy()
     if outside.any():
-        raise IntegrityError(f"line {int(np.flatnonzero(outside)[0]) + 1}: not of {year}-{month:02d}")
-    stamps = when.astype("datetime64[ns]").astype("int64").to_numpy()
-    swap, order = swapped_rows(prices[0], prices[1], stamps // DAY)
-    bid, ask = np.where(swap, prices[1], prices[0]), np.where(swap, prices[0], prices[1])
-    if (bid > ask).any():
-        raise IntegrityError(f"line {int(np.flatnonzero(bid > ask)[0]) + 1}: bid above ask after ordering the columns")
-    clock, evidence = stamp_clock(stamps, year, month)
-    check_order(stamps, clock, year, month)
-    ticks = pd.DataFrame({"ts_utc_ns": to_utc(stamps, clock, year, month), "bid": bid, "ask": ask, "bid_volume": None, "ask_volume": None, "row_sequence": np.arange(len(stamps))})
-    return ticks, {"column_order": order, "stamp_clock": clock or "either", "evidence": evidence}
+        raise LineError(int(np.flatnonzero(outside)[0]), f"not of {year}-{month:02d}")
+    return when.astype("datetime64[ns]").astype("int64").to_numpy(), *prices, n - len(lines)
+
+
+def _parse_plain(content: bytes, year: int, month: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The same without blank lines, by whole arrays; None where anything is out of the ordinary."""
+    kinds = {"stamp": pa.string(), "a": pa.float64(), "b": pa.float64(), "v": pa.string()}
+    if not content or b"\r" in content or not content.isascii():
+        return None
+    try:
+        t = csv.read_csv(pa.BufferReader(content), csv.ReadOptions(use_threads=False, column_names=[*kinds]), csv.ParseOptions(quote_char=False, ignore_empty_lines=False), csv.ConvertOptions(column_types=kinds, null_values=[]))
+    except pa.ArrowInvalid:
+        return None
+    stamp = t["stamp"].combine_chunks()
+    if pc.min_max(pc.binary_length(stamp)).as_py() != {"min": 18, "max": 18} or len(t) != content.count(b"\n") + (content[-1:] != b"\n"):
+        return None
+    digits = np.frombuffer(stamp.cast(pa.binary(18)).buffers()[1], np.uint8)[: 18 * len(t)].reshape(-1, 18).astype("int64") - 48
+    number = np.delete(digits, 8, axis=1)
+    if (digits[:, 8] != ord(" ") - 48).any() or (number < 0).any() or (number > 9).any():
+        return None
+    y, mo, d, h, mi, s, ms = (number[:, i:j] @ 10 ** np.arange(j - i)[::-1] for i, j in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14), (14, 17)))
+    a, b = t["a"].to_numpy(), t["b"].to_numpy()
+    if not ((y == year) & (mo == month) & (d >= 1) & (d <= monthrange(year, month)[1]) & (h < 24) & (mi < 60) & (s < 60) & np.isfinite(a) & np.isfinite(b)).all():
+        return None
+    return (date(year, month, 1) - date(1970, 1, 1)).days * DAY + (d - 1) * DAY + h * HOUR + (mi * 60 + s) * 10**9 + ms * MILLISECOND, a, b
+
+
+def _summary(content: bytes, year: int, month: int) -> Summary:
+    """What the reading of a file needs to know of some of its lines."""
+    try:
+        stamps, a, b, blank = _parse(content, year, month)
+    except LineError as e:
+        return Summary(wrong=(e.line, str(e)))
+    if not len(stamps):
+        return Summary(blank=blank)
+    days, more, less = stamps // DAY, a > b, a < b
+    each = []
+    for d in np.unique(days).tolist():
+        of = days == d
+        first = [int(np.argmax(of & x)) if (of & x).any() else None for x in (more, less)]
+        each.append(Day(d, int(of.sum()), int((of & more).sum()), *first))
+    return Summary(each, _stamps(stamps, year, month), blank)
+
+
+def _plan(summaries: list[Summary], year: int, month: int) -> tuple[list[int], dict]:
+    """The first line of each piece of a file, and how the file is read: the swapped days, the clock's offsets and what was seen."""
+    days: dict[int, Day] = {}
+    stamps, blank, lines = None, 0, []
+    for s in summaries:
+        n = stamps.n if stamps else 0
+        lines.append(n)
+        if blank and (s.wrong or s.stamps):
+            raise IntegrityError(f"line {n + 1}: four fields are needed")
+        if s.wrong:
+            raise IntegrityError(f"line {n + s.wrong[0] + 1}: {s.wrong[1]}")
+        blank += s.blank
+        for d in s.days:
+            here = Day(d.day, d.n, d.more, *(None if x is None else n + x for x in (d.first_more, d.first_less)))
+            days[d.day] = here if d.day not in days else Day(d.day, days[d.day].n + d.n, days[d.day].more + d.more, *(x if x is not None else y for x, y in zip(days[d.day][3:], here[3:])))
+        stamps = _joined(stamps, s.stamps) if stamps and s.stamps else s.stamps or stamps
+    if not stamps:
+        raise IntegrityError("the file is empty")
+    swapped, order = swapped_days([days[d] for d in sorted(days)])
+    crossed = [x for d in days.values() if (x := d.first_less if d.day in swapped else d.first_more) is not None]
+    if crossed:
+        raise IntegrityError(f"line {min(crossed) + 1}: bid above ask after ordering the columns")
+    clock, evidence = _clock(stamps, year, month)
+    _check_order(stamps, clock, year, month)
+    offsets = _offsets(stamps, clock, year, month)
+    return lines, {"swapped": swapped, "offsets": offsets, "n_rows": stamps.n, "column_order": order, "stamp_clock": clock or "either", "evidence": evidence}
+
+
+def _ticks(content: bytes, year: int, month: int, line: int, swapped: list[int], offsets: list[tuple[int, int]]) -> pd.DataFrame:
+    """Ticks of the lines of a file from a line on, read as the file's plan says."""
+    stamps, a, b, _ = _parse(content, year, month)
+    swap = np.isin(stamps // DAY, np.array(swapped, "int64"))
+    return pd.DataFrame({"ts_utc_ns": _utc(stamps, line, offsets), "bid": np.where(swap, b, a), "ask": np.where(swap, a, b), "bid_volume": None, "ask_volume": None, "row_sequence": line + np.arange(len(stamps))})
+
+
+def parse_month(text: str, year: int, month: int) -> tuple[pd.DataFrame, dict[str, str]]:
+    """Ticks of one month's file and how it was read. Any line that is not a tick of that month fails, with its number."""
+    content = text.encode()
+    _, plan = _plan([_summary(content, year, month)], year, month)
+    return _ticks(content, year, month, 0, plan["swapped"], plan["offsets"]), {k: plan[k] for k in ("column_order", "stamp_clock", "evidence")}
 
 
 HOW = "instrument string, year int, month int, n_rows long, column_order string, stamp_clock string, evidence string"
 
 
+PLAN = f"path string, part long, line long, swapped array<long>, offsets array<array<long>>, instrument string, {HOW.split(', ', 1)[1]}"
+MONTH_TICKS = TICKS + ", instrument string, year int, month int"
+
+
+def _name(path: str) -> tuple[str, int, int]:
+    if not (m := CSV_NAME.search(path)):
+        raise IntegrityError(f"{path}: no month in the name")
+    return m["instrument"], int(m["year"]), int(m["month"])
+
+
 def _months(files: DataFrame, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                m = CSV_NAME.search(path)
-                if not m:
-                    raise IntegrityError(f"{path}: no month in the name")
-                year, month = int(m["year"]), int(m["month"])
+                instrument, year, month = _name(path)
                 try:
                     ticks, how = parse_month(bytes(content).decode("ascii"), year, month)
                 except (IntegrityError, UnicodeDecodeError) as e:
                     raise IntegrityError(f"{path}: {e}") from e
-                yield make(ticks, how, m["instrument"], year, month)
+                yield make(ticks, how, instrument, year, month)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def month_ticks(files: DataFrame) -> DataFrame:
-    """Ticks of month files (path, content binary), one task for each file at most; a file that can't be read without guessing fails the job."""
-    return _months(files, TICKS + ", instrument string, year int, month int", lambda ticks, how, instrument, year, month: ticks.assign(instrument=instrument, year=year, month=month).astype({"bid_volume": float, "ask_volume": float}))
+def month_plans(pieces: DataFrame) -> DataFrame:
+    """How files are read that come in pieces (path, part, content): PLAN, a row for each piece. Pieces are whole lines, in the order of part; a task
+    holds one at a time, and what it says of the file (counts by day, steps of the stamps) is put together by file. A line break at a piece's end ends its last line."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, part, content in zip(pdf["path"], pdf["part"], pdf["content"]):
+                _, year, month = _name(path)
+                try:
+                    bytes(content).decode("ascii")
+                except UnicodeDecodeError as e:
+                    raise IntegrityError(f"{path}: {e}") from e
+                yield pd.DataFrame([{"path": path, "part": part, "summary": pickle.dumps(_summary(bytes(content), year, month))}])
+
+    def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part", ignore_index=True)
+        instrument, year, month = _name(key[0])
+        try:
+            if pdf["part"].duplicated().any():
+                raise IntegrityError("two pieces of one number")
+            lines, how = _plan([pickle.loads(x) for x in pdf["summary"]], year, month)
+        except IntegrityError as e:
+            raise IntegrityError(f"{key[0]}: {e}") from e
+        each = {"instrument": instrument, "year": year, "month": month, **how}
+        return pd.DataFrame([{"path": key[0], "part": part, "line": line, **each} for part, line in zip(pdf["part"], lines)])
+
+    return pieces.select("path", "part", "content").mapInPandas(look, "path string, part long, summary binary").groupBy("path").applyInPandas(plan, PLAN)
+
+
+def month_ticks(files: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """Ticks of month files (path, content binary), one task for each file at most; a file that can't be read without guessing fails the job.
+    Files of any size come in pieces (path, part, content), see month_plans; plans: theirs, where they are at hand."""
+    if "part" not in files.columns:
+        return _months(files, MONTH_TICKS, lambda ticks, how, instrument, year, month: ticks.assign(instrument=instrument, year=year, month=month).astype({"bid_volume": float, "ask_volume": float}))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples():
+                ticks = _ticks(bytes(x.content), x.year, x.month, x.line, list(x.swapped), [tuple(o) for o in x.offsets])
+                yield ticks.assign(instrument=x.instrument, year=x.year, month=x.month).astype({"bid_volume": float, "ask_volume": float})
+
+    plans = (month_plans(files) if plans is None else plans).select("path", "part", "line", "swapped", "offsets", "instrument", "year", "month")
+    return files.select("path", "part", "content").join(F.broadcast(plans), ["path", "part"]).mapInPandas(read, MONTH_TICKS)  # a plan is a row for each piece
 
 
-def month_readings(files: DataFrame) -> DataFrame:
-    """How each month file was read: HOW."""
+def month_readings(files: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """How each month file was read: HOW. Files may come in pieces, as for month_ticks."""
+    if "part" in files.columns:
+        names = [x.split()[0] for x in HOW.split(", ")]
+        first = (month_plans(files) if plans is None else plans).groupBy("path").agg(F.min_by(F.struct(*names), "part").alias("how"))
+        return first.select("how.*")
     return _months(files, HOW, lambda ticks, how, instrument, year, month: pd.DataFrame([{"instrument": instrument, "year": year, "month": month, "n_rows": len(ticks), **how}]))
 
 

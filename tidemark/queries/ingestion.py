@@ -19,20 +19,48 @@ CODE = "upper(substr(instrument || 'XXXXX', 1, 6))"
 MS = "ts_utc_ns - ts_utc_ns % 1000000"
 
 
+PIECE = 20_000  # lines
+
+
+def _dealt(rows: DataFrame, at: str, k: str) -> DataFrame:
+    """Rows by hour of an instant, and in the order of the file within it."""
+    return rows.withColumn("place", F.struct(F.expr(at).alias("at"), F.col(k).alias("k"))).withColumn("hour", F.expr(f"({at}) div {T.HOUR}")).repartition("hour").sortWithinPartitions("hour", "place")
+
+
 def _files(lines: DataFrame) -> DataFrame:
-    """Month files (path, content) of lines (code, stamp as a timestamp, place to order them by, first, second)."""
+    """Month files in pieces (path, part, content) of lines (code, stamp as a timestamp, hour, first, second), dealt out by hour and in order. A piece has
+    lines of one hour, 20,000 at most: a whole file need not fit into a task."""
     text = F.concat_ws(",", F.date_format("stamp", "yyyyMMdd HHmmssSSS"), F.format_string("%.6f", "first"), F.format_string("%.6f", "second"), F.lit("0"))
-    each = lines.select("code", F.date_format("stamp", "yyyyMM").alias("month"), F.struct(F.col("place"), text.alias("line")).alias("x"))
-    # a month's file of one instrument is the unit of reading, so it may be one row here as well
-    whole = each.groupBy("code", "month").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
-    return whole.select(F.concat(F.lit("DAT_ASCII_"), "code", F.lit("_T_"), "month", F.lit(".csv")).alias("path"), F.encode("text", "US-ASCII").alias("content"))
+    path = F.concat(F.lit("DAT_ASCII_"), "code", F.lit("_T_"), F.date_format("stamp", "yyyyMM"), F.lit(".csv"))
+
+    def cut(batches):
+        hour, held, done = None, {}, {}
+
+        def piece(path, lines):
+            done[path] = done.get(path, -1) + 1
+            return pd.DataFrame({"path": [path], "part": [hour << 32 | done[path]], "content": ["\n".join(lines).encode("ascii")]})
+
+        for pdf in batches:
+            for (now, path), x in pdf.groupby(["hour", "path"], dropna=False)["line"]:  # hours ascend
+                if now != hour:
+                    yield from (piece(p, rest) for p, rest in held.items() if rest)
+                    hour, held, done = now, {}, {}
+                rest = held.setdefault(path, [])
+                rest.extend(x)
+                while len(rest) >= PIECE:
+                    yield piece(path, rest[:PIECE])
+                    del rest[:PIECE]
+        yield from (piece(p, rest) for p, rest in held.items() if rest)
+
+    return lines.select("hour", path.alias("path"), text.alias("line")).mapInPandas(cut, "path string, part long, content binary")
 
 
 def _tick_lines(spark, sf) -> DataFrame:
     """Ticks with stamps of New York's clock; the ask is moved up so that it is above the bid. VIEWXX has its columns the other way round, and SIGNUP from Saturday, January 13 on."""
-    t = ticks(spark, sf).withColumn("code", F.expr(CODE)).withColumn("stamp", F.expr(T.wall(MS, T.NEW_YORK))).withColumn("ask", F.round(F.col("ask") + 0.00001, 6))
+    t = _dealt(ticks(spark, sf).select("instrument", "ts_utc_ns", "bid", "ask", "row_sequence"), MS, "row_sequence")
+    t = t.withColumn("code", F.expr(CODE)).withColumn("stamp", F.expr(T.wall(MS, T.NEW_YORK))).withColumn("ask", F.round(F.col("ask") + 0.00001, 6))
     swap = (F.col("code") == "VIEWXX") | (F.col("code") == "SIGNUP") & (F.to_date("stamp") >= F.lit("2024-01-13").cast("date"))
-    return t.select("code", "stamp", F.struct(F.expr(MS).alias("at"), "row_sequence").alias("place"), F.when(swap, F.col("ask")).otherwise(F.col("bid")).alias("first"), F.when(swap, F.col("bid")).otherwise(F.col("ask")).alias("second"))
+    return t.select("code", "stamp", "hour", F.when(swap, F.col("ask")).otherwise(F.col("bid")).alias("first"), F.when(swap, F.col("bid")).otherwise(F.col("ask")).alias("second"))
 
 
 def op05(spark, sf):
@@ -50,17 +78,18 @@ def _clock_lines(spark, sf) -> DataFrame:
     """Ticks of every minute or so of four weeks of spring 2024, when the two clocks differ, without weekends: USDSTX stamped by one clock, EUDSTX by the other."""
     start = 1_708_905_600_000_000_000  # 2024-02-26
     li = table(spark, sf, "lineitem").select((F.lit(start) + F.expr(f"(l_orderkey * 7919 + l_linenumber * 104729) * 37 % {28 * 86400} * 1000000000 + l_linenumber * 1000000")).alias("ts_utc_ns"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.round(1 + F.col("l_quantity") / 1000, 6).alias("bid"))
-    t = li.where(f"not {T.weekend_gap('ts_utc_ns')}")
+    t = _dealt(li.where(f"not {T.weekend_gap('ts_utc_ns')}"), "ts_utc_ns", "k")
     us, eu = T.wall("ts_utc_ns", T.NEW_YORK), f"{T.instant('ts_utc_ns')} - interval 5 hours"  # London changes on March 31 only
     both = t.withColumn("x", F.explode(F.array(F.struct(F.lit("USDSTX").alias("code"), F.expr(us).alias("stamp")), F.struct(F.lit("EUDSTX").alias("code"), F.expr(eu).alias("stamp")))))
-    return both.select("x.code", "x.stamp", F.struct(F.col("ts_utc_ns").alias("at"), "k").alias("place"), F.col("bid").alias("first"), (F.col("bid") + 0.0001).alias("second"))
+    return both.select("x.code", "x.stamp", "hour", F.col("bid").alias("first"), (F.col("bid") + 0.0001).alias("second"))
 
 
 def op126(spark, sf):
     """Which clock a file's stamps follow, told from its weekends, and the ticks that come out."""
     files = _files(_clock_lines(spark, sf))
-    clocks = I.month_readings(files).select("instrument", "year", "month", "stamp_clock")
-    t = I.month_ticks(files).groupBy("instrument", "year", "month").agg(F.count(F.lit(1)).alias("n"), F.min("ts_utc_ns").alias("first_ns"), F.max("ts_utc_ns").alias("last_ns"), F.sum(F.expr("ts_utc_ns div 1000000 % 1000003")).alias("checksum"))
+    plans = I.month_plans(files)
+    clocks = I.month_readings(files, plans).select("instrument", "year", "month", "stamp_clock")
+    t = I.month_ticks(files, plans).groupBy("instrument", "year", "month").agg(F.count(F.lit(1)).alias("n"), F.min("ts_utc_ns").alias("first_ns"), F.max("ts_utc_ns").alias("last_ns"), F.sum(F.expr("ts_utc_ns div 1000000 % 1000003")).alias("checksum"))
     return rounded(clocks.join(t, ["instrument", "year", "month"]))
 
 
