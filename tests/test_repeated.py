@@ -20,7 +20,7 @@ def repeated(tmp_path_factory):
     return root, con
 
 
-@pytest.mark.parametrize("name", ["OP05_month_files", "OP124_column_order_by_day", "OP126_stamp_clock", "OP18_feature_merge"])
+@pytest.mark.parametrize("name", ["OP05_month_files", "OP124_column_order_by_day", "OP126_stamp_clock", "OP18_feature_merge", "SPEC_fills"])
 def test_same_rows_of_repeated_tables(spark, repeated, name):
     root, con = repeated
     assert rows_of(engine.QUERIES[name](spark, str(root)).toPandas()) == rows_of(con.execute(engine.ORACLE_SQL[name]).fetchdf())

@@ -2,11 +2,14 @@
 
 A buy trades on the ask and a sell on the bid, so the spread is paid by the prices themselves. A stop triggers when the market reaches its level and
 fills at the level or worse; a limit triggers only when the market trades through its level and fills at the level. Each order looks at the ticks from its
-own instant on: a join by instrument and day, with the first tick that triggers taken by an aggregation.
+own instant on. Orders and ticks meet by instrument and day, as arrays: the first tick that triggers is looked up in a tree of the best prices, so the work
+grows with orders plus ticks and not with their pairs. The first of an order's days is taken by an aggregation.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,33 +17,75 @@ from tidemark.functions import timex as T
 
 ORDERS = "order_id string, instrument string, kind string, side string, level double, from_ns long, until_ns long, slip double"
 KINDS = ("market", "stop", "limit")
+MARKET, STOP, LIMIT = range(3)
 
 
 def fills(orders: DataFrame, ticks: DataFrame) -> DataFrame:
     """(order_id, fill_ns, fill_price, waited_gap): null where nothing triggers in [from_ns, until_ns). slip is taken off buyer and seller alike; a limit
     that slippage would put beyond its level goes on waiting. waited_gap: the fill's tick comes more than a minute after the one before it."""
     day = 86_400_000_000_000
-    o = orders.withColumn("_d", F.explode(F.expr(f"sequence(from_ns div {day}, (until_ns - 1) div {day})"))).withColumn("slip", F.coalesce("slip", F.lit(0.0)))
-    w = F.lag("ts_utc_ns").over(_order())
-    t = ticks.select("instrument", "ts_utc_ns", "row_sequence", "bid", "ask").withColumn("_d", F.expr(f"ts_utc_ns div {day}")).withColumn("_gap", F.coalesce(F.col("ts_utc_ns") - w > T.MINUTE, F.lit(False)))
-    buy = F.col("side") == "buy"
-    price = F.when(buy, F.col("ask")).otherwise(F.col("bid"))
-    sign = F.when(buy, 1.0).otherwise(-1.0)
-    level = F.col("level")
-    worse = F.when(buy, F.greatest(level, price)).otherwise(F.least(level, price))
-    fill = F.when(F.col("kind") == "market", price + sign * F.col("slip")).when(F.col("kind") == "stop", worse + sign * F.col("slip")).when(F.col("kind") == "limit", level + sign * F.col("slip"))
-    through = sign * (price - level)
-    hit = F.when(F.col("kind") == "market", True).when(F.col("kind") == "stop", through >= 0).when(F.col("kind") == "limit", (through < 0) & (sign * (price + sign * F.col("slip") - level) <= 0))
-    limit_price = F.when(F.col("kind") == "limit", F.when(buy, F.least(level, price)).otherwise(F.greatest(level, price)) + sign * F.col("slip"))
-    seen = o.join(t, ["instrument", "_d"]).where("ts_utc_ns >= from_ns and ts_utc_ns < until_ns").where(hit)
-    first = seen.withColumn("_f", F.coalesce(limit_price, fill)).groupBy("order_id").agg(F.min_by(F.struct(F.col("ts_utc_ns").alias("fill_ns"), F.col("_f").alias("fill_price"), F.col("_gap").alias("waited_gap")), F.struct("ts_utc_ns", "row_sequence")).alias("f"))
+    kind = F.when(F.col("kind") == "market", MARKET).when(F.col("kind") == "stop", STOP).when(F.col("kind") == "limit", LIMIT)
+    o = orders.select("order_id", "instrument", kind.alias("kind"), F.coalesce(F.col("side") == "buy", F.lit(False)).alias("buy"), "level", F.coalesce("slip", F.lit(0.0)).alias("slip"), "from_ns", "until_ns")
+    o = o.where("kind is not null and instrument is not null and from_ns < until_ns").withColumn("_d", F.explode(F.expr(f"sequence(from_ns div {day}, (until_ns - 1) div {day})")))
+    t = ticks.select("instrument", "ts_utc_ns", "row_sequence", "bid", "ask").withColumn("_d", F.expr(f"ts_utc_ns div {day}"))
+    schema = f"order_id {orders.schema['order_id'].dataType.simpleString()}, fill_ns long, row_sequence long, fill_price double, waited_gap boolean"
+    seen = o.groupBy("instrument", "_d").cogroup(t.groupBy("instrument", "_d")).applyInPandas(_day_fills, schema)
+    first = seen.groupBy("order_id").agg(F.min_by(F.struct("fill_ns", "fill_price", "waited_gap"), F.struct("fill_ns", "row_sequence")).alias("f"))
     return orders.select("order_id").join(first, "order_id", "left").select("order_id", "f.fill_ns", "f.fill_price", "f.waited_gap")
 
 
-def _order():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("instrument", "_d").orderBy("ts_utc_ns", "row_sequence")
+def _day_fills(o: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    """Fills of one instrument's orders within a day."""
+    t = t.sort_values(["ts_utc_ns", "row_sequence", "bid", "ask"])
+    ts, seq = t["ts_utc_ns"].to_numpy("int64"), t["row_sequence"].to_numpy("int64")
+    level, slip = o["level"].to_numpy(float), o["slip"].to_numpy(float)
+    at = np.searchsorted(ts, o["from_ns"].to_numpy("int64"))
+    fill = np.full(len(o), np.nan)
+    for buy in (True, False):
+        price, sign = t["ask" if buy else "bid"].to_numpy(float), 1.0 if buy else -1.0
+        for kind in (MARKET, STOP, LIMIT):
+            own = np.flatnonzero((o["kind"] == kind).to_numpy(bool) & (o["buy"] == buy).to_numpy(bool))
+            if kind != MARKET:
+                at[own] = _first_hit(price, at[own], level[own], slip[own], kind, sign)
+            own = own[at[own] < len(ts)]
+            p = price[at[own]]
+            worse, better = (np.maximum, np.minimum) if buy else (np.minimum, np.maximum)
+            fill[own] = (p if kind == MARKET else (worse if kind == STOP else better)(level[own], p)) + sign * slip[own]
+    done = at < np.searchsorted(ts, o["until_ns"].to_numpy("int64"))
+    gap = np.diff(ts, prepend=ts[:1]) > T.MINUTE
+    k = at[done]
+    return pd.DataFrame({"order_id": o["order_id"].to_numpy()[done], "fill_ns": ts[k], "row_sequence": seq[k], "fill_price": fill[done], "waited_gap": gap[k]})
+
+
+def _first_hit(price: np.ndarray, start: np.ndarray, level: np.ndarray, slip: np.ndarray, kind: int, sign: float) -> np.ndarray:
+    """For each order the first tick from start on that triggers it, or the number of ticks. If any tick of some triggers an order, then so does the one of
+    the best price: a tree of best prices over 2, 4, 8 ticks tells which to skip."""
+    high = (kind == STOP) == (sign > 0)
+    best, none = (np.maximum, -np.inf) if high else (np.minimum, np.inf)
+    tree = [np.where(np.isnan(price), none, price)]
+    while len(tree[-1]) > 1:
+        x = np.append(tree[-1], none) if len(tree[-1]) % 2 else tree[-1]
+        tree.append(best(x[::2], x[1::2]))
+
+    def hits(k: int, node: np.ndarray, who: np.ndarray) -> np.ndarray:
+        inside = node < len(tree[k])
+        p = np.where(inside, tree[k][np.minimum(node, len(tree[k]) - 1)], none) if len(tree[k]) else np.full(len(node), none)
+        through = sign * (p - level[who])
+        return inside & (through >= 0 if kind == STOP else (through < 0) & (sign * (p + sign * slip[who] - level[who]) <= 0))
+
+    node, found, top = start.copy(), np.full(len(start), -1), len(tree) - 1
+    for k in range(top + 1):  # up: a node that begins its parent's range is left to the parent
+        who = np.flatnonzero((found < 0) & ((node % 2 == 1) | (k == top)))
+        hit = hits(k, node[who], who)
+        found[who[hit]] = k
+        node[who[~hit]] += 1
+        node[found < 0] //= 2
+    for k in range(top, 0, -1):  # down to the first tick
+        who = np.flatnonzero(found == k)
+        left = node[who] * 2
+        node[who] = np.where(hits(k - 1, left, who), left, left + 1)
+        found[who] = k - 1
+    return np.where(found == 0, node, len(price))
 
 
 def ambiguity(trades: DataFrame, bars: DataFrame) -> DataFrame:
