@@ -1,9 +1,12 @@
 """Month files in pieces read as they do whole, and the queries' files are in pieces of bounded size."""
 
+from datetime import datetime, timedelta
+
+import numpy as np
 import pytest
 
 from tests.test_repeated import repeated  # noqa: F401
-from tidemark.functions.timex import HOUR, MINUTE
+from tidemark.functions.timex import HOUR, MINUTE, NEW_YORK, local_to_ns
 from tidemark.operators import ingest as I
 from tidemark.queries import ingestion as Q
 from tidemark.sources.ticks import IntegrityError
@@ -13,8 +16,6 @@ NAME = "DAT_ASCII_EURUSD_T_{}.csv"
 
 def month(first, last, offsets, change=None):
     """Lines of every three minutes but weekends, stamped at offsets[0] hours until instants of offsets[1], and so on."""
-    from datetime import datetime, timedelta
-
     ns = lambda *x: int((datetime(*x) - datetime(1970, 1, 1)).total_seconds()) * 10**9
     lines = []
     for at in range(ns(*first), ns(*last), 3 * MINUTE):
@@ -68,6 +69,18 @@ def test_step_back_between_pieces(spark):
         I._plan([I._summary(x, 2018, 3) for _, x in pieces_of(lines, 500)], 2018, 3)
 
 
+@pytest.mark.parametrize("day", [(2024, 3, 10), (2018, 11, 4), (2024, 3, 12)])
+def test_many_stamps_of_a_day_of_clock_change(day, monkeypatch):
+    calls = []
+    real = I.transitions
+    monkeypatch.setattr(I, "transitions", lambda *x: calls.append(x) or real(*x))
+    midnight = datetime(*day)
+    walls = [midnight + timedelta(minutes=5 * k) for k in range(288)]
+    stamps = np.array([int((w - datetime(1970, 1, 1)).total_seconds()) * 10**9 for w in walls])
+    assert I.to_utc(stamps, "us_dst", *day[:2]).tolist() == [local_to_ns(w, NEW_YORK, "later") for w in walls]
+    assert len(calls) < 10  # the offsets are looked up for the day, not for each stamp
+
+
 def test_no_row_of_the_queries_holds_a_whole_file(spark, repeated, monkeypatch):  # noqa: F811
     monkeypatch.setattr(Q, "PIECE", 7)
     files = Q._files(Q._clock_lines(spark, str(repeated[0]))).collect()

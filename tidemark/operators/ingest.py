@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
-from tidemark.functions.timex import DAY, HOUR, LONDON, NEW_YORK, local_to_ns, transitions
+from tidemark.functions.timex import DAY, HOUR, LONDON, NEW_YORK, transitions
 from tidemark.sources.ticks import TICKS, IntegrityError
 
 # Names and lines of the source's files.
@@ -292,13 +292,23 @@ def _utc(stamps: np.ndarray, line: int, offsets: list[tuple[int, int]]) -> np.nd
     for d in np.unique(days).tolist():
         day, of = _date(d * DAY), days == d
         if len(transitions_on(day)):
-            info = [local_to_ns(datetime(1970, 1, 1) + timedelta(microseconds=int(s) // 1000), NEW_YORK, "later") for s in stamps[of].tolist()]
-            out[of] = info
+            out[of] = _later(stamps[of], transitions(NEW_YORK, day.year - 1, day.year + 1))
         else:
             out[of] = stamps[of] - _offset(day, NEW_YORK)
     return out
 
 
+def _later(stamps: np.ndarray, spells: list[tuple[int, int, int]]) -> np.ndarray:
+    """local_to_ns of many stamps: of two instants the later, and in a skipped hour its end."""
+    out, fits = np.empty_like(stamps), np.zeros(len(stamps), bool)
+    for start, end, offset in spells:  # ascending, so the later overwrites
+        at = stamps - offset * 10**9
+        here, past = (start <= at) & (at < end), ~fits & (at >= end)
+        out[past], out[here] = end, at[here]
+        fits |= here
+    return out
+
+
 def transitions_on(day: date) -> list[int]:
     """New York's clock changes on a date."""
     return [s for s, _, _ in transitions(NEW_YORK, day.year, day.year)[1:] if _date(s) == day]
