@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chroma import align, render_turn
 from tidemark.llm.decontamination import find_contamination
+from tidemark.llm.exact import exact_groups
 from tidemark.llm.html import extract_pages
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.rollups import corpus_totals
@@ -68,6 +69,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recordings.withColumn("kind", F.lit("recording")).unionByName(matches.withColumn("kind", F.lit("match")), allowMissingColumns=True)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -79,5 +84,12 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_media_columns": op10_media_columns,
+    "op11_exact_dedup": op11_exact_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op11_exact_dedup": r"""
+        WITH normalised AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\x0C\r]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+        FROM normalised WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST)""",
 }
-ORACLE_SQL: dict[str, str] = {}
