@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import align_tokenizers
 from tidemark.llm.chroma import align, render_turn
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.exact import exact_groups
@@ -73,6 +74,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_read(spark, sf_dir, "documents"), with_groups=False)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_media_columns": op10_media_columns,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op11_exact_dedup": r"""
