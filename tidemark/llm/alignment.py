@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import parts_for, text_bytes, written
 
 #: White space of Unicode, and the four separators that some libraries count as such.
-WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = "\u2581"
 CHUNK_BYTES = 32 << 20
 BATCH = 4096
