@@ -11,6 +11,8 @@ from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.exact import exact_groups
 from tidemark.llm.html import extract_pages
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.repair import SUMMARY, damaged, repair_conversations
+from tidemark.llm.repair_sql import REPAIR
 from tidemark.llm.rollups import corpus_totals
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
@@ -78,6 +80,16 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(_read(spark, sf_dir, "documents"), with_groups=False)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations of the table, also those that damage leaves without rows."""
+    conversations = _read(spark, sf_dir, "conversations")
+    ids = conversations.select(F.col("conv_id").alias("_id")).distinct()
+    found = ids.join(repair_conversations(damaged(conversations)).summary.withColumn("_found", F.lit(True)), F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    names = [c.split() for c in SUMMARY.split(", ")][1:]
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return found.select(F.col("_id").alias("conv_id"), *(F.coalesce(c, nothing.get(c, F.lit(0).cast("long"))).alias(c) for c, _ in names))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -91,6 +103,7 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op11_exact_dedup": r"""
@@ -98,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\x0C\r]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
         FROM normalised WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST)""",
+    "op13_conversation_repair": REPAIR,
 }
