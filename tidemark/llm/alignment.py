@@ -15,6 +15,7 @@ documents of their own; a text of any length is composed whole, in the chunk tha
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,8 +31,10 @@ from tidemark.llm.shared import parts_for, text_bytes, written
 #: White space of Unicode, and the four separators that some libraries count as such.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = "\u2581"
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 BATCH = 4096
+#: Documents of a chunk that are composed at a time.
+SPAN = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -76,7 +79,7 @@ class Pair:
 
     def align(self, segments: list[str]) -> tuple[np.ndarray, ...]:
         """(ok, n_a, n_b, n_groups, groups, number of links, links): arrays over the segments, and the links of all, in order, as a << 32 | b."""
-        a_ids, b_ids = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)], self.b_ids(segments)
+        a_ids, b_ids = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)], self.b_ids(segments)
         ok = np.ones(len(segments), bool)
         for k, s in enumerate(segments):
             raw = s.encode()
@@ -104,7 +107,9 @@ class Pair:
         return ok, n_a, n_b, sizes, groups, n_links, links
 
 
+@functools.cache
 def tokenizer_pair(a_path: str | None = None, b_path: str | None = None) -> Pair:
+    """Loaded once in a worker, for all its tasks."""
     if a_path and b_path:
         return Pair(a_path, b_path)
     import public_tokenizers
@@ -197,26 +202,24 @@ def _compose(chunk: pa.Table, aligned: pa.Table, with_groups: bool) -> pa.Table:
     pairs, links = np.unique(links, return_inverse=True)
     start = np.cumsum(many) - many
     name, ids = chunk["chunk"][0].as_py(), chunk["doc_ids"][0].as_py()
-    lengths, numbers = np.array(chunk["lengths"][0].as_py(), np.int64), _opened(chunk["numbers"][0].as_py()).astype(np.int64)
-    stops = np.cumsum(lengths)
-    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[numbers])])[np.concatenate([[0], stops])])
-    whole = (total(1 - ok) == 0) & (lengths > 0)
-    sums = {k: np.where(whole, total(x), 0) for k, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", many))}
-    texts, shas = [], []
-    for good, stop, n in zip(whole.tolist(), stops.tolist(), lengths.tolist()):
-        text = ";".join(map(groups.__getitem__, numbers[stop - n : stop].tolist())) if good else ""
-        shas.append(hashlib.sha256(text.encode()).hexdigest() if good else "")
-        if with_groups:
-            texts.append(text)
-    docs, kept = np.repeat(np.arange(len(ids)), lengths), np.repeat(whole, lengths)
-    held = []
-    for a in range(0, len(ids), 512):  # documents of some 20 MB of numbers at a time
-        span = slice(stops[a] - lengths[a], stops[min(a + 512, len(ids)) - 1])
-        held.append(_doc_pairs(docs[span][kept[span]], numbers[span][kept[span]], start, many, links, len(pairs)))
-    doc, pair, times = (np.concatenate(x) for x in zip(*held))
+    lengths, numbers = np.array(chunk["lengths"][0].as_py(), np.int64), _opened(chunk["numbers"][0].as_py())
+    stops, parts, texts, shas = np.cumsum(lengths), [], [], []
+    for first in range(0, len(ids), SPAN):
+        own = lengths[first : first + SPAN]
+        seen, ends = numbers[stops[first] - own[0] : stops[min(first + SPAN, len(ids)) - 1]], np.cumsum(own)
+        total = lambda x, seen=seen, ends=ends: np.diff(np.concatenate([[0], np.cumsum(x[seen])])[np.concatenate([[0], ends])])
+        whole = (total(1 - ok) == 0) & (own > 0)
+        kept = np.repeat(whole, own)
+        parts.append([*(np.where(whole, total(x), 0) for x in (n_a, n_b, n_groups, many)), *_doc_pairs(np.repeat(np.arange(first, first + len(own)), own)[kept], seen[kept], start, many, links, len(pairs))])
+        for good, stop, n in zip(whole.tolist(), ends.tolist(), own.tolist()):
+            text = ";".join(map(groups.__getitem__, seen[stop - n : stop].tolist())) if good else ""
+            shas.append(hashlib.sha256(text.encode()).hexdigest() if good else "")
+            if with_groups:
+                texts.append(text)
+    *sums, doc, pair, times = (np.concatenate(x) for x in zip(*parts))
+    sums = dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums))
     n_docs = np.bincount(pair, minlength=len(pairs))
-    steps = np.diff(pair, prepend=0)
-    n = len(ids)
+    steps, n = np.diff(pair, prepend=0), len(ids)
     empty = lambda kind: pa.nulls(n, kind)
     long, blob = pa.int64(), pa.binary()
     rows = {"chunk": pa.repeat(pa.scalar(name, long), n), "number": pa.array(np.arange(n), pa.int32()), "doc_id": pa.array(ids, long)} | {k: pa.array(v, long) for k, v in sums.items()}
