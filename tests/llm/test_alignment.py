@@ -50,7 +50,7 @@ def by_force(rows):
 
 @pytest.mark.parametrize("chunk_bytes", [1 << 20, 500])
 def test_documents(spark, docs_of, chunk_bytes):
-    rows = [(k, t) for k, t in enumerate(texts(250))] + [(None, "a null id"), (3, "again"), (3, "again"), (900, None), (901, ""), (902, " "), (903, "word " * 20_000), (904, "長" * 3000)]
+    rows = [(k, t) for k, t in enumerate(texts(250))] + [(None, "a null id"), (3, "again"), (3, "again"), (900, None), (901, ""), (902, " "), (903, "word " * 4000), (904, "長" * 2000)]
     got = align_tokenizers(docs_of(rows), chunk_bytes=chunk_bytes).collect()
     small = [r for r in got if r["doc_id"] != 903]
     want = by_force(rows)
@@ -80,7 +80,9 @@ def test_each_distinct_segment_once(spark, docs_of, tmp_path):
     pair.align = lambda segments: calls.extend(segments) or align(segments)
     rows = pa.table({"chunk": pa.array(range(20_000), pa.int64()), "number": pa.array([0] * 20_000, pa.int32()), "segment": [" a"] * 9_000 + [" b"] * 9_000 + [" c"] * 2_000})
     out = pa.Table.from_batches(alignment._aligned(iter(rows.to_batches(max_chunksize=5_000)), pair))
-    assert calls == [" a", " b", " c"] and out.num_rows == 20_000 and len(set(out["groups"].to_pylist())) == 3
+    assert calls == [" a", " b", " c"] and out.num_rows == 20_000 and len(set(out["codes"].to_pylist())) == 3
+    together = rows.set_column(0, "chunk", pa.array([k % 2 for k in range(20_000)], pa.int64()))
+    assert pa.Table.from_batches(alignment._aligned(iter(together.to_batches(max_chunksize=5_000)), pair)).num_rows == 2
 
 
 def test_empty(spark, docs_of):

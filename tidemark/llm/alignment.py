@@ -77,34 +77,33 @@ class Pair:
         out = self.b.encode([s[1:] if own else s for s, own in zip(segments, blank)], num_threads=1)
         return [ids or [self.b_space] if own else ids[1:] for ids, own in zip(out, blank)]
 
-    def align(self, segments: list[str]) -> tuple[np.ndarray, ...]:
-        """(ok, n_a, n_b, n_groups, groups, number of links, links): arrays over the segments, and the links of all, in order, as a << 32 | b."""
+    def align(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each segment, codes of all tokens, in order): by groups, in a group A's tokens before B's. 0 tokens: the segment doesn't come back byte by byte."""
         a_ids, b_ids = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)], self.b_ids(segments)
-        ok = np.ones(len(segments), bool)
         for k, s in enumerate(segments):
             raw = s.encode()
             if b"".join(map(self.b_bytes.__getitem__, b_ids[k])) != raw or b"".join(map(self.a_bytes.__getitem__, a_ids[k])) != raw:
-                ok[k], a_ids[k], b_ids[k] = False, [], []
+                a_ids[k], b_ids[k] = [], []
         n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
         a, b = (np.fromiter((i for ids in x for i in ids), np.int64, int(n.sum())) for x, n in ((a_ids, n_a), (b_ids, n_b)))
-        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         # all segments together are one line of bytes, which the tokens of either kind tile
+        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        codes = np.concatenate([a << 2, b << 2 | 2 | np.isin(b_end, cuts, assume_unique=True)])
+        groups = np.searchsorted(cuts, np.concatenate([a_end, b_end]), "left")
+        return n_a + n_b, codes[np.argsort(groups, kind="stable")].astype(np.uint32)
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(links of each A token, the links as a << 32 | b) of tokens that tile one line of bytes: what overlaps is linked."""
+        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         low, high = np.searchsorted(b_end, a_end - self.a_len[a], "right"), np.searchsorted(b_end, a_end, "left")
         many = high - low + 1
-        links = np.repeat(a, many) << 32 | b[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        a_stop, b_stop = np.cumsum(n_a), np.cumsum(n_b)
-        within = np.concatenate([[0], np.cumsum(many)])
-        n_links = within[a_stop] - within[a_stop - n_a]
-        sizes = np.zeros(len(segments), np.int64)
-        ends = np.concatenate([[0], a_end])[a_stop]
-        np.add.at(sizes, np.searchsorted(ends, cuts, "left"), 1)
-        a_cut, b_cut = np.searchsorted(a_end, cuts) + 1, np.searchsorted(b_end, cuts) + 1
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        texts = [f"{','.join(a_text[p:q])}|{','.join(b_text[r:s])}" for p, q, r, s in zip([0, *a_cut[:-1].tolist()], a_cut.tolist(), [0, *b_cut[:-1].tolist()], b_cut.tolist())]
-        stop = np.cumsum(sizes)
-        groups = [";".join(texts[p:q]) for p, q in zip((stop - sizes).tolist(), stop.tolist())]
-        return ok, n_a, n_b, sizes, groups, n_links, links
+        return many, np.repeat(a, many) << 32 | b[_flat(low, many)]
+
+
+def _flat(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, so many of each."""
+    return np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
 @functools.cache
@@ -156,27 +155,44 @@ def _chunked(batches: Iterator[pa.RecordBatch], part: int, pair: Pair, chunk_byt
         yield chunk()
 
 
-ALIGNED = "chunk long, number int, ok boolean, n_a int, n_b int, n_groups int, groups string, links array<long>"
+ALIGNED = "chunk long, numbers binary, lengths binary, codes binary"
+#: Rows whose alignments go back to their chunks together.
+SENT = 1 << 16
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by segment: each distinct one is aligned once, and one that goes on in the next batch isn't again."""
-    last: pa.RecordBatch | None = None
-    text = None
+    """Rows sorted by segment: each distinct one is aligned once, and one that goes on in the next batch isn't again. What goes to one chunk from SENT rows is one row."""
+    text, last, held, n = None, (np.zeros(1, np.int64), np.zeros(0, np.uint32)), [], 0
     for batch in batches:
         for at in range(0, len(batch), BATCH):
             part = batch[at : at + BATCH]
             seen = part["segment"]
             new = np.concatenate([[seen[0].as_py() != text], pc.not_equal(seen[1:], seen[:-1]).to_numpy(zero_copy_only=False)])
             fresh = seen.filter(pa.array(new)).to_pylist()
-            ok, n_a, n_b, n_groups, groups, n_links, links = pair.align(fresh) if fresh else ((), (), (), (), (), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]), pa.int32()), pa.array(links, pa.int64()))
-            rows = pa.RecordBatch.from_arrays([pa.array(ok, pa.bool_()), *(pa.array(x, pa.int32()) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.string()), lists], ["ok", "n_a", "n_b", "n_groups", "groups", "links"])
+            lengths, codes = pair.align(fresh) if fresh else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
             if not new[0]:
-                rows = pa.Table.from_batches([last, rows]).combine_chunks().to_batches()[0]
-            out = rows.take(pa.array(np.cumsum(new) - new[0]))
-            last, text = rows[len(rows) - 1 :], seen[-1].as_py()
-            yield pa.RecordBatch.from_arrays([part["chunk"], part["number"], *out.columns], ["chunk", "number", *out.schema.names])
+                lengths, codes = np.concatenate([last[0], lengths]), np.concatenate([last[1], codes])
+            text, last = seen[-1].as_py(), (lengths[-1:], codes[len(codes) - lengths[-1] :])
+            which = np.cumsum(new) - new[0]
+            own = lengths[which]
+            held.append((part["chunk"].to_numpy(), part["number"].to_numpy(), own, codes[_flat((np.cumsum(lengths) - lengths)[which], own)]))
+            n += len(part)
+            if n >= SENT:
+                yield _sent(held)
+                held, n = [], 0
+    if held:
+        yield _sent(held)
+
+
+def _sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    chunk, number, lengths, codes = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(chunk, kind="stable")
+    codes = codes[_flat((np.cumsum(lengths) - lengths)[order], lengths[order])]
+    chunk, number, lengths = chunk[order], number[order].astype("<i4"), lengths[order].astype("<i4")
+    cuts = np.append(np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)), len(chunk))
+    ends = np.concatenate([[0], np.cumsum(lengths)])[cuts]
+    blobs = [[x[p:q].tobytes() for p, q in zip(at[:-1].tolist(), at[1:].tolist())] for x, at in ((number, cuts), (lengths, cuts), (codes, ends))]
+    return pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], ["chunk", "numbers", "lengths", "codes"])
 
 
 COMPOSED = "chunk long, number int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs array<long>, pair_docs array<int>, lengths binary, held binary, times binary"
@@ -187,18 +203,30 @@ def _doc_pairs(docs: np.ndarray, numbers: np.ndarray, start: np.ndarray, many: n
     both, times = np.unique(docs * len(start) + numbers, return_counts=True)
     doc, seg = np.divmod(both, max(1, len(start)))
     n = many[seg]
-    at = np.repeat(start[seg] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    at = _flat(start[seg], n)
     both, which = np.unique(np.repeat(doc, n) * n_pairs + links[at], return_inverse=True)
     return *np.divmod(both, max(1, n_pairs)), np.bincount(which, np.repeat(times, n), len(both)).astype(np.int64)
 
 
-def _compose(chunk: pa.Table, aligned: pa.Table, with_groups: bool) -> pa.Table:
-    aligned = aligned.take(pc.sort_indices(aligned["number"])).combine_chunks()
-    ok, n_a, n_b, n_groups = (aligned[c].to_numpy().astype(np.int64) for c in ("ok", "n_a", "n_b", "n_groups"))
-    groups, lists = aligned["groups"].to_pylist(), aligned["links"].combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
-    many, links = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+def _group_texts(kind: np.ndarray, last: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> list[str]:
+    """The segments' groups, each with its sign behind it: `a1,a2|b1;`."""
+    signs = np.where(last, ";", np.where((kind == 0) & (np.append(kind[1:], 1) == 1), "|", ",")).tolist()
+    tokens = [f"{i}{s}" for i, s in zip(ids.tolist(), signs)]
+    return ["".join(tokens[p:q]) for p, q in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+
+def _compose(chunk: pa.Table, aligned: pa.Table, pair: Pair, with_groups: bool) -> pa.Table:
+    joined = lambda c, kind: np.frombuffer(b"".join(x for part in aligned[c].chunks for x in part.to_pylist()), kind)
+    order, sizes, codes = np.argsort(joined("numbers", "<i4")), joined("lengths", "<i4").astype(np.int64), joined("codes", "<u4")
+    codes = codes[_flat((np.cumsum(sizes) - sizes)[order], sizes[order])]
+    sizes = sizes[order]
+    of, token = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    kind, last, tokens = codes >> 1 & 1, codes & 1, (codes >> 2).astype(np.int64)
+    count = lambda which: np.bincount(token[which], minlength=len(sizes))
+    ok, n_a, n_b, n_groups = (sizes > 0).astype(np.int64), count(kind == 0), count(kind == 1), count(last == 1)
+    groups = _group_texts(kind, last, tokens, of)
+    many, links = pair.links(tokens[kind == 0], tokens[kind == 1])
+    many = np.bincount(token[kind == 0], many, len(sizes)).astype(np.int64)
     pairs, links = np.unique(links, return_inverse=True)
     start = np.cumsum(many) - many
     name, ids = chunk["chunk"][0].as_py(), chunk["doc_ids"][0].as_py()
@@ -212,14 +240,14 @@ def _compose(chunk: pa.Table, aligned: pa.Table, with_groups: bool) -> pa.Table:
         kept = np.repeat(whole, own)
         parts.append([*(np.where(whole, total(x), 0) for x in (n_a, n_b, n_groups, many)), *_doc_pairs(np.repeat(np.arange(first, first + len(own)), own)[kept], seen[kept], start, many, links, len(pairs))])
         for good, stop, n in zip(whole.tolist(), ends.tolist(), own.tolist()):
-            text = ";".join(map(groups.__getitem__, seen[stop - n : stop].tolist())) if good else ""
+            text = "".join(map(groups.__getitem__, seen[stop - n : stop].tolist()))[:-1] if good else ""
             shas.append(hashlib.sha256(text.encode()).hexdigest() if good else "")
             if with_groups:
                 texts.append(text)
-    *sums, doc, pair, times = (np.concatenate(x) for x in zip(*parts))
+    *sums, doc, held, times = (np.concatenate(x) for x in zip(*parts))
     sums = dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums))
-    n_docs = np.bincount(pair, minlength=len(pairs))
-    steps, n = np.diff(pair, prepend=0), len(ids)
+    n_docs = np.bincount(held, minlength=len(pairs))
+    steps, n = np.diff(held, prepend=0), len(ids)
     empty = lambda kind: pa.nulls(n, kind)
     long, blob = pa.int64(), pa.binary()
     rows = {"chunk": pa.repeat(pa.scalar(name, long), n), "number": pa.array(np.arange(n), pa.int32()), "doc_id": pa.array(ids, long)} | {k: pa.array(v, long) for k, v in sums.items()}
@@ -253,7 +281,7 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return _aligned(batches, tokenizer_pair(a_path, b_path))
 
     def compose(chunk: pa.Table, aligned: pa.Table) -> pa.Table:
-        return _compose(chunk, aligned, with_groups)
+        return _compose(chunk, aligned, tokenizer_pair(a_path, b_path), with_groups)
 
     n_parts = parts_for(spark, text_bytes(docs, text_col))
     chunks = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, CHUNKS), "chunks")
