@@ -6,6 +6,7 @@ with a column that says which variant a row belongs to: running is the business
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,11 +17,26 @@ from pyspark.sql import functions as F
 GOOD_YEARS, MOST_OF_A_YEAR, MOST_AMBIGUOUS, REPLICATIONS = 0.70, 0.40, 0.20, 200
 COSTS, SPREADS, SLIPPAGE = (1.0, 1.5, 2.0, 3.0), (1.25, 1.5, 2.0), (2.0, 3.0)
 MANDATORY = ("RT-1", "RT-2", "RT-3", "RT-8", "RT-9", "RT-12")
+#: Results in R are summed as whole billionths, so that no sum depends on the order of its rows; what differs by less than one is equal.
+BILLION = 1e9
+RESAMPLES = 1000
+
+
+def _units(value: Column) -> Column:
+    return F.round(value * BILLION).cast("long")
+
+
+def _total(value: Column) -> Column:
+    return F.sum(_units(value)) / BILLION
+
+
+def _mean(value: Column) -> Column:
+    return _total(value) / F.count(value)
 
 
 def by_year(trades: DataFrame) -> DataFrame:
     """RT-1: (run, year, n, expectancy_r, total_r, of_total): of_total is the year's share of the run's whole result, null where that isn't above 0."""
-    g = trades.groupBy("run", F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg("r_net").alias("expectancy_r"), F.sum("r_net").alias("total_r"))
+    g = trades.groupBy("run", F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("n"), _mean(F.col("r_net")).alias("expectancy_r"), _total(F.col("r_net")).alias("total_r"))
     whole = F.sum("total_r").over(W.partitionBy("run"))
     return g.withColumn("of_total", F.when(whole > 0, F.col("total_r") / whole))
 
@@ -35,12 +51,41 @@ def stressed(trades: DataFrame, cost: str, multipliers: tuple[float, ...]) -> Da
     """RT-2 to RT-4: (run, multiplier, n, expectancy_r) with a cost, in R and part of r_net once, taken so many times. For the spread the cost is what both
     sides lose to a spread that widens evenly around the mid, for slippage the ticks lost to it."""
     each = trades.withColumn("multiplier", F.explode(F.array(*(F.lit(float(m)) for m in multipliers))))
-    return each.groupBy("run", "multiplier").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("r_net") - (F.col("multiplier") - 1) * F.col(cost)).alias("expectancy_r"))
+    return each.groupBy("run", "multiplier").agg(F.count(F.lit(1)).alias("n"), _mean(F.col("r_net") - (F.col("multiplier") - 1) * F.col(cost)).alias("expectancy_r"))
+
+
+def _poisson(u: Column, most: int = 12) -> Column:
+    """How often a trade is drawn, from a number in [0, 1): Poisson of mean 1, by its distribution function."""
+    total, out = math.exp(-1), None
+    for k in range(most):
+        out = F.when(u < total, k) if out is None else out.when(u < total, k)
+        total += math.exp(-1) / math.factorial(k + 1)
+    return out.otherwise(most).cast("long")
+
+
+def lower_bounds(trades: DataFrame, by: list[str], seed: int, cost: Column | None = None, multipliers: tuple[float, ...] = (1.0,), resamples: int = RESAMPLES, tail: float = 0.025) -> DataFrame:
+    """RT-1 to RT-4: (by, multiplier, n, expectancy_r, low): the expectancy with a cost taken so many times, and what it exceeds in all but tail of the resamples.
+
+    A trade is drawn a Poisson number of times in each resample, which the seed, the resample and trade_id decide: the same for all multipliers, so their differences
+    carry no noise of resampling, and whatever the partitioning. Trades aren't gathered: each task sums what its own trades are drawn. One digest draws for four resamples.
+    """
+    cost = F.lit(0.0) if cost is None else cost
+    each = trades.select(*by, "trade_id", _units(F.col("r_net")).alias("_r"), _units(cost).alias("_c")).withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_four").cast("string"), F.col("trade_id").cast("string")).cast("binary"))
+    parts = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.conv(F.substring(F.col("_d"), 1 + 8 * k, F.lit(8)), 16, 10).cast("double") / float(1 << 32)))
+    drawn = each.withColumn("_d", digest).select(*by, "_r", "_c", "_four", parts.alias("_k", "_u")).withColumn("_w", _poisson(F.col("_u")))
+    sums = drawn.groupBy(*by, "_four", "_k").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_r")).alias("r"), F.sum(F.col("_w") * F.col("_c")).alias("c"))
+    stress = F.explode(F.array(*(F.lit(float(m)) for m in multipliers)))
+    means = sums.where(F.col("_four") * 4 + F.col("_k") < resamples).select(*by, F.struct("w", "r", "c").alias("s"), stress.alias("multiplier"))
+    mean = F.try_divide((F.col("s.r") - (F.col("multiplier") - 1) * F.col("s.c")) / BILLION, F.col("s.w"))
+    low = means.groupBy(*by, "multiplier").agg(F.percentile(mean, F.lit(tail)).alias("low"))
+    own = trades.withColumn("_cost", cost).withColumn("multiplier", stress).groupBy(*by, "multiplier").agg(F.count(F.lit(1)).alias("n"), _mean(F.col("r_net") - (F.col("multiplier") - 1) * F.col("_cost")).alias("expectancy_r"))
+    return own.join(low, [*by, "multiplier"])
 
 
 def surface(variants: DataFrame, parameter: str = "parameter", value: str = "value") -> DataFrame:
     """RT-5 and RT-6: (run, parameter, value, n, expectancy_r) of trades of perturbed runs (parameters by a tenth and a fifth, the window by 5 and 15 minutes), by value."""
-    g = variants.groupBy("run", F.col(parameter).alias("parameter"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.avg("r_net").alias("expectancy_r"))
+    g = variants.groupBy("run", F.col(parameter).alias("parameter"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"), _mean(F.col("r_net")).alias("expectancy_r"))
     return g.orderBy("run", "parameter", "value")
 
 
@@ -49,13 +94,13 @@ def without_best(trades: DataFrame, shares: tuple[float, ...] = (0.01, 0.05, 0.1
     n = F.count(F.lit(1)).over(W.partitionBy("run"))
     ranked = trades.withColumn("_n", n).withColumn("_k", F.row_number().over(W.partitionBy("run").orderBy(F.desc("r_net"), "trade_id")))
     each = ranked.withColumn("share", F.explode(F.array(*(F.lit(s) for s in shares)))).where(F.col("_k") > F.ceil(F.round(F.col("_n") * F.col("share"), 9)))
-    return each.groupBy("run", "share").agg(F.count(F.lit(1)).alias("n"), F.avg("r_net").alias("expectancy_r"))
+    return each.groupBy("run", "share").agg(F.count(F.lit(1)).alias("n"), _mean(F.col("r_net")).alias("expectancy_r"))
 
 
 def pessimistic(trades: DataFrame) -> DataFrame:
     """RT-8: (run, ambiguous, expectancy_r, pessimistic_r, passed) of trades with ambiguous boolean and r_worst, the result if the stop comes first."""
     worst = F.when(F.col("ambiguous"), F.col("r_worst")).otherwise(F.col("r_net"))
-    g = trades.groupBy("run").agg(F.avg(F.col("ambiguous").cast("int")).alias("ambiguous"), F.avg("r_net").alias("expectancy_r"), F.avg(worst).alias("pessimistic_r"))
+    g = trades.groupBy("run").agg(F.avg(F.col("ambiguous").cast("int")).alias("ambiguous"), _mean(F.col("r_net")).alias("expectancy_r"), _mean(worst).alias("pessimistic_r"))
     return g.withColumn("passed", F.col("expectancy_r") - F.col("pessimistic_r") < MOST_AMBIGUOUS * F.abs("expectancy_r"))
 
 
@@ -66,18 +111,19 @@ def _uniform(seed: int, *keys: str) -> Column:
 
 
 def envelope(actual: DataFrame, replications: DataFrame) -> DataFrame:
-    """(run, expectancy_r, low, high, outside): the middle 95 % of the replications' expectancies (run, replication, expectancy_r)."""
+    """(run, expectancy_r, low, high, outside): the middle 95 % of the replications' expectancies (run, replication, expectancy_r). outside: by more than a billionth, so
+    that a run whose replications all equal it is inside."""
     q = F.percentile("expectancy_r", F.array(F.lit(0.025), F.lit(0.975)))
     band = replications.groupBy("run").agg(q.alias("q")).select("run", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    own = actual.groupBy("run").agg(F.avg("r_net").alias("expectancy_r"))
-    return own.join(band, "run").withColumn("outside", (F.col("expectancy_r") < F.col("low")) | (F.col("expectancy_r") > F.col("high")))
+    own = actual.groupBy("run").agg(_mean(F.col("r_net")).alias("expectancy_r"))
+    return own.join(band, "run").withColumn("outside", (F.col("expectancy_r") < F.col("low") - 1 / BILLION) | (F.col("expectancy_r") > F.col("high") + 1 / BILLION))
 
 
 def placebo(trades: DataFrame, seed: int, replications: int = REPLICATIONS) -> DataFrame:
     """RT-9: (run, replication, expectancy_r) with a side drawn for each trade. r_net: as traded; r_opposite: the same entry, stop and target distances on the other side."""
     each = trades.withColumn("replication", F.explode(F.sequence(F.lit(1), F.lit(replications))))
     r = F.when(_uniform(seed, "replication", "trade_id") < 0.5, F.col("r_net")).otherwise(F.col("r_opposite"))
-    return each.groupBy("run", "replication").agg(F.avg(r).alias("expectancy_r"))
+    return each.groupBy("run", "replication").agg(_mean(r).alias("expectancy_r"))
 
 
 def random_timing(trades: DataFrame, slots: DataFrame, seed: int, replications: int = REPLICATIONS) -> DataFrame:
@@ -86,7 +132,7 @@ def random_timing(trades: DataFrame, slots: DataFrame, seed: int, replications:
     days = slots.groupBy("run", "day", "side").agg(F.max("n_slots").alias("_n"))
     each = trades.select("run", "day", "side", "trade_id").join(days, ["run", "day", "side"]).withColumn("replication", F.explode(F.sequence(F.lit(1), F.lit(replications))))
     drawn = each.withColumn("slot", F.floor(_uniform(seed, "replication", "trade_id") * F.col("_n")))
-    return drawn.join(slots.select("run", "day", "side", "slot", "r_net"), ["run", "day", "side", "slot"]).groupBy("run", "replication").agg(F.avg("r_net").alias("expectancy_r"))
+    return drawn.join(slots.select("run", "day", "side", "slot", "r_net"), ["run", "day", "side", "slot"]).groupBy("run", "replication").agg(_mean(F.col("r_net")).alias("expectancy_r"))
 
 
 def by_regime(trades: DataFrame, days: DataFrame, value: str = "rv_ratio", parts: int = 3) -> DataFrame:
@@ -94,7 +140,7 @@ def by_regime(trades: DataFrame, days: DataFrame, value: str = "rv_ratio", parts
     cuts = days.agg(F.percentile(value, F.array(*(F.lit(k / parts) for k in range(1, parts)))).alias("q")).first()["q"] or []  # parts - 1 numbers
     regime = reduce(lambda a, c: a + (F.col(value) > c).cast("int"), cuts, F.lit(0))
     named = days.where(F.col(value).isNotNull()).select("day", regime.alias("regime"))
-    return trades.join(named, "day").groupBy("run", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("r_net").alias("expectancy_r"))
+    return trades.join(named, "day").groupBy("run", "regime").agg(F.count(F.lit(1)).alias("n"), _mean(F.col("r_net")).alias("expectancy_r"))
 
 
 def digest(trades: DataFrame, columns: list[str]) -> DataFrame:

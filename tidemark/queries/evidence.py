@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +65,47 @@ def rt9(spark, sf):
     return rounded(e.withColumn("outside", F.col("outside").cast("long")), 6)
 
 
+#: Each instrument's trading day is a scan window; a trade is left at the window's last bar. One R is this much of the price.
+_RISK = 0.002
+
+
+def _window(spark, sf) -> DataFrame:
+    """Every bar of a trading day but the last as an entry: side by the day's number, result at the last bar."""
+    b = FX.with_day(FX.with_mid(bars(spark, sf)))
+    w = FX.W.partitionBy("instrument", "day").orderBy("ts_utc_ns")
+    whole = w.rowsBetween(FX.W.unboundedPreceding, FX.W.unboundedFollowing)
+    rows = b.withColumns({"slot": F.row_number().over(w) - 1, "n_slots": F.count(F.lit(1)).over(whole) - 1, "out_bid": F.last("bid_c").over(whole), "out_ask": F.last("ask_c").over(whole)}).where("slot < n_slots")
+    side = F.when(F.day("day") % 2 == 0, "buy").otherwise("sell")
+    gain = F.when(side == "buy", F.col("out_bid") - F.col("ask_c")).otherwise(F.col("bid_c") - F.col("out_ask"))
+    return rows.select(F.col("instrument").alias("run"), "day", side.alias("side"), "slot", "n_slots", F.round(gain / _RISK, 6).alias("r_net"))
+
+
 def rt10(spark, sf):
-    """Against drawn entries: the window has as many slots as the run has trades that day and side."""
-    t = trades(spark, sf)
-    w = FX.W.partitionBy("run", "day", "side").orderBy("trade_id")
-    slots = t.select("run", "day", "side", (F.row_number().over(w) - 1).alias("slot"), F.count(F.lit(1)).over(FX.W.partitionBy("run", "day", "side")).alias("n_slots"), "r_net")
+    """Against drawn entries: the trade enters a third into the day, the draw at any of its minutes that has a bar."""
+    slots = _window(spark, sf)
+    t = slots.where(F.col("slot") == F.floor(F.col("n_slots") / 3)).withColumn("trade_id", F.concat_ws("/", "run", F.col("day").cast("string")))
     e = R.envelope(t, R.random_timing(t, slots, 20260915))
     return rounded(e.withColumn("outside", F.col("outside").cast("long")), 6)
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """A bound is interpolated between two results of a few trades, often halfway between two numbers of six digits."""
+    return rounded(df.withColumn("expectancy_r", F.round("expectancy_r", 6)), 9)
+
+
+def rt1_bounds(spark, sf):
+    t = trades(spark, sf).withColumn("year", F.year("day"))
+    return _bounded(R.lower_bounds(t, ["run", "year"], 20260915).drop("multiplier"))
+
+
+def rt2_bounds(spark, sf):
+    """Commission, spread and slippage, each on its own multipliers: an order's cost stands for all three, in different shares."""
+    t = trades(spark, sf)
+    tests = (("RT-2", 1.0, R.COSTS), ("RT-3", 0.5, R.SPREADS), ("RT-4", 0.25, R.SLIPPAGE))
+    found = [R.lower_bounds(t, ["run"], 20260915, F.col("cost_r") * share, multipliers).withColumn("test", F.lit(name)) for name, share, multipliers in tests]
+    return _bounded(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 def rt11(spark, sf):
     li = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("rv_ratio"))
     return rounded(R.by_regime(trades(spark, sf), li), 6)
@@ -130,19 +165,39 @@ def reentry(spark, sf):
 
 
 QUERIES = {
-    "SPEC_RT1_years": rt1, "SPEC_RT1_passed": rt1p, "SPEC_RT2_cost_stress": rt2, "SPEC_RT5_surface": rt5, "SPEC_RT7_without_best": rt7, "SPEC_RT8_pessimistic": rt8, "SPEC_RT9_placebo": rt9, "SPEC_RT10_random_timing": rt10,
+    "SPEC_RT1_years": rt1, "SPEC_RT1_passed": rt1p, "SPEC_RT2_cost_stress": rt2, "SPEC_RT1_lower_bounds": rt1_bounds, "SPEC_RT2_to_RT4_lower_bounds": rt2_bounds, "SPEC_RT5_surface": rt5, "SPEC_RT7_without_best": rt7, "SPEC_RT8_pessimistic": rt8, "SPEC_RT9_placebo": rt9, "SPEC_RT10_random_timing": rt10,
     "SPEC_RT11_regimes": rt11, "SPEC_RT12_digest": rt12, "SPEC_reconciliation": reconcile, "SPEC_regime_check": regime, "SPEC_ambiguous_bars": ambiguous, "SPEC_resolved_bars": resolved, "SPEC_excursions": excursions, "SPEC_reentry_state": reentry,
 }
 
+def _mean_of(r: str, n: str = "count(*)") -> str:
+    """A mean that doesn't depend on the order of its rows."""
+    return f"CAST(sum(CAST(round(({r}) * 1e9) AS BIGINT)) AS DOUBLE) / 1e9 / {n}"
+
+
+_MEAN = _mean_of("r")
 _T = f"t AS (SELECT o_custkey % 20 AS run, o_orderkey AS trade_id, CAST(o_orderdate AS DATE) AS day, {_R} AS r, round(0.02 + (o_orderkey % 5) / 100, 6) AS cost FROM orders)"
 _OPEN = """o AS (SELECT instrument || ':' || ts_utc_ns AS trade_id, instrument, ts_utc_ns, ts_utc_ns // 60000000000 % 2 = 0 AS long, round(bid_o + 0.0004, 6) AS up, round(bid_o - 0.0004, 6) AS down, bid_h, bid_l, ask_h, ask_l FROM bars WHERE tick_count > 1)"""
-_YEARS = f"{_T}, y AS (SELECT run, year(day) AS year, count(*) AS n, avg(r) AS e, sum(r) AS total FROM t GROUP BY ALL), z AS (SELECT *, CASE WHEN sum(total) OVER (PARTITION BY run) > 0 THEN total / sum(total) OVER (PARTITION BY run) END AS share FROM y)"
+_YEARS = f"{_T}, y AS (SELECT run, year(day) AS year, count(*) AS n, {_MEAN} AS e, {_mean_of('r', '1')} AS total FROM t GROUP BY ALL), z AS (SELECT *, CASE WHEN sum(total) OVER (PARTITION BY run) > 0 THEN total / sum(total) OVER (PARTITION BY run) END AS share FROM y)"
 
 
 _DRAW = "(('0x' || substr(md5('20260915:' || i.i || ':' || trade_id), 1, 13))::BIGINT / 4503599627370496.0)"
 _TIMES = "(SELECT unnest(generate_series(1, 200)) AS i) i"
-_BAND = """q AS (SELECT run, quantile_cont(e, 0.025) AS lo, quantile_cont(e, 0.975) AS hi FROM d GROUP BY run), o AS (SELECT run, avg(r) AS e FROM t GROUP BY run)
-      SELECT run, round(o.e, 6) + 0.0 AS expectancy_r, round(lo, 6) + 0.0 AS low, round(hi, 6) + 0.0 AS high, CAST(o.e < lo OR o.e > hi AS BIGINT) AS outside FROM o JOIN q USING (run)"""
+_BAND = f"""q AS (SELECT run, quantile_cont(e, 0.025) AS lo, quantile_cont(e, 0.975) AS hi FROM d GROUP BY run), o AS (SELECT run, {_MEAN} AS e FROM t GROUP BY run)
+      SELECT run, round(o.e, 6) + 0.0 AS expectancy_r, round(lo, 6) + 0.0 AS low, round(hi, 6) + 0.0 AS high, CAST(o.e < lo - 1e-9 OR o.e > hi + 1e-9 AS BIGINT) AS outside FROM o JOIN q USING (run)"""
+
+
+_STEPS = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+
+
+def _bounds(by: str, of: str, cost: str, multipliers: str) -> str:
+    """CTEs up to bounded(by, m, n, e, low): the same draws from the same digests."""
+    draws = ", ".join(f"CAST(('0x' || substr(d, {1 + 8 * k}, 8)) AS BIGINT) / 4294967296.0" for k in range(4))
+    drawn = " + ".join(f"CAST(u >= {x!r} AS BIGINT)" for x in _STEPS)
+    return f"""priced AS (SELECT *, CAST(round(r * 1e9) AS BIGINT) AS ru, CAST(round(({cost}) * 1e9) AS BIGINT) AS cu FROM {of}), four AS (
+      SELECT {by}, ru, cu, f.f, md5('20260915:' || f.f || ':' || trade_id) AS d FROM priced, (SELECT unnest(generate_series(0, 249)) AS f) f), drawn AS (SELECT {by}, ru, cu, f, unnest([{draws}]) AS u, unnest([0, 1, 2, 3]) AS k FROM four), taken AS (
+      SELECT *, {drawn} AS w FROM drawn), sums AS (SELECT {by}, f, k, sum(w) AS w, sum(w * ru) AS r, sum(w * cu) AS c FROM taken GROUP BY ALL), ms AS (SELECT unnest({multipliers})::DOUBLE AS m), means AS (
+      SELECT {by}, m, CASE WHEN w > 0 THEN (CAST(r AS DOUBLE) - (m - 1) * CAST(c AS DOUBLE)) / 1e9 / w END AS v FROM sums, ms), lows AS (SELECT {by}, m, quantile_cont(v, 0.025) AS low FROM means GROUP BY ALL), bounded AS (
+      SELECT * FROM (SELECT {by}, m, count(*) AS n, {_mean_of(f'r - (m - 1) * ({cost})')} AS e FROM {of}, ms GROUP BY ALL) JOIN lows USING ({by}, m))"""
 
 
 def _spread(c: str, name: str) -> str:
@@ -152,14 +207,21 @@ def _spread(c: str, name: str) -> str:
 ORACLE_SQL = {
     "SPEC_RT1_years": f"WITH {_YEARS} SELECT run, year, n, round(e, 6) + 0.0 AS expectancy_r, round(total, 6) + 0.0 AS total_r, round(share, 6) + 0.0 AS of_total FROM z",
     "SPEC_RT1_passed": f"WITH {_YEARS}, g AS (SELECT run, count(*) FILTER (e > 0) / count(*) AS good, max(share) AS most FROM z GROUP BY run) SELECT run, round(good, 6) AS good_years, round(most, 6) + 0.0 AS most, CAST(good >= 0.7 AND coalesce(most <= 0.4, FALSE) AS BIGINT) AS passed FROM g",
-    "SPEC_RT2_cost_stress": f"WITH {_T} SELECT run, m.m AS multiplier, count(*) AS n, round(avg(r - (m.m - 1) * cost), 6) + 0.0 AS expectancy_r FROM t, (SELECT unnest([1.0, 1.5, 2.0, 3.0])::DOUBLE AS m) m GROUP BY ALL",
-    "SPEC_RT5_surface": f"WITH {_T} SELECT run, CASE WHEN trade_id % 2 = 0 THEN 'buffer' ELSE 'length' END AS parameter, [-0.2, -0.1, 0.0, 0.1, 0.2][trade_id % 5 + 1]::DOUBLE AS value, count(*) AS n, round(avg(r), 6) + 0.0 AS expectancy_r FROM t GROUP BY ALL",
-    "SPEC_RT7_without_best": f"WITH {_T}, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY r DESC, trade_id) AS k, count(*) OVER (PARTITION BY run) AS n FROM t) SELECT run, s.s AS share, count(*) AS n, round(avg(r), 6) + 0.0 AS expectancy_r FROM k, (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS s) s WHERE k.k > ceil(round(k.n * s.s, 9)) GROUP BY ALL",
-    "SPEC_RT8_pessimistic": f"WITH {_T}, g AS (SELECT run, avg(CAST(trade_id % 9 = 0 AS INT)) AS a, avg(r) AS e, avg(CASE WHEN trade_id % 9 = 0 THEN least(r, -1.0) ELSE r END) AS p FROM t GROUP BY run) SELECT run, round(a, 6) AS ambiguous, round(e, 6) + 0.0 AS expectancy_r, round(p, 6) + 0.0 AS pessimistic_r, CAST(e - p < 0.2 * abs(e) AS BIGINT) AS passed FROM g",
-    "SPEC_RT9_placebo": f"""WITH {_T}, d AS (SELECT run, i.i, avg(CASE WHEN {_DRAW} < 0.5 THEN r ELSE -r - 0.1 END) AS e FROM t, {_TIMES} GROUP BY ALL), {_BAND}""",
-    "SPEC_RT10_random_timing": f"""WITH {_T}, s AS (SELECT run, day, trade_id % 2 AS side, row_number() OVER w - 1 AS slot, r FROM t WINDOW w AS (PARTITION BY run, day, trade_id % 2 ORDER BY trade_id)), n AS (SELECT run, day, side, count(*) AS n FROM s GROUP BY ALL),
-      x AS (SELECT t.run, t.day, n.side, i.i, CAST(floor({_DRAW} * n.n) AS BIGINT) AS slot FROM t JOIN n ON n.run = t.run AND n.day = t.day AND n.side = t.trade_id % 2, {_TIMES}), d AS (SELECT run, i, avg(r) AS e FROM x JOIN s USING (run, day, side, slot) GROUP BY ALL), {_BAND}""",
-    "SPEC_RT11_regimes": f"WITH {_T}, d AS (SELECT CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS v FROM lineitem GROUP BY 1), c AS (SELECT quantile_cont(v, 1 / 3) AS a, quantile_cont(v, 2 / 3) AS b FROM d) SELECT run, CAST(v > a AS BIGINT) + CAST(v > b AS BIGINT) AS regime, count(*) AS n, round(avg(r), 6) + 0.0 AS expectancy_r FROM t JOIN d USING (day), c GROUP BY ALL",
+    "SPEC_RT2_cost_stress": f"WITH {_T} SELECT run, m.m AS multiplier, count(*) AS n, round({_mean_of('r - (m.m - 1) * cost')}, 6) + 0.0 AS expectancy_r FROM t, (SELECT unnest([1.0, 1.5, 2.0, 3.0])::DOUBLE AS m) m GROUP BY ALL",
+    "SPEC_RT5_surface": f"WITH {_T} SELECT run, CASE WHEN trade_id % 2 = 0 THEN 'buffer' ELSE 'length' END AS parameter, [-0.2, -0.1, 0.0, 0.1, 0.2][trade_id % 5 + 1]::DOUBLE AS value, count(*) AS n, round({_MEAN}, 6) + 0.0 AS expectancy_r FROM t GROUP BY ALL",
+    "SPEC_RT7_without_best": f"WITH {_T}, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY r DESC, trade_id) AS k, count(*) OVER (PARTITION BY run) AS n FROM t) SELECT run, s.s AS share, count(*) AS n, round({_MEAN}, 6) + 0.0 AS expectancy_r FROM k, (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS s) s WHERE k.k > ceil(round(k.n * s.s, 9)) GROUP BY ALL",
+    "SPEC_RT8_pessimistic": f"WITH {_T}, g AS (SELECT run, avg(CAST(trade_id % 9 = 0 AS INT)) AS a, {_MEAN} AS e, {_mean_of('CASE WHEN trade_id % 9 = 0 THEN least(r, -1.0) ELSE r END')} AS p FROM t GROUP BY run) SELECT run, round(a, 6) AS ambiguous, round(e, 6) + 0.0 AS expectancy_r, round(p, 6) + 0.0 AS pessimistic_r, CAST(e - p < 0.2 * abs(e) AS BIGINT) AS passed FROM g",
+    "SPEC_RT9_placebo": f"""WITH {_T}, x AS (SELECT run, i.i, CASE WHEN {_DRAW} < 0.5 THEN r ELSE -r - 0.1 END AS r FROM t, {_TIMES}), d AS (SELECT run, i, {_MEAN} AS e FROM x GROUP BY ALL), {_BAND}""",
+    "SPEC_RT10_random_timing": f"""WITH {BARS}, b AS (SELECT instrument AS run, {day_of('ts_utc_ns')} AS day, ts_utc_ns, bid_c, ask_c FROM bars), w AS (
+      SELECT *, row_number() OVER d - 1 AS slot, count(*) OVER (PARTITION BY run, day) - 1 AS n, last(bid_c) OVER e AS out_bid, last(ask_c) OVER e AS out_ask FROM b
+      WINDOW d AS (PARTITION BY run, day ORDER BY ts_utc_ns), e AS (PARTITION BY run, day ORDER BY ts_utc_ns ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), s AS (
+      SELECT run, day, slot, n, run || '/' || day AS trade_id, round(CASE WHEN day(day) % 2 = 0 THEN out_bid - ask_c ELSE bid_c - out_ask END / {_RISK}, 6) AS r FROM w WHERE slot < n), t AS (SELECT * FROM s WHERE slot = n // 3),
+      x AS (SELECT t.run, t.day, i.i, CAST(floor({_DRAW} * t.n) AS BIGINT) AS slot FROM t, {_TIMES}), d AS (SELECT x.run, x.i, {_MEAN} AS e FROM x JOIN s USING (run, day, slot) GROUP BY ALL), {_BAND}""",
+    "SPEC_RT1_lower_bounds": f"WITH {_T}, y AS (SELECT *, year(day) AS year FROM t), {_bounds('run, year', 'y', '0.0', '[1.0]')} SELECT run, year, n, round(e, 6) + 0.0 AS expectancy_r, round(low, 9) + 0.0 AS low FROM bounded",
+    "SPEC_RT2_to_RT4_lower_bounds": " UNION ALL ".join(
+        f"(WITH {_T}, {_bounds('run', 't', f'cost * {share}', str(list(multipliers)))} SELECT run, m AS multiplier, n, round(e, 6) + 0.0 AS expectancy_r, round(low, 9) + 0.0 AS low, '{test}' AS test FROM bounded)"
+        for test, share, multipliers in (("RT-2", 1.0, R.COSTS), ("RT-3", 0.5, R.SPREADS), ("RT-4", 0.25, R.SLIPPAGE))),
+    "SPEC_RT11_regimes": f"WITH {_T}, d AS (SELECT CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS v FROM lineitem GROUP BY 1), c AS (SELECT quantile_cont(v, 1 / 3) AS a, quantile_cont(v, 2 / 3) AS b FROM d) SELECT run, CAST(v > a AS BIGINT) + CAST(v > b AS BIGINT) AS regime, count(*) AS n, round({_MEAN}, 6) + 0.0 AS expectancy_r FROM t JOIN d USING (day), c GROUP BY ALL",
     "SPEC_RT12_digest": f"WITH {_T} SELECT run, count(*) AS n, sha256(string_agg(sha256(trade_id || '|' || day || '|' || CASE WHEN trade_id % 2 = 0 THEN 'buy' ELSE 'sell' END), '' ORDER BY trade_id)) AS result_sha256 FROM t GROUP BY run",
     "SPEC_reconciliation": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'strategy' WHEN o_orderkey % 13 = 0 OR o_orderkey % 7 = 0 THEN 'behavioural' WHEN abs(round(1 + (o_orderkey % 5 - 2) / 15, 6) - 1) > 0.1 THEN 'risk' WHEN o_orderkey % 17 > 13 THEN 'execution' WHEN o_orderkey % 19 = 0 THEN 'risk'
       WHEN o_orderkey % 23 = 0 THEN 'behavioural' WHEN o_orderkey % 29 > 20 THEN 'execution' ELSE 'variance' END AS cause FROM orders""",
