@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
@@ -23,6 +24,17 @@ from tidemark.plans.config import FX_CORE, SessionSet
 KEY = ["instrument"]
 
 
+def _backwards(keys: list[str], *order: Column) -> WindowSpec:
+    """The rows after a row, the nearest last: a running frame, which Spark carries on from row to row, where one that ends at the partition's end is walked anew for each."""
+    return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
+
+def _later_days() -> WindowSpec:
+    return _backwards(["instrument", "session"], F.desc("day"))
+
+
+
+
 def with_mid(bars: DataFrame) -> DataFrame:
     return bars.withColumn("mid", (F.col("bid_c") + F.col("ask_c")) / 2)
 
@@ -125,8 +137,7 @@ def session_days(bars: DataFrame, sessions: SessionSet = FX_CORE, names: list[st
     full = flagged(spine.select(*kept, F.explode(parts).alias("w")).select(*kept, "w.*"))
     full = full.withColumn("range", F.col("high") - F.col("low")).withColumn("n_bars", F.coalesce("n_bars", F.lit(0))).withColumn("observed", F.col("_last") >= F.col("end_ns"))
     if anchor:
-        later = W.partitionBy("instrument", "session").orderBy("day").rowsBetween(1, W.unboundedFollowing)
-        full = full.withColumn(anchor[1], F.when(F.col("n_bars") > 0, _known(F.coalesce("at", F.first("_first", True).over(later))))).drop("_first", "at")
+        full = full.withColumn(anchor[1], F.when(F.col("n_bars") > 0, _known(F.coalesce("at", F.last("_first", True).over(_later_days()))))).drop("_first", "at")
     return full.drop("_last", "empty")
 
 
@@ -159,19 +170,26 @@ def anchored(days: DataFrame, rows: DataFrame, column: str, out: str, names: lis
     day that has any."""
     ends = [_first_value(column, F.expr(f"ts_utc_ns >= {bounds(sessions[n], sessions)[1]}")).alias(f"_{n}") for n in names]
     by_day = with_day(rows).groupBy("instrument", "day").agg(_first_value(column).alias("_first"), *ends)
-    later = W.partitionBy("instrument", "session").orderBy("day").rowsBetween(1, W.unboundedFollowing)
-    full = days.join(by_day, ["instrument", "day"], "left").withColumn("_next", F.first("_first", True).over(later))
+    full = days.join(by_day, ["instrument", "day"], "left").withColumn("_next", F.last("_first", True).over(_later_days()))
     own = F.coalesce(*(F.when(F.col("session") == n, F.col(f"_{n}")) for n in names))
     return full.withColumn(out, F.when(F.col("n_bars") > 0, _known(F.coalesce(own, F.col("_next"))))).drop("_first", "_next", *(f"_{n}" for n in names))
 
 
-def first_at_or_after(left: DataFrame, at: str, right: DataFrame, when: str, keys: list[str], out: str) -> DataFrame:
-    """As-of forward: adds the first time of right (column when) that is no earlier than left's, within keys; null if there is none. One sort of both by time,
-    without a range join; a left row comes before a right row of the same time."""
-    names = left.columns
-    rows = left.withColumns({"_at": F.col(at), "_right": F.lit(0)}).unionByName(right.select(*keys, F.col(when).alias("_at"), F.lit(1).alias("_right")), allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("_at", "_right").rowsBetween(1, W.unboundedFollowing)
-    return rows.withColumn(out, F.first(F.when(F.col("_right") == 1, F.col("_at")), True).over(w)).where("_right = 0").select(*names, out)
+def first_at_or_after(left: DataFrame, at: str, right: DataFrame, when: str, keys: list[str], out: str, span: int = T.DAY) -> DataFrame:
+    """As-of forward: adds the first time of right (column when) that is no earlier than left's, within keys; null if there is none.
+
+    Both sides are cut by spans of time. Within a span one sort, latest first, and the last time of right seen so far; a row for each span with a time of right
+    carries the first of the spans after it. No task has more than a span of a key, and no row is compared with more than its neighbours.
+    """
+    names, right = left.columns, right.where(F.col(when).isNotNull())
+    cut = F.expr(f"_at - pmod(_at, {span})")
+    rows = left.withColumns({"_at": F.col(at), "_right": F.lit(0)}).unionByName(right.select(*keys, F.col(when).alias("_at"), F.lit(1).alias("_right")), allowMissingColumns=True).withColumn("_span", cut)
+    spans = rows.groupBy(*keys, "_span").agg(F.min(F.when(F.col("_right") == 1, F.col("_at"))).alias("_first"))
+    carried = spans.withColumn("_next", F.last("_first", True).over(_backwards(keys, F.desc("_span")))).select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_span").alias("_of"), "_next")
+    # a time of right equal to left's counts: it comes before it, latest first
+    seen = rows.withColumn("_own", F.last(F.when(F.col("_right") == 1, F.col("_at")), True).over(_backwards([*keys, "_span"], F.desc("_at"), F.desc("_right")))).where("_right = 0")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return seen.join(carried, [*same, F.col("_span").eqNullSafe(F.col("_of"))], "left").withColumn(out, F.coalesce("_own", "_next")).select(*names, out)
 
 
 class FeatureError(ValueError):

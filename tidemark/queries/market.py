@@ -8,7 +8,7 @@ from tidemark.functions import timex as T
 from tidemark.operators import features as X
 from tidemark.operators.bars import resample, resample_report, with_gaps
 from tidemark.operators.sequence import numbered, trailing
-from tidemark.operators.sessions import day_spine, days_between, membership, session_windows
+from tidemark.operators.sessions import day_spine, membership, session_windows
 from tidemark.queries.base import BARS, TICKS, WINDOWS, atr_sql, bars, day_of, local, place, rounded, ticks, weekend
 from tidemark.sources import ticks as S
 
@@ -56,7 +56,9 @@ def op31(spark, sf):
 
 
 def op32(spark, sf):
-    return _day(days_between(spark, "2006-01-01", "2026-12-31").withColumn("start_ns", F.expr(T.day_start("day"))).withColumn("end_ns", F.expr(T.day_end("day"))))
+    """The trading days of all shipping dates."""
+    days = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.to_date("l_shipdate").alias("day")).distinct()
+    return _day(days.withColumn("start_ns", F.expr(T.day_start("day"))).withColumn("end_ns", F.expr(T.day_end("day"))))
 
 
 def op36(spark, sf):
@@ -132,6 +134,13 @@ def op95(spark, sf):
     return found.select("o_orderkey", "next_at")
 
 
+def op95b(spark, sf):
+    """As-of over all ticks of an instrument: the first tick from each one on whose number is a multiple of 50."""
+    t = ticks(spark, sf)
+    found = X.first_at_or_after(t.select("instrument", "row_sequence", "ts_utc_ns"), "ts_utc_ns", t.where("row_sequence % 50 = 0").select("instrument", F.col("ts_utc_ns").alias("at")), "at", ["instrument"], "next_at")
+    return found.select("row_sequence", "next_at")
+
+
 def op76(spark, sf):
     return rounded(X.null_counts(X.compute(["atr_bars", "rv_60m"], bars(spark, sf), params={"atr_bars": {"n": ATR}, "rv_60m": {"n": RV, "gap_ns": RV_GAP}})))
 
@@ -145,7 +154,7 @@ QUERIES = {
     "OP01_tick_scan": op01, "OP57_resample": op57, "OP59_continuous_gap": op59, "OP60_resample_report": op60, "OP28_local_wall": op28, "OP31_trading_day_week_gap": op31, "OP32_day_bounds": op32,
     "OP36_hour_of_week": op36, "OP38_session_windows": op38, "OP41_membership": op41, "OP44_mid_and_spread": op44, "OP46_log_return": op46, "OP47_true_range": op47, "OP61_session_extremes": op61,
     "OP76_null_counts": op76, "OP79_wilder_atr": op79, "OP80_realised_volatility": op80, "OP81_trailing_range": op81, "OP82_session_mask": op82, "OP85_range_percentile": op85,
-    "OP85_visible_percentile": op85b, "OP86_anchored_value": op86, "OP88_consecutive_difference": op88, "OP95_forward_as_of": op95,
+    "OP85_visible_percentile": op85b, "OP86_anchored_value": op86, "OP88_consecutive_difference": op88, "OP95_forward_as_of": op95, "OP95_forward_as_of_ticks": op95b,
 }
 
 
@@ -178,7 +187,7 @@ ORACLE_SQL = {
     "OP31_trading_day_week_gap": f"""WITH {TICKS}, d AS (SELECT *, {day_of('ts_utc_ns')} AS day FROM ticks), w AS (SELECT *, day + CAST(CASE WHEN isodow(day) <= 5 THEN 3 - isodow(day) ELSE 10 - isodow(day) END AS INTEGER) AS wed FROM d)
       SELECT row_sequence, {TEXT_DAY} AS day, printf('%04d-W%02d', isoyear(wed), weekofyear(wed)) AS week, CAST({weekend('ts_utc_ns')} AS BIGINT) AS in_gap,
       epoch_us(timezone({_NY}, CAST(day AS TIMESTAMP) - INTERVAL 7 HOUR)) * 1000 AS start_ns, epoch_us(timezone({_NY}, CAST(day AS TIMESTAMP) + INTERVAL 17 HOUR)) * 1000 AS end_ns FROM w""",
-    "OP32_day_bounds": f"SELECT {TEXT_DAY} AS day, epoch_us(timezone({_NY}, CAST(day AS TIMESTAMP) - INTERVAL 7 HOUR)) * 1000 AS start_ns, epoch_us(timezone({_NY}, CAST(day AS TIMESTAMP) + INTERVAL 17 HOUR)) * 1000 AS end_ns FROM (SELECT CAST(unnest(generate_series(DATE '2006-01-01', DATE '2026-12-31', INTERVAL 1 DAY)) AS DATE) AS day)",
+    "OP32_day_bounds": f"SELECT {TEXT_DAY} AS day, epoch_us(timezone({_NY}, CAST(day AS TIMESTAMP) - INTERVAL 7 HOUR)) * 1000 AS start_ns, epoch_us(timezone({_NY}, CAST(day AS TIMESTAMP) + INTERVAL 17 HOUR)) * 1000 AS end_ns FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)",
     "OP36_hour_of_week": f"WITH {TICKS} SELECT isodow({local('ts_utc_ns', 'Europe/London')}) AS weekday, hour({local('ts_utc_ns', 'Europe/London')}) AS hour, year(make_timestamp(ts_utc_ns // 1000)) AS year, count(*) AS n FROM ticks GROUP BY ALL",
     "OP38_session_windows": f"WITH {BARS}, {WINDOWS} SELECT instrument, {TEXT_DAY} AS day, session, start_ns, end_ns, CAST(partial AS BIGINT) AS partial FROM windows",
     "OP41_membership": f"WITH {BARS}, {WINDOWS} SELECT b.instrument, b.ts_utc_ns, coalesce(string_agg(w.session, ',' ORDER BY w.session), '') AS sessions FROM bars b LEFT JOIN windows w ON w.instrument = b.instrument AND w.day = {day_of('b.ts_utc_ns')} AND b.ts_utc_ns >= w.start_ns AND b.ts_utc_ns < w.end_ns GROUP BY ALL",
@@ -197,5 +206,6 @@ ORACLE_SQL = {
     "OP85_visible_percentile": f"WITH {BARS}, {WINDOWS}, {PCT_SQL}, ranked AS (SELECT d.instrument, d.day, d.session, d.end_ns, p.pct FROM days d LEFT JOIN pct p USING (instrument, day) WHERE d.session = 'pre_london'), {_mask('pre_london', 'pct', 'pp').format(days='ranked')} SELECT instrument, ts_utc_ns, round(v, 8) AS pre_london_range_pct FROM pp",
     "OP86_anchored_value": f"WITH {BARS}, {WINDOWS}, {atr_sql(ATR)}, {ANCHOR_SQL} SELECT instrument, CAST(day AS VARCHAR) AS day, session, round(atr, 8) AS atr FROM anchored",
     "OP88_consecutive_difference": f"WITH {TICKS} SELECT row_sequence, row_number() OVER o - 1 AS rn, ts_utc_ns - lag(ts_utc_ns) OVER o AS gap FROM ticks WINDOW o AS (PARTITION BY instrument ORDER BY row_sequence)",
+    "OP95_forward_as_of_ticks": f"WITH {TICKS}, r AS (SELECT instrument, ts_utc_ns AS at FROM ticks WHERE row_sequence % 50 = 0) SELECT t.row_sequence, r.at AS next_at FROM ticks t ASOF LEFT JOIN r ON t.instrument = r.instrument AND t.ts_utc_ns <= r.at",
     "OP95_forward_as_of": "WITH o AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) * 1000 AS at FROM orders) SELECT a.o_orderkey, min(b.at) AS next_at FROM o a LEFT JOIN o b ON a.o_custkey = b.o_custkey AND b.at >= a.at + 2592000000000000 GROUP BY a.o_orderkey",
 }
