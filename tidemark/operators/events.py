@@ -93,6 +93,13 @@ def weekday_days(spark, first_year: int, last_year: int) -> DataFrame:
     return spark.sql(f"select year(d) as year, count_if(weekday(d) < 5) as n from (select explode(sequence(date'{first_year}-01-01', date'{last_year}-12-31')) as d) group by 1")
 
 
+def weekdays_in(years: DataFrame) -> DataFrame:
+    """Adds n to rows with a year: its trading days from Monday to Friday. A year of d days has 5 in each of its 52 weeks and one for each weekday over."""
+    first = F.make_date("year", F.lit(1), F.lit(1))
+    over = F.date_diff(F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)), first) - 364
+    return years.withColumn("n", F.lit(260) + (F.weekday(first) < 5).cast("int") + F.when((over == 2) & (F.weekday(F.date_add(first, 1)) < 5), 1).otherwise(0))
+
+
 def admissible_years(months: DataFrame, findings: DataFrame, least: float = 0.95) -> DataFrame:
     """(instrument, year, months_ratio, errors, admissible). months: (instrument, year, month) that have data; errors: findings of that severity."""
     present = months.distinct().groupBy("instrument", "year").agg((F.count(F.lit(1)) / 12).alias("months_ratio"))

@@ -110,11 +110,16 @@ def divergent(day: date) -> bool:
     return _offset(day, NEW_YORK) != eu_offset(day)
 
 
+def clocks_differ(day: str = "day") -> Column:
+    """Whether New York and London are not five hours apart at noon of a date."""
+    noon = f"cast({day} as timestamp) + interval 12 hours"
+    off = lambda zone: f"unix_seconds(cast({day} as timestamp)) + 43200 - unix_seconds(to_utc_timestamp({noon}, '{zone}'))"
+    return F.expr(f"{off(NEW_YORK)} <> {off(LONDON)} - 18000")
+
+
 def divergent_dates(spark: SparkSession, start: str, end: str) -> DataFrame:
     """(day) of all dates on which the clocks differ."""
-    noon = "cast(day as timestamp) + interval 12 hours"
-    off = lambda zone: f"unix_seconds(cast(day as timestamp)) + 43200 - unix_seconds(to_utc_timestamp({noon}, '{zone}'))"
-    return spark.sql(f"select explode(sequence(date'{start}', date'{end}')) as day").where(f"{off(NEW_YORK)} <> {off(LONDON)} - 18000")
+    return spark.sql(f"select explode(sequence(date'{start}', date'{end}')) as day").where(clocks_differ())
 
 
 def eu_switches(year: int) -> tuple[int, int]:
@@ -129,6 +134,17 @@ def eu_switches(year: int) -> tuple[int, int]:
     return out[0], out[1]
 
 
+def switches_of(years: DataFrame) -> DataFrame:
+    """(year, spring_ns, autumn_ns) of distinct years (year long)."""
+
+    def run(batches):
+        for rows in batches:
+            found = [eu_switches(int(y)) for y in rows["year"]]
+            yield rows.assign(spring_ns=[a for a, _ in found], autumn_ns=[b for _, b in found])
+
+    return years.mapInPandas(run, "year long, spring_ns long, autumn_ns long")
+
+
 def switch_stamps(year: int, month: int) -> list[tuple[str, int, int]]:
     """(kind, stamp before, stamp after) of the eu_dst changes whose stamp before is in the month."""
     found = []

@@ -146,23 +146,22 @@ def op27(spark, sf):
     return table(spark, sf, "events").select("event_id", F.expr(T.to_ns("cast(ts as timestamp)")).alias("ts_utc_ns"))
 
 
-def _walls(spark) -> DataFrame:
-    """Every half hour of twenty years as a wall-clock time, in two zones."""
-    walls = spark.sql("select explode(sequence(timestamp'2006-01-01', timestamp'2025-12-31', interval 30 minutes)) as w").select((F.unix_micros("w") * 1000).alias("wall_ns"))
-    return walls
+def _walls(spark, sf) -> DataFrame:
+    """Each line's shipping day at one of the half hours from midnight to 03:30, as a wall-clock time."""
+    half = F.expr("(l_orderkey + l_linenumber) % 8") * (30 * T.MINUTE)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.expr("unix_micros(cast(l_shipdate as timestamp)) * 1000") + half).alias("wall_ns"))
 
 
 def op29(spark, sf):
-    """Wall-clock times that occur twice or not at all."""
-    found = [_walls(spark).select(F.lit(z).alias("zone"), "wall_ns", T.is_ambiguous("wall_ns", z).alias("twice"), T.is_nonexistent("wall_ns", z).alias("never")).where("twice or never") for z in (T.NEW_YORK, T.LONDON)]
-    return found[0].unionByName(found[1]).select("zone", "wall_ns", F.col("twice").cast("long").alias("twice"), F.col("never").cast("long").alias("never"))
+    """Wall-clock times that occur twice or not at all, in two zones."""
+    flags = {f"{name}_{zone}": f("wall_ns", z).cast("long") for zone, z in (("ny", T.NEW_YORK), ("london", T.LONDON)) for name, f in (("twice", T.is_ambiguous), ("never", T.is_nonexistent))}
+    return _walls(spark, sf).withColumns(flags).drop("wall_ns").withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
 
 
 def op30(spark, sf):
-    """Instants of wall-clock times around clock changes, by both policies."""
-    w = _walls(spark).where("month(timestamp_micros(wall_ns div 1000)) in (3, 10, 11)")
-    both = T.resolve_local(T.resolve_local(w, "wall_ns", T.NEW_YORK, "later", "later"), "wall_ns", T.NEW_YORK, "earlier", "earlier")
-    return both.select("wall_ns", "earlier", "later")
+    """Instants of wall-clock times, by both policies."""
+    both = T.resolve_local(T.resolve_local(_walls(spark, sf), "wall_ns", T.NEW_YORK, "later", "later"), "wall_ns", T.NEW_YORK, "earlier", "earlier")
+    return rounded(both.select("l_orderkey", "l_linenumber", "wall_ns", "earlier", "later"))
 
 
 def op54(spark, sf):
@@ -176,8 +175,10 @@ def op54(spark, sf):
 
 
 def op128(spark, sf):
-    """Instants at which the eu_dst clock changes."""
-    return spark.createDataFrame([(y, *I.eu_switches(y)) for y in range(1997, 2031)], "year long, spring_ns long, autumn_ns long")  # one row a year
+    """Orders on the eu_dst clock: the changes of their year, and whether they fall between them."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("year"), F.expr("unix_micros(cast(o_orderdate as timestamp)) * 1000").alias("at"))
+    found = o.join(I.switches_of(o.select("year").distinct()), "year")
+    return found.select("o_orderkey", "spring_ns", "autumn_ns", ((F.col("at") >= F.col("spring_ns")) & (F.col("at") < F.col("autumn_ns"))).cast("long").alias("summer"))
 
 
 QUERIES = {
@@ -189,13 +190,13 @@ _STAMP = f"timezone('America/New_York', timezone('UTC', make_timestamp(({MS}) //
 _LINES = f"{TICKS}, lines AS (SELECT {CODE} AS instrument, {MS} AS ts_utc_ns, bid, round(ask + 0.00001, 6) AS ask, row_sequence AS id, strftime({_STAMP}, '%Y%m') AS m, {_STAMP} AS stamp FROM ticks)"
 _HOURS = f"{TICKS}, t AS (SELECT {CODE} AS instrument, ts_utc_ns // 3600000000000 AS h, {MS} AS ts_utc_ns, round(bid * 100000) AS b, round(ask * 100000) AS a, row_sequence AS id FROM ticks)"
 _NAME = "printf('%s/%s/%04d/%02d/%02d/%02dh_ticks.bi5', {root}, instrument, year(moment), month(moment){less}, day(moment), hour(moment))"
-_GRID = "grid AS (SELECT unnest(generate_series(TIMESTAMP '2006-01-01', TIMESTAMP '2025-12-31', INTERVAL 30 MINUTE)) AS w)"
+_GRID = "grid AS (SELECT l_orderkey, l_linenumber, row_number() OVER () AS line, CAST(l_shipdate AS TIMESTAMP) + to_minutes(CAST((l_orderkey + l_linenumber) % 8 * 30 AS INT)) AS w FROM lineitem)"
 
 
-def _predicates(zone: str) -> str:
+def _predicates(zone: str, name: str) -> str:
     u = f"timezone('{zone}', w)"
     back = lambda shift: f"timezone('{zone}', {u} {shift}) = w"
-    return f"SELECT '{zone}' AS zone, epoch_us(w) * 1000 AS wall_ns, CAST({back('')} AND ({back('- INTERVAL 1 HOUR')} OR {back('+ INTERVAL 1 HOUR')}) AS BIGINT) AS twice, CAST(NOT {back('')} AS BIGINT) AS never FROM grid"
+    return f"CAST({back('')} AND ({back('- INTERVAL 1 HOUR')} OR {back('+ INTERVAL 1 HOUR')}) AS BIGINT) AS twice_{name}, CAST(NOT {back('')} AS BIGINT) AS never_{name}"
 
 
 _NY = "timezone('America/New_York', {})"
@@ -211,11 +212,13 @@ ORACLE_SQL = {
     "OP126_stamp_clock": f"""WITH l AS (SELECT 1708905600000000000 + (l_orderkey * 7919 + l_linenumber * 104729) * 37 % {28 * 86400} * 1000000000 + l_linenumber * 1000000 AS ts_utc_ns FROM lineitem), n AS (SELECT *, timezone('America/New_York', timezone('UTC', make_timestamp(ts_utc_ns // 1000))) AS ny FROM l),
       o AS (SELECT * FROM n WHERE NOT (isodow(ny) = 6 OR (isodow(ny) = 5 AND hour(ny) >= 17) OR (isodow(ny) = 7 AND hour(ny) < 17))), s AS (SELECT 'USDSTX' AS instrument, ts_utc_ns, ny AS stamp FROM o UNION ALL SELECT 'EUDSTX', ts_utc_ns, make_timestamp(ts_utc_ns // 1000) - INTERVAL 5 HOUR FROM o)
       SELECT instrument, year(stamp) AS year, month(stamp) AS month, CASE WHEN month(stamp) = 2 THEN 'either' WHEN instrument = 'USDSTX' THEN 'us_dst' ELSE 'eu_dst' END AS stamp_clock, count(*) AS n, min(ts_utc_ns) AS first_ns, max(ts_utc_ns) AS last_ns, CAST(sum(ts_utc_ns // 1000000 % 1000003) AS BIGINT) AS checksum FROM s GROUP BY ALL""",
-    "OP128_eu_switches": """WITH d AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d), s AS (SELECT year(d) AS year, month(d) AS m, max(d) AS sunday FROM d WHERE isodow(d) = 7 AND month(d) IN (3, 10) GROUP BY ALL)
-      SELECT year, max(epoch_us(CAST(sunday + 1 AS TIMESTAMP)) * 1000) FILTER (m = 3) AS spring_ns, max(epoch_us(CAST(sunday + 1 AS TIMESTAMP)) * 1000) FILTER (m = 10) AS autumn_ns FROM s GROUP BY year""",
+    "OP128_eu_switches": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS moment FROM orders), d AS (SELECT CAST(unnest(generate_series(date_trunc('year', min(moment)), date_trunc('year', max(moment)) + INTERVAL 1 YEAR, INTERVAL 1 DAY)) AS DATE) AS d FROM o), c AS (
+      SELECT d, timezone('Europe/London', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) - (CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) AS z FROM d), s AS (SELECT year(d) AS year, month(d) > 6 AS autumn, epoch_us(CAST(d + 1 AS TIMESTAMP)) * 1000 AS ns FROM c QUALIFY z <> lag(z) OVER (ORDER BY d)),
+      y AS (SELECT year, max(ns) FILTER (NOT autumn) AS spring_ns, max(ns) FILTER (autumn) AS autumn_ns FROM s GROUP BY year) SELECT o_orderkey, spring_ns, autumn_ns, CAST(epoch_us(moment) * 1000 >= spring_ns AND epoch_us(moment) * 1000 < autumn_ns AS BIGINT) AS summer FROM o JOIN y ON y.year = year(moment)""",
     "OP27_instants": "SELECT event_id, epoch_us(ts) * 1000 AS ts_utc_ns FROM events",
-    "OP29_clock_predicates": f"WITH {_GRID}, x AS ({_predicates('America/New_York')} UNION ALL {_predicates('Europe/London')}) SELECT * FROM x WHERE twice = 1 OR never = 1",
-    "OP30_resolve_local": f"""WITH {_GRID}, c AS (SELECT w, unnest([{_NY.format('w')} - INTERVAL 1 HOUR, {_NY.format('w')}, {_NY.format('w')} + INTERVAL 1 HOUR]) AS u FROM grid WHERE month(w) IN (3, 10, 11)), f AS (SELECT w, min(u) FILTER ({_NY.format('u')} = w) AS a, max(u) FILTER ({_NY.format('u')} = w) AS b FROM c GROUP BY w)
-      SELECT epoch_us(w) * 1000 AS wall_ns, coalesce(epoch_us(a) * 1000, epoch_us({_NY.format("date_trunc('hour', w) + INTERVAL 1 HOUR")}) * 1000 - 1) AS earlier, coalesce(epoch_us(b), epoch_us({_NY.format("date_trunc('hour', w) + INTERVAL 1 HOUR")})) * 1000 AS later FROM f""",
+    "OP29_clock_predicates": f"WITH {_GRID} SELECT l_orderkey, l_linenumber, {_predicates('America/New_York', 'ny')}, {_predicates('Europe/London', 'london')} FROM grid",
+    "OP30_resolve_local": f"""WITH {_GRID}, c AS (SELECT *, unnest([{_NY.format('w')} - INTERVAL 1 HOUR, {_NY.format('w')}, {_NY.format('w')} + INTERVAL 1 HOUR]) AS u FROM grid), f AS (
+      SELECT l_orderkey, l_linenumber, line, w, min(u) FILTER ({_NY.format('u')} = w) AS a, max(u) FILTER ({_NY.format('u')} = w) AS b FROM c GROUP BY ALL)
+      SELECT l_orderkey, l_linenumber, epoch_us(w) * 1000 AS wall_ns, coalesce(epoch_us(a) * 1000, epoch_us({_NY.format("date_trunc('hour', w) + INTERVAL 1 HOUR")}) * 1000 - 1) AS earlier, coalesce(epoch_us(b), epoch_us({_NY.format("date_trunc('hour', w) + INTERVAL 1 HOUR")})) * 1000 AS later FROM f""",
     "OP54_canonical_digest": """SELECT o_orderkey, sha256('{"key":' || o_orderkey || ',"parts":[' || CAST(floor(o_totalprice) AS BIGINT) || ',null,true],"priority":"' || o_orderpriority || '"}') AS sha256 FROM orders""",
 }

@@ -99,7 +99,9 @@ def op73(spark, sf):
 
 
 def op74(spark, sf):
-    return rounded(E.weekday_days(spark, 1995, 2030))
+    """The weekdays of each year that has orders, beside the days that have any."""
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).where(F.weekday("day") < 5)
+    return rounded(E.weekdays_in(o.groupBy(F.year("day").alias("year")).agg(F.count_distinct("day").alias("days"))))
 
 
 def op139(spark, sf):
@@ -176,7 +178,8 @@ ORACLE_SQL = {
       SELECT q.*, o_totalprice AS x, o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM orders JOIN q USING (o_orderpriority))
       SELECT o_orderpriority, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(x) FILTER (inside) AS low, max(x) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS n_outliers FROM v GROUP BY ALL""",
     "OP73_context_counts": f"WITH {_EVENTS}, once AS (SELECT DISTINCT instrument, context, day, direction FROM found), tagged AS (SELECT * FROM once UNION ALL {_BOTH.replace('AS context', 'AS context', 1)}), spine8 AS (SELECT DISTINCT instrument, year(make_timestamp(ts_utc_ns // 1000)) AS year, unnest(['C-A','C-B','C-C','C-D','C-A∩C-B','C-A∩C-C','C-D∩C-B','C-D∩C-C']) AS context FROM bars) SELECT s.instrument, s.year, s.context, count(t.day) AS n FROM spine8 s LEFT JOIN (SELECT instrument, context, day, year(day) AS year FROM tagged) t USING (instrument, context, year) GROUP BY ALL",
-    "OP74_weekdays_by_year": "SELECT year(d) AS year, count(*) FILTER (isodow(d) <= 5) AS n FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d) GROUP BY 1",
+    "OP74_weekdays_by_year": """WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), y AS (SELECT year(d) AS year, count(*) FILTER (isodow(d) <= 5) AS days FROM o GROUP BY 1), g AS (
+      SELECT year, unnest(generate_series(make_date(year, 1, 1), make_date(year, 12, 31), INTERVAL 1 DAY)) AS d FROM y) SELECT year, any_value(days) AS days, count(*) FILTER (isodow(d) <= 5) AS n FROM y JOIN g USING (year) GROUP BY year""",
     "OP87_quintiles": f"WITH RECURSIVE {_fold('lineitem', 'l_quantity', 'l_returnflag')} SELECT l_returnflag, f.b AS bucket, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem JOIN folded f USING (l_returnflag) WHERE f.v = l_quantity GROUP BY ALL",
     "OP134_morning_days": f"WITH {_MORNING} SELECT instrument, CAST(day AS VARCHAR) AS day, round(high, 8) AS high, round(low, 8) AS low, round(pct, 8) AS pct, CAST(excluded AS BIGINT) AS excluded FROM mornings",
     "OP135_events": f"WITH {_EVENTS} SELECT instrument, context, CAST(day AS VARCHAR) AS day, direction, ts_utc_ns FROM found",

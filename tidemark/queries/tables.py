@@ -15,7 +15,10 @@ LO, HI = 1_704_067_200_000_000_000, 1_735_689_600_000_000_000  # 2024, UTC
 
 
 def op03(spark, sf):
-    return rounded(S.months_covering(spark, LO, HI))
+    """The months from each customer's first order to the last."""
+    at = F.expr("unix_micros(cast(o_orderdate as timestamp)) * 1000")
+    spans = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min(at).alias("start_ns"), (F.max(at) + T.DAY).alias("end_ns"))
+    return rounded(S.months_of(spans, "start_ns", "end_ns").select("o_custkey", "year", "month"))
 
 
 def op04(spark, sf):
@@ -66,7 +69,9 @@ def op99(spark, sf):
 
 
 def op127(spark, sf):
-    return I.divergent_dates(spark, "2000-01-01", "2030-12-31").select(F.col("day").cast("string").alias("day"))
+    """Days of orders on which New York's and London's clocks aren't five hours apart, with their orders."""
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return rounded(o.where(I.clocks_differ()).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def op19(spark, sf):
@@ -127,7 +132,8 @@ def _bars_of(name: str, test: str) -> str:
 
 ORACLE_SQL = {
     "OP02_bar_store": f"WITH {BARS} SELECT instrument, ts_utc_ns, bid_c, tick_count, prev_gap_ns FROM bars WHERE ts_utc_ns >= 1704672000000000000 AND ts_utc_ns < 1705276800000000000",
-    "OP03_months": "SELECT CAST(2024 AS BIGINT) AS year, unnest(generate_series(1, 12)) AS month",
+    "OP03_months": """WITH s AS (SELECT o_custkey, min(o_orderdate)::TIMESTAMP AS lo, max(o_orderdate)::TIMESTAMP AS hi FROM orders GROUP BY 1), m AS (
+      SELECT o_custkey, unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) AS m FROM s) SELECT o_custkey, year(m) AS year, month(m) AS month FROM m""",
     "OP04_holes": f"WITH {TICKS} SELECT i.instrument, CAST(2024 AS BIGINT) AS year, m.month FROM (SELECT unnest(['click', 'view', 'none']) AS instrument) i, (SELECT unnest(generate_series(1, 12)) AS month) m WHERE NOT EXISTS (SELECT 1 FROM ticks t WHERE t.instrument = i.instrument AND month(make_timestamp(t.ts_utc_ns // 1000)) = m.month)",
     "OP13_release_calendar": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, string_agg(DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'nfp' WHEN 1 THEN 'fomc' ELSE 'boe_mpc' END, ',' ORDER BY CASE o_orderkey % 3 WHEN 0 THEN 'nfp' WHEN 1 THEN 'fomc' ELSE 'boe_mpc' END) AS kinds FROM orders GROUP BY 1",
     "OP16_bar_merge": f"WITH {TICKS}{_bars_of('a', 'row_sequence % 3 <> 0')}{_bars_of('b', 'row_sequence % 3 = 0')}, merged AS (SELECT * FROM bars_b UNION ALL SELECT * FROM bars_a a WHERE NOT EXISTS (SELECT 1 FROM bars_b b WHERE a.instrument = b.instrument AND a.ts_utc_ns = b.ts_utc_ns)) SELECT instrument, ts_utc_ns, tick_count, round(bid_o, 8) AS bid_o, first_tick_ns - lag(last_tick_ns) OVER (PARTITION BY instrument, {_MONTH} ORDER BY ts_utc_ns) AS prev_gap_ns FROM merged",
@@ -142,5 +148,5 @@ ORACLE_SQL = {
     "OP101_latest": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "OP104_first_rows": "SELECT o_orderpriority, row_number() OVER w AS place, o_orderkey FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) QUALIFY row_number() OVER w <= 3",
     "OP123_column_order": f"WITH {TICKS}, t AS (SELECT instrument, CASE WHEN instrument = 'view' THEN ask ELSE bid END AS a, CASE WHEN instrument = 'view' THEN bid ELSE ask END AS b FROM ticks WHERE ask > bid), s AS (SELECT instrument, avg(CAST(a > b AS INT)) AS share, count(*) AS n FROM t GROUP BY 1) SELECT instrument, n, share, CASE WHEN share <= 0.01 THEN 'bid_ask' WHEN share >= 0.99 THEN 'ask_bid' END AS column_order FROM s",
-    "OP127_divergent_dates": "SELECT CAST(d AS VARCHAR) AS day FROM (SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE timezone('America/New_York', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) - timezone('Europe/London', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) <> INTERVAL 5 HOUR",
+    "OP127_divergent_dates": "SELECT CAST(d AS VARCHAR) AS day, count(*) AS n FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) WHERE timezone('America/New_York', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) - timezone('Europe/London', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) <> INTERVAL 5 HOUR GROUP BY d",
 }

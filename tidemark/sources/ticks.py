@@ -59,6 +59,13 @@ def months_covering(spark: SparkSession, start_ns: int, end_ns: int) -> DataFram
     return spark.sql(f"select year(d) as year, month(d) as month from (select explode(sequence(trunc({T.instant(str(start_ns))}, 'MM'), trunc({T.instant(str(end_ns - 1))}, 'MM'), interval 1 month)) as d)")
 
 
+def months_of(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Adds (year, month) of every month that a row's own [start, end) touches, a row for each; none if that is empty."""
+    first, last = (f"trunc({T.instant(x)}, 'MM')" for x in (start, f"({end} - 1)"))
+    each = rows.where(f"{start} < {end}").withColumn("_month", F.explode(F.expr(f"sequence({first}, {last}, interval 1 month)")))
+    return each.withColumns({"year": F.year("_month"), "month": F.month("_month")}).drop("_month")
+
+
 def missing_months(spark: SparkSession, rows: DataFrame, start_ns: int, end_ns: int, instruments: list[str]) -> DataFrame:
     """(instrument, year, month) expected but without any row."""
     names = spark.createDataFrame([(i,) for i in instruments], "instrument string")
