@@ -14,9 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
+from tidemark.operators.selection import quantiles
 
 ORDERS = "order_id string, instrument string, kind string, side string, level double, from_ns long, until_ns long, slip double"
 KINDS = ("market", "stop", "limit")
+# Slippage in spreads for each role, how much more of it follows a gap, where its normal is cut off.
+SLIPPAGE = {"market": 0.25, "stop": 0.50, "limit": 0.00}
+GAP_MULTIPLIER, SIGMAS = 3.0, 3.0
+# Acklam's rational approximation of the inverse of the normal distribution function (relative error below 1.2e-9).
+_CENTRE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_CENTRE_UNDER = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_TAIL_UNDER = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+_TAIL_FROM = 0.97575
 MARKET, STOP, LIMIT = range(3)
 
 
@@ -88,6 +98,42 @@ def _first_hit(price: np.ndarray, start: np.ndarray, level: np.ndarray, slip: np
     return np.where(found == 0, node, len(price))
 
 
+def _horner(coefficients: tuple[float, ...], x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def half_normal(p: str) -> str:
+    """The size of a normal number, cut off at SIGMAS, that a share p (an SQL expression, 0 to 1) of all sizes lies below. Spark and other engines read it alike."""
+    from statistics import NormalDist
+
+    u = f"(0.5 + ({p}) * {NormalDist().cdf(SIGMAS) - 0.5!r})"
+    d, q = f"({u} - 0.5)", f"sqrt(-2.0 * ln(1.0 - {u}))"
+    centre = f"{_horner(_CENTRE, f'({d} * {d})')} * {d} / ({_horner(_CENTRE_UNDER, f'({d} * {d})')} * ({d} * {d}) + 1.0)"
+    tail = f"-({_horner(_TAIL, q)}) / ({_horner(_TAIL_UNDER, q)} * {q} + 1.0)"
+    return f"case when {u} <= {_TAIL_FROM} then {centre} else {tail} end"
+
+
+def slippage(orders: DataFrame, seed: int, spread: str = "spread_twa", role: str = "kind", of: str = "order_id", k: dict[str, float] = SLIPPAGE) -> DataFrame:
+    """Adds slip, in price units: k of the order's role, times the spread of its bar, times the size of a normal number that seed, order and role decide. Another seed changes
+    fills and never which orders there are."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(of).cast("string"), F.col(role))
+    drawn = orders.withColumn("_u", F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52))
+    factor = F.element_at(F.create_map(*(F.lit(x) for pair in k.items() for x in pair)), F.col(role))
+    return drawn.withColumn("slip", factor * F.col(spread) * F.expr(half_normal("_u"))).drop("_u")
+
+
+def fit_slippage(jumps: DataFrame, keys: list[str], jump: str = "jump", spread: str = "spread_twa", cells: int = 19) -> DataFrame:
+    """(keys, n, k): the factor with which the model's quantiles match those of observed jumps beyond a level, in spreads: least squares over evenly spaced quantiles."""
+    probs = [(c + 1) / (cells + 1) for c in range(cells)]
+    sizes = [jumps.sparkSession.sql(f"select {half_normal(f"cast({p!r} as double)")} as z").first()["z"] for p in probs]  # constants: cells numbers
+    q = quantiles(jumps.where(F.col(spread) > 0).withColumn("_x", F.col(jump) / F.col(spread)), keys, "_x", probs)
+    fitted = sum((F.col("q")[c] * z for c, z in enumerate(sizes)), F.lit(0.0)) / sum(z * z for z in sizes)
+    return q.select(*keys, "n", fitted.alias("k"))
+
+
 def ambiguity(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Of open trades (trade_id, instrument, side, stop, target, ts_utc_ns of a bar): whether stop and target both lie within that bar on the side that closes the trade."""
     b = bars.select("instrument", "ts_utc_ns", "bid_h", "bid_l", "ask_h", "ask_l")

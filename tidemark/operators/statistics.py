@@ -15,14 +15,27 @@ from tidemark.operators.study import wilson
 FEWEST, RESAMPLES = 40, 10_000
 
 
-def summary(trades: DataFrame) -> DataFrame:
-    """(run, n, expectancy_r, win_rate with its score interval, profit_factor (null without losses), max_drawdown_r) of (run, at, r_net). Results of
-    exactly 0 are losses. The drawdown is that of the cumulative result in time order, from 0 on."""
-    w = W.partitionBy("run").orderBy("at")
-    curve = trades.withColumn("_c", F.sum("r_net").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    curve = curve.withColumn("_dd", F.greatest(F.max("_c").over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)) - F.col("_c"))
+def summary(trades: DataFrame, blocks: int = 1024) -> DataFrame:
+    """(run, n, expectancy_r, win_rate with its score interval, profit_factor (null without losses), max_drawdown_r) of (run, at a number, r_net). Results of
+    exactly 0 are losses. The drawdown is that of the cumulative result in time order, from 0 on.
+
+    A run is cut into blocks of time. A block's state is its sum, its highest and lowest running sum, and its own largest fall; states of neighbours combine into one of the same kind, so
+    a run's curve is never in one task, only a row for each of its blocks.
+    """
+    span = W.partitionBy("run")
+    edges = trades.groupBy("run").agg(F.min("at").cast("double").alias("_lo"), F.max("at").cast("double").alias("_hi"))
+    share = F.try_divide(F.col("at").cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    cut = trades.join(edges, "run").withColumn("_block", F.floor(F.coalesce(share, F.lit(0.0)) * (blocks - 1)))
+    w = W.partitionBy("run", "_block").orderBy("at")
+    local = cut.withColumn("_c", F.sum("r_net").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    local = local.withColumn("_dd", F.max("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c"))
     gains, losses = F.sum(F.when(F.col("r_net") > 0, F.col("r_net"))), F.sum(F.when(F.col("r_net") < 0, -F.col("r_net")))
-    g = curve.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.avg("r_net").alias("expectancy_r"), F.count_if(F.col("r_net") > 0).alias("wins"), F.try_divide(F.coalesce(gains, F.lit(0.0)), F.nullif(losses, F.lit(0.0))).alias("profit_factor"), F.max("_dd").alias("max_drawdown_r"))
+    states = local.groupBy("run", "_block").agg(F.count(F.lit(1)).alias("n"), F.sum("r_net").alias("_sum"), F.max("_c").alias("_high"), F.min("_c").alias("_low"), F.max("_dd").alias("_fall"), F.count_if(F.col("r_net") > 0).alias("wins"), gains.alias("_gains"), losses.alias("_losses"))
+    before = span.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    placed = states.withColumn("_from", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    peaks = placed.withColumn("_peak", F.greatest(F.coalesce(F.max(F.col("_from") + F.col("_high")).over(before), F.lit(0.0)), F.lit(0.0)))
+    fall = F.greatest(F.col("_fall"), F.col("_peak") - F.col("_from") - F.col("_low"))
+    g = peaks.groupBy("run").agg(F.sum("n").alias("n"), (F.sum("_sum") / F.sum("n")).alias("expectancy_r"), F.sum("wins").alias("wins"), F.try_divide(F.coalesce(F.sum("_gains"), F.lit(0.0)), F.nullif(F.sum("_losses"), F.lit(0.0))).alias("profit_factor"), F.greatest(F.max(fall), F.lit(0.0)).alias("max_drawdown_r"))
     low, high = wilson("wins", "n")
     return g.withColumn("win_rate", F.col("wins") / F.col("n")).withColumn("win_low", low).withColumn("win_high", high)
 

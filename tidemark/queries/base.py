@@ -5,17 +5,13 @@ instrument: event_type. bid: 1 + value / 10000 to six decimals. ask: bid plus (k
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
 from tidemark.operators.bars import resample, with_gaps
 from tidemark.sources import ticks as S
+from tidemark.sources.scratch import place
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,17 +42,6 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     return S.scan(spark, _stored[key], S.BARS)
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the cluster names; in a temporary one, which the driver's end deletes, where none is named in a local run."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, shared, True)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes))
 
