@@ -324,3 +324,25 @@ def test_longest_match(spark, docs_of):
     text = f"{prose(rng, 5)} {' '.join(item.split()[2:32])} {prose(rng, 9)}"
     r = find_contamination(docs_of([(1, text)]), spark.createDataFrame([(8, item)], "item_id long, text string")).first()
     assert (r["item_ids"], r["match_starts"], r["item_starts"], r["match_words"]) == ([8], [5], [2], [30])
+
+
+def test_windows_of_a_full_block_fit_a_worker():
+    """The windows of a block of the default size in a process of its own: two workers beside an executor's heap of 1800 MB have 1200 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from tidemark.llm.decontamination import BLOCK_BYTES, Windows, block_of
+rng, words = random.Random(1), [b"word%x" % k for k in range(300_000)]
+def items():
+    size, k = 0, 0
+    while size < BLOCK_BYTES:
+        item = [words[min(299_999, int(rng.paretovariate(0.6)))] for _ in range(100)]
+        size, k = size + sum(map(len, item)) + 100, k + 1
+        yield k, item
+w = Windows(block_of(items()))
+print(len(w.keys), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout.split())
+    assert n > 1_000_000 and mb < 450

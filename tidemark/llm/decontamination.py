@@ -22,9 +22,12 @@ result, an empty benchmark no hits; extra columns are not returned by find_conta
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import uuid
+from array import array
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import free_name, written
 
 SHARD_CHARS = 8 << 20
+#: Text of benchmark items that is looked for at a time: its windows take about 20 times as much in each Python worker, and twice that for a moment while they are sorted.
+BLOCK_BYTES = 8 << 20
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -41,34 +46,68 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split() if text else []
 
 
-@dataclass
+class Block(NamedTuple):
+    """Benchmark items as numbers of words, from 1: what is sent to the workers, a few bytes a word."""
+
+    name: str
+    item_ids: np.ndarray
+    lengths: np.ndarray
+    ids: np.ndarray
+    words: bytes  # in the order of their numbers
+
+
+def block_of(items: Iterable[tuple[int, list[bytes]]]) -> Block:
+    known: dict[bytes, int] = {}
+    item_ids, lengths, ids = [], [], array("I")
+    for item_id, words in items:
+        item_ids.append(item_id)
+        lengths.append(len(words))
+        ids.extend([known.setdefault(w, len(known) + 1) for w in words])
+    return Block(uuid.uuid4().hex, np.array(item_ids, np.int64), np.array(lengths, np.int64), np.frombuffer(ids, np.uint32) if ids else np.zeros(0, np.uint32), b" ".join(known))
+
+
 class Windows:
-    """The windows of a block of benchmark items, ready to be looked up."""
-
-    items: list[tuple[int, list[bytes]]]
-    window: int = 13
-    vocabulary: dict[bytes, int] = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.vocabulary = {}
-        ids = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words] for _, words in self.items]
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, x in enumerate(ids):
-            for o in range(max(1, len(x) - self.window + 1)):
-                places.setdefault(tuple(x[o : o + self.window]), []).append((k, o))
-        windows = sorted(places)
-        self.size = np.array([len(w) for w in windows], np.int64)
-        self.shortest = int(self.size.min()) if windows else self.window
-        keys = np.zeros((len(windows), self.window), ">u4")
-        ends = np.zeros((len(windows), self.window), ">u4")
-        for k, w in enumerate(windows):
-            keys[k, : len(w)] = w
-            ends[k, : len(w)] = (*w[:-1], w[-1] + 1)
-        self.keys, self.ends = _as_strings(keys), _as_strings(ends)
-        self.pairs = np.unique(np.array([a * (len(self.vocabulary) + 1) + b for x in ids for a, b in zip(x, x[1:])], np.int64))
-        flat = [(w, k, o) for w, key in enumerate(windows) for k, o in places[key]]
-        self.place_window, self.place_item, self.place_offset = (np.array(c, np.int64) for c in (zip(*flat) if flat else ([], [], [])))
-        self.place_from = np.searchsorted(self.place_window, np.arange(len(windows) + 1))
+    """The windows of a block of benchmark items, sorted, as arrays: about 80 bytes for each word of the block, and the distinct words."""
+
+    def __init__(self, block: Block, window: int = 13):
+        self.window, self.item_ids = window, block.item_ids
+        self.vocabulary = {w: k for k, w in enumerate(block.words.split(), 1)}
+        many = np.maximum(1, block.lengths - window + 1)
+        item = np.repeat(np.arange(len(many), dtype=np.uint32), many)
+        offset = _ranges(np.zeros(len(many), np.int64), many)
+        first = np.cumsum(block.lengths) - block.lengths
+        size = np.minimum(block.lengths, window)[item]
+        rows = np.concatenate([block.ids, np.zeros(window, np.uint32)])[(first[item] + offset)[:, None] + np.arange(window)]
+        short = np.flatnonzero(size < window)
+        rows[short] *= np.arange(window) < size[short, None]
+        strings = _as_strings(rows.astype(">u4"))
+        del rows
+        order = np.argsort(strings, kind="stable")
+        strings = strings[order]
+        begins = np.flatnonzero(np.append(True, strings[1:] != strings[:-1])) if len(strings) else np.zeros(0, np.int64)
+        self.keys, self.size = strings[begins], size[order][begins]
+        self.shortest = int(self.size.min()) if len(begins) else window
+        self.place_item, self.place_offset, self.place_from = item[order], offset[order].astype(np.uint32), np.append(begins, len(strings))
+        # a short window is found by the words that it has: up to the string that follows all that begin with them
+        self.short = np.flatnonzero(self.size < window)
+        ends = self.keys[self.short].view(">u4").reshape(-1, window).copy()
+        ends[np.arange(len(ends)), self.size[self.short] - 1] += 1
+        self.ends = _as_strings(ends)
+        inside = np.append(np.diff(np.repeat(np.arange(len(many)), block.lengths)) == 0, False)
+        at = np.flatnonzero(inside)
+        self.pairs = np.unique(block.ids[at].astype(np.int64) * (len(self.vocabulary) + 1) + block.ids[np.minimum(at + 1, len(block.ids) - 1)]) if len(at) else np.zeros(0, np.int64)
+
+
+_held: dict[tuple[str, int], Windows] = {}
+
+
+def windows_of(block: Block, window: int) -> Windows:
+    """Built once in a worker for all its tasks; the windows of the block before are let go."""
+    key = block.name, window
+    if key not in _held:
+        _held.clear()
+        _held[key] = Windows(block, window)
+    return _held[key]
 
 
 def _as_strings(rows: np.ndarray) -> np.ndarray:
@@ -95,7 +134,8 @@ def suffix_array(tokens: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.n
 def search(tokens: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(place in tokens, window) of every occurrence of every window."""
     starts, strings = suffix_array(tokens, windows)
-    low, high = np.searchsorted(strings, windows.keys), np.searchsorted(strings, windows.ends)
+    low, high = np.searchsorted(strings, windows.keys), np.searchsorted(strings, windows.keys, "right")
+    high[windows.short] = np.searchsorted(strings, windows.ends)
     n = high - low
     return starts[_ranges(low, n)], np.repeat(np.arange(len(n)), n)
 
@@ -130,7 +170,7 @@ def look_through(texts: list[str | None], windows: Windows) -> list[Found]:
     # one entry for each occurrence and each item that has the window; runs on one diagonal are one match
     n = windows.place_from[window + 1] - windows.place_from[window] if len(place) else np.zeros(0, np.int64)
     spot = _ranges(windows.place_from[window] if len(place) else n, n)
-    item, offset, at, size = windows.place_item[spot], windows.place_offset[spot], np.repeat(place, n), np.repeat(windows.size[window] if len(place) else n, n)
+    item, offset, at, size = windows.place_item[spot].astype(np.int64), windows.place_offset[spot].astype(np.int64), np.repeat(place, n), np.repeat(windows.size[window] if len(place) else n, n)
     order = np.lexsort((at, at - offset, item))
     item, offset, at, size = item[order], offset[order], at[order], size[order]
     new = np.ones(len(at), bool)
@@ -141,7 +181,7 @@ def look_through(texts: list[str | None], windows: Windows) -> list[Found]:
     doc = np.searchsorted(start, at[first], side="right") - 1
     longest: dict[int, dict[int, tuple[int, int, int, int]]] = {}
     for d, k, a, o, m in zip(doc.tolist(), item[first].tolist(), at[first].tolist(), offset[first].tolist(), length.tolist()):
-        key, of = windows.items[k][0], longest.setdefault(d, {})
+        key, of = int(windows.item_ids[k]), longest.setdefault(d, {})
         if key not in of or of[key][3] < m:
             of[key] = (key, a - int(start[d]), o, m)
     run_doc = np.searchsorted(start, begins, side="right") - 1
@@ -186,13 +226,13 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 
 def _send(items: DataFrame, window: int):
     rows = sorted({(r["item_id"], r["text"]) for r in items.collect()})
-    return items.sparkSession.sparkContext.broadcast([(i, w) for i, t in rows if (w := words_of(t))])
+    return items.sparkSession.sparkContext.broadcast(block_of((i, w) for i, t in rows if (w := words_of(t))))
 
 
 _FOUND = "n_words long, n_hit long, item_ids array<long>, match_starts array<long>, item_starts array<long>, match_words array<long>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float | Fraction = Fraction(1, 20), block_bytes: int = 64 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float | Fraction = Fraction(1, 20), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, item_ids, match_starts, item_starts, match_words, contaminated) of every document: the items
     that have an occurring window, with the longest verbatim match of each."""
     blocks, part = item_blocks(benchmark, block_bytes), Fraction(share).limit_denominator(10**6)
@@ -221,7 +261,7 @@ def _pass(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(sent.value, window)
+        windows = windows_of(sent.value, window)
         for batch in batches:
             found = [f for part in shards(batch["text"].to_pylist()) for f in look_through(part, windows)]
             lists = [[[m[k] for m in f.matches] for f in found] for k in range(4)]
@@ -232,7 +272,7 @@ def _pass(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "".join(f"{c} long, " for c in kept) + _FOUND + ", runs array<long>")
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float | Fraction = Fraction(1, 20), block_bytes: int = 64 << 20) -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float | Fraction = Fraction(1, 20), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The same documents and columns without the contaminated ones, in one pass over them for each block of the benchmark.
 
     With several blocks the words hit are counted together, by a row number.
@@ -247,7 +287,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     sent = _send(blocks[0], window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(sent.value, window)
+        windows = windows_of(sent.value, window)
         for batch in batches:
             found = (f for texts in shards(batch["text"].to_pylist()) for f in look_through(texts, windows))
             yield batch.filter(pa.array([not f.n_hit or f.n_hit * part.denominator < f.n_words * part.numerator for f in found], pa.bool_()))
