@@ -218,6 +218,23 @@ def test_quintiles_keep_ties(spark):
     assert buckets([1] * 9 + [2]) == [0] * 9 + [1]
 
 
+def test_quintiles_both_ways(spark):
+    rng = np.random.default_rng(3)
+    values = {"few": rng.integers(0, 6, 300), "one": np.zeros(50), "many": rng.normal(size=301), "two": np.array([1.0, 2.0]), "lumps": np.repeat(np.arange(9), rng.integers(1, 80, 9))}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("few", None)], "k string, v double")
+    both = [sorted(map(tuple, D.quintiles(df, "v", ["k"], few=few).select("k", "v", "bucket").collect())) for few in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == sum(map(len, values.values()))
+
+
+def test_statistic_of_the_grouped_bootstrap(spark):
+    rng = np.random.default_rng(1)
+    vs = np.sort(rng.exponential(size=50))
+    df = spark.createDataFrame([(1, float(v)) for v in vs], "k long, v double")
+    median = D.grouped_bootstrap(df, ["k"], "v", F.lit(3), 200).first()
+    mean = D.grouped_bootstrap(df, ["k"], "v", F.lit(3), 200, statistic=np.mean, name="mean").first()
+    assert tuple(median)[2:] == D.bootstrap_ci(vs, 3, 200) and tuple(mean)[2:] == D.bootstrap_ci(vs, 3, 200, statistic=np.mean) and mean["mean"] == pytest.approx(vs.mean())
+
+
 def test_bootstrap():
     v = np.random.default_rng(0).normal(size=200)
     a = D.bootstrap_ci(v, 7, 300)

@@ -28,9 +28,12 @@ def test_selection_is_a_sort(spark):
     for g, v in [(k % 2 if k % 9 else None, v) for k, v in enumerate(values) if k % 50]:
         groups.setdefault(g, []).append(v + 0.0)
     wanted = spark.createDataFrame([(g, r) for g, vs in groups.items() for r in range(0, len(vs) + 2)], "g long, rank long")
+    passes = [sorted(map(str, at_ranks(df, ["g"], "v", wanted, direct=d).collect())) for d in (10**6, 0)]
+    assert passes[0] == passes[1]
     got = {}
     for r in at_ranks(df, ["g"], "v", wanted).collect():
         got.setdefault(r["g"], {})[r["rank"]] = r["value"]
+        assert r["below"] <= r["rank"] < r["below"] + r["equal"]
     for g, vs in groups.items():
         want = np.sort(np.array(vs))
         assert np.array_equal(np.array([got[g][k] for k in range(len(vs))]), want, equal_nan=True) and len(got[g]) == len(vs)

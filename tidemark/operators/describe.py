@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
 from tidemark.operators.features import range_percentile, session_days, trailing_range, wilder_atr
+from tidemark.operators.selection import at_ranks, quantiles
 from tidemark.plans.config import FX_CORE, SessionSet
+from tidemark.sources.scratch import written
 
 R1_SESSIONS = ("pre_london", "london", "new_york")
 BUCKETS = 5
@@ -31,18 +33,19 @@ def bootstrap_ci(values: np.ndarray, seed: int, resamples: int = 2000, level: fl
     return float(statistic(values)), float(low), float(high)
 
 
-def grouped_bootstrap(rows: DataFrame, keys: list[str], value: str, seed: Column, resamples: int = 2000, least: int = SUPPRESSED, level: float = 0.95) -> DataFrame:
-    """(keys, n, median, ci_low, ci_high); groups of fewer than least values get no interval. Each group draws from a stream of its own seed."""
+def grouped_bootstrap(rows: DataFrame, keys: list[str], value: str, seed: Column, resamples: int = 2000, least: int = SUPPRESSED, level: float = 0.95, statistic: Callable = np.median, name: str = "median") -> DataFrame:
+    """(keys, n, the statistic under its name, ci_low, ci_high); groups of fewer than least values get no interval. Each group draws from a stream of its own seed.
+    statistic: of an array along an axis, as numpy's are."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.sort(pdf["_v"].to_numpy(float))
         v = v[np.isfinite(v)]
-        point, low, high = bootstrap_ci(v, int(pdf["_seed"].iloc[0]), resamples, level) if len(v) >= least else (float(np.median(v)) if len(v) else None, None, None)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [len(v)], "median": [point], "ci_low": [low], "ci_high": [high]})
+        point, low, high = bootstrap_ci(v, int(pdf["_seed"].iloc[0]), resamples, level, statistic) if len(v) >= least else (float(statistic(v)) if len(v) else None, None, None)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [len(v)], name: [point], "ci_low": [low], "ci_high": [high]})
 
     fed = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), seed.alias("_seed"))
-    return fed.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, median double, ci_low double, ci_high double")
+    return fed.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", n long, {name} double, ci_low double, ci_high double")
 
 
 def note(n: str = "n") -> Column:
@@ -62,7 +65,8 @@ def r5_by_hour(bars: DataFrame, window: int = 60) -> DataFrame:
 
 
 def r5_by_year(bars: DataFrame) -> DataFrame:
-    return bars.where("spread_twa is not null").groupBy("instrument", F.expr(T.utc_year("ts_utc_ns")).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.percentile("spread_twa", F.lit(0.5)).alias("median_spread"))
+    rows = bars.where("spread_twa is not null").select("instrument", F.expr(T.utc_year("ts_utc_ns")).alias("year"), "spread_twa")
+    return quantiles(rows, ["instrument", "year"], "spread_twa", [0.5]).select("instrument", "year", "n", F.col("q")[0].alias("median_spread"))
 
 
 def r5_intervals(bars: DataFrame, resamples: int = 500, window: int = 60) -> DataFrame:
@@ -107,10 +111,8 @@ def r1_intervals(ratios: DataFrame, resamples: int = 2000) -> DataFrame:
     return price.unionByName(grouped_bootstrap(rows, keys, "ratio", seed + 1, resamples).withColumn("unit", F.lit("atr")))
 
 
-def quintiles(rows: DataFrame, value: str, keys: list[str], out: str = "bucket") -> DataFrame:
-    """Buckets 0 to 4 in ascending order that never part equal values: a bucket is full once it has a fifth of the rows, and the last takes the rest.
-    The fold runs over distinct values with their counts, which must be few (percentiles of n days have n + 1), and keeps the last value of each full bucket only."""
-    rows = rows.where(F.col(value).isNotNull())
+def _few_ends(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, _ends) by a fold over a group's distinct values with their counts, which must be few."""
     counts = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_l"), F.sum("_c").alias("_n"))
     zero = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<double>").alias("o"))
@@ -120,7 +122,25 @@ def quintiles(rows: DataFrame, value: str, keys: list[str], out: str = "bucket")
         full = (F.size(a["o"]) < BUCKETS - 1) & (c >= F.col("_n") / BUCKETS)
         return F.struct(F.when(full, 0).otherwise(c).cast("long").alias("c"), F.when(full, F.concat(a["o"], F.array(x["_v"].cast("double")))).otherwise(a["o"]).alias("o"))
 
-    ends = listed.select(*keys, F.aggregate("_l", zero, step)["o"].alias("_ends"))
+    return listed.select(*keys, F.aggregate("_l", zero, step)["o"].alias("_ends"))
+
+
+def _searched_ends(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, _ends), each end by selection: the value at the rank that fills the bucket, and how many rows lie up to it, from which the next bucket begins."""
+    state = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_taken": F.lit(0).cast("long"), "_ends": F.array().cast("array<double>")})
+    for _ in range(BUCKETS - 1):
+        state = state.withColumn("rank", F.expr(f"(_n + {BUCKETS - 1}) div {BUCKETS} + _taken - 1"))
+        found = at_ranks(rows, keys, value, state.where("rank < _n").select(*keys, "rank")).select(*(F.col(k).alias(f"_of_{k}") for k in keys), "value", (F.col("below") + F.col("equal")).alias("_up_to"))
+        both = state.join(found, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
+        state = written(both.select(*keys, "_n", F.coalesce("_up_to", "_n").alias("_taken"), F.when(F.col("value").isNull(), F.col("_ends")).otherwise(F.concat("_ends", F.array("value"))).alias("_ends")), "ends")
+    return state.select(*keys, "_ends")
+
+
+def quintiles(rows: DataFrame, value: str, keys: list[str], out: str = "bucket", few: bool = False) -> DataFrame:
+    """Buckets 0 to 4 in ascending order that never part equal values: a bucket is full once it has a fifth of the rows, and the last takes the rest. few: a group has some
+    thousands of distinct values at most (percentiles of n days have n + 1), and they are folded in one plan; else the ends are searched for, whatever the groups' size."""
+    rows = rows.where(F.col(value).isNotNull())
+    ends = (_few_ends if few else _searched_ends)(rows, value, keys)
     bucket = F.size(F.filter("_ends", lambda e: F.col(value) > e))
     return rows.join(ends, keys).withColumn(out, bucket).drop("_ends")
 
@@ -132,7 +152,7 @@ def r2_days(bars: DataFrame, atr_n: int = 1440, pct_n: int = 60, sessions: Sessi
     ratio = F.when(F.col("session") == "london", F.try_divide("range", F.nullif("atr", F.lit(0.0))))
     both = known.groupBy("instrument", "day").agg(F.max(ratio).alias("ratio"), F.max(F.when(F.col("session") == "pre_london", F.col("pct"))).alias("pct")).where("ratio is not null and pct is not null")
     # one row for each instrument and day: dealt out once, so that both readers of the rows share the exchange
-    return quintiles(both.repartition("instrument"), "pct", ["instrument"])
+    return quintiles(both.repartition("instrument"), "pct", ["instrument"], few=True)
 
 
 def r2_buckets(days: DataFrame) -> DataFrame:
@@ -154,7 +174,7 @@ def r2_intervals(days: DataFrame, resamples: int = 2000) -> DataFrame:
 
 def _quartered(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds q1, median, q3, and whether a value lies within 1.5 quartile ranges of the box."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(rows, keys, value, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")).withColumn("_d", 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col(value)
     return rows.join(q, keys).withColumn("_inside", (v >= F.col("q1") - F.col("_d")) & (v <= F.col("q3") + F.col("_d"))).drop("_d")

@@ -2,7 +2,8 @@
 
 A double becomes a 64-bit whole number of the same order. Four passes count the rows of each group by 16 of its bits at a time, from the highest on: each pass tells which of 65,536
 bins has a wanted rank, and the next counts the rows of that bin only. Counts are summed in the tasks that read the rows, so a pass shuffles no more than bins, and a pass's
-answer, a small written table, is a row for each wanted rank. Four passes for any size and any distribution; nothing is sorted, sampled or approximated.
+answer, a small written table, is a row for each wanted rank. Four passes at most, for any size and any distribution, and two for small groups; nothing is sampled or
+approximated.
 
 The rows are read once in each pass: what is expensive to make should be a written table.
 """
@@ -18,7 +19,9 @@ from pyspark.sql.types import DoubleType, LongType
 
 from tidemark.sources.scratch import written
 
-BITS, PASSES = 16, 4
+BITS = 16
+#: Rows of the bins that wanted ranks are in, of all groups: with so few left, the next pass counts single values and is the last.
+DIRECT = 1_000_000
 #: Values that an aggregation's buffer may hold for a group: up to here Spark's own percentile is used.
 BUFFERED = 5_000_000
 
@@ -44,30 +47,31 @@ def _same(keys: list[str], other: str = "_of_") -> list[Column]:
     return [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys]
 
 
-def at_ranks(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
-    """(keys, rank, value) for each of wanted (keys, rank from 0; distinct): the group's value of that rank in ascending order. Rows without a value don't count; ranks beyond
-    a group's values are left out."""
+def at_ranks(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, direct: int = DIRECT) -> DataFrame:
+    """(keys, rank, value, below, equal) for each of wanted (keys, rank from 0; distinct): the group's value of that rank in ascending order. below and equal: how many are less, and how many the same.
+    Rows without a value don't count; ranks beyond a group's values are left out."""
     bits = rows.where(F.col(value).isNotNull()).select(*keys, ordered_bits(F.col(value).cast("double")).alias("_k"))
     # found: how many values lie below the bin that the rank is in, and the bin's bits so far
     found = wanted.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "rank", F.lit(0).cast("long").alias("_below"), F.lit(None).cast("long").alias("_bits"))
-    owned = [f"_of_{k}" for k in keys]
-    for n in range(PASSES):
-        shift = 64 - BITS * (n + 1)
+    owned, few = [f"_of_{k}" for k in keys], False
+    above = shift = 64
+    while shift:
+        above, shift = shift, 0 if few else shift - BITS
         part = F.shiftright("_k", shift)
-        if n == 0:
+        if above == 64:
             counts = bits.groupBy(*keys, part.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-            bins, within, on = counts, W.partitionBy(*keys).orderBy("_bin"), _same(keys)
+            within, on = W.partitionBy(*keys).orderBy("_bin"), _same(keys)
         else:
-            asked = found.select(*owned, "_bits").distinct()
-            inside = bits.withColumn("_high", F.shiftright("_k", shift + BITS)).join(asked, [*_same(keys), F.col("_high") == F.col("_bits")])
+            inside = bits.withColumn("_high", F.shiftright("_k", above)).join(found.select(*owned, "_bits").distinct(), [*_same(keys), F.col("_high") == F.col("_bits")])
             counts = inside.groupBy(*keys, "_high", part.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-            bins, within, on = counts, W.partitionBy(*keys, "_high").orderBy("_bin"), [*_same(keys), F.col("_high") == F.col("_bits")]
-        ends = bins.withColumn("_end", F.sum("_c").over(within))
+            within, on = W.partitionBy(*keys, "_high").orderBy("_bin"), [*_same(keys), F.col("_high") == F.col("_bits")]
+        ends = counts.withColumn("_end", F.sum("_c").over(within))
         offset = F.col("rank") - F.col("_below")
         met = ends.join(found, on).where((offset >= F.col("_end") - F.col("_c")) & (offset < F.col("_end")))
         # a row for each rank; read twice by the next pass
-        found = written(met.select(*owned, "rank", (F.col("_below") + F.col("_end") - F.col("_c")).alias("_below"), F.col("_bin").alias("_bits")), "ranks")
-    return found.select(*(F.col(f"_of_{k}").alias(k) for k in keys), "rank", from_ordered_bits("_bits").alias("value"))
+        found = written(met.select(*owned, "rank", (F.col("_below") + F.col("_end") - F.col("_c")).alias("_below"), F.col("_bin").alias("_bits"), F.col("_c").alias("_equal")), "ranks")
+        few = shift and (found.select(*owned, "_bits", "_equal").distinct().agg(F.sum("_equal").alias("n")).first()["n"] or 0) <= direct
+    return found.select(*(F.col(f"_of_{k}").alias(k) for k in keys), "rank", from_ordered_bits("_bits").alias("value"), F.col("_below").alias("below"), F.col("_equal").alias("equal"))
 
 
 def selected_quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:

@@ -28,12 +28,26 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
         none.alias("bid_volume"), none.alias("ask_volume"), F.col("event_id").alias("row_sequence"), "value")
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """The files of a table: names, lengths and times. A table that is written anew has another."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = at.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    files = fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    """The bars of all ticks, from a table that the first query of a session that needs them writes, as the engine stores them."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The bars of all ticks, from a table that the first query of a session that needs them writes, as the engine stores them; anew when the ticks' files are others.
+    With tidemark.bars.stored set to false each query makes its own."""
+    if spark.conf.get("tidemark.bars.stored", "true") == "false":
+        return with_gaps(resample(ticks(spark, sf)))
+    key = (spark.sparkContext.applicationId, sf, _state(spark, f"{sf}/events.parquet"))
     at = spark._jvm.org.apache.hadoop.fs.Path(_stored.get(key, "/nowhere"))
     if key not in _stored or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         root = place(spark, "bars")

@@ -42,7 +42,7 @@ def op67(spark, sf):
 
 def op67y(spark, sf):
     days = daily(spark, sf).select("instrument", "day", "ratio", (F.floor(F.col("range") / 20000) / 10).alias("pct"))
-    return rounded(D.r2_buckets(D.quintiles(days, "pct", ["instrument"])), 6)
+    return rounded(D.r2_buckets(D.quintiles(days, "pct", ["instrument"], few=True)), 6)
 
 
 def op70(spark, sf):
@@ -68,10 +68,16 @@ def op72(spark, sf):
 
 
 def op87(spark, sf):
-    q = D.quintiles(table(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"])
+    q = D.quintiles(table(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"], few=True)
     return rounded(q.groupBy("l_returnflag", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi")))
 
 
+def op87b(spark, sf):
+    """Quintiles of prices, of which nearly every row has another."""
+    q = D.quintiles(table(spark, sf, "orders"), "o_totalprice", ["o_orderstatus"])
+    return rounded(q.groupBy("o_orderstatus", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")))
+
+
 def _events(spark, sf):
     return E.detect(bars(spark, sf), P)
 
@@ -125,7 +131,7 @@ def op140(spark, sf):
 
 QUERIES = {
     "OP64_hour_of_week_report": op64, "OP65_spread_by_year": op65, "OP66_session_ranges": op66, "OP66_ranges_by_year": op66y, "OP67_quiet_mornings": op67, "OP67_buckets_by_year": op67y, "OP70_bootstrap": op70, "OP71_seeded_intervals": op71, "OP71_session_intervals": op71r1, "OP71_morning_intervals": op71r2,
-    "OP72_box_stats": op72, "OP73_context_counts": op73, "OP74_weekdays_by_year": op74, "OP87_quintiles": op87, "OP134_morning_days": op134, "OP135_events": op135, "OP138_eligible_days": op138, "OP139_admissible_years": op139, "OP140_gate": op140,
+    "OP72_box_stats": op72, "OP73_context_counts": op73, "OP74_weekdays_by_year": op74, "OP87_quintiles": op87, "OP87_quintiles_of_prices": op87b, "OP134_morning_days": op134, "OP135_events": op135, "OP138_eligible_days": op138, "OP139_admissible_years": op139, "OP140_gate": op140,
 }
 
 
@@ -166,6 +172,13 @@ _EVENTS = f"""{_MORNING}, opening AS (SELECT r.*, m.high, m.low FROM full_rows r
     AND CASE WHEN b.direction = 'long' THEN r.mid <= b.high - 0.05 * b.atr_bars ELSE r.mid >= b.low + 0.05 * b.atr_bars END)"""
 _BOTH = " UNION ALL ".join(f"SELECT e.instrument, '{k}∩{c}' AS context, e.day, e.direction FROM once e WHERE e.context = '{c}' AND EXISTS (SELECT 1 FROM once q WHERE q.instrument = e.instrument AND q.day = e.day AND q.context = '{k}')" for k in ("C-A", "C-D") for c in ("C-B", "C-C"))
 _LONDON = f"isodow({local('ts_utc_ns', 'Europe/London')}) AS weekday, hour({local('ts_utc_ns', 'Europe/London')}) AS hour"
+def _cuts(table: str, value: str, key: str) -> str:
+    """CTEs c1 to c4: each the least value up to which a further fifth of the rows lies, and how many rows do."""
+    first = f"p AS (SELECT {key}, {value} AS v, sum(c) OVER (PARTITION BY {key} ORDER BY {value}) AS up_to, sum(c) OVER (PARTITION BY {key}) AS n FROM (SELECT {key}, {value}, count(*) AS c FROM {table} GROUP BY ALL)), c0 AS (SELECT DISTINCT {key}, 0 AS up_to FROM p)"
+    cut = "c{k} AS (SELECT p.{key}, min(p.v) AS v, min(p.up_to) AS up_to FROM p JOIN c{b} b ON b.{key} = p.{key} AND p.up_to >= b.up_to + p.n / 5 GROUP BY p.{key})"
+    return ", ".join([first, *(cut.format(k=k, b=k - 1, key=key) for k in range(1, 5))])
+
+
 ORACLE_SQL = {
     "OP64_hour_of_week_report": f"""WITH {BARS}, w60 AS (SELECT *, CASE WHEN rn >= 59 THEN max(mid) OVER w - min(mid) OVER w END AS r FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
       SELECT instrument, {_LONDON}, count(*) AS n, round(quantile_cont(spread_twa, 0.5), 8) AS median_spread, count(r) AS n_range, round(quantile_cont(r, 0.5), 8) AS median_range, round(quantile_cont(spread_twa, 0.5) / nullif(quantile_cont(r, 0.5), 0), 8) AS ratio FROM w60 GROUP BY ALL""",
@@ -180,6 +193,7 @@ ORACLE_SQL = {
     "OP73_context_counts": f"WITH {_EVENTS}, once AS (SELECT DISTINCT instrument, context, day, direction FROM found), tagged AS (SELECT * FROM once UNION ALL {_BOTH.replace('AS context', 'AS context', 1)}), spine8 AS (SELECT DISTINCT instrument, year(make_timestamp(ts_utc_ns // 1000)) AS year, unnest(['C-A','C-B','C-C','C-D','C-A∩C-B','C-A∩C-C','C-D∩C-B','C-D∩C-C']) AS context FROM bars) SELECT s.instrument, s.year, s.context, count(t.day) AS n FROM spine8 s LEFT JOIN (SELECT instrument, context, day, year(day) AS year FROM tagged) t USING (instrument, context, year) GROUP BY ALL",
     "OP74_weekdays_by_year": """WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), y AS (SELECT year(d) AS year, count(*) FILTER (isodow(d) <= 5) AS days FROM o GROUP BY 1), g AS (
       SELECT year, unnest(generate_series(make_date(year, 1, 1), make_date(year, 12, 31), INTERVAL 1 DAY)) AS d FROM y) SELECT year, any_value(days) AS days, count(*) FILTER (isodow(d) <= 5) AS n FROM y JOIN g USING (year) GROUP BY year""",
+    "OP87_quintiles_of_prices": f"WITH {_cuts('orders', 'o_totalprice', 'o_orderstatus')} SELECT o_orderstatus, CAST(o_totalprice > coalesce(c1.v, 1e300) AS BIGINT) + CAST(o_totalprice > coalesce(c2.v, 1e300) AS BIGINT) + CAST(o_totalprice > coalesce(c3.v, 1e300) AS BIGINT) + CAST(o_totalprice > coalesce(c4.v, 1e300) AS BIGINT) AS bucket, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders LEFT JOIN c1 USING (o_orderstatus) LEFT JOIN c2 USING (o_orderstatus) LEFT JOIN c3 USING (o_orderstatus) LEFT JOIN c4 USING (o_orderstatus) GROUP BY ALL",
     "OP87_quintiles": f"WITH RECURSIVE {_fold('lineitem', 'l_quantity', 'l_returnflag')} SELECT l_returnflag, f.b AS bucket, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem JOIN folded f USING (l_returnflag) WHERE f.v = l_quantity GROUP BY ALL",
     "OP134_morning_days": f"WITH {_MORNING} SELECT instrument, CAST(day AS VARCHAR) AS day, round(high, 8) AS high, round(low, 8) AS low, round(pct, 8) AS pct, CAST(excluded AS BIGINT) AS excluded FROM mornings",
     "OP135_events": f"WITH {_EVENTS} SELECT instrument, context, CAST(day AS VARCHAR) AS day, direction, ts_utc_ns FROM found",
