@@ -9,6 +9,7 @@ from tidemark.operators import ingest as I
 from tidemark.operators.bars import resample
 from tidemark.queries.base import BARS, TICKS, day_of, place, rounded, table, ticks
 from tidemark.sources import ticks as S
+from tidemark.sources.versions import VersionedTable
 from tidemark.streaming.bars import bounded_bars
 
 LO, HI = 1_704_067_200_000_000_000, 1_735_689_600_000_000_000  # 2024, UTC
@@ -33,6 +34,15 @@ def op16(spark, sf):
     return rounded(merged.select("instrument", "ts_utc_ns", "tick_count", "bid_o", "prev_gap_ns"))
 
 
+def op21(spark, sf):
+    """The same two runs as versions of a table: each is there whole."""
+    t = ticks(spark, sf)
+    stored = VersionedTable.of_bars(spark, place(spark, "versions"))
+    for own in ("row_sequence % 3 <> 0", "row_sequence % 3 = 0"):
+        stored.upsert(resample(t.where(own)).withColumn("prev_gap_ns", F.lit(None).cast("long")))
+    return rounded(stored.read().select("instrument", "ts_utc_ns", "tick_count", "bid_o", "prev_gap_ns"))
+
+
 def op17(spark, sf):
     t = ticks(spark, sf).drop("value")
     again = t.where("row_sequence % 5 = 0").withColumn("bid", F.when(F.col("row_sequence") % 10 == 0, F.round(F.col("bid") - 0.001, 6)).otherwise(F.col("bid")))
@@ -114,7 +124,7 @@ def op_stream(spark, sf):
 
 
 QUERIES = {
-    "OP02_bar_store": op02, "OP03_months": op03, "OP04_holes": op04, "OP13_release_calendar": op13, "OP16_bar_merge": op16, "OP17_tick_merge": op17, "OP18_feature_merge": op18, "OP19_log_merge": op19, "OP96_semi_join": op96, "OP99_calendar_lookup": op99,
+    "OP02_bar_store": op02, "OP03_months": op03, "OP04_holes": op04, "OP13_release_calendar": op13, "OP16_bar_merge": op16, "OP21_versioned_upsert": op21, "OP17_tick_merge": op17, "OP18_feature_merge": op18, "OP19_log_merge": op19, "OP96_semi_join": op96, "OP99_calendar_lookup": op99,
     "OP101_latest": op101, "OP104_first_rows": op104, "OP123_column_order": op123, "OP127_divergent_dates": op127, "EXT_streaming_bars": op_stream,
 }
 
@@ -150,3 +160,4 @@ ORACLE_SQL = {
     "OP123_column_order": f"WITH {TICKS}, t AS (SELECT instrument, CASE WHEN instrument = 'view' THEN ask ELSE bid END AS a, CASE WHEN instrument = 'view' THEN bid ELSE ask END AS b FROM ticks WHERE ask > bid), s AS (SELECT instrument, avg(CAST(a > b AS INT)) AS share, count(*) AS n FROM t GROUP BY 1) SELECT instrument, n, share, CASE WHEN share <= 0.01 THEN 'bid_ask' WHEN share >= 0.99 THEN 'ask_bid' END AS column_order FROM s",
     "OP127_divergent_dates": "SELECT CAST(d AS VARCHAR) AS day, count(*) AS n FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) WHERE timezone('America/New_York', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) - timezone('Europe/London', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) <> INTERVAL 5 HOUR GROUP BY d",
 }
+ORACLE_SQL["OP21_versioned_upsert"] = ORACLE_SQL["OP16_bar_merge"]  # the same rows, read back
