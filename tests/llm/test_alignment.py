@@ -78,10 +78,10 @@ def test_each_distinct_segment_once(spark, docs_of, tmp_path):
     pair, calls = tokenizer_pair(), []
     align = pair.align
     pair.align = lambda segments: calls.extend(segments) or align(segments)
-    rows = pa.table({"chunk": pa.array(range(20_000), pa.int64()), "number": pa.array([0] * 20_000, pa.int32()), "segment": [" a"] * 9_000 + [" b"] * 9_000 + [" c"] * 2_000})
+    rows = pa.table({"place": pa.array([k << alignment.NUMBER_BITS for k in range(20_000)], pa.int64()), "segment": [" a"] * 9_000 + [" b"] * 9_000 + [" c"] * 2_000})
     out = pa.Table.from_batches(alignment._aligned(iter(rows.to_batches(max_chunksize=5_000)), pair))
     assert calls == [" a", " b", " c"] and out.num_rows == 20_000 and len(set(out["codes"].to_pylist())) == 3
-    together = rows.set_column(0, "chunk", pa.array([k % 2 for k in range(20_000)], pa.int64()))
+    together = rows.set_column(0, "place", pa.array([k % 2 << alignment.NUMBER_BITS | k for k in range(20_000)], pa.int64()))
     assert pa.Table.from_batches(alignment._aligned(iter(together.to_batches(max_chunksize=5_000)), pair)).num_rows == 2
 
 

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import parts_for, text_bytes, written
+from tidemark.llm.shared import discard, parts_for, scratch_path, text_bytes, written
 
 #: White space of Unicode, and the four separators that some libraries count as such.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = "\u2581"
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 10 << 20
 BATCH = 4096
 #: Documents of a chunk that are composed at a time.
 SPAN = 256
@@ -117,15 +117,18 @@ def tokenizer_pair(a_path: str | None = None, b_path: str | None = None) -> Pair
 
 
 def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**31, their bytes by significance: the higher ones are mostly alike."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, "<i4").tobytes())
+    planes = np.ascontiguousarray(values, "<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _opened(blob: bytes) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 CHUNKS = "chunk long, doc_ids array<long>, lengths array<int>, numbers binary, segments array<string>"
@@ -137,7 +140,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], part: int, pair: Pair, chunk_byt
     made, size, ids, lengths, numbers, known = 0, 0, [], [], array("i"), {}
 
     def chunk() -> pa.RecordBatch:
-        row = {"chunk": part << 32 | made, "doc_ids": ids, "lengths": lengths, "numbers": _squeezed(np.frombuffer(numbers, "i4")), "segments": list(known)}
+        row = {"chunk": part << 16 | made, "doc_ids": ids, "lengths": lengths, "numbers": _squeezed(np.frombuffer(numbers, "i4")), "segments": list(known)}
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()))
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
 
@@ -156,6 +159,8 @@ def _chunked(batches: Iterator[pa.RecordBatch], part: int, pair: Pair, chunk_byt
 
 
 ALIGNED = "chunk long, numbers binary, lengths binary, codes binary"
+#: A chunk's number of a segment is that many bits of a place.
+NUMBER_BITS = 24
 #: Rows whose alignments go back to their chunks together.
 SENT = 1 << 16
 
@@ -175,7 +180,8 @@ def _aligned(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[pa.Recor
             text, last = seen[-1].as_py(), (lengths[-1:], codes[len(codes) - lengths[-1] :])
             which = np.cumsum(new) - new[0]
             own = lengths[which]
-            held.append((part["chunk"].to_numpy(), part["number"].to_numpy(), own, codes[_flat((np.cumsum(lengths) - lengths)[which], own)]))
+            place = part["place"].to_numpy()
+            held.append((place >> NUMBER_BITS, place & (1 << NUMBER_BITS) - 1, own, codes[_flat((np.cumsum(lengths) - lengths)[which], own)]))
             n += len(part)
             if n >= SENT:
                 yield _sent(held)
@@ -208,11 +214,16 @@ def _doc_pairs(docs: np.ndarray, numbers: np.ndarray, start: np.ndarray, many: n
     return *np.divmod(both, max(1, n_pairs)), np.bincount(which, np.repeat(times, n), len(both)).astype(np.int64)
 
 
-def _group_texts(kind: np.ndarray, last: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> list[str]:
-    """The segments' groups, each with its sign behind it: `a1,a2|b1;`."""
-    signs = np.where(last, ";", np.where((kind == 0) & (np.append(kind[1:], 1) == 1), "|", ",")).tolist()
-    tokens = [f"{i}{s}" for i, s in zip(ids.tolist(), signs)]
-    return ["".join(tokens[p:q]) for p, q in zip([0, *stops[:-1].tolist()], stops.tolist())]
+def _group_texts(kind: np.ndarray, last: np.ndarray, ids: np.ndarray, stops: np.ndarray, step: int = 1 << 15) -> list[str]:
+    """The segments' groups, each with its sign behind it: `a1,a2|b1;`. So many segments at a time."""
+    signs, out = np.where(last, 2, (kind == 0) & (np.append(kind[1:], 1) == 1)).astype(np.int8), []
+    for k in range(0, len(stops), step):
+        ends = stops[k : k + step]
+        first = int(stops[k - 1]) if k else 0
+        tokens = [f"{i}{',|;'[s]}" for i, s in zip(ids[first : ends[-1]].tolist(), signs[first : ends[-1]].tolist())]
+        ends = (ends - first).tolist()
+        out += ["".join(tokens[p:q]) for p, q in zip([0, *ends[:-1]], ends)]
+    return out
 
 
 def _compose(chunk: pa.Table, aligned: pa.Table, pair: Pair, with_groups: bool) -> pa.Table:
@@ -254,6 +265,7 @@ def _compose(chunk: pa.Table, aligned: pa.Table, pair: Pair, with_groups: bool)
     rows |= {"groups_sha256": pa.array(shas, pa.string()), "groups": pa.array(texts, pa.string()) if with_groups else empty(pa.string())}
     rows |= {"pairs": empty(pa.list_(long)), "pair_docs": empty(pa.list_(pa.int32())), "lengths": empty(blob), "held": empty(blob), "times": empty(blob)}
     blobs = (_squeezed(x) for x in (np.bincount(doc, minlength=n), steps, times))
+    pa.default_memory_pool().release_unused()
     one = [pa.array([name], long), *(pa.nulls(1, c.type) for c in list(rows.values())[1:9]), pa.array([pairs], pa.list_(long)), pa.array([n_docs], pa.list_(pa.int32())), *(pa.array([b], blob) for b in blobs)]
     return pa.concat_tables([pa.table(rows), pa.table(one, list(rows))])
 
@@ -284,10 +296,13 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return _compose(chunk, aligned, tokenizer_pair(a_path, b_path), with_groups)
 
     n_parts = parts_for(spark, text_bytes(docs, text_col))
-    chunks = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, CHUNKS), "chunks")
-    segments = chunks.select("chunk", F.posexplode("segments").alias("number", "segment"))
+    chunks_at = scratch_path(spark, "chunks")
+    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, CHUNKS).write.option("compression", "zstd").parquet(chunks_at)
+    chunks = spark.read.schema(CHUNKS).parquet(chunks_at)
+    segments = chunks.select("chunk", F.posexplode("segments").alias("number", "segment")).select((F.shiftleft("chunk", NUMBER_BITS) + F.col("number")).alias("place"), "segment")
     aligned = segments.repartition(n_parts, "segment").sortWithinPartitions("segment").mapInArrow(settle, ALIGNED)
     composed = written(chunks.drop("segments").groupBy("chunk").cogroup(aligned.groupBy("chunk")).applyInArrow(compose, COMPOSED), "composed")
+    discard(spark, chunks_at)
     told = composed.where("pairs is not null")
     sums = told.select(F.explode(F.arrays_zip("pairs", "pair_docs")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.pair_docs").alias("n"))
     counts = sums.withColumn("best", F.col("n") == F.max("n").over(W.partitionBy(F.shiftright("pair", 32))))
