@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import timex as T
 from tidemark.operators import describe as D
+from tidemark.operators.resampling import split_bootstrap
 from tidemark.sources import ticks as S
 
 PUBLISHED = {"read bars": 2.9, "R1": 31.0, "R2": 5.0, "R5": 274.1}
@@ -47,9 +48,10 @@ def main() -> None:
             df.write.format("noop").mode("overwrite").save()
 
         ratios = lambda: D.session_ratios(bars())
+        years = lambda: bars().select("instrument", F.col("year").cast("long").alias("year"), "spread_twa")
         jobs = {
             "read bars": lambda: run(S.read_bars(spark, root)), "R1": lambda: run(D.r1_marginals(ratios())), "R1 with intervals": lambda: run(D.r1_intervals(ratios())),
-            "R2": lambda: run(D.r2_buckets(D.r2_days(bars()))), "R5": lambda: run(D.r5_by_hour(bars())), "R5 with intervals": lambda: run(D.r5_intervals(bars()).unionByName(D.r5_year_intervals(bars()), allowMissingColumns=True)),
+            "R2": lambda: run(D.r2_buckets(D.r2_days(bars()))), "R2 with intervals": lambda: run(D.r2_intervals(D.r2_days(bars()))), "R5's years, split": lambda: run(split_bootstrap(years(), ["instrument", "year"], "spread_twa", F.col("year") + 1, 500)), "R5": lambda: run(D.r5_by_hour(bars())), "R5 with intervals": lambda: run(D.r5_intervals(bars()).unionByName(D.r5_year_intervals(bars()), allowMissingColumns=True)),
         }
         seconds: dict[str, float] = {}
         run(bars())

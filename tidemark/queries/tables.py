@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import timex as T
 from tidemark.operators import ingest as I
 from tidemark.operators.bars import resample
-from tidemark.queries.base import BARS, TICKS, day_of, place, rounded, table, ticks
+from tidemark.queries.base import BARS, TICKS, atr_sql, bars, day_of, place, rounded, table, ticks
 from tidemark.sources import ticks as S
 from tidemark.sources.versions import VersionedTable
 from tidemark.streaming.bars import bounded_bars
+from tidemark.streaming.continued import bounded_continued
+
+ATR = 14
 
 LO, HI = 1_704_067_200_000_000_000, 1_735_689_600_000_000_000  # 2024, UTC
 
@@ -123,9 +126,14 @@ def op_stream(spark, sf):
     return rounded(bounded_bars(spark, f"{root}/in", t.schema, f"{root}/out", f"{root}/state").select("instrument", "ts_utc_ns", "bid_o", "ask_c", "tick_count", "spread_twa"))
 
 
+def op_continued(spark, sf):
+    """Gaps and average true ranges of all bars, as a stream with a restart half way."""
+    return rounded(bounded_continued(bars(spark, sf), place(spark, "continued"), ATR))
+
+
 QUERIES = {
     "OP02_bar_store": op02, "OP03_months": op03, "OP04_holes": op04, "OP13_release_calendar": op13, "OP16_bar_merge": op16, "OP21_versioned_upsert": op21, "OP17_tick_merge": op17, "OP18_feature_merge": op18, "OP19_log_merge": op19, "OP96_semi_join": op96, "OP99_calendar_lookup": op99,
-    "OP101_latest": op101, "OP104_first_rows": op104, "OP123_column_order": op123, "OP127_divergent_dates": op127, "EXT_streaming_bars": op_stream,
+    "OP101_latest": op101, "OP104_first_rows": op104, "OP123_column_order": op123, "OP127_divergent_dates": op127, "EXT_streaming_bars": op_stream, "EXT_streaming_continued": op_continued,
 }
 
 _HOURS = "hours AS (SELECT DISTINCT epoch_us(ts) // 3600000000 * 3600000000000 AS hour_ns, event_type FROM events)"
@@ -161,3 +169,4 @@ ORACLE_SQL = {
     "OP127_divergent_dates": "SELECT CAST(d AS VARCHAR) AS day, count(*) AS n FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) WHERE timezone('America/New_York', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) - timezone('Europe/London', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) <> INTERVAL 5 HOUR GROUP BY d",
 }
 ORACLE_SQL["OP21_versioned_upsert"] = ORACLE_SQL["OP16_bar_merge"]  # the same rows, read back
+ORACLE_SQL["EXT_streaming_continued"] = f"WITH {BARS}, {atr_sql(ATR)} SELECT b.instrument, b.ts_utc_ns, b.first_tick_ns - lag(b.last_tick_ns) OVER (PARTITION BY b.instrument ORDER BY b.ts_utc_ns) AS prev_gap_ns, round(a.atr_bars, 8) AS atr_bars FROM bars b JOIN atr a USING (instrument, ts_utc_ns)"
