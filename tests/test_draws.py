@@ -56,10 +56,19 @@ def test_bounds_one_by_one(spark, monkeypatch, given_out, at_once):
                 assert got[run, name, m] == (len(of), pytest.approx(np.percentile(means, 2.5), abs=1e-12))
 
 
+def test_placebo_one_by_one(spark):
+    got = {(r["run"], r["replication"]): r["expectancy_r"] for r in R.placebo(spark.createDataFrame(ROWS, SCHEMA), 5, 12).collect()}
+    assert len(got) == 36
+    for (run, i), e in got.items():
+        rs = [x[2] if number(5, i, x[1], [(0, 13)])[0] < 0.5 else x[3] for x in ROWS if x[0] == run]
+        rs = [r for r in rs if r is not None]
+        assert e == (pytest.approx(sum(rs) / len(rs), abs=1e-9) if rs else None)
+
+
 def test_trades_of_one_piece_are_many_tasks(spark):
     """The digests of a file of one piece were the work of one task, with a row for each draw."""
     t = spark.createDataFrame(ROWS, SCHEMA).coalesce(1)
-    for df in (R.lower_bounds_of(t, ["run"], 9, {"x": (R.F.col("cost"), (1.0, 2.0)), "y": (R.F.col("cost"), (1.5,))}),):
+    for df in (R.lower_bounds_of(t, ["run"], 9, {"x": (R.F.col("cost"), (1.0, 2.0)), "y": (R.F.col("cost"), (1.5,))}), R.placebo(t, 5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "rangepartitioning(" in plan and "md5(" not in plan
 
