@@ -250,3 +250,21 @@ def test_drawdown_in_blocks(spark):
         got = {r["run"]: r["max_drawdown_r"] for r in ST.summary(df, blocks).collect()}
         want = {g: max(0.0, float((np.maximum(np.maximum.accumulate(np.cumsum(xs)), 0) - np.cumsum(xs)).max())) for g, xs in runs.items()}
         assert got == pytest.approx(want)
+
+
+def test_exits_in_crowded_minutes(spark):
+    """Positions and ticks of a minute were paired: 1000 of each made a million rows."""
+    from tidemark.operators.bars import resample, with_gaps
+
+    ticks = spark.range(3000).select(F.lit("G").alias("instrument"), (M0 + F.col("id") * 60_000_000).alias("ts_utc_ns"), (1.0 + F.pmod(F.col("id") * 7919, F.lit(1009)) / 1000).alias("bid"), (1.001 + F.pmod(F.col("id") * 7919, F.lit(1009)) / 1000).alias("ask"), F.lit(None).cast("double").alias("bid_volume"), F.lit(None).cast("double").alias("ask_volume"), F.col("id").alias("row_sequence"))
+    bars = with_gaps(resample(ticks), continuous=True)
+    rows = [(f"p{k}", "G", "sell" if k % 2 else "buy", M0 + k * 60_000_000, 2.005 if k % 2 else 1.0, 0.9 if k % 2 else 2.0, M0 + 10**15, 0.0) for k in range(1000)]
+    e = PO.exits(spark.createDataFrame(rows, PO.POSITIONS), bars, ticks)
+    price = [1.0 + k * 7919 % 1009 / 1000 for k in range(3000)]
+    for r in e.collect():
+        k = int(r["position_id"][1:])
+        at = next((i for i in range(k + 1, 3000) if (price[i] + 0.001 >= 2.005 if k % 2 else price[i] <= 1.0 or price[i] > 2.0)), None)
+        assert r["exit_ns"] == (None if at is None else M0 + at * 60_000_000)
+    t = ticks.withColumnRenamed("ts_utc_ns", "at").withColumn("minute", F.expr(T.minute_start("at")))
+    near = spark.createDataFrame(rows, PO.POSITIONS).withColumn("minute", F.expr(T.minute_start("entry_ns")))
+    assert PO._first_ticks(near, t)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInPandas") == 1

@@ -1,8 +1,8 @@
 """Exits of open positions: stop, target and time limit of which the first cancels the others, found without copying a position for each minute or day that it is open.
 
 Two levels. The first later day whose prices reach a level is looked up in a tree of the days' best prices, and the first minute of a day (the entry's own, or that one) in a tree of the
-day's bars; ticks are read of two minutes at most, the entry's and the one found. A bar's range reaches a level exactly if one of its ticks does, so nothing is missed.
-Positions of one instrument and day are dealt into slices where there are many, and the day's bars go to each slice.
+day's bars; ticks count of two minutes at most, the entry's and the one found, each looked up in a tree of six hours' ticks. A bar's range reaches a level exactly if one of its ticks does, so nothing is missed.
+Positions of one instrument and day (or six hours) are dealt into slices where there are many, and the day's bars (the six hours' ticks) go to each slice.
 
 A long is closed on the bid and a short on the ask. A stop fills at its level or worse; a target must be traded through and fills at its level, never better; the time limit is
 a market order at the first tick from then on. A fill whose tick follows more than a minute without ticks slips gap_multiplier times as much and says so: it may lose more than was risked.
@@ -10,6 +10,8 @@ a market order at the first tick from then on. A fill whose tick follows more th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from tidemark.operators.features import first_at_or_after
 from tidemark.sources.scratch import written
 
 POSITIONS = "position_id string, instrument string, side string, entry_ns long, stop double, target double, until_ns long, slip double"
-#: Positions that look into one day's bars in one task.
+#: Positions that look into one day's bars, or six hours' ticks, in one task.
 SLICE = 100_000
 _UTC_DAY = 86_400_000_000_000
 
@@ -60,13 +62,12 @@ def first_reached(low: np.ndarray, high: np.ndarray, start: np.ndarray, down: np
     return np.where(found == 0, node, len(low))
 
 
-def _reached(asked: pd.DataFrame, prices: pd.DataFrame, at: str) -> np.ndarray:
-    """The place in prices (sorted by at) that each position reaches first, from its own from_ns on."""
-    start = np.searchsorted(prices[at].to_numpy("int64"), asked["from_ns"].to_numpy("int64"))
+def _reached(asked: pd.DataFrame, prices: pd.DataFrame, start: np.ndarray, of_long: tuple[str, str], of_short: tuple[str, str]) -> np.ndarray:
+    """The place in prices that each position reaches first, from its start on: of_long and of_short are the columns of the lowest and highest prices that it is closed on."""
     long = (asked["side"] == "buy").to_numpy(bool)
     stop, target = asked["stop"].to_numpy(float), asked["target"].to_numpy(float)
     out = np.full(len(asked), len(prices))
-    for own, low, high, down, up in ((long, "bid_l", "bid_h", stop, target), (~long, "ask_l", "ask_h", target, stop)):
+    for own, (low, high), down, up in ((long, of_long, stop, target), (~long, of_short, target, stop)):
         k = np.flatnonzero(own)
         out[k] = first_reached(prices[low].to_numpy(float), prices[high].to_numpy(float), start[k], down[k], up[k], np.full(len(k), own is long))
     return out
@@ -75,22 +76,52 @@ def _reached(asked: pd.DataFrame, prices: pd.DataFrame, at: str) -> np.ndarray:
 _PRICES = ("bid_l", "bid_h", "ask_l", "ask_h")
 
 
-def _sliced(asked: DataFrame, prices: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
-    """(position_id, out): the value of at in the first row of prices, within keys, that a position of asked reaches."""
+def _sliced(asked: DataFrame, prices: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], out: str) -> DataFrame:
+    """run of the positions asked and the rows of prices of the same keys; where there are many positions, they are dealt into slices and the prices go to each."""
     counts = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("_slices"))
     left = asked.join(counts, keys).withColumn("_slice", F.pmod(F.xxhash64("position_id"), F.col("_slices")).cast("int"))
     right = prices.join(counts, keys).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    by = [*keys, "_slice"]
+    left, right = left.drop("_slices"), right.select(*(F.col(k).alias(f"of_{k}") for k in by), *(c for c in prices.columns if c not in keys))
+    kind = asked.schema["position_id"].dataType.simpleString()
+    return left.groupBy(*by).cogroup(right.groupBy(*(f"of_{k}" for k in by))).applyInPandas(run, f"position_id {kind}, {out}")
+
+
+def _first_ranges(asked: DataFrame, prices: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
+    """(position_id, out): the value of at in the first row of prices, within keys, that a position of asked reaches from from_ns on."""
 
     def run(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(at)
-        place = _reached(a, p, at)
+        start = np.searchsorted(p[at].to_numpy("int64"), a["from_ns"].to_numpy("int64"))
+        place = _reached(a, p, start, ("bid_l", "bid_h"), ("ask_l", "ask_h"))
         hit = place < len(p)
         return pd.DataFrame({"position_id": a["position_id"].to_numpy()[hit], out: p[at].to_numpy("int64")[place[hit]]})
 
-    by = [*keys, "_slice"]
-    left, right = left.select(*by, "position_id", "side", "stop", "target", "from_ns"), right.select(*(F.col(k).alias(f"of_{k}") for k in by), at, *_PRICES)
-    kind = asked.schema["position_id"].dataType.simpleString()
-    return left.groupBy(*by).cogroup(right.groupBy(*(f"of_{k}" for k in by))).applyInPandas(run, f"position_id {kind}, {out} long")
+    asked = asked.select(*keys, "position_id", "side", "stop", "target", "from_ns")
+    return _sliced(asked, prices.select(*keys, *([] if at in keys else [at]), *_PRICES), keys, run, f"{out} long")
+
+
+def _first_ticks(near: DataFrame, ticks: DataFrame) -> DataFrame:
+    """(position_id, at, price, what, minute, opens): the first tick of the named minute, after the entry and before the time limit, that closes a position of near by its stop or
+    target, found in a tree of six hours' ticks: positions and ticks of a minute aren't paired. opens: it is the first of its minute."""
+
+    def run(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["at", "row_sequence"])
+        at, minute = p["at"].to_numpy("int64"), a["minute"].to_numpy("int64")
+        opens = np.searchsorted(at, minute)
+        start = np.maximum(opens, np.searchsorted(at, a["entry_ns"].to_numpy("int64"), "right"))
+        end = np.searchsorted(at, np.minimum(minute + T.MINUTE, a["until_ns"].to_numpy("int64")))
+        place = _reached(a, p, start, ("bid", "bid"), ("ask", "ask"))
+        hit = place < end
+        a, minute, opens, place = a[hit], minute[hit], opens[hit], place[hit]
+        long, stop = (a["side"] == "buy").to_numpy(bool), a["stop"].to_numpy(float)
+        price = np.where(long, p["bid"].to_numpy(float)[place], p["ask"].to_numpy(float)[place])
+        what = np.where(np.where(long, price <= stop, price >= stop), "stop", "target").astype(object)
+        return pd.DataFrame({"position_id": a["position_id"].to_numpy(), "at": at[place], "price": price, "what": what, "minute": minute, "opens": place == opens})
+
+    quarter = F.expr(f"minute div {6 * T.HOUR}").alias("_q")
+    asked = near.select("instrument", quarter, "position_id", "side", "stop", "target", "entry_ns", "until_ns", "minute")
+    return _sliced(asked, ticks.select("instrument", quarter, "at", "row_sequence", "bid", "ask"), ["instrument", "_q"], run, "at long, price double, what string, minute long, opens boolean")
 
 
 def exits(positions: DataFrame, bars: DataFrame, ticks: DataFrame, gap_multiplier: float = GAP_MULTIPLIER) -> DataFrame:
@@ -102,27 +133,21 @@ def exits(positions: DataFrame, bars: DataFrame, ticks: DataFrame, gap_multiplie
     ranges = bars.select("instrument", "ts_utc_ns", *_PRICES).withColumn("_d", F.expr(f"ts_utc_ns div {_UTC_DAY}"))
     days = ranges.groupBy("instrument", "_d").agg(*((F.min(c) if c.endswith("_l") else F.max(c)).alias(c) for c in _PRICES)).withColumn("day_ns", F.col("_d") * _UTC_DAY)
     later = asked.withColumn("from_ns", F.expr(f"(entry_ns div {_UTC_DAY} + 1) * {_UTC_DAY}")).where("from_ns < until_ns")
-    day = _sliced(later, days, ["instrument"], "day_ns", "day_ns")
+    day = _first_ranges(later, days, ["instrument"], "day_ns", "day_ns")
     own = asked.select("position_id", "instrument", "side", "stop", "target", (F.col("_minute") + T.MINUTE).alias("from_ns"), F.expr(f"entry_ns div {_UTC_DAY}").alias("_d"))
     other = asked.join(day, "position_id").select("position_id", "instrument", "side", "stop", "target", F.col("day_ns").alias("from_ns"), F.expr(f"day_ns div {_UTC_DAY}").alias("_d"))
-    minute = _sliced(own.unionByName(other), ranges, ["instrument", "_d"], "ts_utc_ns", "minute_ns").groupBy("position_id").agg(F.min("minute_ns").alias("minute_ns"))
+    minute = _first_ranges(own.unionByName(other), ranges, ["instrument", "_d"], "ts_utc_ns", "minute_ns").groupBy("position_id").agg(F.min("minute_ns").alias("minute_ns"))
     near = asked.withColumn("minute", F.col("_minute")).unionByName(asked.join(minute, "position_id").where("minute_ns < until_ns").withColumnRenamed("minute_ns", "minute"))
     t = ticks.select("instrument", F.expr(T.minute_start("ts_utc_ns")).alias("minute"), F.col("ts_utc_ns").alias("at"), "row_sequence", "bid", "ask")
     price = F.when(long, F.col("bid")).otherwise(F.col("ask"))
-    stopped = F.when(long, F.col("bid") <= F.col("stop")).otherwise(F.col("ask") >= F.col("stop"))
-    through = F.when(long, F.col("bid") > F.col("target")).otherwise(F.col("ask") < F.col("target"))
-    what = F.when((F.col("at") > F.col("entry_ns")) & (F.col("at") < F.col("until_ns")), F.when(stopped, "stop").when(through, "target"))
-    seen = near.join(t, ["instrument", "minute"]).withColumns({"what": what, "price": price})
-    order = F.struct("at", "row_sequence")
-    # the first tick of each minute tells whether the one that fills came after a gap
-    first = seen.groupBy("position_id", "minute").agg(F.min_by(F.struct("at", "price", "what", "minute"), F.when(F.col("what").isNotNull(), order)).alias("f"), F.min(order).alias("opens"), F.min(F.when(F.col("what").isNotNull(), order)).alias("fills"))
-    hit = first.where("f is not null").groupBy("position_id").agg(F.min_by(F.struct("f.*", (F.col("opens") == F.col("fills")).alias("opens")), "f.at").alias("f")).select("position_id", "f.*")
+    first = _first_ticks(near, t)
+    hit = first.groupBy("position_id").agg(F.min_by(F.struct("at", "price", "what", "minute", "opens"), "at").alias("f")).select("position_id", "f.*")
     hit = written(hit, "exits")  # read twice, searched for once
     # what no level closes is closed by time
     left = asked.join(hit.select("position_id"), "position_id", "left_anti")
     due = first_at_or_after(left, "until_ns", ticks.select("instrument", "ts_utc_ns"), "ts_utc_ns", ["instrument"], "at").where("at is not null").withColumn("minute", F.expr(T.minute_start("at")))
-    timed = due.join(t, ["instrument", "minute", "at"]).withColumn("price", price).groupBy("position_id", "instrument", "minute", "at").agg(F.min_by("price", "row_sequence").alias("price"))
-    timed = timed.select("position_id", "at", "price", F.lit("time").alias("what"), "minute", F.lit(True).alias("opens"))
+    firsts = t.join(due.select("instrument", "at").distinct(), ["instrument", "at"]).groupBy("instrument", "at").agg(F.min_by("bid", "row_sequence").alias("bid"), F.min_by("ask", "row_sequence").alias("ask"))
+    timed = due.join(firsts, ["instrument", "at"]).withColumn("price", price).select("position_id", "at", "price", F.lit("time").alias("what"), "minute", F.lit(True).alias("opens"))
     gaps = bars.select("instrument", F.col("ts_utc_ns").alias("minute"), "first_tick_ns", "prev_gap_ns")
     found = asked.join(hit.unionByName(timed), "position_id").join(gaps, ["instrument", "minute"], "left")
     gap = F.col("opens") & (F.col("at") == F.col("first_tick_ns")) & (F.coalesce("prev_gap_ns", F.lit(0)) > T.MINUTE)
