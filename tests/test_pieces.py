@@ -1,9 +1,11 @@
 """Month files in pieces read as they do whole, and the queries' files are in pieces of bounded size."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_repeated import repeated  # noqa: F401
 from tidemark.functions.timex import HOUR, MINUTE, NEW_YORK, local_to_ns
@@ -87,3 +89,41 @@ def test_no_row_of_the_queries_holds_a_whole_file(spark, repeated, monkeypatch):
     n = [x["content"].count(b"\n") + 1 for x in files]
     assert max(n) == 7 and sum(n) == Q._clock_lines(spark, str(repeated[0])).count()
     assert len({(x["path"], x["part"]) for x in files}) == len(files)
+
+
+@pytest.mark.parametrize("read", [I.month_plans, I.month_ticks])
+def test_no_batch_of_a_worker_holds_many_pieces(spark, tmp_path, monkeypatch, read):
+    text = F.encode(F.repeat(F.lit("20240305 100000000,1.100000,1.100010,0\n"), 26_000), "utf-8")  # 1 MB
+    pieces = spark.range(0, 40, 1, 1).select(F.lit(NAME.format("202403")).alias("path"), F.col("id").alias("part"), text.alias("content"))
+    real = type(pieces).mapInPandas
+
+    def noted(self, func, schema):
+        def run(batches):
+            def sizes():
+                for pdf in batches:
+                    with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+                        f.write(f"{sum(len(x) for c in pdf for x in pdf[c] if isinstance(x, bytes))}\n")
+                    yield pdf
+
+            return func(sizes())
+
+        return real(self, run, schema)
+
+    monkeypatch.setattr(type(pieces), "mapInPandas", noted)
+    assert read(pieces).count() == (40 if read is I.month_plans else 40 * 26_000)
+    sizes = [int(x) for p in tmp_path.iterdir() for x in p.read_text().split()]
+    assert sum(sizes) >= 40 * 1_000_000 and max(sizes) <= 10_000_000
+
+
+def test_pieces_come_whole_out_of_their_slices(spark):
+    contents = [b"", b"x", bytes(range(250)) * 4, bytes(range(250)) * 4 + b"y", b"z" * 12_345]
+    pieces = spark.createDataFrame([("p", k, x) for k, x in enumerate(contents)], "path string, part long, content binary").coalesce(1)
+    rows = I._sliced(pieces.withColumn("more", F.array("part"))).toPandas()
+    assert max(map(len, rows["slice"])) == I.SLICE
+    for cut in (1, 4, len(rows)):  # batches may end anywhere
+        got = [(x.part, list(x.more), content) for x, content in I._whole(rows[at : at + cut] for at in range(0, len(rows), cut))]
+        assert got == [(k, [k], x) for k, x in enumerate(contents)]
+    with pytest.raises(IntegrityError, match="out of order"):
+        list(I._whole([rows[::-1]]))
+    with pytest.raises(Exception, match="p: no content"):
+        I.month_plans(spark.createDataFrame([("p", 0, None)], "path string, part long, content binary")).collect()

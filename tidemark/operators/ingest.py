@@ -47,6 +47,8 @@ FEW_INSIDE = 10
 MILLISECOND = 10**6
 FAR = 2**62
 
+SLICE = 1000  # bytes of a piece in one row; workers get batches of 10,000 rows
+
 
 class LineError(IntegrityError):
     """Of a line, counted from 0."""
@@ -465,19 +467,46 @@ def _months(files: DataFrame, schema: str, make) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def _sliced(pieces: DataFrame) -> DataFrame:
+    """Pieces (path, part, content, ...) in rows of 1000 bytes, in order: (path, part, k, slice), and what else there is, at the first slice only; the last slice is shorter, or
+    empty. Spark fills a batch for a worker with rows until it has 64 MB, and a worker has it as Arrow and as objects: slices make it 10 MB."""
+    more = [F.expr(f"if(k = 0, {c}, null)").alias(c) for c in pieces.columns if c not in ("path", "part", "content")]
+    # the content is a variable, and needed for nothing else: the column would be copied out of its row for each slice, or into the slice's row
+    slices = F.expr(f"transform(array(content), whole -> transform(sequence(0, coalesce(length(whole), 0), {SLICE}), at -> substring(whole, at + 1, {SLICE})))[0]")
+    return pieces.select(*[c for c in pieces.columns if c != "content"], F.posexplode(slices).alias("k", "slice")).select("path", "part", "k", "slice", *more)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """The first row of each piece, and its content, of the rows of _sliced; one piece is held at a time."""
+    held: list[bytes] = []
+    for pdf in batches:
+        for x in pdf.itertuples(index=False):
+            if x.slice is None:
+                raise IntegrityError(f"{x.path}: no content")
+            if x.k != len(held):
+                raise IntegrityError(f"{x.path}: slices of a piece out of order")
+            if not held:
+                first = x
+            held.append(x.slice)
+            if len(x.slice) < SLICE:
+                yield first, b"".join(held)
+                held = []
+    if held:
+        raise IntegrityError(f"{first.path}: a piece without its last slice")
+
+
 def month_plans(pieces: DataFrame) -> DataFrame:
     """How files are read that come in pieces (path, part, content): PLAN, a row for each piece. Pieces are whole lines, in the order of part; a task
     holds one at a time, and what it says of the file (counts by day, steps of the stamps) is put together by file. A line break at a piece's end ends its last line."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, part, content in zip(pdf["path"], pdf["part"], pdf["content"]):
-                _, year, month = _name(path)
-                try:
-                    bytes(content).decode("ascii")
-                except UnicodeDecodeError as e:
-                    raise IntegrityError(f"{path}: {e}") from e
-                yield pd.DataFrame([{"path": path, "part": part, "summary": pickle.dumps(_summary(bytes(content), year, month))}])
+        for x, content in _whole(batches):
+            _, year, month = _name(x.path)
+            try:
+                content.decode("ascii")
+            except UnicodeDecodeError as e:
+                raise IntegrityError(f"{x.path}: {e}") from e
+            yield pd.DataFrame([{"path": x.path, "part": x.part, "summary": pickle.dumps(_summary(content, year, month))}])
 
     def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part", ignore_index=True)
@@ -491,7 +520,7 @@ def month_plans(pieces: DataFrame) -> DataFrame:
         each = {"instrument": instrument, "year": year, "month": month, **how}
         return pd.DataFrame([{"path": key[0], "part": part, "line": line, **each} for part, line in zip(pdf["part"], lines)])
 
-    return pieces.select("path", "part", "content").mapInPandas(look, "path string, part long, summary binary").groupBy("path").applyInPandas(plan, PLAN)
+    return _sliced(pieces.select("path", "part", "content")).mapInPandas(look, "path string, part long, summary binary").groupBy("path").applyInPandas(plan, PLAN)
 
 
 def month_ticks(files: DataFrame, plans: DataFrame | None = None) -> DataFrame:
@@ -501,13 +530,13 @@ def month_ticks(files: DataFrame, plans: DataFrame | None = None) -> DataFrame:
         return _months(files, MONTH_TICKS, lambda ticks, how, instrument, year, month: ticks.assign(instrument=instrument, year=year, month=month).astype({"bid_volume": float, "ask_volume": float}))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x in pdf.itertuples():
-                ticks = _ticks(bytes(x.content), x.year, x.month, x.line, list(x.swapped), [tuple(o) for o in x.offsets])
-                yield ticks.assign(instrument=x.instrument, year=x.year, month=x.month).astype({"bid_volume": float, "ask_volume": float})
+        for x, content in _whole(batches):
+            instrument, year, month = _name(x.path)
+            ticks = _ticks(content, year, month, int(x.line), list(x.swapped), [tuple(o) for o in x.offsets])
+            yield ticks.assign(instrument=instrument, year=year, month=month).astype({"bid_volume": float, "ask_volume": float})
 
-    plans = (month_plans(files) if plans is None else plans).select("path", "part", "line", "swapped", "offsets", "instrument", "year", "month")
-    return files.select("path", "part", "content").join(F.broadcast(plans), ["path", "part"]).mapInPandas(read, MONTH_TICKS)  # a plan is a row for each piece
+    plans = (month_plans(files) if plans is None else plans).select("path", "part", "line", "swapped", "offsets")
+    return _sliced(files.select("path", "part", "content").join(F.broadcast(plans), ["path", "part"])).mapInPandas(read, MONTH_TICKS)  # a plan is a row for each piece
 
 
 def month_readings(files: DataFrame, plans: DataFrame | None = None) -> DataFrame:
